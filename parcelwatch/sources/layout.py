@@ -1,0 +1,16 @@
+"""Input layout: enough tasks to use the cluster."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread an input that arrives in fewer splits than there are cores.
+
+    Large inputs already have a split per block and pass through untouched, so this never adds a
+    shuffle of a large corpus.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores, *keys)
