@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from .static_rules import relax_for_cli_tools
 
 _SEVERITIES = (rules.CRITICAL, rules.WARNING, rules.INFO)
 
@@ -60,94 +61,91 @@ def scan_runs(releases: DataFrame, scanners: tuple[str, ...] = rules.SCANNERS) -
     )
 
 
-_CLI_EXPECTED = tuple(r.rule_id for r in rules.STATIC_RULES if r.cli_expected)
+#: Scanners that earn points.
+WEIGHTED = tuple(rules.CATEGORY_WEIGHTS)
 
+_CLI_EXPECTED = tuple(r.rule_id for r in rules.STATIC_RULES if r.cli_expected)
 
-def score(
-    findings: DataFrame,
-    runs: DataFrame,
-    flags: DataFrame | None = None,
-    points: DataFrame | None = None,
-) -> DataFrame:
-    """Score every release that appears in ``runs``.
 
-    ``findings`` may come straight from ``scan_contents``: with ``flags(pkg, version, is_cli)`` the
-    allowance for command-line tools is made here, on counts.  ``points(pkg, version,
-    repository_points, diff_points)`` adds what repository and source comparison earned.
-    """
-    spare = F.lit(None)
-    layout = {
-        "scanner": spare.cast("string"),
-        "severity": spare.cast("string"),
+def _layout() -> dict[str, Column]:
+    """Columns of a stacked row and what they hold where a source has nothing to say."""
+    return {
+        "scanner": F.lit(None).cast("string"),
+        "severity": F.lit(None).cast("string"),
         "relaxed": F.lit(False),
         "ran": F.lit(False),
         "is_cli": F.lit(False),
+        "found": F.lit(False),
         "repository_points": F.lit(0.0),
         "diff_points": F.lit(0.0),
     }
 
-    def rows(df: DataFrame, **given: Column) -> DataFrame:
-        return df.select(
-            "pkg", "version", *[given.get(name, value).alias(name) for name, value in layout.items()]
-        )
 
-    relaxable = (F.col("scanner") == "static") & F.col("rule_id").isin(*_CLI_EXPECTED)
-    stacked = rows(
+def _rows(df: DataFrame, **given: Column) -> DataFrame:
+    return df.select(
+        "pkg", "version", *[given.get(name, value).alias(name) for name, value in _layout().items()]
+    )
+
+
+def finding_rows(findings: DataFrame) -> DataFrame:
+    relaxed = (F.col("scanner") == "static") & F.col("rule_id").isin(*_CLI_EXPECTED)
+    return _rows(
         findings.filter(F.col("scanner").isin(*rules.CATEGORY_WEIGHTS)),
         scanner=F.col("scanner"),
         severity=F.col("severity"),
-        relaxed=relaxable,
-    ).unionByName(rows(runs, scanner=F.col("scanner"), ran=F.lit(True)))
-    if flags is not None:
-        stacked = stacked.unionByName(rows(flags, is_cli=F.col("is_cli")))
-    if points is not None:
-        stacked = stacked.unionByName(
-            rows(
-                points,
-                repository_points=F.col("repository_points"),
-                diff_points=F.col("diff_points"),
-            )
-        )
+        relaxed=relaxed,
+    )
+
 
-    aggregates = [
+def run_rows(runs: DataFrame) -> DataFrame:
+    return _rows(runs, scanner=F.col("scanner"), ran=F.lit(True))
+
+
+def total_columns() -> list[Column]:
+    """The additive facts of a release, over stacked rows."""
+    columns = [
         F.max("is_cli").alias("is_cli"),
+        F.max("found").alias("found"),
         F.sum("repository_points").alias("repository_points"),
         F.sum("diff_points").alias("diff_points"),
         F.max("ran").alias("any_run"),
     ]
     for name in rules.CATEGORY_WEIGHTS:
         mine = F.col("scanner") == name
-        aggregates.append(F.max(mine & F.col("ran")).alias(f"ran_{name}"))
-        for s in _SEVERITIES:
-            mark = f"{name}_{s}"
-            aggregates.append(F.count_if(mine & (F.col("severity") == s)).alias(mark))
-    for s in (rules.CRITICAL, rules.WARNING):
-        aggregates.append(
-            F.count_if(F.col("relaxed") & (F.col("severity") == s)).alias(f"relaxed_{s}")
+        columns.append(
+            F.coalesce(F.max(mine & F.col("ran")), F.lit(False)).alias(f"ran_{name}")
         )
-    wide = stacked.groupBy("pkg", "version").agg(*aggregates).filter("any_run")
+        columns += [
+            F.count_if(mine & (F.col("severity") == s)).alias(f"{name}_{s}") for s in _SEVERITIES
+        ]
+    columns += [
+        F.count_if(F.col("relaxed") & (F.col("severity") == s)).alias(f"relaxed_{s}")
+        for s in (rules.CRITICAL, rules.WARNING)
+    ]
+    return columns
+
+
+def score_totals(totals: DataFrame) -> DataFrame:
+    """Category points, score, grade, verdict and exit code from ``total_columns``."""
 
     def count(name: str, s: str) -> Column:
         n = F.col(f"{name}_{s}")
-        if name != "static" or flags is None:
+        if name != "static":
             return n
         moved = F.col("relaxed_critical") + F.col("relaxed_warning")
         change = moved if s == rules.INFO else -F.col(f"relaxed_{s}")
         return n + F.when(F.col("is_cli"), change).otherwise(0)
 
-    earned = {
-        name: F.when(
-            F.coalesce(F.col(f"ran_{name}"), F.lit(False)),
-            category_points(name, *[count(name, s) for s in _SEVERITIES]),
-        ).otherwise(0.0)
+    earned = [
+        F.when(
+            F.col(f"ran_{name}"), category_points(name, *[count(name, s) for s in _SEVERITIES])
+        )
+        .otherwise(0.0)
+        .alias(f"{name}_points")
         for name in rules.CATEGORY_WEIGHTS
-    }
-    by_category = wide.select(
-        "pkg",
-        "version",
-        *[e.alias(f"{name}_points") for name, e in earned.items()],
-        "repository_points",
-        "diff_points",
+    ]
+    by_category = totals.filter("any_run").select(
+        "pkg", "version", *earned, "repository_points", "diff_points"
     )
     total = sum(
         (F.col(f"{name}_points") for name in rules.CATEGORY_WEIGHTS),
@@ -158,13 +156,46 @@ def score(
     )
 
 
+def score(
+    findings: DataFrame,
+    runs: DataFrame,
+    flags: DataFrame | None = None,
+    repositories: DataFrame | None = None,
+    compared: DataFrame | None = None,
+) -> DataFrame:
+    """Score every release that appears in ``runs``.
+
+    ``findings`` may come straight from ``scan_contents``: with ``flags(pkg, version, is_cli)`` the
+    allowance for command-line tools is made here, on counts.  ``repositories(pkg, version, found,
+    repository_points)`` and ``compared(pkg, version, diff_points)`` add what those checks earned;
+    a comparison only counts where a repository was found.
+    """
+    stacked = finding_rows(findings).unionByName(run_rows(runs))
+    if flags is not None:
+        stacked = stacked.unionByName(_rows(flags, is_cli=F.col("is_cli")))
+    if repositories is not None:
+        stacked = stacked.unionByName(
+            _rows(
+                repositories,
+                found=F.col("found"),
+                repository_points=F.col("repository_points"),
+            )
+        )
+    if compared is not None:
+        stacked = stacked.unionByName(_rows(compared, diff_points=F.col("diff_points")))
+    totals = stacked.groupBy("pkg", "version").agg(*total_columns())
+    if repositories is not None:
+        totals = totals.withColumn(
+            "diff_points", F.when(F.col("found"), F.col("diff_points")).otherwise(0.0)
+        )
+    return score_totals(totals)
+
+
 def relaxed_counts(findings: DataFrame, flags: DataFrame) -> DataFrame:
     """Severity counts of static findings after the allowance for command-line tools.
 
     Findings shrink to one row per release, rule and severity before they meet the flags.
     """
-    from .static_rules import relax_for_cli_tools
-
     per_rule = findings.groupBy("pkg", "version", "scanner", "rule_id", "severity").count()
     relaxed = relax_for_cli_tools(per_rule, flags)
     n = F.col("count")

@@ -363,7 +363,7 @@ ORACLES["typosquat_summary"] = _with(
     ["popular", "candidate_names"], _names("candidate_names"),
     """SELECT a.name, n.shown IS NULL AS passed,
   CASE WHEN bare IN (SELECT bare FROM listed) THEN concat('"', a.name, '" is a known popular package')
-    WHEN n.shown IS NOT NULL THEN concat('Similar to: ', n.shown) ELSE 'No popular_name popular package names' END AS summary
+    WHEN n.shown IS NOT NULL THEN concat('Similar to: ', n.shown) ELSE 'No similar popular package names' END AS summary
 FROM asked a LEFT JOIN (SELECT name, string_agg(concat('"', popular_name, '" (dist ', distance, ')'), ', ' ORDER BY distance, ord) AS shown
   FROM near GROUP BY name) n USING (name)""",
 )
@@ -498,3 +498,230 @@ _CONTENT_SOURCES = {
     "static": "static_finding", "obfuscation": "obfuscation_finding", "secrets": "secret_finding",
 }
 ORACLES["package_scores"] = _with(["package_files", "pkg_flags"], _CONTENT, _score(_CONTENT_SOURCES))
+
+
+_ALL_VIEWS = [
+    "package_files", "pkg_flags", "source_files", "release_dependency", "release_script",
+    "release_link", "release_name", "popular", "repo_health",
+]
+_MANIFEST = _merge(
+    _hooks("release_script"), _BINARIES, _dependencies("release_dependency"), _TYPOSQUAT
+)
+_EVERYTHING = _merge(_CONTENT, _MANIFEST, _DIFF, _repository("release_link"))
+_ALL_SOURCES = {
+    **_CONTENT_SOURCES, "hooks": "hook_finding", "binaries": "binary_finding",
+    "dependencies": "dep_finding", "typosquatting": "typosquat_finding",
+}
+# A comparison counts only where a repository was found.
+_FOUND_DIFF = """(SELECT d.pkg, d.version, CASE WHEN r.found THEN d.diff_points ELSE 0 END AS diff_points
+  FROM diff_score d LEFT JOIN repo_scored r USING (pkg, version))"""
+_FINAL = _score(
+    {s: _ALL_SOURCES[s] for s in rules.CATEGORY_WEIGHTS}, "repo_scored", _FOUND_DIFF
+)
+ORACLES["final_scores"] = _with(_ALL_VIEWS, _EVERYTHING, _FINAL)
+
+_ALL_FINDINGS = _merge(
+    _CONTENT, _MANIFEST, _IOC.replace(_lines("text_line", _IS_TEXT) + ",\n", "")
+) + """,
+finding AS (""" + " UNION ALL ".join(
+    f"SELECT pkg, version, scanner, severity, rule_id, evidence FROM {t}"
+    for t in (*_ALL_SOURCES.values(), "ioc_finding")
+) + """),
+run AS (SELECT pkg, version, unnest(['static', 'obfuscation', 'hooks', 'secrets', 'binaries', 'dependencies', 'typosquatting', 'ioc']) AS scanner
+  FROM pkg_flags),
+counted AS (
+  SELECT r.pkg, r.version, r.scanner, count(severity) AS n, """ + ", ".join(
+    f"CAST(count(*) FILTER (WHERE severity = '{s}') AS BIGINT) AS n_{s}" for s in ("critical", "warning", "info")
+) + """
+  FROM run r LEFT JOIN finding f ON f.pkg = r.pkg AND f.version = r.version AND f.scanner = r.scanner GROUP BY ALL),
+worded AS (
+  SELECT *, concat_ws(', ', CASE WHEN n_critical > 0 THEN concat(n_critical, ' critical') END,
+      CASE WHEN n_warning > 0 THEN concat(n_warning, ' warning') END) AS bad,
+    concat_ws(', ', CASE WHEN n_critical > 0 THEN concat(n_critical, ' critical') END,
+      CASE WHEN n_warning > 0 THEN concat(n_warning, ' warning') END, CASE WHEN n_info > 0 THEN concat(n_info, ' info') END) AS every,
+    n_critical + n_warning = 0 AS clean FROM counted),
+code_count AS (SELECT pkg, version, count(*) AS n_files FROM package_files WHERE """ + _IS_CODE + """ GROUP BY ALL),
+hook_names AS (SELECT pkg, version, string_agg(DISTINCT rule_id, ', ' ORDER BY rule_id) AS names FROM hook_finding WHERE severity <> 'info' GROUP BY ALL),
+ext_count AS (SELECT pkg, version, string_agg(concat(k, ' .', rule_id), ', ' ORDER BY rule_id) AS exts
+  FROM (SELECT pkg, version, rule_id, count(*) AS k FROM binary_finding GROUP BY ALL) GROUP BY ALL),
+ioc_count AS (SELECT pkg, version, count(*) FILTER (WHERE rule_id = 'url') AS u, count(*) FILTER (WHERE rule_id = 'ipv4') AS a FROM ioc_finding GROUP BY ALL),
+named AS (
+  SELECT r.pkg, r.version, r.name, lower(regexp_replace(r.name, '^@[^/]+/', '')) IN (SELECT bare FROM listed) AS known, near_shown.shown
+  FROM release_name r LEFT JOIN (SELECT name, string_agg(concat('"', popular_name, '" (dist ', distance, ')'), ', ' ORDER BY distance, ord) AS shown
+    FROM near GROUP BY name) near_shown USING (name)),
+result AS (
+  SELECT w.pkg, w.version, scanner, CASE scanner WHEN 'ioc' THEN true WHEN 'binaries' THEN n = 0 ELSE clean END AS passed,
+    n_critical, n_warning, n_info,
+    CASE scanner
+      WHEN 'static' THEN CASE WHEN n = 0 THEN 'No dangerous patterns detected' ELSE
+        concat('Found ', every, ' pattern(s) across ', coalesce(n_files, 0), ' files', CASE WHEN is_cli THEN ' (CLI tool — shell execution expected)' ELSE '' END) END
+      WHEN 'obfuscation' THEN CASE WHEN n = 0 THEN 'No obfuscation detected' ELSE concat('Obfuscation indicators: ', every) END
+      WHEN 'secrets' THEN CASE WHEN n = 0 THEN 'No embedded secrets detected' ELSE concat('Secrets found: ', bad) END
+      WHEN 'hooks' THEN CASE WHEN name IS NULL THEN 'No package.json found'
+        WHEN s.pkg IS NULL THEN 'No scripts defined' WHEN n = 0 THEN 'No lifecycle hooks found'
+        WHEN names IS NULL THEN 'Only benign lifecycle hooks (prepare)'
+        ELSE concat('Lifecycle hooks: ', names, CASE WHEN n_critical > 0 THEN concat(' (', n_critical, ' with shell commands)') ELSE '' END) END
+      WHEN 'binaries' THEN CASE WHEN n = 0 THEN 'No binary files found' ELSE concat(n, ' binary file(s): ', exts) END
+      WHEN 'dependencies' THEN CASE WHEN name IS NULL THEN 'No package.json found' ELSE concat(coalesce(n_direct, 0), ' direct, ', coalesce(n_optional, 0),
+        ' optional dependencies', CASE WHEN clean THEN '' ELSE concat(' (', bad, ')') END) END
+      WHEN 'typosquatting' THEN CASE WHEN known THEN concat('"', name, '" is a known popular package')
+        WHEN n = 0 THEN 'No similar popular package names' ELSE concat('Similar to: ', shown) END
+      ELSE CASE WHEN n = 0 THEN 'No URLs or IP addresses found' ELSE concat(concat_ws(', ',
+        CASE WHEN u > 0 THEN concat(u, ' URL(s)') END, CASE WHEN a > 0 THEN concat(a, ' IP(s)') END), ' extracted (defanged)') END
+    END AS summary
+  FROM worded w LEFT JOIN pkg_flags USING (pkg, version) LEFT JOIN code_count USING (pkg, version)
+    LEFT JOIN hook_names USING (pkg, version) LEFT JOIN ext_count USING (pkg, version) LEFT JOIN ioc_count USING (pkg, version)
+    LEFT JOIN named USING (pkg, version) LEFT JOIN dep_count USING (pkg, version)
+    LEFT JOIN (SELECT DISTINCT pkg, version FROM release_script) s ON s.pkg = w.pkg AND s.version = w.version)"""
+ORACLES["scanner_results"] = _with(_ALL_VIEWS, _ALL_FINDINGS, "SELECT * FROM result")
+ORACLES["report_index"] = _with(
+    _ALL_VIEWS, _merge(_ALL_FINDINGS, _DIFF, _repository("release_link")),
+    f"""SELECT pkg, version, CAST((SELECT count(*) FROM finding f WHERE f.pkg = s.pkg AND f.version = s.version) AS BIGINT) AS n_findings,
+  score, grade, exit_code, CAST(8 AS INTEGER) AS n_scanners FROM ({_FINAL}) s""",
+)
+
+# --- registry documents ---------------------------------------------------------------------
+
+_TEXT = "CASE WHEN json_type(m, {0}) = 'VARCHAR' THEN json_extract_string(m, {0}) END"
+
+
+def _t(path: str) -> str:
+    return _TEXT.format(_q(path))
+
+
+_REPOSITORY_URL = (
+    f"coalesce({_t('$.repository')}, regexp_replace(regexp_replace(coalesce({_t('$.repository.url')}, ''), '^git\\+', ''), '\\.git$', ''))"
+)
+_LICENSE = f"coalesce({_t('$.license')}, {_t('$.license.type')}, '')"
+_IS_CLI = "coalesce(json_type(m, '$.bin') <> 'NULL', false)"
+_REGISTRY = """doc AS (SELECT CAST(body AS JSON) AS d FROM registry_doc WHERE json_valid(body)),
+release_key AS (SELECT d, unnest(json_keys(d, '$.versions')) AS key FROM doc),
+release_doc AS (SELECT *, json_extract(d, concat('$.versions."', key, '"')) AS m,
+  coalesce(json_extract_string(d, concat('$.versions."', key, '".name')), json_extract_string(d, '$.name')) AS pkg,
+  coalesce(json_extract_string(d, concat('$.versions."', key, '".version')), key) AS version FROM release_key)"""
+ORACLES["package_metadata"] = _with(
+    ["registry_doc"], _REGISTRY,
+    f"""SELECT pkg, version, key = json_extract_string(d, '$."dist-tags".latest') AS is_latest, coalesce({_t('$.description')}, '') AS description,
+  {_LICENSE} AS license, coalesce({_t('$._npmUser.name')}, '') AS publisher,
+  coalesce(json_extract_string(d, concat('$.time."', key, '"')), '') AS published_at, coalesce({_t('$.dist.tarball')}, '') AS tarball_url,
+  {_REPOSITORY_URL} AS repository_url, coalesce({_t('$.homepage')}, '') AS homepage,
+  coalesce(CAST(json_extract(m, '$.dist.fileCount') AS BIGINT), 0) AS file_count,
+  coalesce(CAST(json_extract(m, '$.dist.unpackedSize') AS BIGINT), 0) AS unpacked_size, {_t('$._npmUser.trustedPublisher.id')} AS provenance_id,
+  array_to_string(coalesce(nullif(json_extract_string(m, '$.maintainers[*].name'), []), json_extract_string(d, '$.maintainers[*].name')), ',') AS maintainers,
+  {_IS_CLI} AS is_cli FROM release_doc""",
+)
+
+
+def _members(field: str, value: str, extra: str = "") -> str:
+    return f"""SELECT pkg, version, name, CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') END AS {value}{extra}
+FROM (SELECT *, json_extract(m, concat('$.{field}."', name, '"')) AS v
+  FROM (SELECT *, unnest(json_keys(m, '$.{field}')) AS name FROM release_doc))"""
+
+
+ORACLES["registry_dependencies"] = _with(
+    ["registry_doc"], _REGISTRY,
+    _members("dependencies", "spec", ", 'direct' AS kind") + " UNION ALL "
+    + _members("optionalDependencies", "spec", ", 'optional' AS kind"),
+)
+ORACLES["registry_scripts"] = _with(["registry_doc"], _REGISTRY, _members("scripts", "command"))
+ORACLES["manifest_metadata"] = with_views(
+    ["manifest_doc"],
+    f"""SELECT coalesce({_t('$.name')}, 'unknown') AS pkg, coalesce({_t('$.version')}, '0.0.0') AS version, {_LICENSE} AS license,
+  coalesce({_t('$.author')}, {_t('$.author.name')}, '') AS publisher, {_REPOSITORY_URL} AS repository_url, {_IS_CLI} AS is_cli
+FROM (SELECT CAST(body AS JSON) AS m FROM manifest_doc WHERE json_valid(body))""",
+)
+ORACLES["version_resolution"] = with_views(
+    ["registry_doc", "target"],
+    """, doc AS (
+  SELECT json_extract_string(body, '$.name') AS name, json_extract_string(body, '$."dist-tags".latest') AS latest,
+    CASE WHEN json_type(body, '$.versions') = 'OBJECT' THEN json_keys(body, '$.versions') END AS versions
+  FROM (SELECT * FROM registry_doc WHERE json_valid(body))),
+asked AS (SELECT id, split_part(target, '@', 1) AS name, nullif(split_part(target, '@', 2), '') AS wanted FROM target),
+chosen AS (SELECT a.*, d.name IS NOT NULL AS known, versions, coalesce(wanted, latest) AS picked FROM asked a LEFT JOIN doc d USING (name)),
+judged AS (SELECT *, CASE WHEN NOT known THEN concat('Package not found: ', name)
+  WHEN picked IS NULL THEN concat('Cannot determine version for ', name, ': no dist-tags.latest found')
+  WHEN versions IS NULL THEN concat('No versions found in packument for ', name)
+  WHEN NOT list_contains(versions, picked) THEN concat('Version ', picked, ' not found for ', name, '. Recent versions: ', array_to_string(versions, ', '))
+  END AS error FROM chosen)
+SELECT id, name, CASE WHEN error IS NULL THEN picked END AS version, error FROM judged""",
+)
+ORACLES["health_records"] = with_views(
+    ["health_doc"],
+    """SELECT json_extract_string(body, '$.full_name') AS full_name, CAST(json_extract(body, '$.stargazers_count') AS BIGINT) AS stars,
+  CAST(0 AS BIGINT) AS forks, CAST(0 AS BIGINT) AS open_issues, coalesce(json_extract_string(body, '$.license.spdx_id'), '') AS license,
+  strftime(TRY_CAST(replace(json_extract_string(body, '$.created_at'), 'Z', '') AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS created_at,
+  coalesce(CAST(json_extract(body, '$.archived') AS BOOLEAN), false) AS archived FROM health_doc""",
+)
+ORACLES["size_labels"] = """SELECT o_orderkey, n_bytes, CASE WHEN n_bytes < 1024 THEN concat(n_bytes, ' B')
+  WHEN n_bytes < 1048576 THEN printf('%.1f KB', n_bytes / 1024) WHEN n_bytes < 1073741824 THEN printf('%.1f MB', n_bytes / 1048576)
+  ELSE printf('%.1f GB', n_bytes / 1073741824) END AS label
+FROM (SELECT o_orderkey, CAST(floor(o_totalprice * pow(10, o_orderkey % 8)) AS BIGINT) AS n_bytes FROM orders)"""
+
+# --- archives, trees and tool servers -------------------------------------------------------
+
+ORACLES["archive_files"] = with_views(
+    ["package_files"], "SELECT pkg, version, path, sha256(content) AS sha256 FROM package_files"
+)
+ORACLES["source_roots"] = with_views(
+    ["archived_source"],
+    """, tops AS (SELECT pkg, version, list(DISTINCT split_part(path, '/', 1)) AS top FROM archived_source GROUP BY ALL)
+SELECT pkg, version, CASE WHEN len(top) = 1 THEN regexp_replace(path, '^[^/]*/', '') ELSE path END AS path
+FROM archived_source JOIN tops USING (pkg, version)""",
+)
+ORACLES["tool_servers"] = with_views(
+    ["tool_config"],
+    """, parsed AS (SELECT config_file, CAST(body AS JSON) AS d FROM tool_config WHERE json_valid(body)),
+server AS (SELECT config_file, d, unnest(json_keys(d, '$.mcpServers')) AS name FROM parsed),
+entry AS (SELECT config_file, name, coalesce(json_extract_string(d, concat('$.mcpServers."', name, '".command')), '') AS command,
+  json_extract_string(d, concat('$.mcpServers."', name, '".args[*]')) AS args FROM server),
+argument AS (SELECT config_file, name, unnest(args) AS arg, generate_subscripts(args, 1) AS i FROM entry),
+eligible AS (SELECT * FROM (SELECT *, lag(arg) OVER (PARTITION BY config_file, name ORDER BY i) AS previous FROM argument)
+  WHERE NOT starts_with(arg, '-') AND coalesce(previous, '') NOT IN ('-p', '--package')),
+picked AS (SELECT config_file, name, arg_min(arg, i) AS package FROM eligible GROUP BY ALL),
+joined AS (SELECT e.*, CASE WHEN regexp_replace(command, '\\.exe$', '') IN ('npx', 'bunx') THEN package END AS npm_package
+  FROM entry e LEFT JOIN picked USING (config_file, name))
+SELECT config_file, name, command, array_to_string(args, ' ') AS args, npm_package,
+  coalesce(contains(npm_package[2:], '@') AND regexp_extract(npm_package, '@([^@]*)$', 1) NOT IN ('', 'latest', 'next'), false) AS version_pinned
+FROM joined""",
+)
+_FLEET = _CONTENT + f""",
+score AS ({_score(_CONTENT_SOURCES)}),
+wanted AS (
+  SELECT config_file, 'main' AS server, json_extract_string(body, '$.mcpServers.main.args[1]') AS npm_package FROM fleet_config),
+server_score AS (
+  SELECT config_file, server, npm_package, contains(npm_package, '@') AS version_pinned, split_part(npm_package, '@', 1) AS pkg, s.version,
+    s.score, s.grade, s.verdict, coalesce(s.exit_code, 2) AS exit_code
+  FROM wanted w LEFT JOIN score s ON s.pkg = split_part(npm_package, '@', 1)
+    AND s.version = coalesce(nullif(split_part(npm_package, '@', 2), ''), (SELECT max(version) FROM pkg_flags p WHERE p.pkg = split_part(npm_package, '@', 1))))"""
+_FLEET_VIEWS = ["package_files", "pkg_flags", "fleet_config"]
+ORACLES["server_scores"] = _with(_FLEET_VIEWS, _FLEET, "SELECT * FROM server_score")
+ORACLES["fleet_gate"] = _with(
+    _FLEET_VIEWS, _FLEET,
+    """SELECT CAST(count(*) AS BIGINT) AS n_servers, CAST(count(*) FILTER (WHERE score IS NULL) AS BIGINT) AS n_failed,
+  CAST(count(*) FILTER (WHERE NOT version_pinned) AS BIGINT) AS n_unpinned, max(exit_code) AS worst_exit FROM server_score""",
+)
+
+# --- own rules and streams ------------------------------------------------------------------
+
+
+def _user_rules() -> str:
+    from .queries import USER_RULES
+
+    return (
+        _CODE_LINES + ",\n" + _COMMENT_STATE + ",\nuser_finding AS ("
+        + "\nUNION ALL\n".join(_static_rule(r) for r in USER_RULES) + ")"
+    )
+
+
+ORACLES["user_rule_findings"] = _with(
+    ["package_files", "pkg_flags"], _user_rules(), "SELECT * FROM user_finding"
+)
+ORACLES["stream_findings"] = _with(
+    ["package_files", "pkg_flags"], _merge(_CONTENT, _BINARIES),
+    " UNION ALL ".join(f"SELECT * FROM {t}" for t in (*_CONTENT_SOURCES.values(), "binary_finding")),
+)
+_STREAM_SOURCES = {**_CONTENT_SOURCES, "binaries": "binary_finding"}
+ORACLES["stream_scores"] = _with(
+    ["package_files", "pkg_flags"], _merge(_CONTENT, _BINARIES),
+    _score({s: t for s, t in _STREAM_SOURCES.items()}),
+)

@@ -13,6 +13,7 @@ from ..functions import urls
 from ..operators import (
     binaries,
     diff,
+    fleet,
     ioc,
     lines,
     manifest,
@@ -21,8 +22,12 @@ from ..operators import (
     scoring,
     typosquat,
 )
+from ..operators.hits import union_findings
+from ..sources import archives, corpus, files, registry
 from ..sources.corpus import table, view
-from . import scan
+from ..streaming import feed
+from . import report, results, scan
+from .scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -217,3 +222,270 @@ def package_scores(spark, sf):
     runs = scoring.scan_runs(flags, ("static", "obfuscation", "secrets"))
     scored = scoring.score(scan.scan_contents(files), runs, flags)
     return _round(scored, *_POINTS, "score")
+
+
+def _release_links(spark, sf):
+    return repository.score_links(
+        view(spark, sf, "release_link"), view(spark, sf, "repo_health"), _as_of(spark, sf)
+    )
+
+
+def _manifest_findings(spark, sf):
+    """Findings that do not depend on file contents."""
+    return union_findings(
+        manifest.scan_hooks(view(spark, sf, "release_script")),
+        binaries.scan_binaries(view(spark, sf, "package_files")),
+        manifest.scan_dependencies(view(spark, sf, "release_dependency")),
+        typosquat.scan_typosquatting(
+            view(spark, sf, "release_name"), view(spark, sf, "popular")
+        ),
+    )
+
+
+def _scored_scanners(spark, sf):
+    return union_findings(
+        scan.scan_contents(view(spark, sf, "package_files")), _manifest_findings(spark, sf)
+    )
+
+
+def _final_scores(spark, sf):
+    """All categories, repository health and source comparison, from one pass over contents."""
+    flags = view(spark, sf, "pkg_flags")
+    compared = diff.rollup(_compared(spark, sf)).withColumn(
+        "diff_points", diff.diff_points(F.col("n_unexpected"))
+    )
+    return scoring.score(
+        _scored_scanners(spark, sf),
+        scoring.scan_runs(flags),
+        flags,
+        _release_links(spark, sf),
+        compared,
+    )
+
+
+@query
+def final_scores(spark, sf):
+    return _round(_final_scores(spark, sf), *_POINTS, "score")
+
+
+def _all_findings(spark, sf):
+    package_files, flags = view(spark, sf, "package_files"), view(spark, sf, "pkg_flags")
+    from ..operators.static_rules import relax_for_cli_tools
+
+    return union_findings(
+        relax_for_cli_tools(scan.scan_contents(package_files), flags),
+        _manifest_findings(spark, sf),
+        ioc.scan_ioc(package_files),
+    )
+
+
+def _scanner_results(spark, sf, findings):
+    flags = view(spark, sf, "pkg_flags")
+    names = view(spark, sf, "release_name")
+    dependencies = view(spark, sf, "release_dependency")
+    facts = results.with_facts(
+        view(spark, sf, "package_files"),
+        flags,
+        manifest.dependency_counts(dependencies),
+        view(spark, sf, "release_script"),
+        names,
+        typosquat.summarize(names, view(spark, sf, "popular")),
+        names.select("pkg", "version"),
+    )
+    return results.scanner_results(findings, scoring.scan_runs(flags), facts)
+
+
+@query
+def scanner_results(spark, sf):
+    return _scanner_results(spark, sf, _all_findings(spark, sf))
+
+
+def _report(spark, sf):
+    # Findings feed both the sections and their summaries: written once, read twice.
+    path = f"{scratch_dir(spark)}/findings"
+    _all_findings(spark, sf).write.parquet(path)
+    findings = spark.read.parquet(path)
+    return report.report_parts(
+        _scanner_results(spark, sf, findings), findings, _final_scores(spark, sf), part_size=10
+    )
+
+
+@query
+def report_json(spark, sf):
+    return _report(spark, sf)
+
+
+@query
+def report_index(spark, sf):
+    """What the JSON reports hold, read back from their text."""
+    layout = (
+        "scanners array<struct<name: string, passed: boolean, findings: array<struct<line: int>>>>,"
+        " score double, grade string, exit_code int"
+    )
+    body = F.from_json("body", layout)
+    read = _report(spark, sf).select("pkg", "version", "part", body.alias("r"))
+    n = F.aggregate(F.col("r.scanners"), F.lit(0), lambda s, x: s + F.size(x["findings"]))
+    return read.groupBy("pkg", "version").agg(
+        F.sum(n).alias("n_findings"),
+        F.round(F.max("r.score"), 6).alias("score"),
+        F.max("r.grade").alias("grade"),
+        F.max("r.exit_code").alias("exit_code"),
+        F.max(F.when(F.col("part") == 0, F.size("r.scanners"))).alias("n_scanners"),
+    )
+
+
+# --- registry documents ---------------------------------------------------------------------
+
+
+@query
+def package_metadata(spark, sf):
+    versions = registry.package_versions(view(spark, sf, "registry_doc"))
+    people = F.transform("maintainers", lambda p: p["name"])
+    return versions.withColumn("maintainers", F.array_join(people, ",")).drop("manifest")
+
+
+@query
+def registry_dependencies(spark, sf):
+    return registry.dependencies(registry.package_versions(view(spark, sf, "registry_doc")))
+
+
+@query
+def registry_scripts(spark, sf):
+    return registry.scripts(registry.package_versions(view(spark, sf, "registry_doc")))
+
+
+@query
+def manifest_metadata(spark, sf):
+    return registry.manifest_versions(view(spark, sf, "manifest_doc")).select(
+        "pkg", "version", "license", "publisher", "repository_url", "is_cli"
+    )
+
+
+@query
+def version_resolution(spark, sf):
+    index = registry.index_documents(view(spark, sf, "registry_doc"))
+    return registry.resolve_targets(view(spark, sf, "target"), index)
+
+
+@query
+def health_records(spark, sf):
+    fields = files.HEALTH_FIELDS
+    raw = view(spark, sf, "health_doc").select(F.from_json("body", fields).alias("r")).select("r.*")
+    return files.health_records(raw).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).drop("last_push")
+
+
+@query
+def size_labels(spark, sf):
+    n = F.floor(F.col("o_totalprice") * F.pow(F.lit(10), F.col("o_orderkey") % 8)).cast("bigint")
+    sized = table(spark, sf, "orders").select("o_orderkey", n.alias("n_bytes"))
+    return sized.withColumn("label", tx.size_label(F.col("n_bytes")))
+
+
+# --- archives and source trees --------------------------------------------------------------
+
+
+@query
+def archive_files(spark, sf):
+    packed = corpus.pack_archives(view(spark, sf, "package_files"))
+    return archives.expand_archives(packed).select(
+        "pkg", "version", "path", F.sha2("content", 256).alias("sha256")
+    )
+
+
+@query
+def source_roots(spark, sf):
+    return diff.strip_single_root(
+        view(spark, sf, "archived_source").select("pkg", "version", "path")
+    )
+
+
+# --- tool servers ---------------------------------------------------------------------------
+
+
+@query
+def tool_servers(spark, sf):
+    found = fleet.tool_servers(view(spark, sf, "tool_config"))
+    return found.withColumn("args", F.array_join("args", " "))
+
+
+def _gated(spark, sf):
+    flags = view(spark, sf, "pkg_flags")
+    scores = scoring.score(
+        scan.scan_contents(view(spark, sf, "package_files")),
+        scoring.scan_runs(flags, ("static", "obfuscation", "secrets")),
+        flags,
+    )
+    latest = flags.groupBy("pkg").agg(F.max("version").alias("version"))
+    servers = fleet.tool_servers(view(spark, sf, "fleet_config"))
+    return fleet.gate_servers(servers, scores, latest)
+
+
+@query
+def server_scores(spark, sf):
+    return _round(_gated(spark, sf), "score")
+
+
+@query
+def fleet_gate(spark, sf):
+    return fleet.fleet_gate(_gated(spark, sf))
+
+
+# --- own rules ------------------------------------------------------------------------------
+
+USER_RULES = (
+    rules.LineRule("debugger", rules.WARNING, "debugger statement",
+                   rf"{rules.WB}debugger{rules.WE}", code_only=True),
+    rules.LineRule("atob", rules.CRITICAL, "atob() — decoded text",
+                   rf"{rules.WB}atob{rules.WS}*\(", cli_expected=True, code_only=True),
+    rules.LineRule("const", rules.INFO, "const declaration", rf"{rules.WB}const{rules.WE}"),
+)
+
+
+@query
+def user_rule_findings(spark, sf):
+    return scan.scan_user_rules(
+        view(spark, sf, "package_files"), USER_RULES, view(spark, sf, "pkg_flags")
+    )
+
+
+# --- streams --------------------------------------------------------------------------------
+
+
+def _file_stream(spark, sf):
+    """The corpus as a stream: documents read incrementally, signals planted on the way."""
+    flags = view(spark, sf, "pkg_flags")
+    documents = (
+        spark.readStream.schema(table(spark, sf, "documents").schema)
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(sf)
+    )
+    documents.createOrReplaceTempView("documents")
+    return spark.sql(corpus.VIEWS["package_files"]), flags
+
+
+@query
+def stream_findings(spark, sf):
+    arriving, flags = _file_stream(spark, sf)
+    base = scratch_dir(spark)
+    feed.write_findings(
+        arriving, flags, f"{base}/findings", f"{base}/progress", availableNow=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{base}/findings")
+
+
+@query
+def stream_scores(spark, sf):
+    arriving, flags = _file_stream(spark, sf)
+    counts = view(spark, sf, "package_files").groupBy("pkg", "version").agg(
+        F.count("*").alias("file_count")
+    )
+    arriving, flags = _file_stream(spark, sf)
+    base = scratch_dir(spark)
+    feed.write_scores(
+        arriving,
+        counts.join(flags, ["pkg", "version"]),
+        f"{base}/scores",
+        f"{base}/progress",
+        availableNow=True,
+    ).awaitTermination()
+    return _round(spark.read.parquet(f"{base}/scores").drop("batch"), *_POINTS, "score")

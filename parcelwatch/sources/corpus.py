@@ -101,6 +101,43 @@ SELECT concat('cfg-', CAST(c_custkey AS STRING)) AS config_file,
   WHEN 2 THEN '{"mcpServers":{"a":{"command":"bunx","args":["-p","pkg","bin@latest"]}}}'
   WHEN 3 THEN '{"other":1}' WHEN 4 THEN 'not json' WHEN 5 THEN '{"mcpServers":{"a":{"command":"python"}}}'
   ELSE '{"mcpServers":{"a":{"command":"npx","args":["--foo","x@next"]}}}' END AS body
+FROM customer""",
+    "registry_doc": """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 10 THEN '{"name": broken' ELSE concat('{"name":"cust-', CAST(c_custkey AS STRING), '"',
+  CASE WHEN c_custkey % 5 = 4 THEN '' ELSE ',"dist-tags":{"latest":"1.1.0","next":"2.0.0"}' END,
+  ',"time":{"1.0.0":"2020-01-02T03:04:05.000Z"},"maintainers":[{"name":"m","email":"m@x.y"},{"name":"n"}]',
+  CASE WHEN c_custkey % 7 = 6 THEN '' ELSE concat(',"versions":{"1.0.0":{"name":"cust-', CAST(c_custkey AS STRING),
+   '","version":"1.0.0","description":"', c_mktsegment, '","repository":"https://github.com/o', CAST(c_custkey AS STRING),
+   '/r","license":"MIT","_npmUser":{"name":"u', CAST(c_nationkey AS STRING), '"},"dist":{"tarball":"https://r.x/t.tgz","fileCount":',
+   CAST(c_nationkey AS STRING), ',"unpackedSize":', CAST(c_custkey * 1000 AS STRING),
+   '},"bin":"cli.js","dependencies":{"a":"^1.0.0","b":2,"c":"github:u/c"},"optionalDependencies":{"a":"*"},"scripts":{"postinstall":"node x.js","n":1}}',
+   ',"1.1.0":{"repository":{"type":"git","url":"git+https://github.com/o', CAST(c_custkey AS STRING),
+   '/r.git"},"license":{"type":"Apache-2.0"},"_npmUser":{"name":"ci","trustedPublisher":{"id":"oidc"}},"maintainers":[{"name":"z"}],"bin":null,"dependencies":{"d":"latest"}}}') END,
+  '}') END AS body
+FROM customer""",
+    "manifest_doc": """
+SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 5 THEN 'not json' WHEN 4 THEN '{}' ELSE concat('{"name":"m-', CAST(c_custkey AS STRING), '","version":"0.1.0"',
+  CASE c_custkey % 3 WHEN 0 THEN ',"author":"Ann <a@x.y>","repository":"github:u/r","license":"MIT"'
+   WHEN 1 THEN ',"author":{"name":"Bob"},"repository":{"url":"git+https://github.com/u/r.git"},"license":{"type":"ISC"}' ELSE '' END,
+  CASE c_custkey % 4 WHEN 0 THEN ',"bin":{"m":"cli.js"}' WHEN 1 THEN ',"bin":""' WHEN 2 THEN ',"bin":null' ELSE '' END, '}') END AS body
+FROM customer""",
+    "target": """
+SELECT o_orderkey AS id, concat('cust-', CAST(o_custkey AS STRING), CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN '@1.0.0'
+  WHEN 2 THEN '@1.1.0' WHEN 3 THEN '@latest' WHEN 4 THEN '-absent' ELSE '@' END) AS target FROM orders""",
+    "fleet_config": """
+SELECT concat('cfg-', CAST(c_custkey AS STRING)) AS config_file,
+ concat('{"mcpServers":{"main":{"command":"npx","args":["-y","pkg-', CAST(c_custkey % 20 AS STRING),
+  CASE c_custkey % 5 WHEN 0 THEN '@1.0.0' WHEN 1 THEN '@1.1.0' WHEN 2 THEN '' WHEN 3 THEN '@9.9.9' ELSE '-absent' END,
+  '"]},"local":{"command":"node","args":["s.js"]}}}') AS body
+FROM customer""",
+    # Source archives of two shapes: a single top directory, or several.
+    "archived_source": """
+SELECT pkg, version, concat(CASE WHEN version = '1.0.0' THEN 'repo-abc123/' ELSE '' END, path) AS path, content FROM source_files""",
+    "health_doc": """
+SELECT concat('{"full_name":"o', CAST(c_custkey AS STRING), '/r","stargazers_count":', CAST(c_custkey % 300 AS STRING),
+  CASE WHEN c_custkey % 3 = 0 THEN ',"license":{"spdx_id":"MIT"}' ELSE ',"license":null' END,
+  ',"created_at":"', CASE WHEN c_custkey % 4 = 0 THEN 'soon' ELSE '2001-02-03T04:05:06Z' END, '"',
+  CASE WHEN c_custkey % 5 = 0 THEN ',"archived":true' ELSE '' END, '}') AS body
 FROM customer""",
     # Manifest data of the file packages: package i belongs to customer i.
     "release": """
@@ -124,6 +161,7 @@ FROM release r JOIN (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS n FRO
 _NEEDS = {
     "pkg_flags": ("package_files",),
     "source_files": ("package_files",),
+    "archived_source": ("package_files", "source_files"),
     "release": ("package_files",),
     "release_dependency": ("package_files", "release", "dependency"),
     "release_script": ("package_files", "release", "script"),
@@ -162,3 +200,29 @@ def with_views(names: list[str], body: str) -> str:
     """One SQL text that defines the named views and then runs ``body``."""
     ctes = [f"{n} AS ({VIEWS[n]})" for n in closure(names)]
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def pack_archives(files: DataFrame) -> DataFrame:
+    """One gzipped tar per file, with an entry outside the package directory: input for archives."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    def pack(frames):
+        for frame in frames:
+            packed = []
+            for path, text in zip(frame["path"], frame["content"]):
+                buffer = io.BytesIO()
+                with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+                    for name, body in (("package/" + path, text), ("other/readme", "x")):
+                        data = body.encode()
+                        entry = tarfile.TarInfo(name)
+                        entry.size = len(data)
+                        tar.addfile(entry, io.BytesIO(data))
+                packed.append(buffer.getvalue())
+            yield pd.DataFrame(
+                {"pkg": frame["pkg"], "version": frame["version"], "content": packed}
+            )
+
+    return files.mapInPandas(pack, "pkg string, version string, content binary")
