@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..schemas import FINDING_COLUMNS
 
 
@@ -19,7 +20,9 @@ def hit(
     message: str | Column,
     line: Column | None = None,
     evidence: str | Column | None = None,
+    quoted: Column | None = None,
 ) -> Column:
+    """One hit; ``quoted`` marks a match inside a string literal or comment."""
     return F.struct(
         F.lit(scanner).alias("scanner"),
         _col(rule_id).alias("rule_id"),
@@ -27,9 +30,23 @@ def hit(
         _col(message).alias("message"),
         (F.lit(None) if line is None else line).cast("int").alias("line"),
         (F.lit(None) if evidence is None else _col(evidence)).cast("string").alias("evidence"),
+        (F.lit(False) if quoted is None else quoted).alias("quoted"),
     )
 
 
+def settle_quoted(hits: DataFrame) -> DataFrame:
+    """Lower the hits that are no real code to info and say so."""
+    quoted = F.col("quoted")
+    return hits.withColumns(
+        {
+            "severity": F.when(quoted, rules.INFO).otherwise(F.col("severity")),
+            "message": F.when(
+                quoted, F.concat(F.col("message"), F.lit(rules.CONTEXT_SUFFIX))
+            ).otherwise(F.col("message")),
+        }
+    ).drop("quoted")
+
+
 def literal_map(entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 

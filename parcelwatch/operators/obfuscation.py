@@ -114,11 +114,10 @@ def file_hits(content: Column, entropy: Column, minified: Column) -> Column:
     return F.array_compact(F.array(by_entropy, by_array))
 
 
-def line_hits(line: Column, number: Column, minified: Column) -> Column:
-    """Array of hits of one line."""
+def line_hits(line: Column, number: Column, minified: Column, shown: Column) -> Column:
+    """Array of hits of one line; ``shown`` is the line's evidence text."""
     severity = F.when(minified, rules.INFO).otherwise(rules.WARNING)
     bundled = F.when(minified, " (in bundled code)").otherwise("")
-    shown = tx.evidence(line)
     hex_run = F.when(
         line.rlike(rules.HEX_RUN),
         hit(SCANNER, "hex-run", severity,

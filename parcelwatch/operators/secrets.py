@@ -6,27 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .hits import hit
+from ..functions.sql import quote
 
 SCANNER = "secrets"
 
 
-def mask(secret: Column) -> Column:
-    """First and last four characters around a fixed mask."""
-    return F.concat(F.substring(secret, 1, 4), F.lit(rules.SECRET_MASK), F.right(secret, F.lit(4)))
+def _rule_hit(rule: rules.SecretRule) -> str:
+    found = f"regexp_extract(text, {quote(rule.pattern)}, 0)"
+    return f"""CASE WHEN text RLIKE {quote(rule.pattern)} THEN named_struct('scanner', '{SCANNER}',
+      'rule_id', {quote(rule.rule_id)}, 'severity', {quote(rule.severity)},
+      'message', {quote(rule.message)}, 'line', line,
+      'evidence', concat(left({found}, 4), '{rules.SECRET_MASK}', right({found}, 4)),
+      'quoted', false) END"""
 
 
-def line_hits(line: Column, number: Column) -> Column:
-    """Array of hits of one line, at most one per rule."""
-    found = [
-        F.when(
-            line.rlike(rule.pattern),
-            hit(SCANNER, rule.rule_id, rule.severity, rule.message, number,
-                mask(F.regexp_extract(line, rule.pattern, 0))),
-        )
-        for rule in rules.SECRET_RULES
-    ]
-    return F.array_compact(F.array(*found))
+def line_hits() -> Column:
+    """Array of hits of one line, at most one per rule; reads ``text`` and ``line``.
+
+    The evidence shows the first and last four characters of the secret around a fixed mask.
+    """
+    return F.expr(f"array_compact(array({', '.join(_rule_hit(r) for r in rules.SECRET_RULES)}))")
 
 
 def may_match(line: Column) -> Column:

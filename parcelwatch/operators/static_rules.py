@@ -9,42 +9,37 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as tx
-from .hits import hit, literal_map
+from ..functions.sql import quote
+from .hits import literal_map
 
 SCANNER = "static"
 
 
-def is_outside_code(line: Column, pattern: str) -> Column:
+def _outside_code(pattern: str) -> str:
     """Whether the first match of ``pattern`` sits in a string literal or behind ``//``."""
-    before = F.regexp_extract(line, rf"(?s)\A(.*?)(?:{pattern})", 1)
-    return ~before.rlike(rules.CODE_PREFIX)
+    before = f"regexp_extract(text, {quote(rf'(?s)\A(.*?)(?:{pattern})')}, 1)"
+    return f"NOT {before} RLIKE {quote(rules.CODE_PREFIX)}"
 
 
-def rule_hits(
-    line: Column,
-    number: Column,
-    in_comment: Column,
-    line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES,
-    scanner: str = SCANNER,
-) -> Column:
-    """Array of hits of one line, at most one per rule."""
-    found = []
-    for rule in line_rules:
-        matches = line.rlike(rule.pattern)
-        if rule.unless:
-            matches = matches & ~line.rlike(rule.unless)
-        severity, message = F.lit(rule.severity), F.lit(rule.message)
-        if rule.code_only and rule.severity != rules.INFO:
-            quoted = in_comment | is_outside_code(line, rule.pattern)
-            severity = F.when(quoted, rules.INFO).otherwise(rule.severity)
-            message = F.when(quoted, rule.message + rules.CONTEXT_SUFFIX).otherwise(rule.message)
-        found.append(
-            F.when(
-                matches,
-                hit(scanner, rule.rule_id, severity, message, number, tx.evidence(line)),
-            )
-        )
-    return F.array_compact(F.array(*found))
+def _rule_hit(rule: rules.LineRule) -> str:
+    matches = f"text RLIKE {quote(rule.pattern)}"
+    if rule.unless:
+        matches += f" AND NOT text RLIKE {quote(rule.unless)}"
+    quoted = "false"
+    if rule.code_only and rule.severity != rules.INFO:
+        quoted = f"in_comment OR {_outside_code(rule.pattern)}"
+    return f"""CASE WHEN {matches} THEN named_struct('scanner', '{SCANNER}',
+      'rule_id', {quote(rule.rule_id)}, 'severity', {quote(rule.severity)},
+      'message', {quote(rule.message)}, 'line', line, 'evidence', shown, 'quoted', {quoted}) END"""
+
+
+def rule_hits(line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES) -> Column:
+    """Array of hits of one line, at most one per rule.
+
+    Reads the columns ``text``, ``line``, ``in_comment`` and ``shown`` (the evidence).  Each pattern
+    is a literal, compiled once per task.
+    """
+    return F.expr(f"array_compact(array({', '.join(_rule_hit(r) for r in line_rules)}))")
 
 
 def may_match(line: Column) -> Column:

@@ -653,8 +653,8 @@ ORACLES["health_records"] = with_views(
   coalesce(CAST(json_extract(body, '$.archived') AS BOOLEAN), false) AS archived FROM health_doc""",
 )
 ORACLES["size_labels"] = """SELECT o_orderkey, n_bytes, CASE WHEN n_bytes < 1024 THEN concat(n_bytes, ' B')
-  WHEN n_bytes < 1048576 THEN printf('%.1f KB', n_bytes / 1024) WHEN n_bytes < 1073741824 THEN printf('%.1f MB', n_bytes / 1048576)
-  ELSE printf('%.1f GB', n_bytes / 1073741824) END AS label
+  WHEN n_bytes < 1048576 THEN printf('%.1f KB', round(n_bytes / 1024, 1)) WHEN n_bytes < 1073741824 THEN printf('%.1f MB', round(n_bytes / 1048576, 1))
+  ELSE printf('%.1f GB', round(n_bytes / 1073741824, 1)) END AS label
 FROM (SELECT o_orderkey, CAST(floor(o_totalprice * pow(10, o_orderkey % 8)) AS BIGINT) AS n_bytes FROM orders)"""
 
 # --- archives, trees and tool servers -------------------------------------------------------
@@ -673,7 +673,7 @@ ORACLES["tool_servers"] = with_views(
     """, parsed AS (SELECT config_file, CAST(body AS JSON) AS d FROM tool_config WHERE json_valid(body)),
 server AS (SELECT config_file, d, unnest(json_keys(d, '$.mcpServers')) AS name FROM parsed),
 entry AS (SELECT config_file, name, coalesce(json_extract_string(d, concat('$.mcpServers."', name, '".command')), '') AS command,
-  json_extract_string(d, concat('$.mcpServers."', name, '".args[*]')) AS args FROM server),
+  coalesce(CAST(json_extract(d, concat('$.mcpServers."', name, '".args')) AS VARCHAR[]), []) AS args FROM server),
 argument AS (SELECT config_file, name, unnest(args) AS arg, generate_subscripts(args, 1) AS i FROM entry),
 eligible AS (SELECT * FROM (SELECT *, lag(arg) OVER (PARTITION BY config_file, name ORDER BY i) AS previous FROM argument)
   WHERE NOT starts_with(arg, '-') AND coalesce(previous, '') NOT IN ('-p', '--package')),

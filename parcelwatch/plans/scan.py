@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..functions.entropy import shannon_entropy
 from ..operators import lines as ln
 from ..operators import obfuscation, secrets, static_rules
-from ..operators.hits import as_findings
+from ..operators.hits import as_findings, settle_quoted
 
 CONTENT_SCANNERS = ("static", "obfuscation", "secrets")
 
@@ -46,33 +46,30 @@ def scan_contents(
         chosen = _measure(chosen, keep)
         keep = [*keep, "minified", "file_hits"]
 
-    line, number, in_comment = F.col("text"), F.col("line"), F.col("in_comment")
+    line, number, shown = F.col("text"), F.col("line"), F.col("shown")
     exploded = ln.explode_lines(chosen, keep, with_comments=static)
     wanted, arrays = [], []
     if static:
         builtin = tuple(line_rules) == rules.STATIC_RULES
         may = F.col("code") & static_rules.may_match(line) if builtin else F.col("code")
         wanted.append(may)
-        arrays.append(
-            F.when(may, static_rules.rule_hits(line, number, in_comment, line_rules))
-        )
+        arrays.append(F.when(may, static_rules.rule_hits(line_rules)))
     if obfuscated:
         may = F.col("code") & obfuscation.may_match(line)
         first = (number == 1) & (F.size("file_hits") > 0)
         wanted += [may, first]
-        arrays.append(F.when(may, obfuscation.line_hits(line, number, F.col("minified"))))
+        arrays.append(F.when(may, obfuscation.line_hits(line, number, F.col("minified"), shown)))
         arrays.append(F.when(first, F.col("file_hits")))
     if secret:
         may = F.col("text_file") & secrets.may_match(line)
         wanted.append(may)
-        arrays.append(F.when(may, secrets.line_hits(line, number)))
-    hits = exploded.filter(tx.any_of(wanted)).select(
-        "pkg",
-        "version",
-        "file",
-        F.inline(F.flatten(F.array_compact(F.array(*arrays)))),
+        arrays.append(F.when(may, secrets.line_hits()))
+    hits = (
+        exploded.filter(tx.any_of(wanted))
+        .withColumn("shown", tx.evidence(line))
+        .select("pkg", "version", "file", F.inline(F.flatten(F.array_compact(F.array(*arrays)))))
     )
-    return as_findings(hits)
+    return as_findings(settle_quoted(hits))
 
 
 def _measure(files: DataFrame, keep: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ quote and ``¶`` for a line break; ``{B64}``, ``{LONG}`` and ``{ARR}`` expand to
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .layout import ensure_parallel
@@ -179,14 +181,17 @@ def closure(names: list[str]) -> list[str]:
     return list(ordered)
 
 
+@functools.lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=256)
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A planted relation as a DataFrame over the tables in ``sf_dir``."""
+    needed_text = " ".join(VIEWS[n] for n in closure([name]))
     for base in TABLES:
-        if base in VIEWS[name] or any(base in VIEWS[n] for n in _NEEDS.get(name, ())):
+        if base in needed_text:
             df = table(spark, sf_dir, base)
             if base == "documents":
                 df = ensure_parallel(df.select("doc_id", "text", "lang"), "doc_id")
