@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions import text as tx
 from ..schemas import FINDING_COLUMNS
 
 
@@ -15,27 +16,32 @@ def _col(value: str | Column) -> Column:
 
 def hit(
     scanner: str,
-    rule_id: str | Column,
+    rule_id: str,
     severity: str | Column,
     message: str | Column,
     line: Column | None = None,
     evidence: str | Column | None = None,
-    quoted: Column | None = None,
+    shows_line: bool = False,
 ) -> Column:
-    """One hit; ``quoted`` marks a match inside a string literal or comment."""
+    """One hit; ``shows_line`` asks for the line itself as evidence."""
     return F.struct(
         F.lit(scanner).alias("scanner"),
-        _col(rule_id).alias("rule_id"),
+        F.lit(rule_id).alias("rule_id"),
         _col(severity).alias("severity"),
         _col(message).alias("message"),
         (F.lit(None) if line is None else line).cast("int").alias("line"),
         (F.lit(None) if evidence is None else _col(evidence)).cast("string").alias("evidence"),
-        (F.lit(False) if quoted is None else quoted).alias("quoted"),
+        F.lit(shows_line).alias("shows_line"),
+        F.lit(False).alias("quoted"),
     )
 
 
-def settle_quoted(hits: DataFrame) -> DataFrame:
-    """Lower the hits that are no real code to info and say so."""
+def settle(hits: DataFrame) -> DataFrame:
+    """Finish exploded hits that still carry their line as ``text``.
+
+    Matches inside a string literal or comment (``quoted``) drop to info, and the evidence is cut
+    from the line here, once per hit instead of once per line looked at.
+    """
     quoted = F.col("quoted")
     return hits.withColumns(
         {
@@ -43,8 +49,11 @@ def settle_quoted(hits: DataFrame) -> DataFrame:
             "message": F.when(
                 quoted, F.concat(F.col("message"), F.lit(rules.CONTEXT_SUFFIX))
             ).otherwise(F.col("message")),
+            "evidence": F.when(F.col("shows_line"), tx.evidence(F.col("text"))).otherwise(
+                F.col("evidence")
+            ),
         }
-    ).drop("quoted")
+    )
 
 
 def literal_map(entries: dict[str, str]) -> Column:

@@ -18,27 +18,52 @@ from .lines import explode_lines
 
 SCANNER = "ioc"
 
-_CANDIDATE = (
-    r"://|[0-9]\.[0-9]|(?:\\x[0-9a-fA-F]{2}){4}|(?:\\u[0-9a-fA-F]{4}){4}|(?i:String\.fromCharCode)"
-    r"|[A-Za-z0-9+/]{20}"
-)
+# Cheap tests that every line with a URL, an address or an encoded run passes.  Each extractor
+# runs only on text that passes its own.
+_DOTTED = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
+_BASE64_RUN = r"(?<![\p{Alnum}+/])[\p{Alnum}+/]{20}"
+
+
+def _has_char_codes(text: Column) -> Column:
+    return F.lower(text).contains("string.fromcharcode")
+
+
+def _may_match(line: Column) -> Column:
+    return (
+        line.contains("://")
+        | (line.contains("\\x") & line.rlike(rules.HEX_ESCAPES))
+        | (line.contains("\\u") & line.rlike(rules.UNICODE_ESCAPES))
+        | _has_char_codes(line)
+        | line.rlike(_DOTTED)
+        | line.rlike(_BASE64_RUN)
+    )
+
+
+def _extract(text: Column, condition: Column, pattern: str, group: int = 0) -> Column:
+    """All matches of a pattern, which is only tried where ``condition`` holds."""
+    return F.when(condition, F.regexp_extract_all(text, F.lit(pattern), group)).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def _fragments(line: Column) -> Column:
     """The line itself and every decoded piece of it, in reading order."""
 
-    def decoded(step: int, method: str, pattern: str, group: int, decoder) -> Column:
+    def decoded(step: int, method: str, matches: Column, decoder) -> Column:
         return F.transform(
-            F.regexp_extract_all(line, F.lit(pattern), group),
-            lambda m, i: _fragment(step, F.lit(method), i, decoder(m)),
+            matches, lambda m, i: _fragment(step, F.lit(method), i, decoder(m))
         )
 
+    hex_runs = _extract(line, line.contains("\\x"), rules.HEX_ESCAPES)
+    unicode_runs = _extract(line, line.contains("\\u"), rules.UNICODE_ESCAPES)
+    codes = _extract(line, _has_char_codes(line), rules.CHAR_CODES, 1)
+    blobs = _extract(line, line.rlike(_BASE64_RUN), rules.BASE64_BLOB)
     return F.concat(
         F.array(_fragment(0, F.lit(None).cast("string"), F.lit(0), line)),
-        decoded(1, "hex", rules.HEX_ESCAPES, 0, decode.hex_escapes),
-        decoded(2, "unicode", rules.UNICODE_ESCAPES, 0, decode.unicode_escapes),
-        decoded(3, "charcode", rules.CHAR_CODES, 1, decode.char_codes),
-        decoded(4, "base64", rules.BASE64_BLOB, 0, decode.base64_blob),
+        decoded(1, "hex", hex_runs, decode.hex_escapes),
+        decoded(2, "unicode", unicode_runs, decode.unicode_escapes),
+        decoded(3, "charcode", codes, decode.char_codes),
+        decoded(4, "base64", blobs, decode.base64_blob),
     )
 
 
@@ -53,7 +78,7 @@ def _fragment(step: int, method: Column, index: Column, text: Column) -> Column:
 
 def _indicators(text: Column) -> Column:
     found_urls = F.transform(
-        F.regexp_extract_all(text, F.lit(rules.URL_PATTERN), 0),
+        _extract(text, text.contains("://"), rules.URL_PATTERN),
         lambda m, i: F.struct(
             F.lit("url").alias("type"),
             F.regexp_replace(m, rules.URL_TRAILING, "").alias("raw"),
@@ -61,7 +86,7 @@ def _indicators(text: Column) -> Column:
         ),
     )
     found_ips = F.transform(
-        F.regexp_extract_all(text, F.lit(rules.IPV4_PATTERN), 0),
+        _extract(text, text.rlike(_DOTTED), rules.IPV4_PATTERN),
         lambda m, i: F.struct(F.lit("ipv4").alias("type"), m.alias("raw"), i.alias("nth")),
     )
     return F.concat(found_urls, found_ips)
@@ -73,7 +98,7 @@ def sightings(files: DataFrame) -> DataFrame:
     keep = ["pkg", "version", "path"]
     text_lines = explode_lines(chosen, keep, with_comments=False)
     fragments = (
-        text_lines.filter(F.col("text").rlike(_CANDIDATE))
+        text_lines.filter(_may_match(F.col("text")))
         .select(*keep, "line", F.inline(_fragments(F.col("text"))))
         .filter(F.col("text").isNotNull())
     )

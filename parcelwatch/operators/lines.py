@@ -52,24 +52,28 @@ def explode_lines(
     files: DataFrame, keep: list[str], with_comments: bool = True
 ) -> DataFrame:
     """``files(content, *keep)`` to one row per line: ``*keep, line, text, in_comment``."""
-    # The lines are a column of their own so that the text is split once for all uses.
-    split = files.select(
-        *keep,
-        split_lines(F.col("content")).alias("text"),
-        F.col("content").contains("/*").alias("_has_comment"),
-    )
-    if with_comments:
-        states = F.when(F.col("_has_comment"), comment_states(F.col("text"))).otherwise(
-            F.array().cast("array<string>")
+    # The exploded array is an expression, not a column: from a column Spark would infer a
+    # non-empty filter, push it down and split every text twice.
+    if not with_comments:
+        exploded = files.select(
+            *keep, F.posexplode(split_lines(F.col("content"))).alias("_pos", "text")
         )
-        split = split.select(*keep, F.arrays_zip("text", states.alias("state")).alias("_lines"))
-        exploded = split.select(*keep, F.posexplode("_lines").alias("_pos", "_l"))
-        text, inside = F.col("_l.text"), F.coalesce(F.col("_l.state") == "1", F.lit(False))
+        inside = F.lit(False)
     else:
-        exploded = split.select(*keep, F.posexplode("text").alias("_pos", "_l"))
-        text, inside = F.col("_l"), F.lit(False)
+        split = files.select(
+            *keep,
+            split_lines(F.col("content")).alias("text"),
+            F.col("content").contains("/*").alias("_commented"),
+        )
+        states = F.when(F.col("_commented"), comment_states(F.col("text"))).otherwise(
+            F.array().cast("array<string>")
+        )
+        exploded = split.select(
+            *keep, F.posexplode(F.arrays_zip("text", states.alias("state"))).alias("_pos", "_l")
+        ).select(*keep, "_pos", "_l.*")
+        inside = F.coalesce(F.col("state") == "1", F.lit(False))
     return exploded.select(
-        *keep, (F.col("_pos") + 1).alias("line"), text.alias("text"), inside.alias("in_comment")
+        *keep, (F.col("_pos") + 1).alias("line"), "text", inside.alias("in_comment")
     )
 
 

@@ -14,38 +14,48 @@ SCANNER = "obfuscation"
 
 # Opening bracket and one more complete string literal than the limit allows.
 _ARRAY = rf"\[(?:{rules.WS}*+{rules.STRING_LITERAL}[,{rules.WS_CHARS}]*+){{{rules.ARRAY_LIMIT + 1}}}"
-_ARRAY_SPLIT = rf"(?s)\A(.*?)({_ARRAY})"
+_ARRAY_SPLIT = rf"(?s)\A(.*?){_ARRAY}(.{{0,{rules.ARRAY_WINDOW_AFTER}}})"
+
+_HAS_KEYWORD = rf"{rules.WB}(?:{'|'.join(rules.JS_KEYWORDS)}){rules.WE}"
 
 
 def looks_minified(content: Column, lines: Column) -> Column:
     """Long lines and keywords, but not saturated with machine-made names."""
     return (
         F.exists(lines, lambda line: tx.longer_than(line, rules.MINIFIED_LINE))
-        & content.rlike(rules.JS_KEYWORDS)
+        & content.rlike(_HAS_KEYWORD)
         & (F.regexp_count(content, F.lit(rules.OBFUSCATOR_NAME)) <= rules.OBFUSCATOR_NAME_LIMIT)
     )
 
 
-def _rotates(window: Column) -> Column:
-    return tx.any_of([window.rlike(a) & window.rlike(b) for a, b in rules.ROTATION_PAIRS])
+def _rotates(window: str) -> Column:
+    return tx.any_of(
+        [F.col(window).rlike(a) & F.col(window).rlike(b) for a, b in rules.ROTATION_PAIRS]
+    )
 
 
-def string_array_kind(content: Column) -> Column:
-    """'rotated' or 'data' for the first large string array of a file, else null.
+def classify_arrays(files: DataFrame) -> DataFrame:
+    """Add ``array_kind``: 'rotated' or 'data' for the first large string array, else null.
 
     Rotation code (push and shift) is looked for close behind the 51st string and close before
-    the bracket.
+    the bracket.  The steps are columns of their own so that each pattern runs once per file.
     """
-    before = F.regexp_extract(content, _ARRAY_SPLIT, 1)
-    array = F.regexp_extract(content, _ARRAY_SPLIT, 2)
-    after = F.substr(content, F.length(before) + F.length(array) + 1)
-    rotated = _rotates(tx.utf16_left(after, rules.ARRAY_WINDOW_AFTER)) | _rotates(
-        tx.utf16_right(before, rules.ARRAY_WINDOW_BEFORE)
+    content, held = F.col("content"), files.columns
+    found = files.withColumn("_has", content.contains("[") & content.rlike(rf"(?s){_ARRAY}"))
+    cut = found.withColumns(
+        {
+            "_before": F.when(F.col("_has"), F.regexp_extract(content, _ARRAY_SPLIT, 1)),
+            "_after": F.when(F.col("_has"), F.regexp_extract(content, _ARRAY_SPLIT, 2)),
+        }
     )
-    return F.when(
-        content.contains("[") & content.rlike(rf"(?s){_ARRAY}"),
-        F.when(rotated, "rotated").otherwise("data"),
+    windows = cut.withColumns(
+        {
+            "_before": tx.utf16_right(F.col("_before"), rules.ARRAY_WINDOW_BEFORE),
+            "_after": tx.utf16_left(F.col("_after"), rules.ARRAY_WINDOW_AFTER),
+        }
     )
+    kind = F.when(_rotates("_after") | _rotates("_before"), "rotated").otherwise("data")
+    return windows.select(*held, F.when(F.col("_has"), kind).alias("array_kind"))
 
 
 def entropy_input(path: Column, content: Column) -> Column:
@@ -66,7 +76,7 @@ def file_entropy(files: DataFrame) -> DataFrame:
     )
 
 
-def file_hits(content: Column, entropy: Column, minified: Column) -> Column:
+def file_hits(entropy: Column, minified: Column, kind: Column) -> Column:
     """Array of whole-file hits."""
     shown = F.format_string("%.2f", entropy)
 
@@ -99,7 +109,6 @@ def file_hits(content: Column, entropy: Column, minified: Column) -> Column:
                         "possible obfuscation", rules.WARNING),
         )
     )
-    kind = string_array_kind(content)
     by_array = F.when(
         kind == "rotated",
         hit(SCANNER, "string-array", rules.CRITICAL,
@@ -114,19 +123,19 @@ def file_hits(content: Column, entropy: Column, minified: Column) -> Column:
     return F.array_compact(F.array(by_entropy, by_array))
 
 
-def line_hits(line: Column, number: Column, minified: Column, shown: Column) -> Column:
-    """Array of hits of one line; ``shown`` is the line's evidence text."""
+def line_hits(line: Column, number: Column, minified: Column) -> Column:
+    """Array of hits of one line."""
     severity = F.when(minified, rules.INFO).otherwise(rules.WARNING)
     bundled = F.when(minified, " (in bundled code)").otherwise("")
     hex_run = F.when(
         line.rlike(rules.HEX_RUN),
         hit(SCANNER, "hex-run", severity,
-            F.concat(F.lit("Hex-encoded string sequences detected"), bundled), number, shown),
+            F.concat(F.lit("Hex-encoded string sequences detected"), bundled), number, shows_line=True),
     )
     base64_run = F.when(
         line.rlike(rules.BASE64_RUN),
         hit(SCANNER, "base64-run", severity,
-            F.concat(F.lit("Large base64-encoded blob (>500 chars)"), bundled), number, shown),
+            F.concat(F.lit("Large base64-encoded blob (>500 chars)"), bundled), number, shows_line=True),
     )
     long_line = F.when(
         tx.longer_than(line, rules.LONG_LINE),
@@ -138,4 +147,9 @@ def line_hits(line: Column, number: Column, minified: Column, shown: Column) ->
 
 
 def may_match(line: Column) -> Column:
-    return line.contains("\\x") | (F.octet_length(line) >= 500)
+    size = F.octet_length(line)
+    return (
+        (line.contains("\\x") & line.rlike(rules.HEX_RUN))
+        | (size > rules.LONG_LINE)
+        | ((size >= 500) & line.rlike(rules.BASE64_RUN))
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions import text as tx
 from ..functions.sql import quote
 
 SCANNER = "secrets"
@@ -17,7 +18,7 @@ def _rule_hit(rule: rules.SecretRule) -> str:
       'rule_id', {quote(rule.rule_id)}, 'severity', {quote(rule.severity)},
       'message', {quote(rule.message)}, 'line', line,
       'evidence', concat(left({found}, 4), '{rules.SECRET_MASK}', right({found}, 4)),
-      'quoted', false) END"""
+      'shows_line', false, 'quoted', false) END"""
 
 
 def line_hits() -> Column:
@@ -29,4 +30,6 @@ def line_hits() -> Column:
 
 
 def may_match(line: Column) -> Column:
-    return line.rlike(rules.SECRET_MARKERS)
+    return tx.contains_any(line, rules.SECRET_MARKERS) | tx.contains_any(
+        F.lower(line), rules.SECRET_WORDS
+    )

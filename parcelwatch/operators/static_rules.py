@@ -30,14 +30,15 @@ def _rule_hit(rule: rules.LineRule) -> str:
         quoted = f"in_comment OR {_outside_code(rule.pattern)}"
     return f"""CASE WHEN {matches} THEN named_struct('scanner', '{SCANNER}',
       'rule_id', {quote(rule.rule_id)}, 'severity', {quote(rule.severity)},
-      'message', {quote(rule.message)}, 'line', line, 'evidence', shown, 'quoted', {quoted}) END"""
+      'message', {quote(rule.message)}, 'line', line, 'evidence', CAST(NULL AS STRING),
+      'shows_line', true, 'quoted', {quoted}) END"""
 
 
 def rule_hits(line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES) -> Column:
     """Array of hits of one line, at most one per rule.
 
-    Reads the columns ``text``, ``line``, ``in_comment`` and ``shown`` (the evidence).  Each pattern
-    is a literal, compiled once per task.
+    Reads the columns ``text``, ``line`` and ``in_comment``.  Each pattern is a literal, compiled
+    once per task.
     """
     return F.expr(f"array_compact(array({', '.join(_rule_hit(r) for r in line_rules)}))")
 

@@ -143,6 +143,7 @@ ORACLES["entropy"] = _with(
     "SELECT pkg, version, path, round(entropy, 6) AS entropy FROM file_entropy",
 )
 
+_KEYWORD = rf"\b(?:{'|'.join(rules.JS_KEYWORDS)})\b"
 _ARRAY_RX = rf"(?s)^(.*?)(\[(?:{rules.WS}*{_STR}[,{rules.WS_CHARS}]*){{51}})(.*)$"
 
 
@@ -158,7 +159,7 @@ _OBFUSCATION = f"""{_lines("code_line", _IS_CODE)},
 minified AS (
   SELECT pkg, version, path, content,
     len(list_filter(string_split(content, chr(10)), lambda x: length(x) > 500)) > 0
-    AND regexp_matches(content, {_rx(rules.JS_KEYWORDS)})
+    AND regexp_matches(content, {_q(_KEYWORD)})
     AND len(regexp_extract_all(content, {_q(rules.OBFUSCATOR_NAME)})) <= 20 AS minified
   FROM package_files WHERE {_IS_CODE}),
 big_array AS (

@@ -454,10 +454,8 @@ def user_rule_findings(spark, sf):
 def _file_stream(spark, sf):
     """The corpus as a stream: documents read incrementally, signals planted on the way."""
     flags = view(spark, sf, "pkg_flags")
-    documents = (
-        spark.readStream.schema(table(spark, sf, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
+    documents = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(
+        f"{sf}/document[s].parquet"  # a glob: one file or a folder of them
     )
     documents.createOrReplaceTempView("documents")
     return spark.sql(corpus.VIEWS["package_files"]), flags
@@ -475,7 +473,6 @@ def stream_findings(spark, sf):
 
 @query
 def stream_scores(spark, sf):
-    arriving, flags = _file_stream(spark, sf)
     counts = view(spark, sf, "package_files").groupBy("pkg", "version").agg(
         F.count("*").alias("file_count")
     )

@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..functions.entropy import shannon_entropy
 from ..operators import lines as ln
 from ..operators import obfuscation, secrets, static_rules
-from ..operators.hits import as_findings, settle_quoted
+from ..operators.hits import as_findings, settle
 
 CONTENT_SCANNERS = ("static", "obfuscation", "secrets")
 
@@ -46,7 +46,7 @@ def scan_contents(
         chosen = _measure(chosen, keep)
         keep = [*keep, "minified", "file_hits"]
 
-    line, number, shown = F.col("text"), F.col("line"), F.col("shown")
+    line, number = F.col("text"), F.col("line")
     exploded = ln.explode_lines(chosen, keep, with_comments=static)
     wanted, arrays = [], []
     if static:
@@ -58,38 +58,36 @@ def scan_contents(
         may = F.col("code") & obfuscation.may_match(line)
         first = (number == 1) & (F.size("file_hits") > 0)
         wanted += [may, first]
-        arrays.append(F.when(may, obfuscation.line_hits(line, number, F.col("minified"), shown)))
+        arrays.append(F.when(may, obfuscation.line_hits(line, number, F.col("minified"))))
         arrays.append(F.when(first, F.col("file_hits")))
     if secret:
         may = F.col("text_file") & secrets.may_match(line)
         wanted.append(may)
         arrays.append(F.when(may, secrets.line_hits()))
-    hits = (
-        exploded.filter(tx.any_of(wanted))
-        .withColumn("shown", tx.evidence(line))
-        .select("pkg", "version", "file", F.inline(F.flatten(F.array_compact(F.array(*arrays)))))
+    every = F.flatten(F.array_compact(F.array(*arrays)))
+    hits = exploded.filter(tx.any_of(wanted)).select(
+        "pkg", "version", "file", "text", F.explode(every).alias("hit")
     )
-    return as_findings(settle_quoted(hits))
+    return as_findings(settle(hits.select("pkg", "version", "file", "text", "hit.*")))
 
 
 def _measure(files: DataFrame, keep: list[str]) -> DataFrame:
-    """Add the whole-file obfuscation measures."""
+    """Add ``minified`` and ``file_hits``, the whole-file obfuscation measures."""
     content = F.col("content")
-    measured = files.select(
-        *keep,
-        "content",
-        shannon_entropy(obfuscation.entropy_input(F.col("file"), content)).alias("entropy"),
-    ).withColumn(
-        "minified",
-        F.col("code") & obfuscation.looks_minified(content, ln.split_lines(content)),
+    entropy_of = obfuscation.entropy_input(F.col("file"), content)
+    measured = obfuscation.classify_arrays(
+        files.select(
+            *keep,
+            "content",
+            shannon_entropy(entropy_of).alias("entropy"),
+            (
+                F.col("code") & obfuscation.looks_minified(content, ln.split_lines(content))
+            ).alias("minified"),
+        )
     )
+    hits = obfuscation.file_hits(F.col("entropy"), F.col("minified"), F.col("array_kind"))
     return measured.select(
-        *keep,
-        "content",
-        "minified",
-        F.when(
-            F.col("code"), obfuscation.file_hits(content, F.col("entropy"), F.col("minified"))
-        ).alias("file_hits"),
+        *keep, "content", "minified", F.when(F.col("code"), hits).alias("file_hits")
     )
 
 

@@ -130,9 +130,9 @@ BASE64_RUN = r"[A-Za-z0-9+/=]{500}"
 LONG_LINE = 1000
 MINIFIED_LINE = 500
 JS_KEYWORDS = (
-    rf"{WB}(?:function|return|var|let|const|if|else|for|while|class|export|import|typeof"
-    rf"|instanceof){WE}"
-)
+    "function", "return", "var", "let", "const", "if", "else", "for", "while", "class", "export",
+    "import", "typeof", "instanceof",
+)
 OBFUSCATOR_NAME = r"_0x[0-9a-fA-F]{2,}"
 OBFUSCATOR_NAME_LIMIT = 20
 ARRAY_LIMIT = 50
@@ -172,7 +172,11 @@ SECRET_RULES = (
                r"(?i:secret|token|passwd|password)[\"'`]?\s*[:=]\s*[\"'`][^\s\"'`]{8,}[\"'`]"),
 )
 SECRET_MASK = "****"
-SECRET_MARKERS = r"(?i)A[KS]IA|gh[pousr]_|npm_|PRIVATE KEY|://|api[_-]?key|secret|token|passw"
+# Every secret pattern needs one of these markers, or one of these words in any case.
+SECRET_MARKERS = (
+    "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_", "PRIVATE KEY", "://",
+)
+SECRET_WORDS = ("apikey", "api_key", "api-key", "secret", "token", "passw")
 
 # --- network indicators (fixed values) ------------------------------------------------------
 
