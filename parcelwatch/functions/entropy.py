@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _entropy(text: str | None) -> float | None:
@@ -25,6 +26,6 @@ def _entropy(text: str | None) -> float | None:
 
 # A text is a single cell, so counting its characters needs no shuffle.  Exploding it into one row
 # per character and grouping gives the same number at many times the cost (see README).
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def shannon_entropy(texts: pd.Series) -> pd.Series:
     return pd.Series([_entropy(t) for t in texts], dtype="float64")
