@@ -58,9 +58,17 @@ def js_trim(col: Column) -> Column:
     return F.regexp_replace(col, rf"\A{rules.WS}++|{rules.WS}++\z", "")
 
 
-def evidence(line: Column) -> Column:
-    """Trimmed line, at most 200 units."""
-    return utf16_left(js_trim(line), 200)
+_EVIDENCE_UNITS = 200
+
+
+def line_head(line: Column) -> Column:
+    """Start of the trimmed line: all that evidence can need."""
+    return F.substring(js_trim(line), 1, _EVIDENCE_UNITS)
+
+
+def evidence(head: Column) -> Column:
+    """At most 200 units of a :func:`line_head`."""
+    return utf16_left(head, _EVIDENCE_UNITS)
 
 
 # --- paths ----------------------------------------------------------------------------------

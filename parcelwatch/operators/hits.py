@@ -43,13 +43,15 @@ def settle(hits: DataFrame) -> DataFrame:
     from the line here, once per hit instead of once per line looked at.
     """
     quoted = F.col("quoted")
-    return hits.withColumns(
+    # The shortened line is a column of its own, so trimming runs once per hit.
+    short = F.when(F.col("shows_line"), tx.line_head(F.col("text")))
+    return hits.withColumn("_head", short).withColumns(
         {
             "severity": F.when(quoted, rules.INFO).otherwise(F.col("severity")),
             "message": F.when(
                 quoted, F.concat(F.col("message"), F.lit(rules.CONTEXT_SUFFIX))
             ).otherwise(F.col("message")),
-            "evidence": F.when(F.col("shows_line"), tx.evidence(F.col("text"))).otherwise(
+            "evidence": F.when(F.col("shows_line"), tx.evidence(F.col("_head"))).otherwise(
                 F.col("evidence")
             ),
         }

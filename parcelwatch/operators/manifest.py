@@ -59,21 +59,26 @@ def summarize_hooks(findings: DataFrame) -> DataFrame:
     )
 
 
-def dependency_counts(dependencies: DataFrame) -> DataFrame:
-    """Direct and optional dependencies per package version."""
-    return dependencies.groupBy("pkg", "version").agg(
-        F.count_if(F.col("kind") == "direct").alias("n_direct"),
-        F.count_if(F.col("kind") == "optional").alias("n_optional"),
-    )
-
-
 def merged_dependencies(dependencies: DataFrame) -> DataFrame:
-    """One row per dependency name; an optional entry overrides a direct one."""
+    """One row per dependency name; an optional entry overrides a direct one.
+
+    Carries how often the name is listed directly and optionally, so counting per release reuses
+    this shuffle instead of reading the dependencies again.
+    """
     spec, optional = F.col("spec"), F.col("kind") == "optional"
     return dependencies.groupBy("pkg", "version", "name").agg(
         F.when(F.count_if(optional) > 0, F.max(F.when(optional, spec)))
         .otherwise(F.max(spec))
-        .alias("spec")
+        .alias("spec"),
+        F.count_if(~optional).alias("direct"),
+        F.count_if(optional).alias("optional"),
+    )
+
+
+def dependency_counts(merged: DataFrame) -> DataFrame:
+    """Direct and optional dependencies per package version; a name in both counts twice."""
+    return merged.groupBy("pkg", "version").agg(
+        F.sum("direct").alias("n_direct"), F.sum("optional").alias("n_optional")
     )
 
 
@@ -134,6 +139,5 @@ def spec_findings(merged: DataFrame) -> DataFrame:
 
 def scan_dependencies(dependencies: DataFrame) -> DataFrame:
     """``dependencies(pkg, version, name, spec, kind)`` to findings."""
-    return count_findings(dependency_counts(dependencies)).unionByName(
-        spec_findings(merged_dependencies(dependencies))
-    )
+    merged = merged_dependencies(dependencies)
+    return count_findings(dependency_counts(merged)).unionByName(spec_findings(merged))

@@ -59,6 +59,8 @@ def relax_for_cli_tools(
     only flagged packages take part.
     """
     expected = {r.rule_id: r.message for r in line_rules if r.cli_expected}
+    if not expected:
+        return findings
     tools = flags.filter("is_cli").select("pkg", "version", F.lit(True).alias("_cli")).distinct()
     joined = findings.join(tools, ["pkg", "version"], "left")
     relax = (

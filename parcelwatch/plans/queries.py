@@ -111,7 +111,9 @@ def hook_summary(spark, sf):
 
 @query
 def dependency_counts(spark, sf):
-    return manifest.dependency_counts(view(spark, sf, "dependency"))
+    return manifest.dependency_counts(
+        manifest.merged_dependencies(view(spark, sf, "dependency"))
+    )
 
 
 @query
@@ -286,7 +288,7 @@ def _scanner_results(spark, sf, findings):
     facts = results.with_facts(
         view(spark, sf, "package_files"),
         flags,
-        manifest.dependency_counts(dependencies),
+        manifest.dependency_counts(manifest.merged_dependencies(dependencies)),
         view(spark, sf, "release_script"),
         names,
         typosquat.summarize(names, view(spark, sf, "popular")),

@@ -1,0 +1,110 @@
+"""Line rules: which calls are found, and when a finding is no cause for alarm."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from parcelwatch import rules
+from parcelwatch.operators.lines import block_comment_lines
+from parcelwatch.plans.scan import scan_static, scan_user_rules
+
+CASES = {
+    "clean": {"index.js": "module.exports = { a: 1 };"},
+    "eval": {"index.js": "eval(code);"},
+    "child": {"index.js": 'const cp = require("child_process");'},
+    "regex-exec": {"index.js": 'const m = pattern.exec("hello world");'},
+    "exec-sync": {"index.js": "execSync('ls'); exec('a')"},
+    "network": {"a.js": "fetch(u)", "b.mjs": "axios.get(u)", "c.cjs": "got(u)"},
+    "env": {"index.js": "const h = process.env.HOME;"},
+    "tests": {
+        "__tests__/run.js": "eval(x)", "test/a.js": "eval(x)", "util.spec.js": "eval(x)",
+        "a.test.ts": "eval(x)", "src/fixtures/x.js": "eval(x)",
+    },
+    "not-tests": {"latest/a.js": "eval(x)", "contest.js": "eval(x)"},
+    "declarations": {"lib/dom.d.ts": "eval(x)", "a.d.mts": "eval(x)"},
+    "vendored": {"node_modules/x/a.js": "eval(x)", "my_node_modules_copy.js": "eval(x)"},
+    "other-files": {"a.JS": "eval(x)", "a.txt": "eval(x)", "eval.json": "eval(x)"},
+    "strings": {"index.js": "const a = 'eval(x)';\nconst b = \"eval(y)\";\neval(z);"},
+    "first-match": {"index.js": "const a = 'eval(x)'; eval(y);"},
+    "escaped": {"index.js": r"const a = 'it\'s eval(x)'; ok"},
+    "line-comment": {"index.js": "// eval(x)"},
+    "block": {"index.js": "/**\n * eval(x)\n */ eval(y)\neval(z)"},
+    "inline-block": {"index.js": "/* a */ eval(x)"},
+    "module-in-string": {"index.js": "// child_process"},
+    "accents": {"index.js": "éeval(x)"},
+    "dynamic": {"index.js": "require(name); require('fixed')", "b.js": "require( `t` )"},
+    "cli": {"index.js": "spawn('a')\neval(x)\nnew Function('a')\n// spawn(b)"},
+}
+
+
+@pytest.fixture(scope="module")
+def found(spark, make_files, by_package):
+    flags = spark.createDataFrame([("cli", "1.0.0", True), ("eval", "1.0.0", False)],
+                                  "pkg string, version string, is_cli boolean")
+    return by_package(scan_static(make_files(CASES), flags))
+
+
+def severities(rows):
+    return sorted(r["severity"] for r in rows or [])
+
+
+def test_clean_and_excluded_files(found):
+    for pkg in ("clean", "tests", "declarations", "vendored", "other-files", "regex-exec"):
+        assert pkg not in found, pkg
+
+
+def test_risky_calls(found):
+    assert severities(found["eval"]) == ["critical"]
+    assert severities(found["child"]) == ["critical"]
+    assert severities(found["env"]) == ["info"]
+    assert severities(found["network"]) == ["warning"] * 3
+    assert len(found["not-tests"]) == 2
+    assert [r["rule_id"] for r in found["exec-sync"]] == ["exec-sync"]
+    assert [r["rule_id"] for r in found["dynamic"]] == ["dynamic-require"]
+
+
+def test_ascii_word_boundary(found):
+    assert severities(found["accents"]) == ["critical"]
+
+
+def test_strings_and_comments(found):
+    assert severities(found["strings"]) == ["critical", "info", "info"]
+    assert severities(found["first-match"]) == ["info"]
+    assert severities(found["escaped"]) == ["info"]
+    assert severities(found["line-comment"]) == ["info"]
+    assert all(r["message"].endswith("(in string/comment)") for r in found["line-comment"])
+    assert severities(found["module-in-string"]) == ["critical"]
+    assert severities(found["inline-block"]) == ["critical"]
+
+
+def test_block_comment_includes_its_closing_line(found):
+    by_line = {r["line"]: r["severity"] for r in found["block"]}
+    assert by_line == {2: "info", 3: "info", 4: "critical"}
+
+
+def test_command_line_tools(found):
+    by_line = {r["line"]: (r["severity"], r["message"]) for r in found["cli"]}
+    assert by_line[1][0] == "info" and by_line[1][1].endswith("(expected for CLI tool)")
+    assert by_line[2][0] == "critical"
+    assert by_line[3][0] == "info"
+    assert by_line[4][1].endswith("(expected for CLI tool)")
+
+
+def test_evidence_is_trimmed_and_cut(spark, make_files):
+    files = make_files({"p": {"a.js": " \t eval(" + "x" * 300 + ") ﻿"}})
+    flags = spark.createDataFrame([], "pkg string, version string, is_cli boolean")
+    row = scan_static(files, flags).first()
+    assert row["evidence"] == "eval(" + "x" * 195
+
+
+def test_own_rules(spark, make_files):
+    own = (rules.LineRule("todo", rules.WARNING, "todo left", r"TODO"),)
+    flags = spark.createDataFrame([], "pkg string, version string, is_cli boolean")
+    rows = scan_user_rules(make_files({"p": {"a.js": "a\n// TODO\neval(x)"}}), own, flags).collect()
+    assert [(r["rule_id"], r["line"]) for r in rows] == [("todo", 2)]
+
+
+def test_block_comment_lines(make_files):
+    text = "a /* b */ c /* d\ne\nf */ g /* h\ni"
+    rows = block_comment_lines(make_files({"p": {"a.js": text}})).orderBy(F.col("line")).collect()
+    # What follows a closing mark on its line is not looked at, so line 4 is outside.
+    assert [r["line"] for r in rows] == [2, 3]
