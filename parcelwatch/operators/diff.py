@@ -20,16 +20,26 @@ def is_compared(path: Column) -> Column:
     return ~path.rlike(r"(?:\A|/)(?:\.[^/]*|node_modules)/")
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """``pkg, version, path, sha256`` of the files that take part."""
+def fingerprints(files: DataFrame, single_root: bool = False) -> DataFrame:
+    """``pkg, version, path, sha256`` of the files that take part.
+
+    ``single_root`` drops the one top directory that source archives come in.  Contents are hashed
+    where they are read and go no further.
+    """
     path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
-    return files.select(
+    hashed = files.select(
         "pkg", "version", path.alias("path"), F.sha2("content", 256).alias("sha256")
-    ).filter(is_compared(F.col("path")))
+    )
+    if single_root:
+        hashed = strip_single_root(hashed)
+    return hashed.filter(is_compared(F.col("path")))
 
 
 def strip_single_root(files: DataFrame) -> DataFrame:
-    """Drop the one top directory of a source archive; several tops are left as they are."""
+    """Drop the one top directory of a source archive; several tops are left as they are.
+
+    Give it paths or fingerprints, not contents: rows are shuffled.
+    """
     path = F.col("path")
     top = F.when(path.contains("/"), F.substring_index(path, "/", 1))
     roots = files.groupBy("pkg", "version").agg(F.min(top).alias("_a"), F.max(top).alias("_b"))

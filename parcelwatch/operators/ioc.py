@@ -23,6 +23,9 @@ SCANNER = "ioc"
 _DOTTED = r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"
 _BASE64_RUN = r"(?<![\p{Alnum}+/])[\p{Alnum}+/]{20}"
 
+# Tried only where a run of punctuation starts, so long runs cost no more than their length.
+_TRAILING = r"(?<![.),'\";])" + rules.URL_TRAILING
+
 
 def _has_char_codes(text: Column) -> Column:
     return F.lower(text).contains("string.fromcharcode")
@@ -81,7 +84,7 @@ def _indicators(text: Column) -> Column:
         _extract(text, text.contains("://"), rules.URL_PATTERN),
         lambda m, i: F.struct(
             F.lit("url").alias("type"),
-            F.regexp_replace(m, rules.URL_TRAILING, "").alias("raw"),
+            F.regexp_replace(m, _TRAILING, "").alias("raw"),
             i.alias("nth"),
         ),
     )

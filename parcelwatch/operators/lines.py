@@ -33,14 +33,13 @@ def _line_effect(line: Column) -> Column:
     )
 
 
-def comment_states(lines: Column) -> Column:
-    """Array aligned with ``lines``: '1' where the line starts inside a block comment, else '0'."""
-    effects = F.array_join(F.transform(lines, _line_effect), "")
+def _comment_states(effects: Column) -> Column:
+    """One character per line to an array: '1' where the line starts inside a block comment."""
     # Alternating runs: outside up to and including an opener, then inside up to the closer.
-    run = r"([02]*+[13]?)([01]*+[23]?)"
+    run = F.lit(r"([02]*+[13]?)([01]*+[23]?)")
     states = F.zip_with(
-        F.regexp_extract_all(effects, F.lit(run), 1),
-        F.regexp_extract_all(effects, F.lit(run), 2),
+        F.regexp_extract_all(effects, run, 1),
+        F.regexp_extract_all(effects, run, 2),
         lambda outside, inside: F.concat(
             F.regexp_replace(outside, ".", "0"), F.regexp_replace(inside, ".", "1")
         ),
@@ -64,8 +63,13 @@ def explode_lines(
             *keep,
             split_lines(F.col("content")).alias("text"),
             F.col("content").contains("/*").alias("_commented"),
+        ).withColumn(
+            "_effects",
+            F.when(
+                F.col("_commented"), F.array_join(F.transform("text", _line_effect), "")
+            ),
         )
-        states = F.when(F.col("_commented"), comment_states(F.col("text"))).otherwise(
+        states = F.when(F.col("_commented"), _comment_states(F.col("_effects"))).otherwise(
             F.array().cast("array<string>")
         )
         exploded = split.select(

@@ -12,6 +12,9 @@ from .hits import hit
 
 SCANNER = "obfuscation"
 
+# Tried only where a run starts, so runs just below the limit cost no more than their length.
+_BASE64_RUN = r"(?<![A-Za-z0-9+/=])" + rules.BASE64_RUN
+
 # Opening bracket and one more complete string literal than the limit allows.
 _ARRAY = rf"\[(?:{rules.WS}*+{rules.STRING_LITERAL}[,{rules.WS_CHARS}]*+){{{rules.ARRAY_LIMIT + 1}}}"
 _ARRAY_SPLIT = rf"(?s)\A(.*?){_ARRAY}(.{{0,{rules.ARRAY_WINDOW_AFTER}}})"
@@ -60,9 +63,9 @@ def classify_arrays(files: DataFrame) -> DataFrame:
 
 def entropy_input(path: Column, content: Column) -> Column:
     """The text whose entropy matters; null for files the check does not cover."""
-    big = (F.octet_length(content) >= rules.ENTROPY_MIN_LENGTH) & (
-        tx.utf16_length(content) >= rules.ENTROPY_MIN_LENGTH
-    )
+    # A unit takes at most three bytes, so only short texts need an exact count.
+    size, least = F.octet_length(content), rules.ENTROPY_MIN_LENGTH
+    big = (size >= 3 * least) | ((size >= least) & (tx.utf16_length(content) >= least))
     return F.when(tx.is_code_file(path) & big, content)
 
 
@@ -133,7 +136,7 @@ def line_hits(line: Column, number: Column, minified: Column) -> Column:
             F.concat(F.lit("Hex-encoded string sequences detected"), bundled), number, shows_line=True),
     )
     base64_run = F.when(
-        line.rlike(rules.BASE64_RUN),
+        line.rlike(_BASE64_RUN),
         hit(SCANNER, "base64-run", severity,
             F.concat(F.lit("Large base64-encoded blob (>500 chars)"), bundled), number, shows_line=True),
     )
@@ -151,5 +154,5 @@ def may_match(line: Column) -> Column:
     return (
         (line.contains("\\x") & line.rlike(rules.HEX_RUN))
         | (size > rules.LONG_LINE)
-        | ((size >= 500) & line.rlike(rules.BASE64_RUN))
+        | ((size >= 500) & line.rlike(_BASE64_RUN))
     )

@@ -42,6 +42,9 @@ def report_parts(
         findings.join(large, _KEY, "left")
         .withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
         .withColumn("part", F.pmod(spread, F.col("n_parts")).cast("int"))
+        # Shuffled by part on purpose: grouped as the join left them, all parts of a large release
+        # would stay together in one task.
+        .repartition("pkg", "version", "part")
         .groupBy(*_KEY, "part", "scanner")
         .agg(F.array_sort(F.collect_list(entry)).alias("findings"), F.max("n_parts").alias("n_parts"))
     )

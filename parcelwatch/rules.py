@@ -165,7 +165,7 @@ SECRET_RULES = (
     SecretRule("private-key", CRITICAL, "Private key",
                r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     SecretRule("url-credentials", CRITICAL, "Embedded credentials in URL",
-               r"[a-zA-Z][a-zA-Z0-9+.-]*://[^/@\s:\"'`]*:[^/@\s\"'`]+@"),
+               r"[a-zA-Z][a-zA-Z0-9+.-]{0,20}://[^/@\s:\"'`]*:[^/@\s\"'`]+@"),
     SecretRule("api-key", CRITICAL, "Generic API key",
                r"(?i:api[_-]?key)[\"'`]?\s*[:=]\s*[\"'`][A-Za-z0-9_.-]{16,}[\"'`]"),
     SecretRule("generic-token", WARNING, "Generic secret or token",

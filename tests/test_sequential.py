@@ -170,3 +170,25 @@ def test_surrogates(spark):
 ])
 def test_code_files(spark, path, code):
     assert spark.createDataFrame([(path,)], "p string").select(tx.is_code_file(F.col("p"))).first()[0] is code
+
+
+def test_awkward_lines_stay_cheap(spark, make_files):
+    """Long runs that a careless pattern would try again at every position."""
+    from parcelwatch.operators.ioc import scan_ioc
+    from parcelwatch.plans.scan import scan_contents
+
+    n = 300_000
+    texts = {
+        "blanks.js": "eval(x)" + " " * n + "eval(y)",
+        "letters.js": "a" * n + "://" + "b" * n,
+        "dots.js": "http://" + "." * n + "x",
+        "runs.js": ("Q" * 499 + " ") * 600,
+        "quotes.js": "['" * n,
+        "comments.js": "/* a */" * (n // 7) + "\n" + "*/ /*\n" * 20_000,
+        "escapes.js": "\\x4" * n,
+        "digits.js": "1.1." * n,
+    }
+    files = make_files({"p": texts})
+    rows = scan_contents(files).groupBy("file").count().collect()
+    assert {r["file"] for r in rows} >= {"blanks.js", "letters.js", "dots.js"}
+    assert scan_ioc(files).count() > 0
