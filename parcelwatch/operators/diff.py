@@ -78,10 +78,11 @@ def _is_build_file(path: Column) -> Column:
     )
 
 
-def compare(published: DataFrame, source: DataFrame) -> DataFrame:
-    """Class of every published file: ``same``, ``modified``, ``expected_build``, ``unexpected``.
+def match(published: DataFrame, source: DataFrame) -> DataFrame:
+    """``pkg, version, path, ours, theirs, class`` of all paths on either side.
 
-    Both inputs are :func:`fingerprints`.
+    Both inputs are :func:`fingerprints`.  ``class`` is ``same``, ``modified``, ``expected_build``
+    or ``unexpected`` for published files and null for paths only the source has.
     """
     none = F.lit(None).cast("string")
     shipped = published.select(
@@ -103,13 +104,15 @@ def compare(published: DataFrame, source: DataFrame) -> DataFrame:
         .groupBy(*_PATH_KEY)
         .agg(F.max("ours").alias("ours"), F.max("theirs").alias("theirs"),
              F.max("twin").alias("twin"))
-        .filter(F.col("ours").isNotNull())
     )
-    path, theirs = F.col("path"), F.col("theirs")
+    path, ours, theirs = F.col("path"), F.col("ours"), F.col("theirs")
     exempt = path.isin(*rules.CONTENT_EXEMPT)
     return met.select(
         *_PATH_KEY,
-        F.when(theirs.isNotNull() & (exempt | (theirs == F.col("ours"))), "same")
+        "ours",
+        "theirs",
+        F.when(ours.isNull(), None)
+        .when(theirs.isNotNull() & (exempt | (theirs == ours)), "same")
         .when(theirs.isNotNull(), "modified")
         .when(_is_build_file(path) | F.col("twin"), "expected_build")
         .otherwise("unexpected")
@@ -117,21 +120,34 @@ def compare(published: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
-def classes(published: DataFrame, source: DataFrame) -> DataFrame:
+def classes(matched: DataFrame) -> DataFrame:
     """The published files that differ from the source in some way."""
-    return compare(published, source).filter(F.col("class") != "same")
+    return matched.filter(F.col("class") != "same").select(*_PATH_KEY, "class")
 
 
-def rollup(compared: DataFrame) -> DataFrame:
-    """Counts per package version from :func:`compare`."""
+def rollup(matched: DataFrame) -> DataFrame:
+    """Counts per published release; ``performed`` is false where there is no source to compare."""
     cls = F.col("class")
-    return compared.groupBy("pkg", "version").agg(
-        F.count_if(cls == "unexpected").alias("n_unexpected"),
-        F.count_if(cls == "expected_build").alias("n_expected_build"),
-        F.count_if(cls == "modified").alias("n_modified"),
+    return (
+        matched.groupBy("pkg", "version")
+        .agg(
+            F.max(F.col("theirs").isNotNull()).alias("performed"),
+            F.max(F.col("ours").isNotNull()).alias("_published"),
+            F.count_if(cls == "unexpected").alias("n_unexpected"),
+            F.count_if(cls == "expected_build").alias("n_expected_build"),
+            F.count_if(cls == "modified").alias("n_modified"),
+        )
+        .filter("_published")
+        .drop("_published")
     )
 
 
+def score_rollup(rolled: DataFrame) -> DataFrame:
+    """Add ``diff_points``; a comparison that did not take place earns none."""
+    points = F.when(F.col("performed"), diff_points(F.col("n_unexpected"))).otherwise(0.0)
+    return rolled.withColumn("diff_points", points)
+
+
 def diff_points(n_unexpected: Column) -> Column:
     """Points of a comparison that took place."""
     lost = F.least(F.lit(rules.DIFF_CAP), rules.DIFF_BASE * (1 + F.ln(n_unexpected)))

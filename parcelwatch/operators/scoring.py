@@ -23,9 +23,14 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     )
 
 
-def category_points(scanner: str, critical: Column, warning: Column, info: Column) -> Column:
+Weights = dict[str, tuple[float, float, float, float]]
+
+
+def category_points(
+    weight: tuple[float, float, float, float], critical: Column, warning: Column, info: Column
+) -> Column:
     """Maximum points less ``base * (1 + ln n)`` per severity, at least zero."""
-    most, *bases = rules.CATEGORY_WEIGHTS[scanner]
+    most, *bases = weight
     points = F.lit(most)
     for base, n in zip(bases, (critical, warning, info)):
         if base:
@@ -87,10 +92,10 @@ def _rows(df: DataFrame, **given: Column) -> DataFrame:
     )
 
 
-def finding_rows(findings: DataFrame) -> DataFrame:
+def finding_rows(findings: DataFrame, weights: Weights = rules.CATEGORY_WEIGHTS) -> DataFrame:
     relaxed = (F.col("scanner") == "static") & F.col("rule_id").isin(*_CLI_EXPECTED)
     return _rows(
-        findings.filter(F.col("scanner").isin(*rules.CATEGORY_WEIGHTS)),
+        findings.filter(F.col("scanner").isin(*weights)),
         scanner=F.col("scanner"),
         severity=F.col("severity"),
         relaxed=relaxed,
@@ -101,7 +106,7 @@ def run_rows(runs: DataFrame) -> DataFrame:
     return _rows(runs, scanner=F.col("scanner"), ran=F.lit(True))
 
 
-def total_columns() -> list[Column]:
+def total_columns(weights: Weights = rules.CATEGORY_WEIGHTS) -> list[Column]:
     """The additive facts of a release, over stacked rows."""
     columns = [
         F.max("is_cli").alias("is_cli"),
@@ -110,7 +115,7 @@ def total_columns() -> list[Column]:
         F.sum("diff_points").alias("diff_points"),
         F.max("ran").alias("any_run"),
     ]
-    for name in rules.CATEGORY_WEIGHTS:
+    for name in weights:
         mine = F.col("scanner") == name
         columns.append(
             F.coalesce(F.max(mine & F.col("ran")), F.lit(False)).alias(f"ran_{name}")
@@ -125,7 +130,7 @@ def total_columns() -> list[Column]:
     return columns
 
 
-def score_totals(totals: DataFrame) -> DataFrame:
+def score_totals(totals: DataFrame, weights: Weights = rules.CATEGORY_WEIGHTS) -> DataFrame:
     """Category points, score, grade, verdict and exit code from ``total_columns``."""
 
     def count(name: str, s: str) -> Column:
@@ -138,17 +143,17 @@ def score_totals(totals: DataFrame) -> DataFrame:
 
     earned = [
         F.when(
-            F.col(f"ran_{name}"), category_points(name, *[count(name, s) for s in _SEVERITIES])
+            F.col(f"ran_{name}"), category_points(weight, *[count(name, s) for s in _SEVERITIES])
         )
         .otherwise(0.0)
         .alias(f"{name}_points")
-        for name in rules.CATEGORY_WEIGHTS
+        for name, weight in weights.items()
     ]
     by_category = totals.filter("any_run").select(
         "pkg", "version", *earned, "repository_points", "diff_points"
     )
     total = sum(
-        (F.col(f"{name}_points") for name in rules.CATEGORY_WEIGHTS),
+        (F.col(f"{name}_points") for name in weights),
         F.col("repository_points") + F.col("diff_points"),
     )
     return judge(
@@ -162,15 +167,17 @@ def score(
     flags: DataFrame | None = None,
     repositories: DataFrame | None = None,
     compared: DataFrame | None = None,
+    weights: Weights = rules.CATEGORY_WEIGHTS,
 ) -> DataFrame:
     """Score every release that appears in ``runs``.
 
     ``findings`` may come straight from ``scan_contents``: with ``flags(pkg, version, is_cli)`` the
     allowance for command-line tools is made here, on counts.  ``repositories(pkg, version, found,
     repository_points)`` and ``compared(pkg, version, diff_points)`` add what those checks earned;
-    a comparison only counts where a repository was found.
+    a comparison only counts where a repository was found.  A scanner of one's own takes part once
+    ``weights`` names it; findings of scanners without a weight are free.
     """
-    stacked = finding_rows(findings).unionByName(run_rows(runs))
+    stacked = finding_rows(findings, weights).unionByName(run_rows(runs))
     if flags is not None:
         stacked = stacked.unionByName(_rows(flags, is_cli=F.col("is_cli")))
     if repositories is not None:
@@ -183,12 +190,12 @@ def score(
         )
     if compared is not None:
         stacked = stacked.unionByName(_rows(compared, diff_points=F.col("diff_points")))
-    totals = stacked.groupBy("pkg", "version").agg(*total_columns())
+    totals = stacked.groupBy("pkg", "version").agg(*total_columns(weights))
     if repositories is not None:
         totals = totals.withColumn(
             "diff_points", F.when(F.col("found"), F.col("diff_points")).otherwise(0.0)
         )
-    return score_totals(totals)
+    return score_totals(totals, weights)
 
 
 def relaxed_counts(findings: DataFrame, flags: DataFrame) -> DataFrame:

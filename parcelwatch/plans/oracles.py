@@ -396,12 +396,13 @@ classified AS (
   SELECT p.pkg, p.version, p.path, 'modified' FROM pub p JOIN src s USING (pkg, version, path)
   WHERE p.sha <> s.sha AND p.path NOT IN {_in(rules.CONTENT_EXEMPT)}),
 diff_count AS (
-  SELECT pkg, version, CAST(count(*) FILTER (WHERE class = 'unexpected') AS BIGINT) AS n_unexpected,
+  SELECT pkg, version, (pkg, version) IN (SELECT (pkg, version) FROM src) AS performed,
+    CAST(count(*) FILTER (WHERE class = 'unexpected') AS BIGINT) AS n_unexpected,
     CAST(count(*) FILTER (WHERE class = 'expected_build') AS BIGINT) AS n_expected_build,
     CAST(count(*) FILTER (WHERE class = 'modified') AS BIGINT) AS n_modified
   FROM pub LEFT JOIN classified USING (pkg, version, path) GROUP BY ALL),
 diff_score AS (
-  SELECT *, CASE WHEN n_unexpected = 0 THEN 10.0::DOUBLE
+  SELECT *, CASE WHEN NOT performed THEN 0.0::DOUBLE WHEN n_unexpected = 0 THEN 10.0::DOUBLE
     ELSE 10 - least(8, 3 * (1 + ln(n_unexpected::DOUBLE))) END AS diff_points FROM diff_count)"""
 ORACLES["diff_classes"] = _with(["package_files", "source_files"], _DIFF, "SELECT * FROM classified")
 ORACLES["diff_rollup"] = _with(
@@ -578,7 +579,9 @@ ORACLES["scanner_results"] = _with(_ALL_VIEWS, _ALL_FINDINGS, "SELECT * FROM res
 ORACLES["report_index"] = _with(
     _ALL_VIEWS, _merge(_ALL_FINDINGS, _DIFF, _repository("release_link")),
     f"""SELECT pkg, version, CAST((SELECT count(*) FROM finding f WHERE f.pkg = s.pkg AND f.version = s.version) AS BIGINT) AS n_findings,
-  score, grade, exit_code, CAST(8 AS INTEGER) AS n_scanners FROM ({_FINAL}) s""",
+  coalesce(n_unexpected, 0) AS n_unexpected, coalesce(n_expected_build, 0) AS n_expected_build, coalesce(n_modified, 0) AS n_modified,
+  coalesce(found, false) AS found, score, grade, exit_code, CAST(8 AS INTEGER) AS n_scanners
+FROM ({_FINAL}) s LEFT JOIN diff_count USING (pkg, version) LEFT JOIN repo_scored USING (pkg, version)""",
 )
 
 # --- registry documents ---------------------------------------------------------------------

@@ -154,8 +154,8 @@ def typosquat_findings(spark, sf):
 # --- source comparison ----------------------------------------------------------------------
 
 
-def _compared(spark, sf):
-    return diff.compare(
+def _matched(spark, sf):
+    return diff.match(
         diff.fingerprints(view(spark, sf, "package_files")),
         diff.fingerprints(view(spark, sf, "source_files")),
     )
@@ -163,14 +163,12 @@ def _compared(spark, sf):
 
 @query
 def diff_classes(spark, sf):
-    return _compared(spark, sf).filter(F.col("class") != "same")
+    return diff.classes(_matched(spark, sf))
 
 
 @query
 def diff_rollup(spark, sf):
-    return diff.rollup(_compared(spark, sf)).withColumn(
-        "diff_points", F.round(diff.diff_points(F.col("n_unexpected")), 6)
-    )
+    return _round(diff.score_rollup(diff.rollup(_matched(spark, sf))), "diff_points")
 
 
 # --- repositories and specifiers ------------------------------------------------------------
@@ -253,9 +251,7 @@ def _scored_scanners(spark, sf):
 def _final_scores(spark, sf):
     """All categories, repository health and source comparison, from one pass over contents."""
     flags = view(spark, sf, "pkg_flags")
-    compared = diff.rollup(_compared(spark, sf)).withColumn(
-        "diff_points", diff.diff_points(F.col("n_unexpected"))
-    )
+    compared = diff.score_rollup(diff.rollup(_matched(spark, sf)))
     return scoring.score(
         _scored_scanners(spark, sf),
         scoring.scan_runs(flags),
@@ -308,7 +304,14 @@ def _report(spark, sf):
     _all_findings(spark, sf).write.parquet(path)
     findings = spark.read.parquet(path)
     return report.report_parts(
-        _scanner_results(spark, sf, findings), findings, _final_scores(spark, sf), part_size=10
+        _scanner_results(spark, sf, findings),
+        findings,
+        _final_scores(spark, sf),
+        repositories=_release_links(spark, sf).select(
+            "pkg", "version", "found", "full_name", "stars", "archived", "publisher_matches"
+        ),
+        differences=diff.classes(_matched(spark, sf)),
+        part_size=10,
     )
 
 
@@ -322,13 +325,21 @@ def report_index(spark, sf):
     """What the JSON reports hold, read back from their text."""
     layout = (
         "scanners array<struct<name: string, passed: boolean, findings: array<struct<line: int>>>>,"
+        " repository struct<found: boolean>, diff struct<unexpected: array<string>,"
+        " expected_build: array<string>, modified: array<string>>,"
         " score double, grade string, exit_code int"
     )
     body = F.from_json("body", layout)
     read = _report(spark, sf).select("pkg", "version", "part", body.alias("r"))
     n = F.aggregate(F.col("r.scanners"), F.lit(0), lambda s, x: s + F.size(x["findings"]))
+
+    def n_listed(kind):
+        return F.sum(F.size(f"r.diff.{kind}")).alias(f"n_{kind}")
+
     return read.groupBy("pkg", "version").agg(
         F.sum(n).alias("n_findings"),
+        *[n_listed(kind) for kind in ("unexpected", "expected_build", "modified")],
+        F.max("r.repository.found").alias("found"),
         F.round(F.max("r.score"), 6).alias("score"),
         F.max("r.grade").alias("grade"),
         F.max("r.exit_code").alias("exit_code"),

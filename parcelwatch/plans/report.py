@@ -15,6 +15,7 @@ from ..functions import text as tx
 PART_SIZE = 10_000
 
 _KEY = ["pkg", "version"]
+_CLASSES = ("unexpected", "expected_build", "modified")
 
 
 def report_parts(
@@ -22,31 +23,54 @@ def report_parts(
     findings: DataFrame,
     scores: DataFrame,
     metadata: DataFrame | None = None,
+    repositories: DataFrame | None = None,
+    differences: DataFrame | None = None,
     part_size: int = PART_SIZE,
 ) -> DataFrame:
     """``pkg, version, part, n_parts, body``.
 
-    ``results`` from ``scanner_results``, ``scores`` from ``score``; ``metadata(pkg, version, ...)``
-    adds the package section.
+    ``results`` from ``scanner_results`` and ``scores`` from ``score``.  Optional sections, each
+    with one row per release: ``metadata`` (package) and ``repositories`` (repository health).
+    ``differences(pkg, version, path, class)`` lists the files that differ from the source.
     """
-    size = F.ceil(F.col("n") / part_size).cast("int")
+    # Findings and differing files are both entries of a part.
+    no_text, no_line = F.lit(None).cast("string"), F.lit(None).cast("int")
+    entries = findings.withColumns({"class": no_text})
+    if differences is not None:
+        entries = entries.unionByName(
+            differences.select(
+                *_KEY,
+                F.lit("").alias("scanner"),
+                *[no_text.alias(c) for c in ("severity", "rule_id", "message", "evidence")],
+                F.col("path").alias("file"),
+                no_line.alias("line"),
+                "class",
+            )
+        )
+    n_parts = F.ceil(F.col("n") / part_size).cast("int")
     large = (
-        findings.groupBy(*_KEY)
+        entries.groupBy(*_KEY)
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > part_size)
-        .select(*_KEY, size.alias("n_parts"))
+        .select(*_KEY, n_parts.alias("n_parts"))
     )
     spread = F.xxhash64("scanner", "file", "line", "rule_id", "message")
-    entry = F.struct("file", "line", "severity", "rule_id", "message", "evidence")
-    listed = (
-        findings.join(large, _KEY, "left")
+    placed = (
+        entries.join(large, _KEY, "left")
         .withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
         .withColumn("part", F.pmod(spread, F.col("n_parts")).cast("int"))
         # Shuffled by part on purpose: grouped as the join left them, all parts of a large release
         # would stay together in one task.
-        .repartition("pkg", "version", "part")
-        .groupBy(*_KEY, "part", "scanner")
-        .agg(F.array_sort(F.collect_list(entry)).alias("findings"), F.max("n_parts").alias("n_parts"))
+        .repartition(*_KEY, "part")
+    )
+    entry = F.struct("file", "line", "severity", "rule_id", "message", "evidence")
+    listed = placed.groupBy(*_KEY, "part", "scanner").agg(
+        F.array_sort(F.collect_list(F.when(F.col("class").isNull(), entry))).alias("findings"),
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("class") == c, F.col("file")))).alias(c)
+            for c in _CLASSES
+        ],
+        F.max("n_parts").alias("n_parts"),
     )
     # Scanner summaries join their findings in part 0; later parts hold findings only.
     summaries = results.withColumn("part", F.lit(0))
@@ -57,35 +81,33 @@ def report_parts(
         "summary",
         F.coalesce("findings", F.array().cast(listed.schema["findings"].dataType)).alias("findings"),
     )
+    is_scanner = F.col("scanner") != ""
     parts = sections.groupBy(*_KEY, "part").agg(
-        F.array_sort(F.collect_list(section)).alias("scanners"),  # at most one per scanner
+        # At most one entry per scanner, and one of differences.
+        F.array_sort(F.collect_list(F.when(is_scanner, section))).alias("scanners"),
+        *[F.flatten(F.collect_list(F.when(~is_scanner, F.col(c)))).alias(c) for c in _CLASSES],
         F.coalesce(F.max("n_parts"), F.lit(1)).alias("n_parts"),
     )
-    head = scores.withColumn("part", F.lit(0))
-    score_fields = ["score", "grade", "verdict", "exit_code"]
-    head = head.select(*_KEY, "part", F.struct(*score_fields).alias("risk"))
-    joined = parts.join(head, [*_KEY, "part"], "left")
-    package = F.struct(F.col("pkg").alias("name"), "version")
+
+    def header(df: DataFrame, name: str) -> DataFrame:
+        fields = [c for c in df.columns if c not in _KEY]
+        return df.select(*_KEY, F.lit(0).alias("part"), F.struct(*fields).alias(name))
+
+    risk = scores.select(*_KEY, "score", "grade", "verdict", "exit_code")
+    joined = parts.join(header(risk, "risk"), [*_KEY, "part"], "left")
+    package = [F.col("pkg").alias("name"), F.col("version")]
     if metadata is not None:
-        extra = [c for c in metadata.columns if c not in _KEY]
-        described = metadata.select(
-            *_KEY, F.lit(0).alias("part"), F.struct(*extra).alias("_meta")
-        )
-        joined = joined.join(described, [*_KEY, "part"], "left")
-        package = F.struct(
-            F.col("pkg").alias("name"), "version", *[F.col(f"_meta.{c}").alias(c) for c in extra]
-        )
-    body = F.struct(
-        package.alias("package"),
-        F.col("part"),
-        F.col("n_parts"),
-        F.col("scanners"),
-        F.col("risk.score").alias("score"),
-        F.col("risk.grade").alias("grade"),
-        F.col("risk.verdict").alias("verdict"),
-        F.col("risk.exit_code").alias("exit_code"),
-    )
-    return joined.select(*_KEY, "part", "n_parts", F.to_json(body, {"pretty": "true"}).alias("body"))
+        joined = joined.join(header(metadata, "_meta"), [*_KEY, "part"], "left")
+        package += [F.col(f"_meta.{c}").alias(c) for c in metadata.columns if c not in _KEY]
+    body = [F.struct(*package).alias("package"), "part", "n_parts", "scanners"]
+    if repositories is not None:
+        joined = joined.join(header(repositories, "repository"), [*_KEY, "part"], "left")
+        body.append("repository")
+    if differences is not None:
+        body.append(F.struct(*_CLASSES).alias("diff"))
+    body += [F.col(f"risk.{c}").alias(c) for c in ("score", "grade", "verdict", "exit_code")]
+    text = F.to_json(F.struct(*body), {"pretty": "true"})
+    return joined.select(*_KEY, "part", "n_parts", text.alias("body"))
 
 
 def describe(versions: DataFrame) -> DataFrame:

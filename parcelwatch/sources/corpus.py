@@ -70,8 +70,8 @@ SELECT concat('cust-', CAST(c_custkey AS STRING)) AS pkg, '1.0.0' AS version,
   WHEN 4 THEN 'tsc' WHEN 5 THEN 'powershell x' ELSE 'husky install' END AS command
 FROM customer""",
     "popular": """
-SELECT name, CAST(row_number() OVER (ORDER BY name) AS INT) AS ord
-FROM (SELECT DISTINCT replace(lower(p_name), ' ', '-') AS name FROM part) AS d""",
+SELECT name, min(p_partkey) AS ord
+FROM (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS name FROM part) AS d GROUP BY name""",
     "candidate_names": """
 SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN n WHEN 1 THEN concat(n, 'x') WHEN 2 THEN substring(n, 2, 100)
   WHEN 3 THEN concat('@evil/', n) WHEN 4 THEN concat(upper(n), 'ZZ') ELSE concat(n, '-unrelated-name') END AS name

@@ -34,7 +34,9 @@ def read_popular(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of names as ``popular(name, ord)``, in list order."""
     body = spark.read.text(path, wholetext=True)
     names = F.from_json("value", "array<string>")
-    return body.select(F.posexplode(names).alias("ord", "name")).select("name", "ord")
+    return body.select(F.posexplode(names).alias("ord", "name")).select(
+        "name", F.col("ord").cast("bigint").alias("ord")
+    )
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -77,7 +77,11 @@ def test_report_parts_hold_every_finding_once(spark, corpus):
     sections = results.scanner_results(findings, runs, facts)
     scores = scoring.score(findings, runs)
     meta = releases.withColumn("license", F.lit("MIT"))
-    parts = report.report_parts(sections, findings, scores, meta, part_size=50).collect()
+    health = releases.withColumn("found", F.col("pkg") == "p2")
+    differing = corpus.select("pkg", "version", "path", F.lit("unexpected").alias("class"))
+    parts = report.report_parts(
+        sections, findings, scores, meta, health, differing.filter("pkg <> 'big'"), part_size=50
+    ).collect()
     bodies = {}
     for row in parts:
         bodies.setdefault(row["pkg"], {})[row["part"]] = json.loads(row["body"])
@@ -90,6 +94,9 @@ def test_report_parts_hold_every_finding_once(spark, corpus):
     head = bodies["big"][0]
     assert {s["name"] for s in head["scanners"]} == {"static", "hooks"}
     assert head["package"]["license"] == "MIT" and head["grade"] == "F"
+    small = bodies["p2"][0]
+    assert small["repository"]["found"] and small["diff"]["unexpected"] == ["f0.js", "f1.js", "f2.js"]
+    assert head["diff"] == {"unexpected": [], "expected_build": [], "modified": []}
     summaries = {s["name"]: s["summary"] for s in head["scanners"]}
     assert summaries == {
         "static": "Found 200 critical pattern(s) across 1 files", "hooks": "No scripts defined",

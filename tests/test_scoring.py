@@ -105,3 +105,15 @@ def test_allowance_for_tools_is_made_on_counts(spark):
     assert points["lib"] == pytest.approx(max(0, 25 - 15 * (1 + log(2))))
     counts = {r["pkg"]: (r["n_critical"], r["n_info"]) for r in scoring.relaxed_counts(found, flags).collect()}
     assert counts == {"tool": (1, 1), "lib": (2, 0)}
+
+
+def test_own_scanner_takes_part_once_it_has_a_weight(spark):
+    frame = spark.createDataFrame
+    releases = frame([("a", "1")], "pkg string, version string")
+    found = frame([("a", "1", "licenses", "warning", "x")],
+                  "pkg string, version string, scanner string, severity string, rule_id string")
+    runs = scoring.scan_runs(releases, ("static", "licenses"))
+    assert scoring.score(found, runs).first()["score"] == 25
+    weights = {**rules.CATEGORY_WEIGHTS, "licenses": (20.0, 10.0, 4.0, 1.0)}
+    row = scoring.score(found, runs, weights=weights).first()
+    assert (row["licenses_points"], row["score"]) == (16, 41)

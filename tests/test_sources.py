@@ -173,8 +173,8 @@ def test_diff(make_files, by_package):
         {"p": {"same.js": "a", "changed.js": "b", "package.json": "2", "twin.ts": "a", "src/deep/twin2.ts": "a",
                "only-src.ts": "a"}}
     )
-    compared = diff.compare(diff.fingerprints(published), diff.fingerprints(source))
-    found = {r["path"]: r["class"] for r in compared.collect()}
+    compared = diff.match(diff.fingerprints(published), diff.fingerprints(source))
+    found = {r["path"]: r["class"] for r in compared.collect() if r["ours"]}
     assert found == {
         "same.js": "same", "changed.js": "modified", "package.json": "same", "dist/x.js": "expected_build",
         "twin.js": "expected_build", "deep/twin2.mjs": "expected_build", "types.d.ts": "expected_build",
@@ -183,6 +183,14 @@ def test_diff(make_files, by_package):
     }
     row = diff.rollup(compared).first()
     assert (row["n_unexpected"], row["n_expected_build"], row["n_modified"]) == (4, 6, 1)
+    alone = diff.match(diff.fingerprints(published), diff.fingerprints(source.limit(0)))
+    row = diff.score_rollup(diff.rollup(alone)).first()
+    assert (row["performed"], row["diff_points"]) == (False, 0.0)
+
+
+def test_source_archive_root_is_dropped_before_the_filter(make_files):
+    tree = make_files({"one": {".repo-1/a.js": "x", ".repo-1/.git/b": "x"}})
+    assert [r["path"] for r in diff.fingerprints(tree, single_root=True).collect()] == ["a.js"]
 
 
 def test_source_roots(make_files):
