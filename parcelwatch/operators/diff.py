@@ -81,39 +81,47 @@ def _is_build_file(path: Column) -> Column:
 def match(published: DataFrame, source: DataFrame) -> DataFrame:
     """``pkg, version, path, ours, theirs, class`` of all paths on either side.
 
-    Both inputs are :func:`fingerprints`.  ``class`` is ``same``, ``modified``, ``expected_build``
-    or ``unexpected`` for published files and null for paths only the source has.
+    Both inputs are :func:`fingerprints`; ``ours`` and ``theirs`` tell which side has the path.
+    ``class`` is ``same``, ``modified``, ``expected_build`` or ``unexpected`` for published files
+    and null for paths only the source has.
     """
-    none = F.lit(None).cast("string")
-    shipped = published.select(
-        *_PATH_KEY, F.col("sha256").alias("ours"), none.alias("theirs"), F.lit(False).alias("twin")
-    )
-    kept = source.select(*_PATH_KEY, none.alias("ours"), F.col("sha256").alias("theirs"),
-                         F.lit(False).alias("twin"))
+
+    def rows(df: DataFrame, sha256: Column, **marks: bool) -> DataFrame:
+        return df.select(
+            *_PATH_KEY,
+            sha256.alias("sha256"),
+            *[F.lit(marks.get(m, False)).alias(m) for m in ("ours", "theirs", "twin")],
+        )
+
+    sha256 = F.col("sha256")
     compiled = source.filter(F.col("path").rlike(r"\.(?:tsx?|mts|cts)\z")).select(
-        "pkg",
-        "version",
-        F.explode(_compiled_paths(F.col("path"))).alias("path"),
-        none.alias("ours"),
-        none.alias("theirs"),
-        F.lit(True).alias("twin"),
+        "pkg", "version", F.explode(_compiled_paths(F.col("path"))).alias("path")
     )
+    stacked = (
+        rows(published, sha256, ours=True)
+        .unionByName(rows(source, sha256, theirs=True))
+        .unionByName(rows(compiled, F.lit(None).cast("string"), twin=True))
+    )
+    # One shuffle by path serves both groupings.  With the hash as a key and flags as the only
+    # aggregates, both are hash aggregates; taking the maximum of a hash would sort.
     met = (
-        shipped.unionByName(kept)
-        .unionByName(compiled)
-        .groupBy(*_PATH_KEY)
+        stacked.repartition(*_PATH_KEY)
+        .groupBy(*_PATH_KEY, "sha256")
         .agg(F.max("ours").alias("ours"), F.max("theirs").alias("theirs"),
              F.max("twin").alias("twin"))
+        .groupBy(*_PATH_KEY)
+        .agg(F.max("ours").alias("ours"), F.max("theirs").alias("theirs"),
+             F.max(F.col("ours") & F.col("theirs")).alias("equal"), F.max("twin").alias("twin"))
     )
-    path, ours, theirs = F.col("path"), F.col("ours"), F.col("theirs")
+    path, theirs = F.col("path"), F.col("theirs")
     exempt = path.isin(*rules.CONTENT_EXEMPT)
     return met.select(
         *_PATH_KEY,
         "ours",
         "theirs",
-        F.when(ours.isNull(), None)
-        .when(theirs.isNotNull() & (exempt | (theirs == ours)), "same")
-        .when(theirs.isNotNull(), "modified")
+        F.when(~F.col("ours"), None)
+        .when(theirs & (exempt | F.col("equal")), "same")
+        .when(theirs, "modified")
         .when(_is_build_file(path) | F.col("twin"), "expected_build")
         .otherwise("unexpected")
         .alias("class"),
@@ -131,8 +139,8 @@ def rollup(matched: DataFrame) -> DataFrame:
     return (
         matched.groupBy("pkg", "version")
         .agg(
-            F.max(F.col("theirs").isNotNull()).alias("performed"),
-            F.max(F.col("ours").isNotNull()).alias("_published"),
+            F.max("theirs").alias("performed"),
+            F.max("ours").alias("_published"),
             F.count_if(cls == "unexpected").alias("n_unexpected"),
             F.count_if(cls == "expected_build").alias("n_expected_build"),
             F.count_if(cls == "modified").alias("n_modified"),

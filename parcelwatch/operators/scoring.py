@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.sql import quote
 from .static_rules import relax_for_cli_tools
 
 _SEVERITIES = (rules.CRITICAL, rules.WARNING, rules.INFO)
@@ -26,16 +27,15 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 Weights = dict[str, tuple[float, float, float, float]]
 
 
-def category_points(
-    weight: tuple[float, float, float, float], critical: Column, warning: Column, info: Column
-) -> Column:
+def _category_points(weight: tuple[float, ...], counts: list[str]) -> str:
     """Maximum points less ``base * (1 + ln n)`` per severity, at least zero."""
     most, *bases = weight
-    points = F.lit(most)
-    for base, n in zip(bases, (critical, warning, info)):
-        if base:
-            points = points - F.when(n > 0, base * (1 + F.ln(n))).otherwise(0.0)
-    return F.greatest(F.lit(0.0), points)
+    lost = [
+        f" - CASE WHEN {n} > 0 THEN {base}D * (1 + ln({n})) ELSE 0D END"
+        for base, n in zip(bases, counts)
+        if base
+    ]
+    return f"greatest(0D, {most}D{''.join(lost)})"
 
 
 def grade(score: Column) -> Column:
@@ -109,53 +109,45 @@ def run_rows(runs: DataFrame) -> DataFrame:
 def total_columns(weights: Weights = rules.CATEGORY_WEIGHTS) -> list[Column]:
     """The additive facts of a release, over stacked rows."""
     columns = [
-        F.max("is_cli").alias("is_cli"),
-        F.max("found").alias("found"),
-        F.sum("repository_points").alias("repository_points"),
-        F.sum("diff_points").alias("diff_points"),
-        F.max("ran").alias("any_run"),
+        "max(is_cli) AS is_cli",
+        "max(found) AS found",
+        "sum(repository_points) AS repository_points",
+        "sum(diff_points) AS diff_points",
+        "max(ran) AS any_run",
     ]
     for name in weights:
-        mine = F.col("scanner") == name
-        columns.append(
-            F.coalesce(F.max(mine & F.col("ran")), F.lit(False)).alias(f"ran_{name}")
-        )
+        mine = f"scanner = {quote(name)}"
+        columns.append(f"coalesce(max({mine} AND ran), false) AS `ran_{name}`")
         columns += [
-            F.count_if(mine & (F.col("severity") == s)).alias(f"{name}_{s}") for s in _SEVERITIES
+            f"count_if({mine} AND severity = '{s}') AS `{name}_{s}`" for s in _SEVERITIES
         ]
     columns += [
-        F.count_if(F.col("relaxed") & (F.col("severity") == s)).alias(f"relaxed_{s}")
+        f"count_if(relaxed AND severity = '{s}') AS relaxed_{s}"
         for s in (rules.CRITICAL, rules.WARNING)
     ]
-    return columns
+    return [F.expr(c) for c in columns]
 
 
 def score_totals(totals: DataFrame, weights: Weights = rules.CATEGORY_WEIGHTS) -> DataFrame:
     """Category points, score, grade, verdict and exit code from ``total_columns``."""
 
-    def count(name: str, s: str) -> Column:
-        n = F.col(f"{name}_{s}")
+    def count(name: str, s: str) -> str:
+        n = f"`{name}_{s}`"
         if name != "static":
             return n
-        moved = F.col("relaxed_critical") + F.col("relaxed_warning")
-        change = moved if s == rules.INFO else -F.col(f"relaxed_{s}")
-        return n + F.when(F.col("is_cli"), change).otherwise(0)
-
-    earned = [
-        F.when(
-            F.col(f"ran_{name}"), category_points(weight, *[count(name, s) for s in _SEVERITIES])
-        )
-        .otherwise(0.0)
-        .alias(f"{name}_points")
-        for name, weight in weights.items()
-    ]
+        moved = "relaxed_critical + relaxed_warning"
+        change = f"+ ({moved})" if s == rules.INFO else f"- relaxed_{s}"
+        return f"CASE WHEN is_cli THEN {n} {change} ELSE {n} END"
+
+    earned = []
+    for name, weight in weights.items():
+        points = _category_points(weight, [f"({count(name, s)})" for s in _SEVERITIES])
+        earned.append(F.expr(f"CASE WHEN `ran_{name}` THEN {points} ELSE 0D END AS `{name}_points`"))
     by_category = totals.filter("any_run").select(
         "pkg", "version", *earned, "repository_points", "diff_points"
     )
-    total = sum(
-        (F.col(f"{name}_points") for name in weights),
-        F.col("repository_points") + F.col("diff_points"),
-    )
+    points = [f"`{name}_points`" for name in weights] + ["repository_points", "diff_points"]
+    total = F.expr(" + ".join(points))
     return judge(
         by_category.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
     )
