@@ -10,29 +10,35 @@ from ..functions import text as tx
 from ..schemas import FINDING_COLUMNS
 
 
+#: An occurrence of a network indicator, carried by hits of the ioc scanner.
+SIGHTING = "struct<step: int, method: string, fragment: int, type: string, raw: string, nth: int>"
+
+
 def _col(value: str | Column) -> Column:
     return F.lit(value) if isinstance(value, str) else value
 
 
 def hit(
     scanner: str,
-    rule_id: str,
+    rule_id: str | Column,
     severity: str | Column,
     message: str | Column,
     line: Column | None = None,
     evidence: str | Column | None = None,
     shows_line: bool = False,
+    sighting: Column | None = None,
 ) -> Column:
     """One hit; ``shows_line`` asks for the line itself as evidence."""
     return F.struct(
         F.lit(scanner).alias("scanner"),
-        F.lit(rule_id).alias("rule_id"),
+        _col(rule_id).alias("rule_id"),
         _col(severity).alias("severity"),
         _col(message).alias("message"),
         (F.lit(None) if line is None else line).cast("int").alias("line"),
         (F.lit(None) if evidence is None else _col(evidence)).cast("string").alias("evidence"),
         F.lit(shows_line).alias("shows_line"),
         F.lit(False).alias("quoted"),
+        (F.lit(None) if sighting is None else sighting).cast(SIGHTING).alias("sighting"),
     )
 
 

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import decode, urls
 from ..functions import text as tx
-from .hits import as_findings
-from .lines import explode_lines
+from .hits import as_findings, hit
 
 SCANNER = "ioc"
 
@@ -31,7 +30,7 @@ def _has_char_codes(text: Column) -> Column:
     return F.lower(text).contains("string.fromcharcode")
 
 
-def _may_match(line: Column) -> Column:
+def may_match(line: Column) -> Column:
     return (
         line.contains("://")
         | (line.contains("\\x") & line.rlike(rules.HEX_ESCAPES))
@@ -95,24 +94,37 @@ def _indicators(text: Column) -> Column:
     return F.concat(found_urls, found_ips)
 
 
-def sightings(files: DataFrame) -> DataFrame:
-    """Every occurrence of an indicator worth reporting, one row each."""
-    chosen = files.filter(tx.is_text_file(F.col("path")))
-    keep = ["pkg", "version", "path"]
-    text_lines = explode_lines(chosen, keep, with_comments=False)
-    fragments = (
-        text_lines.filter(_may_match(F.col("text")))
-        .select(*keep, "line", F.inline(_fragments(F.col("text"))))
-        .filter(F.col("text").isNotNull())
+def line_hits(line: Column, number: Column) -> Column:
+    """Array of hits of one line: every indicator in it, plain or decoded, in reading order."""
+    readable = F.filter(_fragments(line), lambda f: f["text"].isNotNull())
+    seen = F.flatten(
+        F.transform(
+            readable,
+            lambda f: F.transform(
+                _indicators(f["text"]),
+                lambda i: F.struct(
+                    f["step"], f["method"], f["fragment"], i["type"], i["raw"], i["nth"]
+                ),
+            ),
+        )
     )
-    found = fragments.select(
-        *keep, "line", "step", "method", "fragment", F.inline(_indicators(F.col("text")))
+    return F.transform(
+        seen, lambda s: hit(SCANNER, s["type"], rules.INFO, s["raw"], number, sighting=s)
     )
+
+
+def sightings(hits: DataFrame) -> DataFrame:
+    """Occurrences worth reporting, one row each, from the hits of a content scan."""
     raw, is_url = F.col("raw"), F.col("type") == "url"
     ignored = F.when(is_url, urls.is_ignored_host(urls.host(raw))).otherwise(
         raw.isin(*rules.IGNORED_IPS)
     )
-    return found.filter(~ignored).withColumn("key", F.when(is_url, F.lower(raw)).otherwise(raw))
+    return (
+        hits.filter(F.col("scanner") == SCANNER)
+        .select("pkg", "version", F.col("file").alias("path"), "line", "sighting.*")
+        .filter(~ignored)
+        .withColumn("key", F.when(is_url, F.lower(raw)).otherwise(raw))
+    )
 
 
 _IDENTITY = ["pkg", "version", "type", "key"]
@@ -181,10 +193,6 @@ def findings(distinct: DataFrame) -> DataFrame:
     )
 
 
-def scan_ioc(files: DataFrame) -> DataFrame:
-    return findings(indicators(sightings(files)))
-
-
 def distinct_counts(seen: DataFrame) -> DataFrame:
     """Distinct URLs and addresses per package version."""
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as tx
 from ..functions.sql import quote
+from .hits import SIGHTING
 
 SCANNER = "secrets"
 
@@ -18,7 +19,8 @@ def _rule_hit(rule: rules.SecretRule) -> str:
       'rule_id', {quote(rule.rule_id)}, 'severity', {quote(rule.severity)},
       'message', {quote(rule.message)}, 'line', line,
       'evidence', concat(left({found}, 4), '{rules.SECRET_MASK}', right({found}, 4)),
-      'shows_line', false, 'quoted', false) END"""
+      'shows_line', false, 'quoted', false,
+      'sighting', CAST(NULL AS {SIGHTING})) END"""
 
 
 def line_hits() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as tx
 from ..functions.sql import quote
-from .hits import literal_map
+from .hits import SIGHTING, literal_map
 
 SCANNER = "static"
 
@@ -31,7 +31,7 @@ def _rule_hit(rule: rules.LineRule) -> str:
     return f"""CASE WHEN {matches} THEN named_struct('scanner', '{SCANNER}',
       'rule_id', {quote(rule.rule_id)}, 'severity', {quote(rule.severity)},
       'message', {quote(rule.message)}, 'line', line, 'evidence', CAST(NULL AS STRING),
-      'shows_line', true, 'quoted', {quoted}) END"""
+      'shows_line', true, 'quoted', {quoted}, 'sighting', CAST(NULL AS {SIGHTING})) END"""
 
 
 def rule_hits(line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES) -> Column:

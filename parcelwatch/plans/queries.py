@@ -23,6 +23,7 @@ from ..operators import (
     typosquat,
 )
 from ..operators.hits import union_findings
+from ..operators.static_rules import relax_for_cli_tools
 from ..sources import archives, corpus, files, registry
 from ..sources.corpus import table, view
 from ..streaming import feed
@@ -81,19 +82,23 @@ def secret_findings(spark, sf):
 # --- network indicators ---------------------------------------------------------------------
 
 
+def _sightings(spark, sf):
+    return ioc.sightings(scan.scan_hits(view(spark, sf, "package_files"), ("ioc",)))
+
+
 @query
 def ioc_findings(spark, sf):
-    return ioc.scan_ioc(view(spark, sf, "package_files"))
+    return scan.scan_ioc(view(spark, sf, "package_files"))
 
 
 @query
 def ioc_locations(spark, sf):
-    return ioc.locations(ioc.sightings(view(spark, sf, "package_files")))
+    return ioc.locations(_sightings(spark, sf))
 
 
 @query
 def ioc_counts(spark, sf):
-    return ioc.distinct_counts(ioc.sightings(view(spark, sf, "package_files")))
+    return ioc.distinct_counts(_sightings(spark, sf))
 
 
 # --- manifests ------------------------------------------------------------------------------
@@ -242,38 +247,37 @@ def _manifest_findings(spark, sf):
     )
 
 
-def _scored_scanners(spark, sf):
-    return union_findings(
-        scan.scan_contents(view(spark, sf, "package_files")), _manifest_findings(spark, sf)
-    )
-
-
-def _final_scores(spark, sf):
-    """All categories, repository health and source comparison, from one pass over contents."""
-    flags = view(spark, sf, "pkg_flags")
+def _final_scores(spark, sf, findings, flags=None):
+    """All categories, repository health and source comparison."""
     compared = diff.score_rollup(diff.rollup(_matched(spark, sf)))
+    releases = view(spark, sf, "pkg_flags")
     return scoring.score(
-        _scored_scanners(spark, sf),
-        scoring.scan_runs(flags),
-        flags,
-        _release_links(spark, sf),
-        compared,
+        findings, scoring.scan_runs(releases), flags, _release_links(spark, sf), compared
     )
 
 
 @query
 def final_scores(spark, sf):
-    return _round(_final_scores(spark, sf), *_POINTS, "score")
+    findings = union_findings(
+        scan.scan_contents(view(spark, sf, "package_files")), _manifest_findings(spark, sf)
+    )
+    scored = _final_scores(spark, sf, findings, view(spark, sf, "pkg_flags"))
+    return _round(scored, *_POINTS, "score")
 
 
 def _all_findings(spark, sf):
-    package_files, flags = view(spark, sf, "package_files"), view(spark, sf, "pkg_flags")
-    from ..operators.static_rules import relax_for_cli_tools
-
+    """Findings of all scanners.
+
+    The hits of the one pass over contents are written out, as plain findings and indicators are
+    both derived from them.
+    """
+    path = f"{scratch_dir(spark)}/hits"
+    scan.scan_hits(view(spark, sf, "package_files")).write.parquet(path)
+    hits = spark.read.parquet(path)
     return union_findings(
-        relax_for_cli_tools(scan.scan_contents(package_files), flags),
+        relax_for_cli_tools(scan.findings_of(hits), view(spark, sf, "pkg_flags")),
         _manifest_findings(spark, sf),
-        ioc.scan_ioc(package_files),
+        ioc.findings(scan.indicators_of(hits)),
     )
 
 
@@ -299,14 +303,14 @@ def scanner_results(spark, sf):
 
 
 def _report(spark, sf):
-    # Findings feed both the sections and their summaries: written once, read twice.
+    # Findings feed sections, summaries and scores: written once.
     path = f"{scratch_dir(spark)}/findings"
     _all_findings(spark, sf).write.parquet(path)
     findings = spark.read.parquet(path)
     return report.report_parts(
         _scanner_results(spark, sf, findings),
         findings,
-        _final_scores(spark, sf),
+        _final_scores(spark, sf, findings),
         repositories=_release_links(spark, sf).select(
             "pkg", "version", "found", "full_name", "stars", "archived", "publisher_matches"
         ),

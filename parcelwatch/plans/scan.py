@@ -9,39 +9,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as tx
 from ..functions.entropy import shannon_entropy
+from ..operators import ioc, obfuscation, secrets, static_rules
 from ..operators import lines as ln
-from ..operators import obfuscation, secrets, static_rules
 from ..operators.hits import as_findings, settle
+from ..schemas import FINDING_COLUMNS
 
+#: Scanners whose findings come straight from single files.
 CONTENT_SCANNERS = ("static", "obfuscation", "secrets")
+#: All scanners that read contents.
+READING_SCANNERS = (*CONTENT_SCANNERS, ioc.SCANNER)
 
 
-def scan_contents(
+def scan_hits(
     files: DataFrame,
-    scanners: Sequence[str] = CONTENT_SCANNERS,
+    scanners: Sequence[str] = READING_SCANNERS,
     line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES,
 ) -> DataFrame:
-    """Findings of the chosen content scanners, before any allowance for command-line tools."""
-    static, obfuscated, secret = (s in scanners for s in CONTENT_SCANNERS)
+    """Hits of the chosen scanners: the findings layout and, for indicators, ``sighting``.
+
+    Write these to a table once and derive findings (:func:`findings_of`) and indicators
+    (:func:`indicators_of`) from it, so that contents are read a single time.
+    """
+    static, obfuscated, secret, network = (s in scanners for s in READING_SCANNERS)
     path, content = F.col("path"), F.col("content")
-    code = tx.is_code_file(path)
-    covered = code | tx.is_text_file(path) if secret else code
-    chosen = files.filter(covered).select(
+    code, text_file = tx.is_code_file(path), tx.is_text_file(path)
+    whole_text = secret or network
+    chosen = files.filter(code | text_file if whole_text else code).select(
         "pkg",
         "version",
         F.col("path").alias("file"),
         content,
         code.alias("code"),
-        *([tx.is_text_file(path).alias("text_file")] if secret else []),
+        *([text_file.alias("text_file")] if whole_text else []),
     )
 
-    keep = ["pkg", "version", "file", "code"] + (["text_file"] if secret else [])
+    keep = ["pkg", "version", "file", "code"] + (["text_file"] if whole_text else [])
     if obfuscated:
         chosen = _measure(chosen, keep)
         keep = [*keep, "minified", "file_hits"]
@@ -49,26 +57,48 @@ def scan_contents(
     line, number = F.col("text"), F.col("line")
     exploded = ln.explode_lines(chosen, keep, with_comments=static)
     wanted, arrays = [], []
+
+    def look(may: Column, hits: Column) -> None:
+        wanted.append(may)
+        arrays.append(F.when(may, hits))
+
     if static:
         builtin = tuple(line_rules) == rules.STATIC_RULES
         may = F.col("code") & static_rules.may_match(line) if builtin else F.col("code")
-        wanted.append(may)
-        arrays.append(F.when(may, static_rules.rule_hits(line_rules)))
+        look(may, static_rules.rule_hits(line_rules))
     if obfuscated:
         may = F.col("code") & obfuscation.may_match(line)
-        first = (number == 1) & (F.size("file_hits") > 0)
-        wanted += [may, first]
-        arrays.append(F.when(may, obfuscation.line_hits(line, number, F.col("minified"))))
-        arrays.append(F.when(first, F.col("file_hits")))
+        look(may, obfuscation.line_hits(line, number, F.col("minified")))
+        look((number == 1) & (F.size("file_hits") > 0), F.col("file_hits"))
     if secret:
-        may = F.col("text_file") & secrets.may_match(line)
-        wanted.append(may)
-        arrays.append(F.when(may, secrets.line_hits()))
+        look(F.col("text_file") & secrets.may_match(line), secrets.line_hits())
+    if network:
+        look(F.col("text_file") & ioc.may_match(line), ioc.line_hits(line, number))
     every = F.flatten(F.array_compact(F.array(*arrays)))
     hits = exploded.filter(tx.any_of(wanted)).select(
         "pkg", "version", "file", "text", F.explode(every).alias("hit")
     )
-    return as_findings(settle(hits.select("pkg", "version", "file", "text", "hit.*")))
+    settled = settle(hits.select("pkg", "version", "file", "text", "hit.*"))
+    return settled.select(*FINDING_COLUMNS, "sighting")
+
+
+def findings_of(hits: DataFrame) -> DataFrame:
+    """Findings of the content scanners, before any allowance for command-line tools."""
+    return as_findings(hits.filter(F.col("scanner") != ioc.SCANNER))
+
+
+def indicators_of(hits: DataFrame) -> DataFrame:
+    """Distinct network indicators per release."""
+    return ioc.indicators(ioc.sightings(hits))
+
+
+def scan_contents(
+    files: DataFrame,
+    scanners: Sequence[str] = CONTENT_SCANNERS,
+    line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES,
+) -> DataFrame:
+    """Findings of the chosen content scanners, before any allowance for command-line tools."""
+    return as_findings(scan_hits(files, scanners, line_rules))
 
 
 def _measure(files: DataFrame, keep: list[str]) -> DataFrame:
@@ -100,6 +130,10 @@ def scan_obfuscation(files: DataFrame) -> DataFrame:
     return scan_contents(files, ("obfuscation",))
 
 
+def scan_ioc(files: DataFrame) -> DataFrame:
+    return ioc.findings(indicators_of(scan_hits(files, (ioc.SCANNER,))))
+
+
 def scan_secrets(files: DataFrame) -> DataFrame:
     return scan_contents(files, ("secrets",))
 

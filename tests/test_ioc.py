@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwatch.operators import ioc
+from parcelwatch.plans.scan import scan_hits, scan_ioc
 
 URL = "https://evil.badsite.xyz/payload?q=1"
 
@@ -43,7 +44,7 @@ CASES = {
 
 @pytest.fixture(scope="module")
 def found(make_files, by_package):
-    return by_package(ioc.scan_ioc(make_files(CASES)))
+    return by_package(scan_ioc(make_files(CASES)))
 
 
 def one(found, pkg):
@@ -96,11 +97,11 @@ def test_addresses(found):
 
 
 def test_rank_limit_applies_before_the_shuffle(make_files):
-    plan = ioc.locations(ioc.sightings(make_files(CASES)))
+    plan = ioc.locations(ioc.sightings(scan_hits(make_files(CASES), ("ioc",))))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("WindowGroupLimit") == 2 and "Partial" in text
 
 
 def test_counts(make_files):
-    rows = ioc.distinct_counts(ioc.sightings(make_files(CASES))).filter(F.col("pkg") == "many")
+    rows = ioc.distinct_counts(ioc.sightings(scan_hits(make_files(CASES), ("ioc",)))).filter(F.col("pkg") == "many")
     assert [(r["n_urls"], r["n_ips"]) for r in rows.collect()] == [(1, 0)]

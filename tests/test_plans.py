@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from parcelwatch.operators import diff, ioc, repository, scoring
 from parcelwatch.operators.static_rules import relax_for_cli_tools
 from parcelwatch.plans.results import release_facts
-from parcelwatch.plans.scan import scan_contents
+from parcelwatch.plans.scan import scan_contents, scan_hits
 
 
 def plan_of(df):
@@ -28,7 +28,7 @@ def stored(spark, make_files, tmp_path_factory):
 
 
 def test_content_scan_does_not_shuffle(stored):
-    assert "Exchange" not in plan_of(scan_contents(stored))
+    assert "Exchange" not in plan_of(scan_hits(stored))
 
 
 def test_entropy_runs_once(stored):
@@ -62,7 +62,7 @@ def test_scores_need_one_shuffle_with_map_side_combine(stored):
 
 
 def test_indicator_limit_is_applied_before_the_shuffle(stored):
-    lines = plan_of(ioc.locations(ioc.sightings(stored))).splitlines()
+    lines = plan_of(ioc.locations(ioc.sightings(scan_hits(stored, ("ioc",))))).splitlines()
     shuffle = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x)
     limits = [i for i, x in enumerate(lines) if "WindowGroupLimit" in x]
     assert min(limits) < shuffle < max(limits)

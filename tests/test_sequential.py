@@ -174,8 +174,7 @@ def test_code_files(spark, path, code):
 
 def test_awkward_lines_stay_cheap(spark, make_files):
     """Long runs that a careless pattern would try again at every position."""
-    from parcelwatch.operators.ioc import scan_ioc
-    from parcelwatch.plans.scan import scan_contents
+    from parcelwatch.plans.scan import scan_contents, scan_ioc
 
     n = 300_000
     texts = {
