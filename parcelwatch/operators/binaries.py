@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from .hits import as_findings
 SCANNER = "binaries"
 
 
-def scan_binaries(files: DataFrame) -> DataFrame:
+def scan_binaries(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Reads paths only: contents are never fetched from storage."""
     path = F.col("path")
     ext = F.lower(tx.extension(path))
@@ -28,7 +30,9 @@ def scan_binaries(files: DataFrame) -> DataFrame:
             ).alias("message"),
             path.alias("file"),
             tx.basename(path).alias("evidence"),
-        )
+            *carry,
+        ),
+        carry,
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,14 +70,15 @@ def literal_map(entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
 
-def as_findings(df: DataFrame) -> DataFrame:
-    """Project to the shared findings layout; absent columns become null."""
+def as_findings(df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Project to the shared findings layout; absent columns become null, ``carry`` stays."""
     absent = {"file": "string", "line": "int", "evidence": "string"}
     return df.select(
         *[
             F.col(c) if c in df.columns else F.lit(None).cast(absent[c]).alias(c)
             for c in FINDING_COLUMNS
-        ]
+        ],
+        *carry,
     )
 
 

@@ -7,6 +7,8 @@ findings sends one row per task, and no join is involved.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,24 +88,28 @@ def _layout() -> dict[str, Column]:
     }
 
 
-def _rows(df: DataFrame, **given: Column) -> DataFrame:
-    return df.select(
-        "pkg", "version", *[given.get(name, value).alias(name) for name, value in _layout().items()]
-    )
+def _rows(df: DataFrame, carry: Sequence[str] = (), **given: Column) -> DataFrame:
+    columns = [given.get(name, value).alias(name) for name, value in _layout().items()]
+    return df.select("pkg", "version", *carry, *columns)
 
 
-def finding_rows(findings: DataFrame, weights: Weights = rules.CATEGORY_WEIGHTS) -> DataFrame:
+def finding_rows(
+    findings: DataFrame,
+    weights: Weights = rules.CATEGORY_WEIGHTS,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     relaxed = (F.col("scanner") == "static") & F.col("rule_id").isin(*_CLI_EXPECTED)
     return _rows(
         findings.filter(F.col("scanner").isin(*weights)),
+        carry,
         scanner=F.col("scanner"),
         severity=F.col("severity"),
         relaxed=relaxed,
     )
 
 
-def run_rows(runs: DataFrame) -> DataFrame:
-    return _rows(runs, scanner=F.col("scanner"), ran=F.lit(True))
+def run_rows(runs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    return _rows(runs, carry, scanner=F.col("scanner"), ran=F.lit(True))
 
 
 def total_columns(weights: Weights = rules.CATEGORY_WEIGHTS) -> list[Column]:

@@ -30,11 +30,13 @@ def scan_hits(
     files: DataFrame,
     scanners: Sequence[str] = READING_SCANNERS,
     line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Hits of the chosen scanners: the findings layout and, for indicators, ``sighting``.
 
     Write these to a table once and derive findings (:func:`findings_of`) and indicators
-    (:func:`indicators_of`) from it, so that contents are read a single time.
+    (:func:`indicators_of`) from it, so that contents are read a single time.  ``carry`` names further
+    columns of the files to keep.
     """
     static, obfuscated, secret, network = (s in scanners for s in READING_SCANNERS)
     path, content = F.col("path"), F.col("content")
@@ -47,9 +49,10 @@ def scan_hits(
         content,
         code.alias("code"),
         *([text_file.alias("text_file")] if whole_text else []),
+        *carry,
     )
 
-    keep = ["pkg", "version", "file", "code"] + (["text_file"] if whole_text else [])
+    keep = ["pkg", "version", "file", "code", *carry] + (["text_file"] if whole_text else [])
     if obfuscated:
         chosen = _measure(chosen, keep)
         keep = [*keep, "minified", "file_hits"]
@@ -76,10 +79,10 @@ def scan_hits(
         look(F.col("text_file") & ioc.may_match(line), ioc.line_hits(line, number))
     every = F.flatten(F.array_compact(F.array(*arrays)))
     hits = exploded.filter(tx.any_of(wanted)).select(
-        "pkg", "version", "file", "text", F.explode(every).alias("hit")
+        "pkg", "version", "file", "text", *carry, F.explode(every).alias("hit")
     )
-    settled = settle(hits.select("pkg", "version", "file", "text", "hit.*"))
-    return settled.select(*FINDING_COLUMNS, "sighting")
+    settled = settle(hits.select("pkg", "version", "file", "text", *carry, "hit.*"))
+    return settled.select(*FINDING_COLUMNS, "sighting", *carry)
 
 
 def findings_of(hits: DataFrame) -> DataFrame:
@@ -96,9 +99,10 @@ def scan_contents(
     files: DataFrame,
     scanners: Sequence[str] = CONTENT_SCANNERS,
     line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Findings of the chosen content scanners, before any allowance for command-line tools."""
-    return as_findings(scan_hits(files, scanners, line_rules))
+    return as_findings(scan_hits(files, scanners, line_rules, carry), carry)
 
 
 def _measure(files: DataFrame, keep: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ between batches is one row of counts per release, combined before the shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,9 +21,9 @@ from ..plans.scan import CONTENT_SCANNERS, scan_contents
 FILE_SCANNERS = (*CONTENT_SCANNERS, "binaries")
 
 
-def file_findings(files: DataFrame) -> DataFrame:
+def file_findings(files: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Findings of all single-file scanners; the same on a stream and on a table."""
-    return scan_contents(files).unionByName(binaries.scan_binaries(files))
+    return scan_contents(files, carry=carry).unionByName(binaries.scan_binaries(files, carry))
 
 
 def write_findings(
@@ -38,14 +40,21 @@ def write_findings(
     )
 
 
-def running_totals(files: DataFrame) -> DataFrame:
-    """Files received and additive facts per release, updated batch by batch."""
-    receipts = files.select("pkg", "version")
-    arrived = scoring.run_rows(receipts.withColumn("scanner", F.lit(None).cast("string")))
-    found = scoring.finding_rows(file_findings(files))
+def running_totals(files: DataFrame, max_delay: str | None = None) -> DataFrame:
+    """Files received and additive facts per release, updated batch by batch.
+
+    With ``max_delay`` the files carry the ``published_at`` time of their release, and a release is
+    forgotten that long after the latest publication seen; without it every release is remembered.
+    """
+    carry: tuple[str, ...] = ()
+    if max_delay is not None:
+        files, carry = files.withWatermark("published_at", max_delay), ("published_at",)
+    receipts = files.select("pkg", "version", *carry, F.lit(None).cast("string").alias("scanner"))
+    arrived = scoring.run_rows(receipts, carry)
+    found = scoring.finding_rows(file_findings(files, carry), carry=carry)
     return (
         arrived.unionByName(found)
-        .groupBy("pkg", "version")
+        .groupBy("pkg", "version", *carry)
         .agg(F.count_if("ran").alias("n_files"), *scoring.total_columns())
     )
 
@@ -64,9 +73,14 @@ def score_complete(totals: DataFrame, releases: DataFrame) -> DataFrame:
 
 
 def write_scores(
-    files: DataFrame, releases: DataFrame, path: str, checkpoint: str, **trigger
+    files: DataFrame,
+    releases: DataFrame,
+    path: str,
+    checkpoint: str,
+    max_delay: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Write the scores of releases as they become complete.
+    """Write the scores of releases as they become complete (see :func:`running_totals`).
 
     Each batch owns a directory that a retry overwrites, so a restart neither loses nor repeats
     scores.
@@ -76,7 +90,7 @@ def write_scores(
         score_complete(batch, releases).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        running_totals(files)
+        running_totals(files, max_delay)
         .writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(finish)

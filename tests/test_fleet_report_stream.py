@@ -136,12 +136,15 @@ def test_stream_findings_equal_batch(spark, corpus, landed, tmp_path):
     assert len(query.recentProgress) > 1
 
 
-def test_stream_scores_wait_for_the_last_file(spark, corpus, landed, tmp_path):
+@pytest.mark.parametrize("max_delay", [None, "2 days"])
+def test_stream_scores_wait_for_the_last_file(spark, corpus, landed, tmp_path, max_delay):
     counts = corpus.groupBy("pkg", "version").agg(F.count("*").alias("file_count"))
     late = F.when(F.col("pkg") == "p3", F.col("file_count") + 1).otherwise(F.col("file_count"))
     releases = counts.select("pkg", "version", late.alias("file_count"), (F.col("pkg") == "p1").alias("is_cli"))
+    arriving = landed[1].withColumn("published_at", F.lit("2026-01-01").cast("timestamp"))
     feed.write_scores(
-        landed[1], releases, str(tmp_path / "out"), str(tmp_path / "progress"), availableNow=True
+        arriving, releases, str(tmp_path / "out"), str(tmp_path / "progress"), max_delay,
+        availableNow=True,
     ).awaitTermination()
     runs = scoring.scan_runs(corpus.select("pkg", "version").distinct(), feed.FILE_SCANNERS)
     flags = releases.select("pkg", "version", "is_cli")
@@ -150,3 +153,24 @@ def test_stream_scores_wait_for_the_last_file(spark, corpus, landed, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(rows) == len(expected)
     assert {r["pkg"]: round(r["score"], 9) for r in rows} == expected
+
+
+def test_stream_forgets_old_releases(spark, make_files, tmp_path):
+    """Only releases near the latest publication are kept between batches."""
+    days = [make_files({f"d{d}": {"a.js": "eval(x)"}}).withColumn(
+        "published_at", F.lit(f"2026-01-{d:02d}").cast("timestamp")) for d in range(1, 10)]
+    for day in days:
+        day.coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    stream = spark.readStream.schema(days[0].schema).option("maxFilesPerTrigger", 1)
+    releases = spark.createDataFrame(
+        [(f"d{d}", "1.0.0", 1, False) for d in range(1, 10)],
+        "pkg string, version string, file_count long, is_cli boolean",
+    )
+    query = feed.write_scores(
+        stream.parquet(str(tmp_path / "landing")), releases, str(tmp_path / "out"),
+        str(tmp_path / "progress"), "1 day", availableNow=True,
+    )
+    query.awaitTermination()
+    kept = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept <= 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 9
