@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import decode, urls
-from ..functions import text as tx
 from .hits import as_findings, hit
 
 SCANNER = "ioc"

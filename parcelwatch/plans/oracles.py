@@ -575,6 +575,9 @@ result AS (
     LEFT JOIN hook_names USING (pkg, version) LEFT JOIN ext_count USING (pkg, version) LEFT JOIN ioc_count USING (pkg, version)
     LEFT JOIN named USING (pkg, version) LEFT JOIN dep_count USING (pkg, version)
     LEFT JOIN (SELECT DISTINCT pkg, version FROM release_script) s ON s.pkg = w.pkg AND s.version = w.version)"""
+ORACLES["severity_counts"] = _with(
+    _ALL_VIEWS, _ALL_FINDINGS, f"SELECT pkg, version, scanner, {_COUNTS} FROM finding GROUP BY ALL"
+)
 ORACLES["scanner_results"] = _with(_ALL_VIEWS, _ALL_FINDINGS, "SELECT * FROM result")
 ORACLES["report_index"] = _with(
     _ALL_VIEWS, _merge(_ALL_FINDINGS, _DIFF, _repository("release_link")),

@@ -297,6 +297,11 @@ def _scanner_results(spark, sf, findings):
     return results.scanner_results(findings, scoring.scan_runs(flags), facts)
 
 
+@query
+def severity_counts(spark, sf):
+    return scoring.severity_counts(_all_findings(spark, sf))
+
+
 @query
 def scanner_results(spark, sf):
     return _scanner_results(spark, sf, _all_findings(spark, sf))

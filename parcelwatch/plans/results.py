@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as tx
-from ..functions import urls
 
 _SEVERITIES = (rules.CRITICAL, rules.WARNING, rules.INFO)
 

@@ -2,34 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-#: Key of every relation: one published version of one package.
-KEY = ["pkg", "version"]
-
+#: Layout of every finding; ``pkg`` and ``version`` name the release it belongs to.
 FINDING_COLUMNS = [
     "pkg", "version", "scanner", "severity", "rule_id", "message", "file", "line", "evidence",
 ]
-
-PACKAGE_FILES = T.StructType(
-    [
-        T.StructField("pkg", T.StringType()),
-        T.StructField("version", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("content", T.StringType()),
-    ]
-)
-
-FINDINGS = T.StructType(
-    [
-        T.StructField("pkg", T.StringType()),
-        T.StructField("version", T.StringType()),
-        T.StructField("scanner", T.StringType()),
-        T.StructField("severity", T.StringType()),
-        T.StructField("rule_id", T.StringType()),
-        T.StructField("message", T.StringType()),
-        T.StructField("file", T.StringType()),
-        T.StructField("line", T.IntegerType()),
-        T.StructField("evidence", T.StringType()),
-    ]
-)

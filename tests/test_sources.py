@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parcelwatch.functions import text as tx
 from parcelwatch.functions import urls
 from parcelwatch.operators import diff
+from parcelwatch.plans import report
 from parcelwatch.sources import archives, files, registry
 
 
@@ -110,6 +111,30 @@ def test_registry_document(spark):
     assert commands == {("install", "x"), ("test", None)}
 
 
+def test_documents_from_files_and_report_metadata(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps(DOCUMENT, indent=2))
+    (tmp_path / "bad.json").write_text("{")
+    docs = files.read_documents(spark, str(tmp_path))
+    assert docs.count() == 2
+    described = report.describe(registry.package_versions(docs)).filter("version = '2.0.0'").first()
+    assert (described["size_label"], described["license"]) == ("11.2 KB", "MIT")
+
+
+def test_manifests(spark):
+    bodies = [
+        {"name": "p", "version": "1", "author": "Ann", "bin": "", "scripts": {"install": "x"}},
+        {"author": {"name": "Bob"}, "license": {"type": "ISC"}, "bin": None},
+    ]
+    frame = spark.createDataFrame([(json.dumps(b),) for b in bodies] + [("no",)], "body string")
+    versions = registry.manifest_versions(frame)
+    rows = {r["pkg"]: r for r in versions.drop("manifest").collect()}
+    assert set(rows) == {"p", "unknown"}
+    assert (rows["p"]["publisher"], rows["p"]["is_cli"]) == ("Ann", True)
+    other = rows["unknown"]
+    assert (other["publisher"], other["license"], other["version"], other["is_cli"]) == ("Bob", "ISC", "0.0.0", False)
+    assert registry.scripts(versions).first()["command"] == "x"
+
+
 def test_resolution(spark):
     docs = spark.createDataFrame([(json.dumps(DOCUMENT),), ('{"name":"bare"}',)], "body string")
     targets = ["p", "p@1.0.0", "p@^1.0.0", "p@latest", "p@", "q", "bare", "bare@1", "./x.tgz"]
