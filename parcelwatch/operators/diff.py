@@ -6,6 +6,9 @@ on hashes instead of contents, so the comparison is a single shuffle of short ro
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +81,14 @@ def _is_build_file(path: Column) -> Column:
     )
 
 
+_WORDS = range(4)
+
+
+def _word(sha256: Column, i: int) -> Column:
+    """One of the four 64-bit words of a hash."""
+    return F.conv(F.substring(sha256, 16 * i + 1, 16), 16, -10).cast("bigint")
+
+
 def match(published: DataFrame, source: DataFrame) -> DataFrame:
     """``pkg, version, path, ours, theirs, class`` of all paths on either side.
 
@@ -85,34 +96,38 @@ def match(published: DataFrame, source: DataFrame) -> DataFrame:
     ``class`` is ``same``, ``modified``, ``expected_build`` or ``unexpected`` for published files
     and null for paths only the source has.
     """
+    none = F.lit(None).cast("bigint")
 
-    def rows(df: DataFrame, sha256: Column, **marks: bool) -> DataFrame:
+    def rows(df: DataFrame, ours: bool = False, theirs: bool = False) -> DataFrame:
+        words = [_word(F.col("sha256"), i) for i in _WORDS] if ours or theirs else None
         return df.select(
             *_PATH_KEY,
-            sha256.alias("sha256"),
-            *[F.lit(marks.get(m, False)).alias(m) for m in ("ours", "theirs", "twin")],
+            *[(words[i] if ours else none).alias(f"ours_{i}") for i in _WORDS],
+            *[(words[i] if theirs else none).alias(f"theirs_{i}") for i in _WORDS],
+            F.lit(not (ours or theirs)).alias("twin"),
         )
 
-    sha256 = F.col("sha256")
     compiled = source.filter(F.col("path").rlike(r"\.(?:tsx?|mts|cts)\z")).select(
         "pkg", "version", F.explode(_compiled_paths(F.col("path"))).alias("path")
     )
-    stacked = (
-        rows(published, sha256, ours=True)
-        .unionByName(rows(source, sha256, theirs=True))
-        .unionByName(rows(compiled, F.lit(None).cast("string"), twin=True))
-    )
-    # One shuffle by path serves both groupings.  With the hash as a key and flags as the only
-    # aggregates, both are hash aggregates; taking the maximum of a hash would sort.
+    # Hashes travel as numbers: the maximum of a text cannot be hash-aggregated and would sort.
+    sides = [f"{side}_{i}" for side in ("ours", "theirs") for i in _WORDS]
     met = (
-        stacked.repartition(*_PATH_KEY)
-        .groupBy(*_PATH_KEY, "sha256")
-        .agg(F.max("ours").alias("ours"), F.max("theirs").alias("theirs"),
-             F.max("twin").alias("twin"))
+        rows(published, ours=True)
+        .unionByName(rows(source, theirs=True))
+        .unionByName(rows(compiled))
         .groupBy(*_PATH_KEY)
-        .agg(F.max("ours").alias("ours"), F.max("theirs").alias("theirs"),
-             F.max(F.col("ours") & F.col("theirs")).alias("equal"), F.max("twin").alias("twin"))
-    )
+        .agg(*[F.max(c).alias(c) for c in (*sides, "twin")])
+        .withColumns(
+            {
+                "ours": F.col("ours_0").isNotNull(),
+                "theirs": F.col("theirs_0").isNotNull(),
+                "equal": functools.reduce(
+                    operator.and_, [F.col(f"ours_{i}") == F.col(f"theirs_{i}") for i in _WORDS]
+                ),
+            }
+        )
+    )
     path, theirs = F.col("path"), F.col("theirs")
     exempt = path.isin(*rules.CONTENT_EXEMPT)
     return met.select(

@@ -12,5 +12,5 @@ def ensure_parallel(df: DataFrame, *keys: str) -> DataFrame:
     shuffle of a large corpus.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = df.rdd.getNumPartitions()
     return df if splits >= cores else df.repartition(cores, *keys)
