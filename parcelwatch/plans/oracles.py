@@ -615,7 +615,7 @@ ORACLES["package_metadata"] = _with(
   coalesce(CAST(json_extract(m, '$.dist.fileCount') AS BIGINT), 0) AS file_count,
   coalesce(CAST(json_extract(m, '$.dist.unpackedSize') AS BIGINT), 0) AS unpacked_size, {_t('$._npmUser.trustedPublisher.id')} AS provenance_id,
   array_to_string(coalesce(nullif(json_extract_string(m, '$.maintainers[*].name'), []), json_extract_string(d, '$.maintainers[*].name')), ',') AS maintainers,
-  {_IS_CLI} AS is_cli FROM release_doc""",
+  {_IS_CLI} AS is_cli, coalesce(json_type(m, '$.scripts') = 'OBJECT', false) AS has_scripts FROM release_doc""",
 )
 
 

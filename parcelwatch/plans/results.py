@@ -142,15 +142,16 @@ def with_facts(
     files: DataFrame,
     flags: DataFrame,
     dependency_counts: DataFrame,
-    scripts: DataFrame,
+    with_scripts: DataFrame,
     names: DataFrame,
     name_summaries: DataFrame,
     manifests: DataFrame,
 ) -> DataFrame:
     """Everything summaries mention, one row per release, from one grouping of stacked facts.
 
-    ``names(pkg, version, name)``, ``name_summaries(name, summary)`` from the similarity check,
-    ``manifests(pkg, version)`` the releases that have a manifest.
+    ``names(pkg, version, name)``, ``name_summaries(name, summary)`` from the similarity check;
+    ``manifests`` and ``with_scripts`` list the releases that have a manifest, and one with a
+    scripts section.
     """
     layout = {
         "n_code_files": "bigint", "is_cli": "boolean", "n_direct": "bigint", "n_optional": "bigint",
@@ -171,7 +172,7 @@ def with_facts(
         rows(release_facts(files), n_code_files=F.col("n_code_files")),
         rows(flags, is_cli=F.col("is_cli")),
         rows(dependency_counts, n_direct=F.col("n_direct"), n_optional=F.col("n_optional")),
-        rows(scripts.select("pkg", "version").distinct(), has_scripts=F.lit(True)),
+        rows(with_scripts, has_scripts=F.lit(True)),
         rows(manifests, has_manifest=F.lit(True)),
         rows(
             named,

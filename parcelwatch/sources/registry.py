@@ -49,6 +49,10 @@ def _license(value: Column) -> Column:
     return _or_empty(F.coalesce(_text(value, "$.license"), _text(value, "$.license.type")))
 
 
+def _has_scripts(value: Column) -> Column:
+    return F.coalesce(_kind(value, "$.scripts").startswith("OBJECT"), F.lit(False))
+
+
 def parse_documents(docs: DataFrame) -> DataFrame:
     """``docs(body)`` to ``name, latest, published, maintainers, versions``; bad JSON gives nulls."""
     doc = F.from_json("body", _DOCUMENT)
@@ -86,6 +90,7 @@ def package_versions(docs: DataFrame) -> DataFrame:
         F.coalesce(_get(m, "$.maintainers", _PEOPLE), F.col("doc_maintainers"),
                    F.array().cast(_PEOPLE)).alias("maintainers"),
         F.coalesce(~_kind(m, "$.bin").isin("VOID"), F.lit(False)).alias("is_cli"),
+        _has_scripts(m).alias("has_scripts"),
         m.alias("manifest"),
     )
 
@@ -115,6 +120,7 @@ def manifest_versions(manifests: DataFrame) -> DataFrame:
                 "maintainers"
             ),
             F.coalesce(~_kind(m, "$.bin").isin("VOID"), F.lit(False)).alias("is_cli"),
+            _has_scripts(m).alias("has_scripts"),
             m.alias("manifest"),
         )
     )
