@@ -90,7 +90,7 @@ def _differing(rows: DataFrame) -> DataFrame:
             out = []
             keys = zip(*(batch.column(i).to_pylist() for i in range(4)))
             for here, text in zip(keys, batch.column(4)):
-                raw = memoryview(text.as_buffer())
+                raw = memoryview(text.as_buffer()).cast("B")
                 if here != key:
                     key, first = here, bytes(raw)
                 elif any(raw[i : i + _COMPARE] != first[i : i + _COMPARE] for i in range(0, len(raw), _COMPARE)):
