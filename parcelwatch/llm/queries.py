@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwatch.llm import bpe, exact_dedup, packing, sharding, token_counts
+from parcelwatch.llm import bpe, exact_dedup, packing, sharding, simhash, suffix_dedup, token_counts
 from parcelwatch.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of SimHash fingerprints of 3-word shingles within 3 bits."""
+    return simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=3)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text they decode to, as digests."""
     return bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE, keep_ids=False)
@@ -44,9 +49,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that no 200-byte string found elsewhere covers."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=200, keep_text=False)
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op4_bpe_round_trip, op5_packing, op6_sharding, op8_token_counts, op9_exact_dedup,
+        op2_simhash, op4_bpe_round_trip, op5_packing, op6_sharding, op8_token_counts,
+        op9_exact_dedup, op10_suffix_dedup,
     )
 }
