@@ -1,6 +1,82 @@
 """DuckDB counterparts of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from parcelwatch.llm import licenses, quality_rules
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    out = f"regexp_replace(lower({text}), {_text(licenses.COPYRIGHT_LINE)}, {_text(chr(92) + '1')}, 'g')"
+    for spelling, same in licenses.SAME:
+        out = f"replace({out}, {_text(spelling)}, {_text(same)})"
+    return f"trim(regexp_replace({out}, {_text('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}, ' ', 'g'))"
+
+
+def _licenses() -> str:
+    known = ", ".join(f"({_text(i)}, {_text(t)})" for i, t in licenses.KNOWN)
+    return f"""
+        WITH known AS (
+          SELECT sha256({_canonical('t')}) AS digest, min(i) AS license_id FROM (VALUES {known}) AS v(i, t) GROUP BY 1),
+        docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+        line AS (SELECT row, unnest(string_split(text, chr(10))) AS line FROM docs),
+        stated AS (
+          SELECT row, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids
+          FROM line JOIN known ON sha256({_canonical('line')}) = digest
+          WHERE regexp_matches(line, {_text(licenses.ABOUT)}) GROUP BY row)
+        SELECT doc_id, sha256({_canonical('text')}) AS text_digest, license_id AS text_license,
+               coalesce(n, 0) AS n_license_lines, coalesce(ids, '') AS line_licenses
+        FROM docs LEFT JOIN known ON sha256({_canonical('text')}) = digest LEFT JOIN stated USING (row)
+    """
+
+
+def _rules() -> str:
+    r = quality_rules
+    count = "len(regexp_extract_all({}, {}))".format
+    marks, bars, words = (count("line", _text(p)) for p in (r.MARKS, r.SEPARATORS, "[^ \\t-\\r]+"))
+    return f"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS words,
+                 string_split(coalesce(text, ''), chr(10)) AS lines
+          FROM documents),
+        windows AS (
+          SELECT row, i, array_to_string(words[i:i + 7], ' ') AS w
+          FROM (SELECT row, words, unnest(range(1, len(words) - 6)) AS i FROM docs)),
+        twice AS (SELECT row, i, count(*) OVER (PARTITION BY row, w) AS n FROM windows),
+        places AS (SELECT row, i, lag(i) OVER (PARTITION BY row ORDER BY i) AS before FROM twice WHERE n > 1),
+        repeats AS (SELECT row, sum(least(8, i - coalesce(before, -8))) AS n FROM places GROUP BY row),
+        line AS (SELECT row, unnest(lines) AS line FROM docs),
+        judged AS (
+          SELECT row, line, ({marks} >= {r.MIN_MARKS} AND {marks} * 100 > length(line) * {r.MARK_PERCENT})
+            OR ({bars} >= {r.MIN_SEPARATORS} AND {bars} * 100 > {words} * {r.SEPARATOR_PERCENT})
+            OR regexp_matches(line, {_text(r.BOILERPLATE)}) AS bad
+          FROM line),
+        by_row AS (
+          SELECT row, count(*) FILTER (WHERE regexp_matches(line, '[^ \\t-\\r]'))
+                   - count(DISTINCT line) FILTER (WHERE regexp_matches(line, '[^ \\t-\\r]')) AS n_dup_lines,
+                 coalesce(sum(length(line) + 1) FILTER (WHERE NOT bad), 0) AS good
+          FROM judged GROUP BY row),
+        counted AS (
+          SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                 CAST({count('text', _text(r.SYMBOLS))} AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+                 CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+                 length(text) AS size, length(text) - greatest(good - 1, 0) AS lost
+          FROM docs JOIN by_row USING (row) LEFT JOIN repeats USING (row)),
+        failed AS (
+          SELECT *, n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.REPEAT_PERCENT} * n_words AS base_failed FROM counted)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND lost * 100 <= size * {r.LOSS_PERCENT} AS kept
+        FROM failed
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op1_license_scan": _licenses(),
+    "op7_quality_rules": _rules(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,

@@ -8,18 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwatch.llm import bpe, exact_dedup, packing, sharding, simhash, suffix_dedup, token_counts
+from parcelwatch.llm import (
+    bpe, exact_dedup, licenses, packing, quality_crf, quality_rules, sharding, simhash, suffix_dedup, token_counts,
+)
 from parcelwatch.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses that whole texts are, and that their lines state."""
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of SimHash fingerprints of 3-word shingles within 3 bits."""
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=3)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; one id in five is held out from fitting."""
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = quality_crf.score(docs, quality_crf.train(docs, labels, sample=4000), threshold=0.3)
+    return scored.withColumn("held_out", F.coalesce(quality_crf.held_out(), F.lit(False)))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text and the text they decode to, as digests."""
     return bpe.encode_documents(documents(spark, sf_dir), BYTE_BPE, keep_ids=False)
@@ -39,6 +53,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the line rules for every text."""
+    return quality_rules.measure(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text."""
     return token_counts.count_tokens(documents(spark, sf_dir), PIECE_BPE, limit=4096)
@@ -57,7 +78,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_simhash, op4_bpe_round_trip, op5_packing, op6_sharding, op8_token_counts,
-        op9_exact_dedup, op10_suffix_dedup,
+        op1_license_scan, op2_simhash, op3_quality, op4_bpe_round_trip, op5_packing, op6_sharding,
+        op7_quality_rules, op8_token_counts, op9_exact_dedup, op10_suffix_dedup,
     )
 }
