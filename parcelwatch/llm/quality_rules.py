@@ -79,14 +79,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, _bound(hashes, covered)).otherwise(0).cast("bigint")
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All counts, verdicts and the cleaned text of every row.
-
-    ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_bad_lines,
-    lost_chars, base_failed, kept, cleaned``.  A null text has no words and fails; a null ``doc_id``
-    and repeated rows are kept as they are.
-    """
-    text = F.col("text")
+def judged(text: Column) -> Column:
+    """All counts, verdicts and the cleaned text of one text, as a struct; null counts as empty."""
 
     def by_word(words: Column) -> Column:
         return F.struct(
@@ -104,19 +98,48 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             _bound(good, lambda x: F.struct(F.size(x).alias("n"), F.array_join(x, "\n").alias("text"))).alias("good"),
         )
 
-    words = F.array_remove(F.split(text, BLANK + "+"), "")
-    rows = own_columns(docs, id_col, text_col).select(
-        "doc_id", "text", _bound(words, by_word).alias("w"), _bound(F.split(text, "\n"), by_line).alias("l"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-    )
-    lost = F.length("text") - F.length("l.good.text")
-    failed = (F.col("w.n_words") < MIN_WORDS) | (
-        F.col("w.n_repeat_words") * 100 > F.col("w.n_words") * REPEAT_PERCENT
-    )
-    return rows.select(
-        "doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines",
-        (F.col("l.n_lines") - F.col("l.good.n")).alias("n_bad_lines"), lost.cast("bigint").alias("lost_chars"),
-        failed.alias("base_failed"),
-        (~failed & (lost * 100 <= F.length("text") * LOSS_PERCENT)).alias("kept"),
-        F.col("l.good.text").alias("cleaned"),
-    )
+    def verdicts(text: Column, w: Column, x: Column) -> Column:
+        lost = F.length(text) - F.length(x["good"]["text"])
+        failed = (w["n_words"] < MIN_WORDS) | (w["n_repeat_words"] * 100 > w["n_words"] * REPEAT_PERCENT)
+        return F.struct(
+            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+            x["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
+            x["n_lines"].alias("n_lines"), (x["n_lines"] - x["good"]["n"]).alias("n_bad_lines"),
+            lost.cast("bigint").alias("lost_chars"), failed.alias("base_failed"),
+            (~failed & (lost * 100 <= F.length(text) * LOSS_PERCENT)).alias("kept"),
+            x["good"]["text"].alias("cleaned"),
+        )
+
+    def by_text(text: Column) -> Column:
+        words = F.array_remove(F.split(text, BLANK + "+"), "")
+        return _bound(
+            _bound(words, by_word),
+            lambda w: _bound(_bound(F.split(text, "\n"), by_line), lambda x: verdicts(text, w, x)),
+        )
+
+    return _bound(F.coalesce(text, F.lit("")), by_text)
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and the fields of ``judged`` for every row.
+
+    ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_bad_lines, lost_chars,
+    base_failed, kept, cleaned``.  A null text has no words and fails; a null ``doc_id`` and repeated
+    rows are kept as they are.
+    """
+    texts = own_columns(docs, id_col, text_col)
+    return texts.select("doc_id", judged(F.col("text")).alias("found")).select("doc_id", "found.*")
+
+
+def clean(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with their columns; texts lose the lines that fail.
+
+    ``size_col`` is the column that has the text's length in characters, if there is one.
+    """
+    found = "quality_" + "_".join(docs.columns)  # no column of this name can be there
+    new = {text_col: F.col(f"`{found}`.cleaned")}
+    if size_col:
+        new[size_col] = F.length(new[text_col]).cast(docs.schema[size_col].dataType)
+    judged_rows = docs.withColumn(found, judged(docs[text_col])).where(F.col(f"`{found}`.kept"))
+    return judged_rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ many different surroundings are solved by digests of their strings instead, whic
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwatch.llm.common import own_columns, written
+from parcelwatch.llm.common import written
 
 GRAM = 32
 _SEGMENT = 1 << 21
@@ -322,21 +322,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_repeats(
     docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text",
-    keep_text: bool = True, most_variants: int = 12_000,
+    keep_text: bool = True, most_variants: int = 12_000, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, removed]`` of every row.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept, removed][, carried]`` of every row.
 
     Every byte covered by a string of ``length`` bytes that also starts elsewhere, in this text or
     another, is removed; all places count, so none of the copies stays.  ``kept`` is the text that is
     left (characters cut in half are dropped), ``removed`` the byte ranges that went.  A null text
     counts as empty; texts below ``length`` bytes have no strings.  Repeated rows are copies of each
-    other.  A null ``doc_id`` is an id like any other.
+    other.  A null ``doc_id`` is an id like any other.  ``carried`` is a struct of the columns that
+    ``carry`` names.
     """
-    texts = own_columns(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    spans = repeated_spans(texts, length, most_variants)
+    texts = docs.select(
+        docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"),
+        F.struct(*(docs[c] for c in carry)).alias("carried"),
+    ).withColumn("text_hash", F.xxhash64("text"))
+    carried = ["carried"] * bool(carry)
+    spans = repeated_spans(texts.select("doc_id", "text", "text_hash"), length, most_variants)
     spans = spans.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spans")
     match = F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash"))
-    rows = texts.join(spans, match, "left").select("doc_id", "text", "spans.low", "spans.high")
+    rows = texts.join(spans, match, "left").select("doc_id", "text", "spans.low", "spans.high", *carried)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "removed"] * keep_text
 
@@ -356,8 +361,11 @@ def remove_repeats(
                 for values, value in zip(out, row):
                     values.append(value)
             columns = [pa.array(values, type_) for values, type_ in zip(out, types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+            columns += [batch.column(4)] if carried else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names + carried)
 
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     schema += ", kept string, removed array<struct<low: bigint, high: bigint>>" * keep_text
+    if carried:
+        schema += f", carried {texts.schema['carried'].dataType.simpleString()}"
     return rows.mapInArrow(run, schema)
