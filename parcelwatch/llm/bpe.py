@@ -18,12 +18,14 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from parcelwatch.llm.common import own_columns
 
@@ -46,14 +48,25 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _kinds() -> np.ndarray:
-    """1 for letters, 2 for numbers, 3 for white space, 0 for the rest, by code point."""
+def _kinds(library: Tokenizer) -> np.ndarray:
+    """1 for letters, 2 for numbers, 3 for white space, 0 for the rest, by code point.
+
+    Versions of Unicode differ in characters that are new: where the two at hand disagree, the
+    library that reads the vocabulary is asked.
+    """
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     every, table = "".join(map(chr, points)), np.zeros(0x110000, np.uint8)
-    points = np.array(points)
+    index = np.array(points)
     for kind, name in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
         for m in regex.finditer(name, every):
-            table[points[m.start() : m.end()]] = kind
+            table[index[m.start() : m.end()]] = kind
+    known = {"L": 1, "N": 2}
+    for c in points:
+        kind = known.get(unicodedata.category(chr(c))[0], 0)
+        if kind != table[c] and table[c] != 3:
+            # With another of its kind a character makes one word.
+            words = (library.pre_tokenizer.pre_tokenize_str(other + chr(c)) for other in "!a1")
+            table[c] = next((k for k, found in enumerate(words) if len(found) == 1), 3)
     return table
 
 
@@ -84,7 +97,7 @@ class ByteBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        self.kinds = _kinds()
+        self.kinds = _kinds(Tokenizer.from_file(path))
         self.byte_ids = np.zeros(256, np.int32)
         for char, byte in chars.items():
             self.byte_ids[byte] = vocab[char]
