@@ -263,8 +263,9 @@ def repeated_spans(texts: DataFrame, length: int = 200, most_variants: int = 12_
     """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = written(anchor_table(texts, length))
-    several = every.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1")
-    repeated = written(every.join(several.select("gram"), "gram", "left_semi"))
+    # Written first: a join of two plain tables can split a frequent anchor over many tasks.
+    several = written(every.groupBy("gram").agg(F.count("*").alias("uses")).where("uses > 1").select("gram"))
+    repeated = written(every.join(several, "gram", "left_semi"))
     variants = written(
         repeated.groupBy(_VARIANT).agg(
             F.count("*").alias("uses"), F.first("doc_id").alias("doc_id"),
