@@ -81,16 +81,17 @@ def upper_nodes(codes: DataFrame, distance: int, capacity: int = 4096, levels: i
     its children, level by level; on the last one so few bits are free that a node is bounded by
     their combinations.
     """
-    spark = codes.sparkSession
     rows = codes.select(F.lit(0).cast("bigint").alias("mask"), "code")
     masks, done = [0], []
     for level in range(levels):
-        table = [(_signed(m), _signed(c)) for m in masks for c in _children(m, distance)]
-        masks = [c for m in masks for c in _children(m, distance)]
-        split = spark.createDataFrame(table, "mask bigint, child bigint")
-        rows = rows.join(F.broadcast(split), "mask").select(
-            F.col("child").alias("mask"), F.expr("code & child").alias("pattern"), "code"
-        )
+        below = {m: _children(m, distance) for m in masks}
+        masks = [c for children in below.values() for c in children]
+        table = F.create_map(*(
+            part for m, children in below.items()
+            for part in (F.lit(_signed(m)), F.array(*(F.lit(_signed(c)) for c in children)))
+        ))
+        rows = rows.select(F.explode(F.element_at(table, F.col("mask"))).alias("mask"), "code")
+        rows = rows.select("mask", F.expr("code & mask").alias("pattern"), "code")
         if level == levels - 1:
             done.append(rows)
             break
