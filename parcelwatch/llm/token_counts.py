@@ -90,6 +90,7 @@ def count_tokens(
     lead = [r["pre_token"] for r in frequent_pre_tokens(texts, table_size).collect()]
     first = _load(model)
     table = dict(zip(lead, map(len, first.encode(lead, num_threads=1)))) if lead else {}
+    table[""] = len(first.encode("a ")) - len(first.encode("a"))  # one space at the end of a text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = _load(model)
