@@ -6,9 +6,6 @@ on hashes instead of contents, so the comparison is a single shuffle of short ro
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +41,17 @@ def strip_single_root(files: DataFrame) -> DataFrame:
     Give it paths or fingerprints, not contents: rows are shuffled.
     """
     path = F.col("path")
-    top = F.when(path.contains("/"), F.substring_index(path, "/", 1))
+    # A file beside the directory is a second top.
+    top = F.when(path.contains("/"), F.concat(F.substring_index(path, "/", 1), F.lit("/"))).otherwise(path)
     roots = files.groupBy("pkg", "version").agg(F.min(top).alias("_a"), F.max(top).alias("_b"))
-    single = roots.filter(F.col("_a") == F.col("_b")).select(
+    single = roots.filter((F.col("_a") == F.col("_b")) & F.col("_a").endswith("/")).select(
         "pkg", "version", F.col("_a").alias("_root")
     )
     root = F.col("_root")
     return (
         files.join(single, ["pkg", "version"], "left")
-        .filter(root.isNull() | path.startswith(F.concat(root, F.lit("/"))))
         .withColumn(
-            "path", F.when(root.isNull(), path).otherwise(F.substr(path, F.length(root) + 2))
+            "path", F.when(root.isNull(), path).otherwise(F.substr(path, F.length(root) + 1))
         )
         .drop("_root")
     )
@@ -81,12 +78,14 @@ def _is_build_file(path: Column) -> Column:
     )
 
 
-_WORDS = range(4)
-
+def _number(sha256: Column) -> Column:
+    """The first 120 bits of a hash as one number.
 
-def _word(sha256: Column, i: int) -> Column:
-    """One of the four 64-bit words of a hash."""
-    return F.conv(F.substring(sha256, 16 * i + 1, 16), 16, -10).cast("bigint")
+    One value, so that the rows of a path listed twice never mix; a number, as the maximum of a text
+    cannot be hash-aggregated and would sort.
+    """
+    high, low = (F.conv(F.substring(sha256, i, 15), 16, 10).cast("decimal(19,0)") for i in (1, 16))
+    return (high * F.lit(1 << 60).cast("decimal(19,0)") + low).cast("decimal(38,0)")
 
 
 def match(published: DataFrame, source: DataFrame) -> DataFrame:
@@ -96,35 +95,32 @@ def match(published: DataFrame, source: DataFrame) -> DataFrame:
     ``class`` is ``same``, ``modified``, ``expected_build`` or ``unexpected`` for published files
     and null for paths only the source has.
     """
-    none = F.lit(None).cast("bigint")
-
-    def rows(df: DataFrame, ours: bool = False, theirs: bool = False) -> DataFrame:
-        words = [_word(F.col("sha256"), i) for i in _WORDS] if ours or theirs else None
-        return df.select(
-            *_PATH_KEY,
-            *[(words[i] if ours else none).alias(f"ours_{i}") for i in _WORDS],
-            *[(words[i] if theirs else none).alias(f"theirs_{i}") for i in _WORDS],
-            F.lit(not (ours or theirs)).alias("twin"),
-        )
-
-    compiled = source.filter(F.col("path").rlike(r"\.(?:tsx?|mts|cts)\z")).select(
-        "pkg", "version", F.explode(_compiled_paths(F.col("path"))).alias("path")
+    none = F.lit(None).cast("decimal(38,0)")
+    number = _number(F.col("sha256"))
+    ours = published.select(
+        *_PATH_KEY, number.alias("ours_hash"), none.alias("theirs_hash"), F.lit(False).alias("twin")
+    )
+    # A source file and the files it compiles to leave one read together.
+    path = F.col("path")
+    compiles = path.rlike(r"\.(?:tsx?|mts|cts)\z")
+    own = F.struct(path.alias("path"), number.alias("theirs_hash"), F.lit(False).alias("twin"))
+    twins = F.transform(
+        _compiled_paths(path),
+        lambda p: F.struct(p.alias("path"), none.alias("theirs_hash"), F.lit(True).alias("twin")),
+    )
+    every = F.when(compiles, F.concat(F.array(own), twins)).otherwise(F.array(own))
+    theirs = source.select("pkg", "version", F.inline(every)).select(
+        *_PATH_KEY, none.alias("ours_hash"), "theirs_hash", "twin"
     )
-    # Hashes travel as numbers: the maximum of a text cannot be hash-aggregated and would sort.
-    sides = [f"{side}_{i}" for side in ("ours", "theirs") for i in _WORDS]
     met = (
-        rows(published, ours=True)
-        .unionByName(rows(source, theirs=True))
-        .unionByName(rows(compiled))
+        ours.unionByName(theirs)
         .groupBy(*_PATH_KEY)
-        .agg(*[F.max(c).alias(c) for c in (*sides, "twin")])
+        .agg(*[F.max(c).alias(c) for c in ("ours_hash", "theirs_hash", "twin")])
         .withColumns(
             {
-                "ours": F.col("ours_0").isNotNull(),
-                "theirs": F.col("theirs_0").isNotNull(),
-                "equal": functools.reduce(
-                    operator.and_, [F.col(f"ours_{i}") == F.col(f"theirs_{i}") for i in _WORDS]
-                ),
+                "ours": F.col("ours_hash").isNotNull(),
+                "theirs": F.col("theirs_hash").isNotNull(),
+                "equal": F.col("ours_hash") == F.col("theirs_hash"),
             }
         )
     )
@@ -144,8 +140,13 @@ def match(published: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def classes(matched: DataFrame) -> DataFrame:
-    """The published files that differ from the source in some way."""
-    return matched.filter(F.col("class") != "same").select(*_PATH_KEY, "class")
+    """The published files that differ from the source in some way.
+
+    Releases without a source were not compared and list nothing.
+    """
+    compared = matched.filter("theirs").select("pkg", "version").distinct()
+    differing = matched.filter(F.col("class") != "same").select(*_PATH_KEY, "class")
+    return differing.join(compared, ["pkg", "version"], "left_semi")
 
 
 def rollup(matched: DataFrame) -> DataFrame:

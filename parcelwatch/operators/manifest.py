@@ -59,26 +59,11 @@ def summarize_hooks(findings: DataFrame) -> DataFrame:
     )
 
 
-def merged_dependencies(dependencies: DataFrame) -> DataFrame:
-    """One row per dependency name; an optional entry overrides a direct one.
-
-    Carries how often the name is listed directly and optionally, so counting per release reuses
-    this shuffle instead of reading the dependencies again.
-    """
-    spec, optional = F.col("spec"), F.col("kind") == "optional"
-    return dependencies.groupBy("pkg", "version", "name").agg(
-        F.when(F.count_if(optional) > 0, F.max(F.when(optional, spec)))
-        .otherwise(F.max(spec))
-        .alias("spec"),
-        F.count_if(~optional).alias("direct"),
-        F.count_if(optional).alias("optional"),
-    )
-
-
-def dependency_counts(merged: DataFrame) -> DataFrame:
+def dependency_counts(dependencies: DataFrame) -> DataFrame:
     """Direct and optional dependencies per package version; a name in both counts twice."""
-    return merged.groupBy("pkg", "version").agg(
-        F.sum("direct").alias("n_direct"), F.sum("optional").alias("n_optional")
+    optional = F.col("kind") == "optional"
+    return dependencies.groupBy("pkg", "version").agg(
+        F.count_if(~optional).alias("n_direct"), F.count_if(optional).alias("n_optional")
     )
 
 
@@ -112,8 +97,12 @@ def count_findings(counts: DataFrame) -> DataFrame:
     )
 
 
-def spec_findings(merged: DataFrame) -> DataFrame:
-    """Unpinned specs (critical) and specs that bypass the registry (warning)."""
+def spec_findings(dependencies: DataFrame) -> DataFrame:
+    """Unpinned specs (critical) and specs that bypass the registry (warning).
+
+    An optional entry overrides a direct one of the same name.  Only specs worth a finding take part
+    in that, so no text is aggregated.
+    """
     name, spec = F.col("name"), F.col("spec")
     unpinned = spec.isin(*rules.UNPINNED_SPECS)
     message = F.when(
@@ -123,8 +112,13 @@ def spec_findings(merged: DataFrame) -> DataFrame:
     ).otherwise(
         F.concat(F.lit("Git URL dependency: "), name, F.lit(" — not pinned to npm registry"))
     )
+    worth = dependencies.filter(unpinned | spec.rlike(rules.GIT_SPEC))
+    optional = F.col("kind") == "optional"
+    key = ["pkg", "version", "name"]
+    direct = worth.filter(~optional).join(dependencies.filter(optional).select(*key), key, "left_anti")
+    columns = [*key, "spec"]
     return as_findings(
-        merged.filter(unpinned | spec.rlike(rules.GIT_SPEC)).select(
+        direct.select(*columns).unionByName(worth.filter(optional).select(*columns)).select(
             "pkg",
             "version",
             F.lit(DEPENDENCIES).alias("scanner"),
@@ -139,5 +133,4 @@ def spec_findings(merged: DataFrame) -> DataFrame:
 
 def scan_dependencies(dependencies: DataFrame) -> DataFrame:
     """``dependencies(pkg, version, name, spec, kind)`` to findings."""
-    merged = merged_dependencies(dependencies)
-    return count_findings(dependency_counts(merged)).unionByName(spec_findings(merged))
+    return count_findings(dependency_counts(dependencies)).unionByName(spec_findings(dependencies))

@@ -18,19 +18,28 @@ def parse_links(links: DataFrame) -> DataFrame:
 def link_health(links: DataFrame, health: DataFrame) -> DataFrame:
     """Health of each release's repository; ``found`` is false where there is none.
 
-    ``links(pkg, version, repository_url, publisher, ...)`` and ``health(full_name, ...)``.
+    ``links(pkg, version, repository_url, publisher, ...)`` and ``health(full_name, ...)``, which may
+    say in ``requested`` under which name it was asked for: a renamed repository answers to its old
+    name.  Of several records for a name, in whatever case, one counts.
     Releases without a usable link are set aside before the join: as nulls they would all land
     in one task.
     """
     parsed = parse_links(links)
-    by_name = health.withColumn("_repo", F.lower("full_name"))
+    asked = F.coalesce("requested", "full_name") if "requested" in health.columns else F.col("full_name")
+    record = F.struct(*[c for c in health.columns if c != "requested"])
+    # The second key makes the join shuffle anew: after a grouping by the first alone, Spark could not
+    # split a repository that very many releases share.
+    by_name = (
+        health.groupBy(F.lower(asked).alias("_repo")).agg(F.max(record).alias("_record"))
+        .select("_repo", F.length("_repo").alias("_size"), "_record.*")
+    )
     usable = F.col("owner").isNotNull() & F.col("repo").isNotNull()
     key = F.lower(F.concat_ws("/", "owner", "repo"))
     joined = (
         parsed.filter(usable)
-        .withColumn("_repo", key)
-        .join(by_name, "_repo", "left")
-        .drop("_repo")
+        .withColumns({"_repo": key, "_size": F.length(key)})
+        .join(by_name, ["_repo", "_size"], "left")
+        .drop("_repo", "_size")
         .withColumn("found", F.col("full_name").isNotNull())
         .withColumn(
             "publisher_matches",

@@ -135,7 +135,11 @@ def total_columns(weights: Weights = rules.CATEGORY_WEIGHTS) -> list[Column]:
 
 
 def score_totals(totals: DataFrame, weights: Weights = rules.CATEGORY_WEIGHTS) -> DataFrame:
-    """Category points, score, grade, verdict and exit code from ``total_columns``."""
+    """Category points, score, grade, verdict and exit code from ``total_columns``.
+
+    Points of a partial run add up to no grade: where a weighted scanner did not run, grade, verdict
+    and exit code are null.
+    """
 
     def count(name: str, s: str) -> str:
         n = f"`{name}_{s}`"
@@ -150,16 +154,30 @@ def score_totals(totals: DataFrame, weights: Weights = rules.CATEGORY_WEIGHTS) -
         points = _category_points(weight, [f"({count(name, s)})" for s in _SEVERITIES])
         earned.append(F.expr(f"CASE WHEN `ran_{name}` THEN {points} ELSE 0D END AS `{name}_points`"))
     by_category = totals.filter("any_run").select(
-        "pkg", "version", *earned, "repository_points", "diff_points"
-    )
+        "pkg", "version", *earned, "repository_points", "diff_points",
+        F.expr(" AND ".join(f"`ran_{name}`" for name in weights)).alias("_complete"),
+    )
     points = [f"`{name}_points`" for name in weights] + ["repository_points", "diff_points"]
     total = F.expr(" + ".join(points))
-    return judge(
+    judged = judge(
         by_category.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)))
     )
+    whole = {c: F.when(F.col("_complete"), F.col(c)) for c in ("grade", "verdict", "exit_code")}
+    return judged.withColumns(whole).drop("_complete")
+
+
+def merge_totals(*parts: DataFrame) -> DataFrame:
+    """Totals of the same releases from different runs, added up."""
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    kinds = {name: kind for name, kind in stacked.dtypes if name not in ("pkg", "version")}
+    return stacked.groupBy("pkg", "version").agg(
+        *[(F.max if kind == "boolean" else F.sum)(name).alias(name) for name, kind in kinds.items()]
+    )
 
 
-def score(
+def totals(
     findings: DataFrame,
     runs: DataFrame,
     flags: DataFrame | None = None,
@@ -167,14 +185,7 @@ def score(
     compared: DataFrame | None = None,
     weights: Weights = rules.CATEGORY_WEIGHTS,
 ) -> DataFrame:
-    """Score every release that appears in ``runs``.
-
-    ``findings`` may come straight from ``scan_contents``: with ``flags(pkg, version, is_cli)`` the
-    allowance for command-line tools is made here, on counts.  ``repositories(pkg, version, found,
-    repository_points)`` and ``compared(pkg, version, diff_points)`` add what those checks earned;
-    a comparison only counts where a repository was found.  A scanner of one's own takes part once
-    ``weights`` names it; findings of scanners without a weight are free.
-    """
+    """The additive facts of every release, from one grouping; arguments as for :func:`score`."""
     stacked = finding_rows(findings, weights).unionByName(run_rows(runs))
     if flags is not None:
         stacked = stacked.unionByName(_rows(flags, is_cli=F.col("is_cli")))
@@ -188,12 +199,32 @@ def score(
         )
     if compared is not None:
         stacked = stacked.unionByName(_rows(compared, diff_points=F.col("diff_points")))
-    totals = stacked.groupBy("pkg", "version").agg(*total_columns(weights))
-    if repositories is not None:
-        totals = totals.withColumn(
-            "diff_points", F.when(F.col("found"), F.col("diff_points")).otherwise(0.0)
-        )
-    return score_totals(totals, weights)
+    return stacked.groupBy("pkg", "version").agg(*total_columns(weights))
+
+
+def only_found(summed: DataFrame) -> DataFrame:
+    """A comparison only counts where a repository was found."""
+    return summed.withColumn("diff_points", F.when(F.col("found"), F.col("diff_points")).otherwise(0.0))
+
+
+def score(
+    findings: DataFrame,
+    runs: DataFrame,
+    flags: DataFrame | None = None,
+    repositories: DataFrame | None = None,
+    compared: DataFrame | None = None,
+    weights: Weights = rules.CATEGORY_WEIGHTS,
+) -> DataFrame:
+    """Score every release that appears in ``runs``.
+
+    ``findings`` may come straight from ``scan_contents``: with ``flags(pkg, version, is_cli)`` the
+    allowance for command-line tools is made here, on counts.  ``repositories(pkg, version, found,
+    repository_points)`` and ``compared(pkg, version, diff_points)`` add what those checks earned;
+    a comparison only counts where a repository was found.  A scanner of one's own takes part once
+    ``weights`` names it; findings of scanners without a weight are free.
+    """
+    summed = totals(findings, runs, flags, repositories, compared, weights)
+    return score_totals(summed if repositories is None else only_found(summed), weights)
 
 
 def relaxed_counts(findings: DataFrame, flags: DataFrame) -> DataFrame:

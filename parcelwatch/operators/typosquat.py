@@ -153,12 +153,6 @@ def scan_typosquatting(releases: DataFrame, popular: DataFrame) -> DataFrame:
 
 def summarize(names: DataFrame, popular: DataFrame) -> DataFrame:
     """``name, passed, summary`` for every distinct name."""
-    if popular.isEmpty():
-        return names.select("name").distinct().select(
-            "name",
-            F.lit(True).alias("passed"),
-            F.lit("Popular packages list unavailable — skipped").alias("summary"),
-        )
     asked = names.select("name").distinct().withColumn("bare", bare_name(F.col("name")))
     known = popular.select(bare_name(F.col("name")).alias("bare"), F.lit(True).alias("known"))
     # The list per name is at most the popular names around it.
@@ -174,13 +168,15 @@ def summarize(names: DataFrame, popular: DataFrame) -> DataFrame:
     )
     near = similar_names(names, popular).groupBy("name").agg(listed.alias("near"))
     is_known, is_near = F.col("known").isNotNull(), F.col("near").isNotNull()
+    listed_any = popular.limit(1).agg(F.count("*")).scalar() > 0
     return (
         asked.join(known.distinct(), "bare", "left")
         .join(near, "name", "left")
         .select(
             "name",
             (~is_near).alias("passed"),
-            F.when(
+            F.when(~listed_any, "Popular packages list unavailable — skipped")
+            .when(
                 is_known, F.concat(F.lit('"'), F.col("name"), F.lit('" is a known popular package'))
             )
             .when(is_near, F.concat(F.lit("Similar to: "), F.col("near")))

@@ -207,8 +207,8 @@ _SECRETS = (
     + "\nUNION ALL\n".join(
         f"""SELECT pkg, version, 'secrets' AS scanner, {_q(r.severity)} AS severity, {_q(r.rule_id)} AS rule_id,
   {_q(r.message)} AS message, path AS file, n AS line,
-  concat(left(regexp_extract(line, {_q(r.pattern)}), 4), '****', right(regexp_extract(line, {_q(r.pattern)}), 4)) AS evidence
-FROM text_line WHERE regexp_matches(line, {_q(r.pattern)})"""
+  concat(left(found, 4), '****', right(found, 4)) AS evidence
+FROM (SELECT *, unnest(regexp_extract_all(line, {_q(r.pattern)})) AS found FROM text_line)"""
         for r in rules.SECRET_RULES
     ) + ")"
 )
@@ -378,8 +378,9 @@ ORACLES["typosquat_findings"] = _with(["popular", "release_name"], _TYPOSQUAT, "
 
 # --- source comparison ----------------------------------------------------------------------
 
-_DIFF = rf"""pub AS (SELECT pkg, version, path, sha256(content) AS sha FROM package_files WHERE NOT contains(path, 'node_modules/')),
-src AS (SELECT pkg, version, path, sha256(content) AS sha FROM source_files WHERE NOT contains(path, 'node_modules/')),
+_COMPARED = r"NOT regexp_matches(path, '(^|/)(node_modules|\.[^/]*)/')"
+_DIFF = rf"""pub AS (SELECT pkg, version, path, sha256(content) AS sha FROM package_files WHERE {_COMPARED}),
+src AS (SELECT pkg, version, path, sha256(content) AS sha FROM source_files WHERE {_COMPARED}),
 missing AS (SELECT * FROM pub ANTI JOIN src USING (pkg, version, path)),
 twin AS (
   SELECT DISTINCT m.pkg, m.version, m.path FROM (
@@ -404,7 +405,10 @@ diff_count AS (
 diff_score AS (
   SELECT *, CASE WHEN NOT performed THEN 0.0::DOUBLE WHEN n_unexpected = 0 THEN 10.0::DOUBLE
     ELSE 10 - least(8, 3 * (1 + ln(n_unexpected::DOUBLE))) END AS diff_points FROM diff_count)"""
-ORACLES["diff_classes"] = _with(["package_files", "source_files"], _DIFF, "SELECT * FROM classified")
+ORACLES["diff_classes"] = _with(
+    ["package_files", "source_files"], _DIFF,
+    "SELECT * FROM classified WHERE (pkg, version) IN (SELECT (pkg, version) FROM src)",
+)
 ORACLES["diff_rollup"] = _with(
     ["package_files", "source_files"], _DIFF,
     "SELECT * REPLACE (round(diff_points, 6) AS diff_points) FROM diff_score",
@@ -428,7 +432,7 @@ repo_scored AS (
       - CASE WHEN stars = 0 THEN 5 ELSE 0 END
       - CASE WHEN created_at > (SELECT max(o_orderdate) FROM orders) - INTERVAL 1 MONTH THEN 5 ELSE 0 END
       - CASE WHEN lower(publisher) = lower(owner) OR provenance_id IS NOT NULL THEN 0 WHEN stars >= 100 THEN 3 ELSE 10 END) END AS repository_points
-  FROM parsed LEFT JOIN repo_health ON lower(full_name) = lower(concat(owner, '/', repo)))"""
+  FROM parsed LEFT JOIN (SELECT DISTINCT ON (lower(requested)) * FROM repo_health) ON lower(requested) = lower(concat(owner, '/', repo)))"""
 
 
 ORACLES["repo_parse"] = _with(
@@ -499,7 +503,11 @@ _CONTENT = _merge(_STATIC, _OBFUSCATION.replace(_CODE_LINES + ",\n", ""), _SECRE
 _CONTENT_SOURCES = {
     "static": "static_finding", "obfuscation": "obfuscation_finding", "secrets": "secret_finding",
 }
-ORACLES["package_scores"] = _with(["package_files", "pkg_flags"], _CONTENT, _score(_CONTENT_SOURCES))
+ORACLES["content_points"] = _with(
+    ["package_files", "pkg_flags"], _CONTENT,
+    "SELECT pkg, version, static_points, obfuscation_points, secrets_points, CAST(NULL AS VARCHAR) AS grade "
+    f"FROM ({_score(_CONTENT_SOURCES)})",
+)
 
 
 _ALL_VIEWS = [
@@ -521,6 +529,9 @@ _FINAL = _score(
     {s: _ALL_SOURCES[s] for s in rules.CATEGORY_WEIGHTS}, "repo_scored", _FOUND_DIFF
 )
 ORACLES["final_scores"] = _with(_ALL_VIEWS, _EVERYTHING, _FINAL)
+ORACLES["package_scores"] = _with(
+    _ALL_VIEWS, _EVERYTHING, f"SELECT pkg, version, score, grade, verdict, exit_code FROM ({_FINAL})"
+)
 
 _ALL_FINDINGS = _merge(
     _CONTENT, _MANIFEST, _IOC.replace(_lines("text_line", _IS_TEXT) + ",\n", "")
@@ -582,7 +593,9 @@ ORACLES["scanner_results"] = _with(_ALL_VIEWS, _ALL_FINDINGS, "SELECT * FROM res
 ORACLES["report_index"] = _with(
     _ALL_VIEWS, _merge(_ALL_FINDINGS, _DIFF, _repository("release_link")),
     f"""SELECT pkg, version, CAST((SELECT count(*) FROM finding f WHERE f.pkg = s.pkg AND f.version = s.version) AS BIGINT) AS n_findings,
-  coalesce(n_unexpected, 0) AS n_unexpected, coalesce(n_expected_build, 0) AS n_expected_build, coalesce(n_modified, 0) AS n_modified,
+  CASE WHEN found AND performed THEN n_unexpected ELSE 0 END AS n_unexpected,
+  CASE WHEN found AND performed THEN n_expected_build ELSE 0 END AS n_expected_build,
+  CASE WHEN found AND performed THEN n_modified ELSE 0 END AS n_modified,
   coalesce(found, false) AS found, score, grade, exit_code, CAST(8 AS INTEGER) AS n_scanners
 FROM ({_FINAL}) s LEFT JOIN diff_count USING (pkg, version) LEFT JOIN repo_scored USING (pkg, version)""",
 )
@@ -669,6 +682,11 @@ FROM (SELECT o_orderkey, CAST(floor(o_totalprice * pow(10, o_orderkey % 8)) AS B
 ORACLES["archive_files"] = with_views(
     ["package_files"], "SELECT pkg, version, path, sha256(content) AS sha256 FROM package_files"
 )
+ORACLES["archive_failures"] = with_views(
+    ["package_files"],
+    """SELECT pkg, version, 'damaged archive' AS error FROM package_files
+WHERE TRY_CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) % 9 = 4""",
+)
 ORACLES["source_roots"] = with_views(
     ["archived_source"],
     """, tops AS (SELECT pkg, version, list(DISTINCT split_part(path, '/', 1)) AS top FROM archived_source GROUP BY ALL)
@@ -691,16 +709,17 @@ SELECT config_file, name, command, array_to_string(args, ' ') AS args, npm_packa
   coalesce(contains(npm_package[2:], '@') AND regexp_extract(npm_package, '@([^@]*)$', 1) NOT IN ('', 'latest', 'next'), false) AS version_pinned
 FROM joined""",
 )
-_FLEET = _CONTENT + f""",
-score AS ({_score(_CONTENT_SOURCES)}),
+_FLEET = _EVERYTHING + f""",
+score AS ({_FINAL}),
+tagged AS (SELECT json_extract_string(body, '$.name') AS pkg, json_extract_string(body, '$."dist-tags".latest') AS latest FROM package_doc),
 wanted AS (
   SELECT config_file, 'main' AS server, json_extract_string(body, '$.mcpServers.main.args[1]') AS npm_package FROM fleet_config),
 server_score AS (
   SELECT config_file, server, npm_package, contains(npm_package, '@') AS version_pinned, split_part(npm_package, '@', 1) AS pkg, s.version,
     s.score, s.grade, s.verdict, coalesce(s.exit_code, 2) AS exit_code
   FROM wanted w LEFT JOIN score s ON s.pkg = split_part(npm_package, '@', 1)
-    AND s.version = coalesce(nullif(split_part(npm_package, '@', 2), ''), (SELECT max(version) FROM pkg_flags p WHERE p.pkg = split_part(npm_package, '@', 1))))"""
-_FLEET_VIEWS = ["package_files", "pkg_flags", "fleet_config"]
+    AND s.version = coalesce(nullif(split_part(npm_package, '@', 2), ''), (SELECT latest FROM tagged t WHERE t.pkg = split_part(npm_package, '@', 1))))"""
+_FLEET_VIEWS = [*_ALL_VIEWS, "package_doc", "fleet_config"]
 ORACLES["server_scores"] = _with(_FLEET_VIEWS, _FLEET, "SELECT * FROM server_score")
 ORACLES["fleet_gate"] = _with(
     _FLEET_VIEWS, _FLEET,
@@ -727,8 +746,4 @@ ORACLES["stream_findings"] = _with(
     ["package_files", "pkg_flags"], _merge(_CONTENT, _BINARIES),
     " UNION ALL ".join(f"SELECT * FROM {t}" for t in (*_CONTENT_SOURCES.values(), "binary_finding")),
 )
-_STREAM_SOURCES = {**_CONTENT_SOURCES, "binaries": "binary_finding"}
-ORACLES["stream_scores"] = _with(
-    ["package_files", "pkg_flags"], _merge(_CONTENT, _BINARIES),
-    _score({s: t for s, t in _STREAM_SOURCES.items()}),
-)
+ORACLES["stream_scores"] = ORACLES["final_scores"]

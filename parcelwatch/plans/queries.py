@@ -116,9 +116,7 @@ def hook_summary(spark, sf):
 
 @query
 def dependency_counts(spark, sf):
-    return manifest.dependency_counts(
-        manifest.merged_dependencies(view(spark, sf, "dependency"))
-    )
+    return manifest.dependency_counts(view(spark, sf, "dependency"))
 
 
 @query
@@ -187,9 +185,8 @@ def repo_parse(spark, sf):
 
 
 def _as_of(spark, sf) -> F.Column:
-    """Date of the assessment: the latest order, fetched as one literal."""
-    latest = table(spark, sf, "orders").agg(F.max("o_orderdate")).first()[0]
-    return F.lit(latest).cast("timestamp_ntz")
+    """Date of the assessment: the latest order."""
+    return table(spark, sf, "orders").agg(F.max("o_orderdate")).scalar().cast("timestamp_ntz")
 
 
 @query
@@ -220,13 +217,14 @@ _POINTS = [f"{s}_points" for s in rules.CATEGORY_WEIGHTS] + ["repository_points"
 
 
 @query
-def package_scores(spark, sf):
-    """Scores from the content scanners alone."""
+def content_points(spark, sf):
+    """Points of the content scanners alone: a partial run, so no grade."""
     files = view(spark, sf, "package_files")
     flags = view(spark, sf, "pkg_flags")
-    runs = scoring.scan_runs(flags, ("static", "obfuscation", "secrets"))
+    runs = scoring.scan_runs(flags, scan.CONTENT_SCANNERS)
     scored = scoring.score(scan.scan_contents(files), runs, flags)
-    return _round(scored, *_POINTS, "score")
+    points = [f"{s}_points" for s in scan.CONTENT_SCANNERS]
+    return _round(scored, *points).select("pkg", "version", *points, "grade")
 
 
 def _release_links(spark, sf):
@@ -256,13 +254,24 @@ def _final_scores(spark, sf, findings, flags=None):
     )
 
 
-@query
-def final_scores(spark, sf):
+def _scored(spark, sf):
+    """The full score of every release: all weighted scanners, health and comparison."""
     findings = union_findings(
         scan.scan_contents(view(spark, sf, "package_files")), _manifest_findings(spark, sf)
     )
-    scored = _final_scores(spark, sf, findings, view(spark, sf, "pkg_flags"))
-    return _round(scored, *_POINTS, "score")
+    return _final_scores(spark, sf, findings, view(spark, sf, "pkg_flags"))
+
+
+@query
+def final_scores(spark, sf):
+    return _round(_scored(spark, sf), *_POINTS, "score")
+
+
+@query
+def package_scores(spark, sf):
+    """Score, grade, verdict and exit code of every release."""
+    columns = ("pkg", "version", "score", "grade", "verdict", "exit_code")
+    return _round(_scored(spark, sf), "score").select(*columns)
 
 
 def _all_findings(spark, sf):
@@ -288,7 +297,7 @@ def _scanner_results(spark, sf, findings):
     facts = results.with_facts(
         view(spark, sf, "package_files"),
         flags,
-        manifest.dependency_counts(manifest.merged_dependencies(dependencies)),
+        manifest.dependency_counts(dependencies),
         view(spark, sf, "release_script"),
         names,
         typosquat.summarize(names, view(spark, sf, "popular")),
@@ -307,6 +316,12 @@ def scanner_results(spark, sf):
     return _scanner_results(spark, sf, _all_findings(spark, sf))
 
 
+def _reported_differences(spark, sf):
+    """Files that differ, of releases whose repository was found."""
+    found = _release_links(spark, sf).filter("found").select("pkg", "version").distinct()
+    return diff.classes(_matched(spark, sf)).join(found, ["pkg", "version"], "left_semi")
+
+
 def _report(spark, sf):
     # Findings feed sections, summaries and scores: written once.
     path = f"{scratch_dir(spark)}/findings"
@@ -319,7 +334,7 @@ def _report(spark, sf):
         repositories=_release_links(spark, sf).select(
             "pkg", "version", "found", "full_name", "stars", "archived", "publisher_matches"
         ),
-        differences=diff.classes(_matched(spark, sf)),
+        differences=_reported_differences(spark, sf),
         part_size=10,
     )
 
@@ -414,6 +429,15 @@ def archive_files(spark, sf):
     )
 
 
+@query
+def archive_failures(spark, sf):
+    """Archives cut short, as a broken download leaves them."""
+    packed = corpus.pack_archives(view(spark, sf, "package_files"))
+    number = F.regexp_extract("path", "([0-9]+)", 1).try_cast("bigint")
+    cut = F.when(number % 9 == 4, F.substring("content", 1, 60)).otherwise(F.col("content"))
+    return archives.damaged_archives(packed.withColumn("content", cut))
+
+
 @query
 def source_roots(spark, sf):
     return diff.strip_single_root(
@@ -431,15 +455,11 @@ def tool_servers(spark, sf):
 
 
 def _gated(spark, sf):
-    flags = view(spark, sf, "pkg_flags")
-    scores = scoring.score(
-        scan.scan_contents(view(spark, sf, "package_files")),
-        scoring.scan_runs(flags, ("static", "obfuscation", "secrets")),
-        flags,
-    )
-    latest = flags.groupBy("pkg").agg(F.max("version").alias("version"))
+    # The latest version is what the registry says, not the largest text.
+    index = registry.index_documents(view(spark, sf, "package_doc"))
+    latest = index.select(F.col("name").alias("pkg"), F.col("latest").alias("version"))
     servers = fleet.tool_servers(view(spark, sf, "fleet_config"))
-    return fleet.gate_servers(servers, scores, latest)
+    return fleet.gate_servers(servers, _scored(spark, sf), latest)
 
 
 @query
@@ -479,8 +499,7 @@ def _file_stream(spark, sf):
     documents = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(
         f"{sf}/document[s].parquet"  # a glob: one file or a folder of them
     )
-    documents.createOrReplaceTempView("documents")
-    return spark.sql(corpus.VIEWS["package_files"]), flags
+    return corpus.planted(spark, "package_files", {"documents": documents}), flags
 
 
 @query
@@ -500,11 +519,19 @@ def stream_scores(spark, sf):
     )
     arriving, flags = _file_stream(spark, sf)
     base = scratch_dir(spark)
+    # What needs no files is summed up once and joined to each batch of complete releases.
+    resting = tuple(s for s in rules.CATEGORY_WEIGHTS if s not in feed.FILE_SCANNERS)
+    findings = _manifest_findings(spark, sf).filter(F.col("scanner").isin(*resting))
+    compared = diff.score_rollup(diff.rollup(_matched(spark, sf)))
+    scoring.totals(
+        findings, scoring.scan_runs(flags, resting), flags, _release_links(spark, sf), compared
+    ).write.parquet(f"{base}/others")
     feed.write_scores(
         arriving,
         counts.join(flags, ["pkg", "version"]),
         f"{base}/scores",
         f"{base}/progress",
+        others=spark.read.parquet(f"{base}/others"),
         availableNow=True,
     ).awaitTermination()
     return _round(spark.read.parquet(f"{base}/scores").drop("batch"), *_POINTS, "score")

@@ -18,7 +18,8 @@ def expand_archives(archives: DataFrame, root: str | None = "package") -> DataFr
 
     Only regular files below the ``root`` directory are kept, relative to it; ``None`` keeps every
     file as it is.  An archive is one cell, read as a stream by the task that holds it, and files
-    leave in batches of limited size.  A damaged archive yields the files before the damage.
+    leave in batches of limited size.  A damaged archive yields the files before the damage; take the
+    releases that :func:`damaged_archives` names out of what follows.
     """
     prefix = "" if root is None else root.rstrip("/") + "/"
 
@@ -50,3 +51,27 @@ def expand_archives(archives: DataFrame, root: str | None = "package") -> DataFr
     return archives.select("pkg", "version", "content").mapInPandas(
         expand, "pkg string, version string, path string, content string"
     )
+
+
+def damaged_archives(archives: DataFrame) -> DataFrame:
+    """``pkg, version, error`` for every archive that can't be read to its end.
+
+    Their releases count as failed: part of the files is no basis for a score.
+    """
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            failed = []
+            for pkg, version, data in zip(frame["pkg"], frame["version"], frame["content"]):
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as tar:
+                        for entry in tar:
+                            if entry.isfile():
+                                tar.extractfile(entry).read()
+                except (tarfile.TarError, zlib.error, EOFError, OSError):
+                    failed.append((pkg, version, "damaged archive"))
+            yield pd.DataFrame(failed, columns=["pkg", "version", "error"])
+
+    return archives.select("pkg", "version", "content").mapInPandas(
+        check, "pkg string, version string, error string"
+    )

@@ -59,13 +59,19 @@ def read_health(spark: SparkSession, path: str) -> DataFrame:
 
 
 def health_records(raw: DataFrame) -> DataFrame:
-    """Hosting-service records to ``repo_health``; a date that does not parse is null."""
+    """Hosting-service records to ``repo_health``; a date that does not parse is null.
+
+    A record without a name keeps the one it was ``requested`` under, where that is known.
+    """
 
     def or_zero(name: str):
         return F.coalesce(F.col(name), F.lit(0))
 
-    return raw.filter(F.col("full_name").isNotNull()).select(
-        "full_name",
+    asked = [F.col("requested")] if "requested" in raw.columns else []
+    name = F.coalesce("full_name", *asked)
+    return raw.filter(name.isNotNull()).select(
+        name.alias("full_name"),
+        *asked,
         or_zero("stargazers_count").alias("stars"),
         or_zero("forks_count").alias("forks"),
         or_zero("open_issues_count").alias("open_issues"),

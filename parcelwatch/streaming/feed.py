@@ -59,17 +59,27 @@ def running_totals(files: DataFrame, max_delay: str | None = None) -> DataFrame:
     )
 
 
-def score_complete(totals: DataFrame, releases: DataFrame) -> DataFrame:
+def score_complete(
+    totals: DataFrame, releases: DataFrame, others: DataFrame | None = None
+) -> DataFrame:
     """Scores of the releases whose last file has arrived.
 
-    ``releases(pkg, version, file_count, is_cli)`` comes from the registry documents.
+    ``releases(pkg, version, file_count, is_cli)`` comes from the registry documents.  ``others`` are
+    the totals (:func:`scoring.totals`) of what needs no files: manifests, names, repositories and
+    comparisons.  Without them the scores are points of a partial run, without a grade.
     """
     done = totals.drop("is_cli").join(
         releases.select("pkg", "version", F.col("file_count").alias("n_files"), "is_cli"),
         ["pkg", "version", "n_files"],
     )
     ran = {f"ran_{s}": F.lit(s in FILE_SCANNERS) for s in scoring.WEIGHTED}
-    return scoring.score_totals(done.withColumns({**ran, "any_run": F.lit(True)}))
+    arrived = done.withColumns({**ran, "any_run": F.lit(True)})
+    if others is None:
+        return scoring.score_totals(arrived)
+    key = ["pkg", "version"]
+    rest = others.join(arrived.select(*key), key, "left_semi")
+    summed = scoring.merge_totals(arrived.select(*others.columns), rest)
+    return scoring.score_totals(scoring.only_found(summed))
 
 
 def write_scores(
@@ -78,6 +88,7 @@ def write_scores(
     path: str,
     checkpoint: str,
     max_delay: str | None = None,
+    others: DataFrame | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Write the scores of releases as they become complete (see :func:`running_totals`).
@@ -87,7 +98,7 @@ def write_scores(
     """
 
     def finish(batch: DataFrame, batch_id: int) -> None:
-        score_complete(batch, releases).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        score_complete(batch, releases, others).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
         running_totals(files, max_delay)

@@ -85,7 +85,7 @@ def reports(spark, tmp_path_factory):
     )
     runs = scoring.scan_runs(versions)
     facts = results.with_facts(
-        published, versions, manifest.dependency_counts(manifest.merged_dependencies(dependencies)),
+        published, versions, manifest.dependency_counts(dependencies),
         versions.filter("has_scripts"), names, typosquat.summarize(names, popular), versions,
     )
     rows = report.report_parts(

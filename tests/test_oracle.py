@@ -6,12 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from parcelwatch.plans.oracles import ORACLES
+from parcelwatch.plans.queries import REGISTRY
 from parcelwatch.sources.corpus import TABLES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = REGISTRY
 TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -41,6 +43,7 @@ def test_matches(spark, duck, name):
 def test_every_query_is_known():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"report_json"}
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
