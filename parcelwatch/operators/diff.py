@@ -38,20 +38,22 @@ def fingerprints(files: DataFrame, single_root: bool = False) -> DataFrame:
 def strip_single_root(files: DataFrame) -> DataFrame:
     """Drop the one top directory of a source archive; several tops are left as they are.
 
+    Files beside a single top directory are no part of the source.
+
     Give it paths or fingerprints, not contents: rows are shuffled.
     """
     path = F.col("path")
-    # A file beside the directory is a second top.
-    top = F.when(path.contains("/"), F.concat(F.substring_index(path, "/", 1), F.lit("/"))).otherwise(path)
+    top = F.when(path.contains("/"), F.substring_index(path, "/", 1))
     roots = files.groupBy("pkg", "version").agg(F.min(top).alias("_a"), F.max(top).alias("_b"))
-    single = roots.filter((F.col("_a") == F.col("_b")) & F.col("_a").endswith("/")).select(
+    single = roots.filter(F.col("_a") == F.col("_b")).select(
         "pkg", "version", F.col("_a").alias("_root")
     )
     root = F.col("_root")
     return (
         files.join(single, ["pkg", "version"], "left")
+        .filter(root.isNull() | path.startswith(F.concat(root, F.lit("/"))))
         .withColumn(
-            "path", F.when(root.isNull(), path).otherwise(F.substr(path, F.length(root) + 1))
+            "path", F.when(root.isNull(), path).otherwise(F.substr(path, F.length(root) + 2))
         )
         .drop("_root")
     )

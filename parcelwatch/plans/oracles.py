@@ -689,9 +689,9 @@ WHERE TRY_CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) % 9 = 4""",
 )
 ORACLES["source_roots"] = with_views(
     ["archived_source"],
-    """, tops AS (SELECT pkg, version, list(DISTINCT split_part(path, '/', 1)) AS top FROM archived_source GROUP BY ALL)
+    """, tops AS (SELECT pkg, version, list(DISTINCT split_part(path, '/', 1)) AS top FROM archived_source WHERE contains(path, '/') GROUP BY ALL)
 SELECT pkg, version, CASE WHEN len(top) = 1 THEN regexp_replace(path, '^[^/]*/', '') ELSE path END AS path
-FROM archived_source JOIN tops USING (pkg, version)""",
+FROM archived_source JOIN tops USING (pkg, version) WHERE len(top) > 1 OR contains(path, '/')""",
 )
 ORACLES["tool_servers"] = with_views(
     ["tool_config"],

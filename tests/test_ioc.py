@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from parcelwatch.operators import ioc
 from parcelwatch.plans.scan import scan_hits, scan_ioc
 
-URL = "https://evil.badsite.xyz/payload?q=1"
+URL = "https://drop.nightdock.xyz/parcel?k=2"
 
 
 def _escape(text, form):
@@ -15,27 +15,27 @@ def _escape(text, form):
 
 CASES = {
     "url": {"a.js": f'const u = "{URL}";'},
-    "path-dots": {"a.js": "get('https://api.malware.cc/v2/file.exe')"},
+    "path-dots": {"a.js": "get('https://cdn.greycrate.cc/v9/tool.exe')"},
     "ftp": {"a.txt": "ftp://files.bad.net/x."},
-    "ip": {"a.js": "const ip = '45.33.32.156';"},
+    "ip": {"a.js": "const ip = '46.17.40.9';"},
     "ignored-ips": {"a.js": "127.0.0.1 0.0.0.0 10.0.0.1 192.168.0.1 255.255.255.255"},
     "ignored": {"a.js": "https://github.com/x https://api.github.com/y http://localhost:80/z"},
     "lookalike": {"a.js": "https://notgithub.com/x"},
     "twice": {"a.js": f"'{URL}'", "b.js": f"'{URL.upper().replace('HTTPS', 'https')}'"},
     "many": {"a.js": "\n".join([f"'{URL}'"] * 9)},
-    "hex": {"a.js": '"' + _escape("https://c2.evil.cc/a", "\\x{:02x}") + '"'},
-    "unicode": {"a.js": '"' + _escape("https://c2.evil.cc/a", "\\u{:04x}") + '"'},
+    "hex": {"a.js": '"' + _escape("https://q7.stowage.cc/a", "\\x{:02x}") + '"'},
+    "unicode": {"a.js": '"' + _escape("https://q7.stowage.cc/a", "\\u{:04x}") + '"'},
     "charcode": {
-        "a.js": "string.FROMCHARCODE( " + ", ".join(str(ord(c)) for c in "http://c2.evil.cc") + ")"
+        "a.js": "string.FROMCHARCODE( " + ", ".join(str(ord(c)) for c in "http://q7.stowage.cc") + ")"
     },
-    "base64": {"a.js": 'atob("' + base64.b64encode(b"https://c2.evil.cc/load").decode() + '")'},
+    "base64": {"a.js": 'atob("' + base64.b64encode(b"https://q7.stowage.cc/load").decode() + '")'},
     "binary-base64": {"a.js": '"' + base64.b64encode(bytes(range(128, 170))).decode() + '"'},
     "bad-codes": {"a.js": "String.fromCharCode(104,116,,116,112)"},
     "surrogate": {"a.js": r'"\ud83d' + _escape("1.2.3.4", "\\u{:04x}") + '"'},
-    "plain-first": {"a.js": "'https://c2.evil.cc/a'\n'" + _escape("https://c2.evil.cc/a", "\\x{:02x}") + "'"},
-    "decoded-first": {"a.js": "'" + _escape("https://c2.evil.cc/a", "\\x{:02x}") + "'\n'https://c2.evil.cc/a'"},
+    "plain-first": {"a.js": "'https://q7.stowage.cc/a'\n'" + _escape("https://q7.stowage.cc/a", "\\x{:02x}") + "'"},
+    "decoded-first": {"a.js": "'" + _escape("https://q7.stowage.cc/a", "\\x{:02x}") + "'\n'https://q7.stowage.cc/a'"},
     "five-parts": {"a.js": "1.2.3.4.5 256.1.1.1 v1.2.3"},
-    "credentials": {"a.js": "https://user:pw@github.com/x https://github.com@evil.cc/x"},
+    "credentials": {"a.js": "https://user:pw@github.com/x https://github.com@stowage.cc/x"},
     "wrong-type": {"a.png": f"'{URL}'", "node_modules/a.js": f"'{URL}'"},
     "upper-ext": {"README.MD": URL},
     "test-file": {"test/a.test.js": f"'{URL}'"},
@@ -54,18 +54,18 @@ def one(found, pkg):
 
 def test_plain(found):
     row = one(found, "url")
-    assert row["message"] == "External URL: hxxps[://]evil[.]badsite[.]xyz/payload?q=1"
+    assert row["message"] == "External URL: hxxps[://]drop[.]nightdock[.]xyz/parcel?k=2"
     assert (row["severity"], row["file"], row["line"], row["evidence"]) == ("info", "a.js", 1, None)
-    assert one(found, "path-dots")["message"].endswith("api[.]malware[.]cc/v2/file.exe")
+    assert one(found, "path-dots")["message"].endswith("cdn[.]greycrate[.]cc/v9/tool.exe")
     assert one(found, "ftp")["message"] == "External URL: fxp[://]files[.]bad[.]net/x"
-    assert one(found, "ip")["message"] == "External IP: 45[.]33[.]32[.]156"
+    assert one(found, "ip")["message"] == "External IP: 46[.]17[.]40[.]9"
 
 
 def test_ignored(found):
     for pkg in ("ignored", "ignored-ips", "wrong-type", "binary-base64", "bad-codes"):
         assert pkg not in found, pkg
     assert one(found, "lookalike")
-    assert one(found, "credentials")["message"].endswith("github[.]com@evil[.]cc/x")
+    assert one(found, "credentials")["message"].endswith("github[.]com@stowage[.]cc/x")
 
 
 def test_file_types(found):

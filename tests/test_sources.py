@@ -2,6 +2,8 @@ import io
 import json
 import tarfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parcelwatch.functions import text as tx
@@ -224,3 +226,66 @@ def test_source_roots(make_files):
     assert {(r["pkg"], r["path"]) for r in rows} == {
         ("one", "a.js"), ("one", "b/c.js"), ("two", "a/x"), ("two", "b/y"),
     }
+
+
+def test_a_comparison_without_a_source_lists_nothing(make_files):
+    published = diff.fingerprints(make_files({"p": {"a.js": "1", "b.js": "2"}, "q": {"a.js": "1", "b.js": "2"}}))
+    matched = diff.match(published, diff.fingerprints(make_files({"p": {"a.js": "1"}})))
+    assert [(r["pkg"], r["path"], r["class"]) for r in diff.classes(matched).collect()] == [("p", "b.js", "unexpected")]
+    performed = {r["pkg"]: r["performed"] for r in diff.rollup(matched).collect()}
+    assert performed == {"p": True, "q": False}
+
+
+def test_a_path_listed_twice_keeps_one_whole_hash(spark):
+    rows = [("p", "1", "a.js", f"{i:064x}"[::-1]) for i in (7, 0xABCDEF, 1 << 200)]
+    both = spark.createDataFrame(rows, "pkg string, version string, path string, sha256 string")
+    for one in rows:
+        source = spark.createDataFrame([one], both.schema)
+        found = diff.match(both, source).collect()
+        assert len(found) == 1 and found[0]["class"] in ("same", "modified")
+    same = [diff.match(both, spark.createDataFrame([r], both.schema)).first()["class"] for r in rows]
+    assert sorted(same) == ["modified", "modified", "same"]
+
+
+def test_health_answers_to_the_name_it_was_asked_under(spark):
+    from parcelwatch.operators import repository
+
+    links = spark.createDataFrame(
+        [("p", "1", "https://github.com/Old/Name", "old"), ("q", "1", "https://github.com/a/b", "a")],
+        "pkg string, version string, repository_url string, publisher string",
+    )
+    health = spark.createDataFrame(
+        [("new/name", "old/name", 5), ("A/b", None, 3), ("a/B", "a/b", 3)], "full_name string, requested string, stars long"
+    )
+    found = {r["pkg"]: (r["found"], r["full_name"].lower(), r["stars"]) for r in repository.link_health(links, health).collect()}
+    assert found == {"p": (True, "new/name", 5), "q": (True, "a/b", 3)}
+    assert repository.link_health(links, health).count() == 2
+
+
+def test_damaged_archives_are_named(spark):
+    import io
+    import tarfile
+
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+        entry = tarfile.TarInfo("package/a.js")
+        entry.size = 100_000
+        tar.addfile(entry, io.BytesIO(bytes(range(250)) * 400))
+    whole = buffer.getvalue()
+    rows = [("good", "1", whole), ("cut", "1", whole[: len(whole) // 2]), ("none", "1", b""), ("junk", "1", b"x" * 600)]
+    frame = spark.createDataFrame([(p, v, bytearray(c)) for p, v, c in rows], "pkg string, version string, content binary")
+    assert {r["pkg"] for r in archives.damaged_archives(frame).collect()} == {"cut", "none", "junk"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from parcelwatch.plans.scratch import scratch_dir
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda name, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert scratch_dir(session("spark://host:1", "hdfs://x/shared")).startswith("hdfs://x/shared/")
+    with pytest.raises(ValueError):
+        scratch_dir(session("spark://host:1", None))
