@@ -114,12 +114,14 @@ def exact_duplicates(
     """
     texts = own_columns(docs, id_col, text_col)
     base = written(fingerprints(texts).withColumn("row", F.monotonically_increasing_id()))
-    several = base.groupBy(_KEY).agg(F.count("*").alias("size")).where("size > 1")
+    # Groups are written before rows are joined to them: a join that shares its shuffle with the
+    # count of a group could not be split where one group has very many rows.
+    several = written(base.groupBy(_KEY).agg(F.count("*").alias("size")).where("size > 1"))
     held = written(
         fingerprints(texts, with_text=True).join(several, _KEY)
         .select(*_KEY, "size", "text", F.monotonically_increasing_id().alias("held_row"))
     )
-    first = held.groupBy(_KEY).agg(F.min("held_row").alias("first_row"))
+    first = written(held.groupBy(_KEY).agg(F.min("held_row").alias("first_row")))
     parts = F.ceil(F.col("size") / rows_per_part).cast("int")
     lead = F.col("held_row") == F.col("first_row")
     part = F.when(lead, F.sequence(F.lit(0), parts - 1)).otherwise(
@@ -131,8 +133,10 @@ def exact_duplicates(
     differing = written(_differing(dealt.select(*_KEY, "part", "text"))).withColumn("differ", F.lit(True))
     split = F.when(F.col("differ"), F.col("text_sha256")).otherwise("")
     told = base.join(differing, _KEY, "left").withColumn("digest", split).drop("differ")
-    groups = told.groupBy(*_KEY, "digest").agg(
-        F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size")
+    groups = written(
+        told.groupBy(*_KEY, "digest").agg(
+            F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size")
+        )
     )
     return told.join(groups, [*_KEY, "digest"]).select(
         "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size",
