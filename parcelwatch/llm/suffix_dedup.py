@@ -275,7 +275,7 @@ def repeated_spans(texts: DataFrame, length: int = 200, most_variants: int = 12_
     whole = variants.where("uses > 1").select(
         *_VARIANT, (-F.col("left")).cast("bigint").alias("low"), F.col("right").cast("bigint").alias("high")
     )
-    mixed = variants.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    mixed = written(variants.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     wanted = variants.join(mixed, "gram").groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct(*_VARIANT, "kinds", "at")).alias("wanted")
     )
