@@ -23,12 +23,14 @@ def is_compared(path: Column) -> Column:
 def fingerprints(files: DataFrame, single_root: bool = False) -> DataFrame:
     """``pkg, version, path, sha256`` of the files that take part.
 
-    ``single_root`` drops the one top directory that source archives come in.  Contents are hashed
-    where they are read and go no further.
+    ``single_root`` drops the one top directory that source archives come in.  Files that come with
+    a ``sha256`` of their bytes keep it: decoded text is lossy for binaries.  Other contents are
+    hashed where they are read and go no further.
     """
+    digest = F.col("sha256") if "sha256" in files.columns else F.sha2("content", 256)
     path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
     hashed = files.select(
-        "pkg", "version", path.alias("path"), F.sha2("content", 256).alias("sha256")
+        "pkg", "version", path.alias("path"), digest.alias("sha256")
     )
     if single_root:
         hashed = strip_single_root(hashed)

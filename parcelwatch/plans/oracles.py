@@ -682,6 +682,9 @@ FROM (SELECT o_orderkey, CAST(floor(o_totalprice * pow(10, o_orderkey % 8)) AS B
 ORACLES["archive_files"] = with_views(
     ["package_files"], "SELECT pkg, version, path, sha256(content) AS sha256 FROM package_files"
 )
+ORACLES["popular_list"] = with_views(
+    ["popular"], "SELECT name, row_number() OVER (ORDER BY ord) - 1 AS ord FROM popular"
+)
 ORACLES["archive_failures"] = with_views(
     ["package_files"],
     """SELECT pkg, version, 'damaged archive' AS error FROM package_files

@@ -137,6 +137,18 @@ def binary_summary(spark, sf):
 # --- names ----------------------------------------------------------------------------------
 
 
+@query
+def popular_list(spark, sf):
+    """Popular names in the form they are published in, one JSON array, and read back."""
+    entries = F.array_sort(F.collect_list(F.struct("ord", "name")))
+    body = view(spark, sf, "popular").agg(
+        F.to_json(F.transform(entries, lambda e: e["name"])).alias("value")
+    )
+    path = f"{scratch_dir(spark)}/popular"
+    body.write.text(path)
+    return files.read_popular(spark, path)
+
+
 @query
 def typosquat_pairs(spark, sf):
     return typosquat.similar_names(view(spark, sf, "candidate_names"), view(spark, sf, "popular"))

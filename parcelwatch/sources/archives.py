@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tarfile
 import zlib
@@ -14,7 +15,9 @@ _BATCH_BYTES = 32 << 20
 
 
 def expand_archives(archives: DataFrame, root: str | None = "package") -> DataFrame:
-    """``archives(pkg, version, content BINARY)`` to ``pkg, version, path, content``.
+    """``archives(pkg, version, content BINARY)`` to ``pkg, version, path, content, sha256``.
+
+    ``content`` is decoded text, ``sha256`` that of the bytes as they are.
 
     Only regular files below the ``root`` directory are kept, relative to it; ``None`` keeps every
     file as it is.  An archive is one cell, read as a stream by the task that holds it, and files
@@ -23,24 +26,25 @@ def expand_archives(archives: DataFrame, root: str | None = "package") -> DataFr
     """
     prefix = "" if root is None else root.rstrip("/") + "/"
 
-    def members(data: bytes) -> Iterator[tuple[str, str]]:
+    def members(data: bytes) -> Iterator[tuple[str, str, str]]:
         try:
             with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as tar:
                 for entry in tar:
                     name = entry.name.removeprefix("./")
                     if entry.isfile() and name.startswith(prefix):
                         body = tar.extractfile(entry).read()
-                        yield name[len(prefix) :], body.decode("utf-8", "replace")
+                        digest = hashlib.sha256(body).hexdigest()
+                        yield name[len(prefix) :], body.decode("utf-8", "replace"), digest
         except (tarfile.TarError, zlib.error, EOFError, OSError):
             return
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["pkg", "version", "path", "content"]
+        columns = ["pkg", "version", "path", "content", "sha256"]
         batch, held = [], 0
         for frame in frames:
             for pkg, version, data in zip(frame["pkg"], frame["version"], frame["content"]):
-                for path, text in members(data):
-                    batch.append((pkg, version, path, text))
+                for path, text, digest in members(data):
+                    batch.append((pkg, version, path, text, digest))
                     held += len(text)
                     if held > _BATCH_BYTES:
                         yield pd.DataFrame(batch, columns=columns)
@@ -49,7 +53,7 @@ def expand_archives(archives: DataFrame, root: str | None = "package") -> DataFr
             yield pd.DataFrame(batch, columns=columns)
 
     return archives.select("pkg", "version", "content").mapInPandas(
-        expand, "pkg string, version string, path string, content string"
+        expand, "pkg string, version string, path string, content string, sha256 string"
     )
 
 

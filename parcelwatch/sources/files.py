@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def read_package_tree(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/<pkg>/<version>/<path>`` (or ``<root>/@scope/<pkg>/...``) as package files.
 
-    Unreadable files are skipped; bytes that are not UTF-8 become replacement characters.
+    Unreadable files are skipped; bytes that are not UTF-8 become replacement characters.  ``sha256``
+    is that of the bytes as they are.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -27,6 +28,7 @@ def read_package_tree(spark: SparkSession, root: str) -> DataFrame:
             for group, name in ((1, "pkg"), (2, "version"), (3, "path"))
         ],
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
+        F.sha2("content", 256).alias("sha256"),
     ).filter(F.col("pkg") != "")
 
 

@@ -289,3 +289,19 @@ def test_a_cluster_needs_a_shared_folder():
     assert scratch_dir(session("spark://host:1", "hdfs://x/shared")).startswith("hdfs://x/shared/")
     with pytest.raises(ValueError):
         scratch_dir(session("spark://host:1", None))
+
+
+def test_binaries_are_compared_by_their_bytes(spark):
+    def packed(data):
+        buffer = io.BytesIO()
+        with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+            entry = tarfile.TarInfo("package/lib.node")
+            entry.size = len(data)
+            tar.addfile(entry, io.BytesIO(data))
+        frame = [("p", "1", bytearray(buffer.getvalue()))]
+        return archives.expand_archives(spark.createDataFrame(frame, "pkg string, version string, content binary"))
+
+    ours, theirs = packed(b"\xff\xfe\xfd"), packed(b"\xff\xfe\xfc")
+    assert ours.first()["content"] == theirs.first()["content"]
+    found = diff.match(diff.fingerprints(ours), diff.fingerprints(theirs)).first()
+    assert found["class"] == "modified"
