@@ -2,7 +2,7 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``.
 ``run`` writes each stage's result as Parquet into the shared folder and reads it back for the next.
-Nulls and repeated rows are treated as the operators say; rows are told apart by a row number, so a
+Nulls and repeated rows are treated as the operators say; rows are told apart by id and text, so a
 null or repeated ``doc_id`` does no harm, and an empty table goes through as one.
 """
 
@@ -18,17 +18,32 @@ from parcelwatch.llm.common import documents, written
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``doc`` (all columns), ``text``, ``row`` and ``key``, which orders rows by ``doc_id``.
+def _stamped(docs: DataFrame) -> DataFrame:
+    """``doc`` (all columns), ``doc_id``, ``text`` and ``sha``.
 
-    ``docs`` is a written table, so a row has the same number in every read.
+    An id and the digest of a text say which row is meant in any later read.  A row number would not:
+    it depends on how a table is split, and that on how many executors there are at the time.
     """
-    rows = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"))
-    return rows.select("doc", "row", F.col("doc.text").alias("text"), F.struct("doc.doc_id", "row").alias("key"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.struct("*").alias("doc"), "doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("sha")
+    )
 
 
-def _without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    return rows.join(dropped, "row", "left_anti").select("doc.*")
+def _match(rows: DataFrame, keys: DataFrame):
+    return rows["doc_id"].eqNullSafe(keys["key_id"]) & (rows["sha"] == keys["key_sha"])
+
+
+def _keep(rows: DataFrame, gone: DataFrame, twice: DataFrame) -> DataFrame:
+    """Rows that are not ``gone``; of those that are there ``twice`` or more, one."""
+    gone, twice = (k.toDF("key_id", "key_sha").distinct() for k in (gone, twice))
+    rest = rows.join(gone, _match(rows, gone), "left_anti")
+    twice = written(twice)
+    if twice.isEmpty():
+        return rest.select("doc.*")
+    once = rest.join(twice, _match(rest, twice), "left_anti")
+    one = rest.join(twice, _match(rest, twice), "left_semi").dropDuplicates(["doc_id", "sha"])
+    return once.union(one).select("doc.*")
 
 
 def rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,23 +53,30 @@ def rule_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
-    rows = _numbered(docs)
-    found = exact_dedup.exact_duplicates(rows, id_col="key")
-    return _without(rows, found.where(~F.col("kept")).select("doc_id.row"))
+    rows = _stamped(docs)
+    found = written(exact_dedup.exact_duplicates(docs)).where(~F.col("kept"))
+    last = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    pair = ["doc_id", "text_sha256"]
+    return _keep(rows, found.where(~last).select(pair), found.where(last).select(pair))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates, the row with the smallest doc_id stays."""
-    rows = _numbered(docs)
-    found = simhash.near_duplicates(rows, words=3, distance=3, id_col="key")
-    return _without(rows, found.where("doc_id.row <> component_id.row").select("doc_id.row"))
+    rows = _stamped(docs)
+    # Rows without an id come last; the digest tells rows of one id apart.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
+    found = simhash.near_duplicates(rows.select(key.alias("key"), "text"), words=3, distance=3, id_col="key")
+    found = written(found.select(F.col("doc_id").alias("key"), "component_id"))
+    first = F.col("key") == F.col("component_id")
+    pair = ["key.doc_id", "key.sha"]
+    twice = found.where(first).groupBy("key").count().where("count > 1")
+    return _keep(rows, found.where(~first).select(pair), twice.select(pair))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes that occur twice or more are cut out; every document stays."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rows = docs.withColumn("cut_row", F.monotonically_increasing_id())
-    found = suffix_dedup.remove_repeats(rows, length=200, id_col="cut_row", carry=others)
+    found = suffix_dedup.remove_repeats(docs, length=200, carry=others)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
     return found.select(*[new.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
 
