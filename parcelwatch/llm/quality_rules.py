@@ -141,5 +141,8 @@ def clean(docs: DataFrame, text_col: str = "text", size_col: str | None = None)
     new = {text_col: F.col(f"`{found}`.cleaned")}
     if size_col:
         new[size_col] = F.length(new[text_col]).cast(docs.schema[size_col].dataType)
-    judged_rows = docs.withColumn(found, judged(docs[text_col])).where(F.col(f"`{found}`.kept"))
+    # Exploding an array of one keeps the verdict a column: as an expression, the filter and each of
+    # the new columns would compute it again.
+    rows = docs.select("*", F.explode(F.array(judged(docs[text_col]))).alias(found))
+    judged_rows = rows.where(F.col(f"`{found}`.kept"))
     return judged_rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
