@@ -12,6 +12,7 @@ differ too much links whole.  Each group passes on a spanning forest of its link
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,25 +27,42 @@ from parcelwatch.llm.graph import components
 _FAN = 8
 _PAIRS = 1 << 19
 _SHINGLES = 1 << 16
+_BLOCK = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str, words: int, seed: int = 42) -> int:
-    """64-bit SimHash of the ``words``-word shingles of a text; zero without words."""
-    found = text.encode().lower().split()
-    if not found:
-        return 0
-    joined, n = b" ".join(found), max(1, len(found) - words + 1)
+def _add_bits(found: list[bytes], words: int, seed: int, ones: np.ndarray) -> int:
+    """Count the bits of all shingles of consecutive words; returns the number of shingles."""
+    joined, n = b" ".join(found), len(found) - words + 1
     length = np.fromiter(map(len, found), np.int64, len(found))
     end = np.cumsum(length + 1) - 1
-    begin = (end - length)[:n].tolist()
-    end = end[min(words, len(found)) - 1 :].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    begin, end, digest = (end - length)[:n].tolist(), end[words - 1 :].tolist(), xxhash.xxh64_intdigest
     for at in range(0, n, _SHINGLES):
         cut = zip(begin[at : at + _SHINGLES], end[at : at + _SHINGLES])
         hashes = np.array([digest(joined[a:b], seed) for a, b in cut], ">u8").view(np.uint8)
         for i, column in enumerate(hashes.reshape(-1, 8).T):
             ones[8 * i : 8 * i + 8] += np.bincount(column, minlength=256) @ _BITS
+    return n
+
+
+def fingerprint(text: str, words: int, seed: int = 42) -> int:
+    """64-bit SimHash of the ``words``-word shingles of a text; zero without words.
+
+    A long text is taken block by block; the last words of a block go on into the next.
+    """
+    raw = text.encode().lower()
+    ones, n, held, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(raw):
+        gap = _BLANK.search(raw, at + _BLOCK)
+        end = gap.start() if gap else len(raw)
+        held += raw[at:end].split()
+        at = end
+        if len(held) >= words:
+            n += _add_bits(held, words, seed, ones)
+            held = held[len(held) - words + 1 :]
+    if not n and held:
+        n = _add_bits(held, len(held), seed, ones)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

@@ -69,6 +69,13 @@ def _simhash(text, k):
     return sum((2 * sum(h >> bit & 1 for h in hashes) > len(hashes)) << bit for bit in range(64))
 
 
+def test_long_texts_are_taken_in_blocks(odd_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "_BLOCK", 40)
+    for _, text in odd_rows[:40]:
+        for k in (1, 3, 5):
+            assert simhash.fingerprint(text or "", k) == _simhash(text, k)
+
+
 def _components(codes, distance):
     root = list(range(len(codes)))
 
