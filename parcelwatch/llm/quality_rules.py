@@ -1,7 +1,7 @@
 """Line-first cleaning with built-in expressions.
 
-Each line is tested on its own: too many marks, a navigation bar, boilerplate.  Failing lines are
-removed, and a document that loses too much of its text that way is rejected.  Counts of the whole
+Each line is tested on its own: too many marks, a navigation bar, phrases of boilerplate that are most
+of its words.  Failing lines are removed, and a document that loses too much of its text that way is rejected.  Counts of the whole
 text reject documents that are too short or repeat themselves.  Everything is computed in the row
 that holds the text: one pass, no shuffle, no Python.
 """
@@ -16,10 +16,42 @@ from parcelwatch.llm.common import own_columns
 BLANK = r"[ \t-\r]"
 MARKS = r"[^\p{L}\p{M}\p{N} \t-\r]"
 SEPARATORS = r"(?:^|[ \t])[|»›•·>](?:$|[ \t])"
+# Blanks and ASCII marks between words, and a word; both as small classes, the same in Java and in RE2.
+GAP = r"[ \t-\r!-/:-@\[-`{-~]"
+WORD = GAP.replace("[", "[^", 1) + "+"
+
+
+def _phrases(*phrases: str) -> str:
+    """One of ``phrases``; ``_`` is a gap, ``*`` a word."""
+    return "(?:" + "|".join(phrases).replace("*", WORD).replace("_", GAP + "+") + ")"
+
+
+def _mostly(phrases: str, others: int) -> str:
+    """A phrase with up to ``others`` more words before and after it together."""
+    some = (rf"(?:{WORD}{GAP}+){{{n}}}{phrases}(?:{GAP}+{WORD}){{0,{others - n}}}" for n in range(others + 1))
+    return "|".join(some)
+
+
+_FOUR = _phrases("skip_to_main_content")
+_THREE = _phrases(
+    "all_rights_reserved", "terms_of_(?:use|service)", "our_(?:privacy|cookie)_policy", "log_in_to", "back_to_top",
+    "skip_to_content", "share_on_(?:facebook|twitter)", "subscribe_to_our",
+)
+_TWO = _phrases(
+    "privacy_policy", "cookie_(?:policy|settings)", "uses_cookies", "enable_javascript", "click_here", "sign_up",
+    "lorem_ipsum",
+)
+_LONG = _phrases(
+    "copyright_(?:*_){0,8}all_rights_reserved", "©_(?:*_){0,8}all_rights_reserved", "skip_to_main_content",
+    "(?:this|our)_(?:web)?site_uses_cookies(?:_(?:to|for)(?:_*){1,8})?", "click_here_(?:to|for)(?:_*){1,4}",
+    "sign_up_(?:for|to)_(?:our|the)(?:_*){1,3}", "(?:you_must|please)_log_in_to(?:_*){1,4}",
+    "please_enable_javascript(?:_(?:to|in)(?:_*){1,6})?", "subscribe_to_our(?:_*){1,4}",
+)
+# Phrases of two, three and four words or more are over half of the line's words: up to fifty with
+# nothing between them, or up to three with other words (few, as their splits are tried one by one).
 BOILERPLATE = (
-    "(?i)all rights reserved|privacy policy|terms of (use|service)|cookie (policy|settings)|uses cookies|"
-    "enable javascript|click here|sign up|log in to|skip to (main )?content|back to top|lorem ipsum|"
-    "share on (facebook|twitter)|subscribe to our"
+    rf"(?i)\A{GAP}*(?:(?:(?:{_FOUR}|{_THREE}|{_TWO})(?:{GAP}+|\z)){{1,50}}\z"
+    rf"|(?:(?:{_mostly(_LONG, 3)}|{_mostly(_THREE, 2)}|{_mostly(_TWO, 1)})(?:{GAP}+|\z)){{1,3}}\z)"
 )
 SYMBOLS = "[#*$%&|<>]"
 MIN_MARKS, MARK_PERCENT = 4, 15

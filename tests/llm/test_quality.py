@@ -131,6 +131,31 @@ def test_lines_are_removed_before_documents(spark):
     assert found["clean"]["kept"] == "x"
 
 
+def _kept_lines(spark, lines):
+    """Which of the lines stay when each is judged alone."""
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string")
+    return [lines[r["doc_id"]] for r in quality_rules.measure(table).sort("doc_id").collect() if r["n_bad_lines"] == 0]
+
+
+def test_phrases_inside_clean_lines_stay(spark):
+    clean = [
+        "The design updates were reviewed.", "Notes from a travel blog in Tokyo", "Assign up to five of them.",
+        "He came back to topple the king.", "In terms of use and value it is poor.", "She read the privacy policy aloud in class.",
+        "Few readers click here twice, and hardly any sign up.", "A long day. " * 50 + "All rights reserved.",
+    ]
+    bad = [
+        "All rights reserved.", "Copyright (c) 2019-2021 Jane Doe and others. All Rights Reserved.",
+        "© 2020 Acme Inc. All rights reserved.", "Privacy Policy | Terms of Use | Cookie Settings", "> Read our privacy policy",
+        "This website uses cookies to improve your experience.", "Click here to read more", "Sign up for our newsletter!",
+        "Skip to main content", "Back to top", "Log in to your account", "Please enable JavaScript to view this page.",
+        "Share on Facebook Share on Twitter", "Subscribe to our weekly newsletter", "Lorem ipsum dolor",
+    ]
+    assert _kept_lines(spark, clean + bad) == clean
+    con, phrase = duckdb.connect(), quality_rules.BOILERPLATE
+    hits = [con.execute("SELECT regexp_matches(?, ?)", [x, phrase]).fetchone()[0] for x in clean + bad]
+    assert hits == [False] * len(clean) + [True] * len(bad)
+
+
 def test_rules_stay_out_of_python(odd):
     plan = quality_rules.measure(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
