@@ -14,7 +14,24 @@ from pyspark.sql import functions as F
 from parcelwatch.llm.common import own_columns
 
 BLANK = r"[ \t-\r]"
-MARKS = r"[^\p{L}\p{M}\p{N} \t-\r]"
+# Punctuation of sentences, citations, numbers and code: a few such marks (one, of ! and ?) with a word or
+# the end after them make a place, and up to eight places in a row count as one mark.  All other marks count
+# one by one: symbols, long runs, and what stands next to either.
+# Every repeat that could begin anywhere is bounded, so that the time stays linear on long runs.
+_BOUND = r"\p{Ps}\p{Pe}\p{Pi}\p{Pf},;'\""
+_PLAIN = _BOUND + r"\p{Pd}.:/_=+…¿¡、。，：；·"
+_WORDS = r"\p{L}\p{M}\p{N} \t-\r"
+_TEXT = (
+    r"[ \t]{0,2}(?:(?:\p{Sc}?\p{N}%|[\p{L}\p{M}\p{N}]|\p{Sc}\p{N})"
+    rf"(?:[{_WORDS}]*(?:\p{{N}}%|[\p{{L}}\p{{M}}\p{{N}}]))?|\z)"
+)
+_CRY = rf"[!?！？][ \t]{{0,2}}(?:[{_PLAIN}][ \t]{{0,2}}){{0,2}}"
+_OPERATOR = rf"[{_PLAIN}]{{0,2}}[ \t]{{1,2}}(?:&&|[|][|]|[<>!=]=|[<>*]|[=-]>)[ \t]{{1,2}}[{_PLAIN}]{{0,2}}"
+_RUN = rf"[ \t]{{0,2}}(?:[.]{{3}}[\"'”’»]|(?:[{_BOUND}][ \t]{{0,2}}){{1,5}}|(?:[{_PLAIN}][ \t]{{0,2}}){{1,3}})(?:{_CRY})?"
+MARKS = (
+    rf"(?:[\p{{L}}\p{{M}}\p{{N}}]{_CRY}|\p{{N}}%|{_OPERATOR}|{_RUN}){_TEXT}(?:(?:{_OPERATOR}|{_RUN}|{_CRY}){_TEXT}){{0,7}}"
+    rf"|[^{_WORDS}]"
+)
 SEPARATORS = r"(?:^|[ \t])[|»›•·>](?:$|[ \t])"
 # Blanks and ASCII marks between words, and a word; both as small classes, the same in Java and in RE2.
 GAP = r"[ \t-\r!-/:-@\[-`{-~]"

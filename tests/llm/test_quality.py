@@ -2,11 +2,13 @@
 
 import itertools
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelwatch.llm import licenses, quality_crf, quality_rules, sharding
 from parcelwatch.llm.oracles import ORACLES
@@ -156,6 +158,38 @@ def test_phrases_inside_clean_lines_stay(spark):
     assert hits == [False] * len(clean) + [True] * len(bad)
 
 
+def test_punctuation_is_no_junk(spark):
+    clean = [
+        '"Yes," he said, "no."', "“No!” “Yes!” “Why?” “Go!”", "Stop! Wait! No! Go!", '"Well..." he said. "I... I..."',
+        "See Smith (2019), Lee (2020).", "[1] A. B. Lee, C. D. Wu (2019), pp. 3-9.", "1.2, 3.4, 5.6, 7.8", "-1.5; +2.5; -3.5",
+        "$12.50, $13.75", "10% 20% 30% 40%", "x = f(a, b);", "if (a && b || c != d) {", "a[i][j] += b[i] * c[j];",
+        'd.get("k", [])[0]["x"]', 'print(f("x"));',
+    ]
+    bad = [
+        "*** ### $$$ %%% !!!", "The&&& an.", "En&&& in%%% to%%% the&&&", "THAT!! IN!! THREND!! WITH!!", "w$ w# w@ w$",
+        "a # b $ c % d & e * f @", "------", "Chapter 1 ........ 5", "- - - - - -", "(((((((((", "!?!?!?!?", "w* w* w* w*",
+    ]
+    assert _kept_lines(spark, clean + bad) == clean
+    table = spark.createDataFrame([("x", "\n".join(clean * 3))], "id string, text string")
+    assert quality_rules.measure(table, "id").first()["lost_chars"] == 0
+
+
+def test_marks_are_the_same_in_sql_and_linear(spark):
+    rng, signs = np.random.default_rng(3), list("aZé7 \t.,;:!?\"'()[]<>-=+*#$%&|/_“”…。\u20ac")
+    lines = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)]
+    long = [c * 100_000 for c in (" ", ".", ", ", "! a", "\t!", "a ", "a, ", "a && ", "(", "$1 ", "sign up ", "a- ")]
+    table = spark.createDataFrame(list(enumerate(lines + long)), "i int, line string")
+    found = table.select("i", F.regexp_count("line", F.lit(quality_rules.MARKS)), F.col("line").rlike(quality_rules.BOILERPLATE))
+    started = time.monotonic()
+    rows = sorted(map(tuple, found.collect()))
+    assert time.monotonic() - started < 60
+    con = duckdb.connect()
+    con.execute("CREATE TABLE lines AS SELECT * FROM (SELECT unnest(?) AS line)", [lines])
+    query = "SELECT len(regexp_extract_all(line, ?)), regexp_matches(line, ?) FROM lines"
+    same = con.execute(query, [quality_rules.MARKS, quality_rules.BOILERPLATE]).fetchall()
+    assert [r[1:] for r in rows[: len(lines)]] == same
+
+
 def test_rules_stay_out_of_python(odd):
     plan = quality_rules.measure(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
