@@ -7,13 +7,48 @@ known licenses; so is that of every line that speaks of a license.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwatch.llm.common import own_columns
 
+_TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+_NO_NAMES = r"(?ms)^3\..*?(?=^THIS SOFTWARE)"  # the clause that BSD-2-Clause lacks
+# Words of BSD texts that name the holder in one or the other way.
+_BSD = {"BSD-3-Clause": _TEXTS["BSD-3-Clause"], "BSD-2-Clause": re.sub(_NO_NAMES, "", _TEXTS["BSD-3-Clause"])}
+_TITLES = {
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause", 'BSD 3-Clause "New" or "Revised" License'),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause", 'BSD 2-Clause "Simplified" License'),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+}
+# Identifiers of SPDX lines; those that only say "only" or nothing name the version itself.
+_SPDX = (
+    "0BSD", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-or-later", "GPL-3.0-or-later", "ISC", "LGPL-2.1-or-later",
+    "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib", "LGPL", "Apache-2.0 OR MIT", "MIT OR Apache-2.0",
+)
+_VERSIONS = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+
+
+def _whole(title: str, text: str) -> tuple[str, ...]:
+    """A text with its title lines and without them, and up to the end of its terms."""
+    body = text[text.index(title) + len(title) :] if title in text else text
+    ends = ("END OF TERMS AND CONDITIONS",)
+    terms = [t[: t.index(e) + n * len(e)] for t in (text, body) for e in ends if e in t for n in (0, 1)]
+    return (text, body, *terms)
+
+
+_STARTS = {
+    "Apache-2.0": "http://www.apache.org/licenses/", "GPL-2.0": "Version 2, June 1991", "GPL-3.0": "Version 3, 29 June 2007",
+    "LGPL-2.1": "Version 2.1, February 1999", "LGPL-3.0": "Version 3, 29 June 2007",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================", "CC0-1.0": "CC0 1.0 Universal",
+}
 # Public notices and license texts, by identifier.  Fixed values.
-KNOWN: tuple[tuple[str, str], ...] = (
+_NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -51,14 +86,32 @@ KNOWN: tuple[tuple[str, str], ...] = (
         "DEALINGS IN THE SOFTWARE.",
     ),
 )
+_BODIES = _BSD | {"ISC": dict(_NOTICES)["ISC"], "MIT": _NOTICES[-1][1].removeprefix("MIT License\n\n")}
+KNOWN: tuple[tuple[str, str], ...] = (
+    *((i, f"SPDX-License-Identifier: {i}") for i in _SPDX),
+    *((i, f"SPDX-License-Identifier: {i}{end}") for i in _VERSIONS for end in ("", "-only")),
+    *((i, text) for i, own in _TEXTS.items() if i not in _BSD for text in _whole(_STARTS.get(i, "\0"), own)),
+    *(
+        (i, f"{title}\n\n{text}")
+        for i, body in _BODIES.items()
+        for text in (body, re.sub(r"(?m)^[0-9]\.", "*", body))  # clauses with and without numbers
+        for title in ("", *_TITLES[i])
+    ),
+    *_NOTICES,
+)
 # Spellings that mean the same, after lower case and before punctuation goes.
 SAME: tuple[tuple[str, str], ...] = (
     ("licence", "license"), ("http://", "https://"), ("&", " and "), ("organisation", "organization"),
     ("non-infringement", "noninfringement"), ("per cent", "percent"), ("sub-license", "sublicense"),
     ("copyright owner", "copyright holder"), ("favour", "favor"), ("merchantibility", "merchantability"),
 )
-# Years may come before or after the mark; "copyright notice" and the like are part of a license.
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]|©)[^\n]*"
+# Years may come before or after the mark; "copyright notice" and the like are part of a license.  A name may
+# stand before the year if the line ends there: a sentence goes on.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t*#/]*(?:(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|[\[{<]y)|\(c\)[ \t]|©)[^\n]*"
+    r"|copyright:?[ \t]+(?:[^ \t-\r0-9]+[ \t]+){1,8}[(]?[0-9]{4}(?:[ \t]*[,–-][ \t]*(?:[0-9]{4}|present))*[)]?"
+    r"[.,;]?(?:[ \t]+all rights reserved)?[.]?[ \t]*(?:[\r\x{85}\x{2028}\x{2029}][^\n]*)?(?m:$))"
+)
 ABOUT = r"(?i)licen[cs]e|permission"
 
 

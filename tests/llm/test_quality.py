@@ -4,6 +4,7 @@ import itertools
 import re
 import time
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -212,6 +213,31 @@ def test_licenses(spark, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_usual_licenses_are_known(spark):
+    def text(name):
+        return (Path(licenses.__file__).with_name("license_texts") / f"{name}.txt").read_text(encoding="utf-8")
+
+    mit = dict(licenses.KNOWN[-1:])["MIT"].split("\n\n", 1)[1]
+    bsd = text("BSD-3-Clause")
+    two = bsd[: bsd.index("3. ")] + bsd[bsd.index("THIS SOFTWARE") :]
+    apache = text("Apache-2.0")
+    cases = [
+        ("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright Jane Doe 2020\n\n" + mit),
+        ("MIT", "Copyright Jane Doe, 2019-2020. All rights reserved.\nCopyright John Roe 2021\r\n" + mit),
+        ("BSD-3-Clause", bsd), ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, A\n\n" + two),
+        ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 A")),
+        ("Apache-2.0", apache[: apache.index("APPENDIX")]),
+        *((i, text(i)) for i in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense")),
+        (None, "Copyright notice of Jane Doe 2020 must stay, and\n" + mit),
+    ]
+    lines = ["GPL-3.0-or-later", "LGPL", "MPL-2.0", "BSD-2-Clause", "Apache-2.0 OR MIT"]
+    rows = [t for _, t in cases] + [f"x\n// SPDX-License-Identifier: {i}\ny" for i in lines]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    found = licenses.scan_licenses(table).sort("doc_id").collect()
+    assert [r["text_license"] for r in found[: len(cases)]] == [i for i, _ in cases]
+    assert [r["line_licenses"] for r in found[len(cases) :]] == lines
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_gives_the_same(spark, name):
     con = duckdb.connect()
