@@ -1,8 +1,8 @@
 """Exact duplicates by composable polynomial fingerprints, confirmed by comparison.
 
 A text's bytes are the coefficients of a polynomial, taken at a fixed point modulo two primes.
-Chunks are hashed side by side and combined with the length of what follows, so a huge document is
-hashed in parts (``combine``) with the same outcome.  Texts with equal fingerprints and lengths are
+All chunks of one text are hashed in one task, block after block.  ``combine`` gives the same outcome
+from the fingerprints of parts and their lengths; the query does not use it.  Texts with equal fingerprints and lengths are
 then compared, chunk by chunk, with one representative of their group.  Groups that hold different
 texts after all are told apart by a cryptographic digest.
 """
