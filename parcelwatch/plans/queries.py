@@ -139,7 +139,10 @@ def binary_summary(spark, sf):
 
 @query
 def popular_list(spark, sf):
-    """Popular names in the form they are published in, one JSON array, and read back."""
+    """Popular names in the form they are published in, one JSON array, and read back.
+
+    The array is one row, gathered and read by one task: a curated list, in all below the 2 GB of a cell.
+    """
     entries = F.array_sort(F.collect_list(F.struct("ord", "name")))
     body = view(spark, sf, "popular").agg(
         F.to_json(F.transform(entries, lambda e: e["name"])).alias("value")
