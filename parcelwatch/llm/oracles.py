@@ -74,6 +74,118 @@ def _rules() -> str:
     """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _collocations() -> str:
+    # Cuts of a phrase: its first k words and the rest.
+    return f"""
+        WITH piece AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+          FROM documents),
+        word AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+        start AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM word),
+        total AS (SELECT lang, count(*) AS n FROM start GROUP BY lang),
+        gram AS (SELECT lang, w[i:i + k - 1] AS g, count(*) AS f
+                 FROM start CROSS JOIN (VALUES (1), (2), (3)) AS size(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+        candidate AS (SELECT lang, g, f AS a FROM gram WHERE len(g) > 1 AND f >= 10),
+        cut AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM candidate),
+        part AS (
+          SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r,
+                 CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+          FROM cut c JOIN gram x ON x.lang = c.lang AND x.g = c.g[:k] JOIN gram y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+        best AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        inside AS (
+          SELECT lang, g, max(a) AS longer FROM (
+            SELECT lang, g[:2] AS g, a FROM candidate WHERE len(g) = 3 UNION ALL
+            SELECT lang, g[2:] AS g, a FROM candidate WHERE len(g) = 3) GROUP BY ALL),
+        kept AS (
+          SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score
+          FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE longer IS NULL OR 100 * longer < 50 * a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """
+
+
+def _contamination() -> str:
+    words = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+        WITH item AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {words} AS w FROM benchmark),
+        asked AS (
+          SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS words
+          FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+                FROM item WHERE len(w) > 0)),
+        docs AS (SELECT row_number() OVER () AS row, doc_id, {words} AS w FROM documents),
+        places AS (
+          SELECT row, k, i, array_to_string(w[i:i + k - 1], ' ') AS words
+          FROM (SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i
+                FROM docs CROSS JOIN (SELECT DISTINCT k FROM asked) WHERE len(w) >= k)),
+        found AS (SELECT row, i, k, item FROM places JOIN asked USING (k, words)),
+        hit AS (SELECT row, count(DISTINCT place) AS n FROM (SELECT row, unnest(range(i, i + k)) AS place FROM found) GROUP BY row),
+        items AS (SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+                  FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+        FROM docs LEFT JOIN hit USING (row) LEFT JOIN items USING (row)
+    """
+
+
+def _manifest() -> str:
+    def leaf(text: str) -> str:
+        fields = (f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text))
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    # CRC-32 bit by bit: -1 stands for a shift; the last bit is inverted at the end.
+    shifts = ", ".join(["-1"] * 8)
+    crc = (
+        f"list_reduce(list_prepend(4294967295, flatten([[ord(c), {shifts}] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])), "
+        "LAMBDA x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END)"
+    )
+    up = """
+        SELECT level + 1, tree, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx))
+        FROM {0} WHERE n > 1 GROUP BY level, tree, idx // 3, n
+    """
+    # For a leaf and each level: the siblings before and behind its own node.
+    steps = """
+        SELECT l.tree, l.idx, u.level,
+               coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (WHERE u.idx < l.idx // power), '') AS before,
+               coalesce(string_agg(u.digest, '' ORDER BY u.idx) FILTER (WHERE u.idx > l.idx // power), '') AS behind
+        FROM (SELECT tree, idx FROM {0} WHERE level = 0) l
+        JOIN (SELECT *, CAST(pow(3, level) AS BIGINT) AS power FROM {0} WHERE n > 1) u
+          ON u.tree = l.tree AND u.idx // 3 = l.idx // power // 3
+        GROUP BY ALL
+    """
+    return f"""
+        WITH RECURSIVE docs AS (
+          SELECT row_number() OVER () AS row, doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS tree,
+                 {leaf('text')} AS leaf,
+                 CASE WHEN {crc} & 1 = 1 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS changed
+          FROM documents),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, row) - 1 AS idx,
+                 count(*) OVER (PARTITION BY tree) AS n FROM docs),
+        lower(level, tree, idx, n, digest) AS (
+          SELECT 0, tree, idx, n, leaf FROM placed UNION ALL {up.format('lower')}),
+        sources AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM lower WHERE n = 1),
+        upper(level, tree, idx, n, digest) AS (
+          SELECT 0, '', idx, n, digest FROM sources UNION ALL {up.format('upper')}),
+        below AS ({steps.format('lower')}), above AS ({steps.format('upper')}),
+        path AS (
+          SELECT tree, idx, 0 AS half, level, before, behind FROM below UNION ALL
+          SELECT p.tree, p.idx, 1, a.level, before, behind FROM placed p JOIN sources s ON s.tree = p.tree JOIN above a ON a.idx = s.idx),
+        proof AS (
+          SELECT tree, idx, string_agg(before || behind, '' ORDER BY half, level) AS siblings,
+                 list(before || '|' || behind ORDER BY half, level) AS steps FROM path GROUP BY tree, idx),
+        folded AS (
+          SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+                 list_reduce(list_prepend(p.changed, coalesce(steps, [])),
+                             LAMBDA x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+          FROM placed p JOIN sources s ON s.tree = p.tree CROSS JOIN (SELECT digest FROM upper WHERE n = 1) r
+          LEFT JOIN proof f ON f.tree = p.tree AND f.idx = p.idx)
+        SELECT *, folded_root = root AS verified FROM folded
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_license_scan": _licenses(),
     "op7_quality_rules": _rules(),
@@ -83,4 +195,7 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_collocations": _collocations(),
+    "op12_decontamination": _contamination(),
+    "op13_merkle_manifest": _manifest(),
 }

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwatch.llm import (
-    bpe, exact_dedup, licenses, packing, quality_crf, quality_rules, sharding, simhash, suffix_dedup, token_counts,
+    bpe, collocations, decontamination, exact_dedup, licenses, merkle, packing, quality_crf, quality_rules, sharding,
+    simhash, suffix_dedup, token_counts,
 )
 from parcelwatch.llm.common import documents
 
@@ -75,10 +76,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=200, keep_text=False)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two or three words of every language."""
+    return collocations.collocations(documents(spark, sf_dir), longest=3, least=10, top=2000, share=50)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten words that documents share with the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contamination(documents(spark, sf_dir), items, window=10).drop("spans")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and recomputed root of every document; half of the texts are tampered with."""
+    found = merkle.manifest(documents(spark, sf_dir), tampered=merkle.without_line_ends)
+    return found.drop("proof")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_simhash, op3_quality, op4_bpe_round_trip, op5_packing, op6_sharding,
         op7_quality_rules, op8_token_counts, op9_exact_dedup, op10_suffix_dedup,
+        op11_collocations, op12_decontamination, op13_merkle_manifest,
     )
 }
