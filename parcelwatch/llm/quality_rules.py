@@ -32,6 +32,7 @@ MARKS = (
     rf"(?:[\p{{L}}\p{{M}}\p{{N}}]{_CRY}|\p{{N}}%|{_OPERATOR}|{_RUN}){_TEXT}(?:(?:{_OPERATOR}|{_RUN}|{_CRY}){_TEXT}){{0,7}}"
     rf"|[^{_WORDS}]"
 )
+PLAIN = rf"[^{_WORDS}]"
 SEPARATORS = r"(?:^|[ \t])[|»›•·>](?:$|[ \t])"
 # Blanks and ASCII marks between words, and a word; both as small classes, the same in Java and in RE2.
 GAP = r"[ \t-\r!-/:-@\[-`{-~]"
@@ -81,23 +82,36 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _reaches(count: Column, least: int, percent: int, size) -> Column:
+    """Whether ``count`` is ``least`` and more than ``percent`` of ``size()``, which is computed only then."""
+    return _bound(count, lambda n: F.when(n >= least, n * 100 > size() * percent).otherwise(False))
+
+
 def line_fails(line: Column) -> Column:
-    """Whether a line breaks the punctuation, navigation or boilerplate rule."""
-    size = F.length(line)
-    marks = F.regexp_count(line, F.lit(MARKS))
-    bars = F.regexp_count(line, F.lit(SEPARATORS))
-    words = F.regexp_count(line, F.lit(r"[^ \t-\r]+"))
-    return (
-        _bound(marks, lambda n: (n >= MIN_MARKS) & (n * 100 > size * MARK_PERCENT))
-        | _bound(bars, lambda n: (n >= MIN_SEPARATORS) & (n * 100 > words * SEPARATOR_PERCENT))
-        | line.rlike(BOILERPLATE)
-    )
+    """Whether a line breaks the punctuation, navigation or boilerplate rule.
+
+    Every match of ``MARKS`` and of ``SEPARATORS`` has a character of its own that is no letter, number or
+    blank, so a line without enough of these needs neither pattern.
+    """
+    def size():
+        return F.length(line)
+
+    def words():
+        return F.regexp_count(line, F.lit(r"[^ \t-\r]+"))
+
+    def by_marks(plain: Column) -> Column:
+        enough = _reaches(plain, MIN_MARKS, MARK_PERCENT, size)
+        marks = F.when(enough, _reaches(F.regexp_count(line, F.lit(MARKS)), MIN_MARKS, MARK_PERCENT, size)).otherwise(False)
+        bars = _reaches(F.regexp_count(line, F.lit(SEPARATORS)), MIN_SEPARATORS, SEPARATOR_PERCENT, words)
+        return F.when(plain >= min(MIN_MARKS, MIN_SEPARATORS), marks | bars).otherwise(False)
+
+    return _bound(F.regexp_count(line, F.lit(PLAIN)), by_marks) | line.rlike(BOILERPLATE)
 
 
 def repeated_words(words: Column) -> Column:
     """Words in windows of eight that occur at least twice, from 64-bit hashes of the windows.
 
-    The windows are only sorted where two of them are equal at all.
+    A window's hash is made of those of its halves, down to single words.  The windows are only sorted where two of them are equal at all.
     """
 
     def covered(hashes: Column) -> Column:
@@ -123,8 +137,14 @@ def repeated_words(words: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _bound(pairs, neighbours)).otherwise(0)
 
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    def doubled(hashes: Column, width: int) -> Column:
+        """Hashes of windows of ``2 * width`` words from those of ``width``."""
+        n = F.size(hashes) - width
+        ahead = F.slice(hashes, 1, n), F.slice(hashes, width + 1, n)
+        return _bound(F.zip_with(*ahead, lambda a, b: F.xxhash64(a, b)), lambda x: x if 2 * width == WINDOW else doubled(x, 2 * width))
+
+    single = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = _bound(single, lambda x: doubled(x, 1))
     return F.when(F.size(words) >= WINDOW, _bound(hashes, covered)).otherwise(0).cast("bigint")
 
 

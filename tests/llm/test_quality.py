@@ -285,3 +285,26 @@ def test_slot_maps(spark, tmp_path):
         sharding.store_map(spark, version, str(tmp_path / "map"))
     assert sharding.load_map(spark, str(tmp_path / "map")) == edited
     assert sharding.load_map(spark, str(tmp_path / "map"), 0) == first
+
+
+def test_plain_marks_bound_the_patterns(spark):
+    """Lines with too few characters beside letters, numbers and blanks need neither pattern."""
+    rng = np.random.default_rng(6)
+    chars = list("ab7é漢 \t") + list("!?%$&|<>=*()[]{},;:'\"./_+-…¿¡、。»›•·#@©~^`\\€") + ["...", " | ", " > ", "&&", " == ", "8%"]
+    lines = [("".join(rng.choice(chars, rng.integers(0, 30))),) for _ in range(20_000)]
+    line = F.col("line")
+    marks, bars, plain = (
+        F.regexp_count(line, F.lit(p)) for p in (quality_rules.MARKS, quality_rules.SEPARATORS, quality_rules.PLAIN)
+    )
+    words, size = F.regexp_count(line, F.lit(r"[^ \t-\r]+")), F.length(line)
+    ungated = (
+        ((marks >= quality_rules.MIN_MARKS) & (marks * 100 > size * quality_rules.MARK_PERCENT))
+        | ((bars >= quality_rules.MIN_SEPARATORS) & (bars * 100 > words * quality_rules.SEPARATOR_PERCENT))
+        | line.rlike(quality_rules.BOILERPLATE)
+    )
+    seen = spark.createDataFrame(lines, "line string").select(
+        (marks <= plain).alias("a"), (bars <= plain).alias("b"),
+        (quality_rules.line_fails(line) == ungated).alias("c"), ungated.alias("fails"),
+    ).collect()
+    assert all(r["a"] and r["b"] and r["c"] for r in seen)
+    assert 1000 < sum(r["fails"] for r in seen) < 19_000
