@@ -31,7 +31,7 @@ _FOLD = bytes(
 )
 _RUN_WORDS = 1 << 20
 _MERGE = 1 << 21
-_BUCKET_BYTES = 1 << 25
+_BUCKET_BYTES = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
