@@ -205,6 +205,9 @@ class Admission:
         numbered = listed.select(*_KEY, "published_at", F.posexplode("paths").alias("place", "path"))
         self.expected.append(numbered.withColumn("file_no", F.col("place").cast("bigint") + 1), batch_id)
 
+        if headers.isEmpty():  # no need to plan the scanners
+            self.told.append(self.told.before(self.spark, 0), batch_id)
+            return headers, self.totals.before(self.spark, 0)
         scripts = new.select(*_KEY, F.explode("manifest.scripts").alias("s")).select(*_KEY, "s.*")
         depends = new.select(*_KEY, F.explode("manifest.dependencies").alias("d")).select(*_KEY, "d.*")
         names = new.select(*_KEY, F.col("manifest.name").alias("name")).filter(F.col("name").isNotNull())
