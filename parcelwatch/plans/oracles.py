@@ -537,7 +537,7 @@ _ALL_FINDINGS = _merge(
     _CONTENT, _MANIFEST, _IOC.replace(_lines("text_line", _IS_TEXT) + ",\n", "")
 ) + """,
 finding AS (""" + " UNION ALL ".join(
-    f"SELECT pkg, version, scanner, severity, rule_id, evidence FROM {t}"
+    f"SELECT pkg, version, scanner, severity, rule_id, message, file, line, evidence FROM {t}"
     for t in (*_ALL_SOURCES.values(), "ioc_finding")
 ) + """),
 run AS (SELECT pkg, version, unnest(['static', 'obfuscation', 'hooks', 'secrets', 'binaries', 'dependencies', 'typosquatting', 'ioc']) AS scanner
@@ -750,3 +750,21 @@ ORACLES["stream_findings"] = _with(
     " UNION ALL ".join(f"SELECT * FROM {t}" for t in (*_CONTENT_SOURCES.values(), "binary_finding")),
 )
 ORACLES["stream_scores"] = ORACLES["final_scores"]
+ORACLES["stream_ioc"] = ORACLES["ioc_findings"]
+_ADMITTED = """released AS (
+  SELECT pkg, version, CAST(substring(pkg, 5, 20) AS BIGINT) % 25 <> 3 AS announced, count(*) AS n_listed,
+    count(*) FILTER (WHERE coalesce(TRY_CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) % 45 <> 7, true)) AS n_files
+  FROM package_files GROUP BY ALL)"""
+ORACLES["stream_admission"] = _with(
+    _ALL_VIEWS, _merge(_EVERYTHING, _ADMITTED),
+    f"""SELECT r.pkg, r.version,
+  CASE WHEN announced AND n_files = n_listed THEN 'scored' WHEN announced THEN 'files missing' ELSE 'no manifest' END AS outcome,
+  CASE WHEN announced AND n_files = n_listed THEN NULL ELSE n_files END AS n_files,
+  CASE WHEN announced AND n_files = n_listed THEN score END AS score, CASE WHEN announced AND n_files = n_listed THEN grade END AS grade
+FROM released r JOIN ({_FINAL}) f ON f.pkg = r.pkg AND f.version = r.version WHERE announced OR n_files > 0""",
+)
+ORACLES["stream_all_findings"] = _with(
+    _ALL_VIEWS, _merge(_ALL_FINDINGS, _ADMITTED),
+    f"""SELECT f.* FROM finding f JOIN released r ON f.pkg = r.pkg AND f.version = r.version
+WHERE announced AND n_files = n_listed""",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +23,11 @@ from ..operators import (
     scoring,
     typosquat,
 )
-from ..operators.hits import union_findings
+from ..operators.hits import as_findings, union_findings
 from ..operators.static_rules import relax_for_cli_tools
 from ..sources import archives, corpus, files, registry
 from ..sources.corpus import table, view
-from ..streaming import feed
+from ..streaming import admission, feed, indicators
 from . import report, results, scan
 from .scratch import scratch_dir
 
@@ -550,3 +551,94 @@ def stream_scores(spark, sf):
         availableNow=True,
     ).awaitTermination()
     return _round(spark.read.parquet(f"{base}/scores").drop("batch"), *_POINTS, "score")
+
+
+def _landed(rows: DataFrame, path: str, n: int) -> None:
+    """``rows`` as ``n`` more files in shuffled order."""
+    rows.repartition(n, F.xxhash64(F.lit(11), *rows.columns[:2], "path")).write.mode("append").parquet(path)
+
+
+def _arriving(spark, rows: DataFrame, path: str, per_batch: int) -> DataFrame:
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+@query
+def stream_ioc(spark, sf):
+    """Indicators of files that arrive shuffled, in several batches, some of them twice."""
+    package_files, base = view(spark, sf, "package_files"), scratch_dir(spark)
+    again = package_files.filter(F.pmod(F.xxhash64("path"), F.lit(10)) == 3)
+    _landed(package_files.unionByName(again), f"{base}/landing", 6)
+    stream = _arriving(spark, package_files, f"{base}/landing", 2)
+    indicators.write_indicators(
+        stream, f"{base}/log", f"{base}/progress", every=2, availableNow=True
+    ).awaitTermination()
+    return indicators.indicator_findings(spark, indicators.sighting_log(f"{base}/log", every=2))
+
+
+def _manifests(spark, sf) -> DataFrame:
+    """``pkg, version, manifest`` of the planted releases."""
+    key = ["pkg", "version"]
+
+    def listed(name: str, *columns: str) -> DataFrame:
+        return view(spark, sf, f"release_{name}").groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+    rows = view(spark, sf, "package_files").groupBy(*key).agg(F.collect_list("path").alias("paths"))
+    rows = rows.join(view(spark, sf, "pkg_flags"), key).join(view(spark, sf, "release_name"), key, "left")
+    rows = rows.join(listed("script", "name", "command"), key, "left")
+    rows = rows.join(listed("dependency", "name", "spec", "kind"), key, "left")
+    fields = F.struct("name", "is_cli", "paths", F.col("script").alias("scripts"), F.col("dependency").alias("dependencies"))
+    return rows.select(*key, fields.alias("manifest"))
+
+
+@functools.lru_cache(maxsize=8)
+def _admitted(spark, sf) -> admission.Admission:
+    """Files and manifests shuffled, every tenth file twice; some files and manifests never come."""
+    base, when = scratch_dir(spark), F.to_timestamp(F.lit("2026-01-01"))
+    number = F.regexp_extract("path", "([0-9]+)", 1).try_cast("bigint")
+    files_there = view(spark, sf, "package_files").filter(F.coalesce(number % 45 != 7, F.lit(True)))
+    announced = _manifests(spark, sf).filter(F.substr("pkg", F.lit(5)).cast("bigint") % 25 != 3)
+    rows = admission.arrivals(
+        files_there.withColumn("published_at", when), announced.withColumn("published_at", when)
+    )
+    again = rows.filter(F.pmod(F.xxhash64("pkg", "path"), F.lit(10)) == 3)
+    _landed(rows.unionByName(again), f"{base}/landing", 6)
+    # A much later publication moves the watermark past all others.
+    _landed(
+        rows.filter("manifest IS NOT NULL").limit(1).withColumns(
+            {"pkg": F.lit("later"), "published_at": F.to_timestamp(F.lit("2026-03-01"))}
+        ),
+        f"{base}/landing", 1,
+    )
+    compared = diff.score_rollup(diff.rollup(_matched(spark, sf)))
+    links = _release_links(spark, sf)
+    nothing = scoring.scan_runs(view(spark, sf, "pkg_flags"), ())
+    scoring.totals(
+        as_findings(view(spark, sf, "package_files").limit(0).select("pkg", "version", *[
+            F.lit("").alias(c) for c in ("scanner", "severity", "rule_id", "message")])),
+        nothing, None, links, compared,
+    ).write.parquet(f"{base}/others")
+    own = admission.Admission(
+        spark, f"{base}/state", view(spark, sf, "popular"), "7 days", spark.read.parquet(f"{base}/others"), every=2
+    )
+    stream = _arriving(spark, rows, f"{base}/landing", 3)
+    admission.admit(stream, own, f"{base}/progress", availableNow=True).awaitTermination()
+    return own
+
+
+@query
+def stream_admission(spark, sf):
+    """Score of every complete release, and why the others have none."""
+    own = _admitted(spark, sf)
+    scored = own.scores().select("pkg", "version", F.lit("scored").alias("outcome"), F.lit(None).cast("bigint").alias("n_files"), "score", "grade")
+    failed = own.failed().select(
+        "pkg", "version", F.col("error").alias("outcome"), "n_files", F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("string").alias("grade"),
+    )
+    return _round(scored.unionByName(failed), "score")
+
+
+@query
+def stream_all_findings(spark, sf):
+    """Findings of all eight scanners of the releases that were scored."""
+    own = _admitted(spark, sf)
+    return own.findings().join(own.scores().select("pkg", "version"), ["pkg", "version"], "left_semi")

@@ -258,12 +258,12 @@ class Admission:
 
     def findings(self) -> DataFrame:
         """Findings of all eight scanners: of counted files, of manifests, and indicators."""
-        told = self.found.all(self.spark).drop("published_at")
-        first = self.counted.all(self.spark).select(*_FILE, "batch", "delivery")
-        flags = self.headers.all(self.spark).select(*_KEY, "is_cli")
+        told = self.found.rows(self.spark).drop("published_at")
+        first = self.counted.rows(self.spark).select(*_FILE, "batch", "delivery")
+        flags = self.headers.rows(self.spark).select(*_KEY, "is_cli")
         of_files = relax_for_cli_tools(as_findings(told.join(first, [*_FILE, "batch", "delivery"], "left_semi")), flags)
         return union_findings(
-            of_files, self.told.all(self.spark), indicators.indicator_findings(self.spark, self.sightings)
+            of_files, self.told.rows(self.spark), indicators.indicator_findings(self.spark, self.sightings)
         )
 
 

@@ -57,4 +57,4 @@ def write_indicators(
 
 def indicator_findings(spark: SparkSession, log: BatchLog) -> DataFrame:
     """Findings over all batches so far; the same as those of one scan over all files."""
-    return ioc.findings(ioc.indicators(log.all(spark)))
+    return ioc.findings(ioc.indicators(log.merge(log.rows(spark))))

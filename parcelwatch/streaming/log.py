@@ -33,9 +33,9 @@ class BatchLog:
         rows = spark.read.schema(self.schema).parquet(*paths)
         return self.merge(rows) if len(paths) > 1 else rows
 
-    def all(self, spark: SparkSession) -> DataFrame:
-        """All rows so far, merged; for readers outside the stream."""
-        return self.merge(spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(f"{self.path}/delta"))
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The rows of all batches so far as they were added; for readers outside the stream."""
+        return spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(f"{self.path}/delta")
 
     def append(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Write the rows of a batch and, where it is due, a snapshot; returns the rows as written."""
