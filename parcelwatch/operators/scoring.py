@@ -227,6 +227,25 @@ def score(
     return score_totals(summed if repositories is None else only_found(summed), weights)
 
 
+def with_failures(scores: DataFrame, failures: DataFrame) -> DataFrame:
+    """``scores`` where a release that could not be read has no points, an ``error`` and the failing exit code.
+
+    ``failures(pkg, version, error)`` has the releases that were not read to their end.  Whatever was found
+    in them before is no basis for a score; releases that have no score at all come out as failed too.
+    """
+    key = ["pkg", "version"]
+    failed = failures.groupBy(*key).agg(F.min("error").alias("error"))
+    told = scores.join(failed, key, "full")
+    gone = F.col("error").isNotNull()
+    points = [c for c in scores.columns if c not in (*key, "exit_code")]
+    return told.select(
+        *key,
+        *[F.when(~gone, F.col(c)).alias(c) for c in points],
+        F.when(gone, F.lit(rules.EXIT_FAILED)).otherwise(F.col("exit_code")).alias("exit_code"),
+        "error",
+    )
+
+
 def relaxed_counts(findings: DataFrame, flags: DataFrame) -> DataFrame:
     """Severity counts of static findings after the allowance for command-line tools.
 

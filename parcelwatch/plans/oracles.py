@@ -690,6 +690,13 @@ ORACLES["archive_failures"] = with_views(
     """SELECT pkg, version, 'damaged archive' AS error FROM package_files
 WHERE TRY_CAST(regexp_extract(path, '([0-9]+)', 1) AS BIGINT) % 9 = 4""",
 )
+ORACLES["archive_scores"] = _with(
+    _ALL_VIEWS, _EVERYTHING,
+    f"""SELECT pkg, version, CASE WHEN ok THEN score END AS score, CASE WHEN ok THEN grade END AS grade,
+  CASE WHEN ok THEN verdict END AS verdict, CASE WHEN ok THEN exit_code ELSE 2 END AS exit_code,
+  CASE WHEN NOT ok THEN 'damaged archive' END AS error
+FROM (SELECT *, CAST(substring(pkg, 5, 20) AS BIGINT) % 9 <> 4 AS ok FROM ({_FINAL}))""",
+)
 ORACLES["source_roots"] = with_views(
     ["archived_source"],
     """, tops AS (SELECT pkg, version, list(DISTINCT split_part(path, '/', 1)) AS top FROM archived_source WHERE contains(path, '/') GROUP BY ALL)

@@ -454,6 +454,26 @@ def archive_failures(spark, sf):
     return archives.damaged_archives(packed.withColumn("content", cut))
 
 
+@query
+def archive_scores(spark, sf):
+    """Scores of releases read from archives; those of broken downloads are failed, not scored."""
+    packed = corpus.pack_releases(view(spark, sf, "package_files"))
+    number = F.substr("pkg", F.lit(5)).cast("bigint")
+    size = F.octet_length("content")
+    cut = F.when(number % 9 == 4, F.substr("content", F.lit(1), (size / 2).cast("int"))).otherwise(F.col("content"))
+    path = f"{scratch_dir(spark)}/unpacked"
+    archives.read_archives(packed.withColumn("content", cut)).write.parquet(path)
+    rows = spark.read.parquet(path)
+    package_files, failed = archives.files_of(rows), archives.failures_of(rows)
+    findings = union_findings(
+        scan.scan_contents(package_files), binaries.scan_binaries(package_files),
+        _manifest_findings(spark, sf).filter(F.col("scanner") != binaries.SCANNER),
+    )
+    scored = _final_scores(spark, sf, findings, view(spark, sf, "pkg_flags"))
+    columns = ("pkg", "version", "score", "grade", "verdict", "exit_code")
+    return scoring.with_failures(_round(scored, "score").select(*columns), failed)
+
+
 @query
 def source_roots(spark, sf):
     return diff.strip_single_root(

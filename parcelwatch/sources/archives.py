@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import tarfile
@@ -10,72 +11,90 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _BATCH_BYTES = 32 << 20
+_DAMAGE = (tarfile.TarError, zlib.error, EOFError, OSError)
+_COLUMNS = ["pkg", "version", "path", "content", "sha256", "n_files", "error"]
 
 
-def expand_archives(archives: DataFrame, root: str | None = "package") -> DataFrame:
-    """``archives(pkg, version, content BINARY)`` to ``pkg, version, path, content, sha256``.
+def read_archives(archives: DataFrame, root: str | None = "package") -> DataFrame:
+    """``archives(pkg, version, content BINARY)`` to its files and one outcome row each, in one pass.
 
-    ``content`` is decoded text, ``sha256`` that of the bytes as they are.
+    A file row has ``path``, decoded ``content`` and the ``sha256`` of its bytes.  An archive's outcome row
+    comes after its files, with a null path: ``n_files`` that were read, and the ``error`` that ended it, null
+    for an archive read to its end.  Write the rows once, and take :func:`files_of` and :func:`failures_of` from
+    them, so that archives are unpacked a single time and what cannot be read is never passed over.
 
     Only regular files below the ``root`` directory are kept, relative to it; ``None`` keeps every
     file as it is.  An archive is one cell, read as a stream by the task that holds it, and files
-    leave in batches of limited size.  A damaged archive yields the files before the damage; take the
-    releases that :func:`damaged_archives` names out of what follows.
+    leave in batches of limited size.
     """
     prefix = "" if root is None else root.rstrip("/") + "/"
 
-    def members(data: bytes) -> Iterator[tuple[str, str, str]]:
+    def members(data: bytes) -> Iterator[tuple]:
+        n_files, error = 0, None
         try:
-            with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as tar:
+            raw = io.BytesIO(data or b"")
+            # The module for compressed files, unlike tarfile, notices a stream that ends too soon.
+            packed = gzip.GzipFile(fileobj=raw) if raw.getvalue()[:2] == b"\x1f\x8b" else None
+            with tarfile.open(fileobj=packed or raw, mode="r|" if packed else "r|*") as tar:
                 for entry in tar:
                     name = entry.name.removeprefix("./")
                     if entry.isfile() and name.startswith(prefix):
                         body = tar.extractfile(entry).read()
-                        digest = hashlib.sha256(body).hexdigest()
-                        yield name[len(prefix) :], body.decode("utf-8", "replace"), digest
-        except (tarfile.TarError, zlib.error, EOFError, OSError):
-            return
+                        if len(body) < entry.size:
+                            raise EOFError
+                        n_files += 1
+                        yield name[len(prefix) :], body.decode("utf-8", "replace"), hashlib.sha256(body).hexdigest(), None, None
+                    elif entry.isfile():
+                        tar.extractfile(entry).read()
+            while packed and packed.read(1 << 20):
+                pass
+        except _DAMAGE:
+            error = "damaged archive"
+        yield None, None, None, n_files, error
 
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["pkg", "version", "path", "content", "sha256"]
+        def frame_of(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=_COLUMNS).astype({"n_files": "Int64"})
+
         batch, held = [], 0
         for frame in frames:
             for pkg, version, data in zip(frame["pkg"], frame["version"], frame["content"]):
-                for path, text, digest in members(data):
-                    batch.append((pkg, version, path, text, digest))
-                    held += len(text)
+                for row in members(data):
+                    batch.append((pkg, version, *row))
+                    held += len(row[1] or "")
                     if held > _BATCH_BYTES:
-                        yield pd.DataFrame(batch, columns=columns)
+                        yield frame_of(batch)
                         batch, held = [], 0
         if batch:
-            yield pd.DataFrame(batch, columns=columns)
+            yield frame_of(batch)
 
     return archives.select("pkg", "version", "content").mapInPandas(
-        expand, "pkg string, version string, path string, content string, sha256 string"
+        expand,
+        "pkg string, version string, path string, content string, sha256 string, n_files bigint, error string",
     )
 
 
+def files_of(rows: DataFrame) -> DataFrame:
+    """``pkg, version, path, content, sha256`` of the files of :func:`read_archives`."""
+    return rows.filter(F.col("path").isNotNull()).select("pkg", "version", "path", "content", "sha256")
+
+
+def failures_of(rows: DataFrame) -> DataFrame:
+    """``pkg, version, n_files, error`` of the archives that :func:`read_archives` could not read to their end."""
+    return rows.filter(F.col("error").isNotNull()).select("pkg", "version", "n_files", "error")
+
+
+def expand_archives(archives: DataFrame, root: str | None = "package") -> DataFrame:
+    """The files alone; a damaged archive gives those before the damage (see :func:`read_archives`)."""
+    return files_of(read_archives(archives, root))
+
+
 def damaged_archives(archives: DataFrame) -> DataFrame:
     """``pkg, version, error`` for every archive that can't be read to its end.
 
     Their releases count as failed: part of the files is no basis for a score.
     """
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            failed = []
-            for pkg, version, data in zip(frame["pkg"], frame["version"], frame["content"]):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as tar:
-                        for entry in tar:
-                            if entry.isfile():
-                                tar.extractfile(entry).read()
-                except (tarfile.TarError, zlib.error, EOFError, OSError):
-                    failed.append((pkg, version, "damaged archive"))
-            yield pd.DataFrame(failed, columns=["pkg", "version", "error"])
-
-    return archives.select("pkg", "version", "content").mapInPandas(
-        check, "pkg string, version string, error string"
-    )
+    return failures_of(read_archives(archives)).drop("n_files")

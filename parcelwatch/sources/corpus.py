@@ -259,3 +259,23 @@ def pack_archives(files: DataFrame) -> DataFrame:
             )
 
     return files.mapInPandas(pack, "pkg string, version string, path string, content binary")
+
+
+def pack_releases(files: DataFrame) -> DataFrame:
+    """One gzipped tar per release, its files in order of their paths."""
+    import io
+    import tarfile
+
+    import pandas as pd
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        buffer = io.BytesIO()
+        with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+            for path, text in sorted(zip(frame["path"], frame["content"])):
+                data = text.encode()
+                entry = tarfile.TarInfo("package/" + path)
+                entry.size = len(data)
+                tar.addfile(entry, io.BytesIO(data))
+        return pd.DataFrame({"pkg": frame["pkg"][:1], "version": frame["version"][:1], "content": [buffer.getvalue()]})
+
+    return files.groupBy("pkg", "version").applyInPandas(pack, "pkg string, version string, content binary")

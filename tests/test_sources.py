@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import tarfile
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelwatch.functions import text as tx
 from parcelwatch.functions import urls
-from parcelwatch.operators import diff
+from parcelwatch.operators import diff, scoring
 from parcelwatch.plans import report
 from parcelwatch.sources import archives, files, registry
 
@@ -63,6 +64,35 @@ def test_archives(spark):
     assert {r["path"] for r in everything} == {"package/a.js", "package/d/b.js", "other/c"}
 
 
+def _packed(sizes):
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+        for i, size in enumerate(sizes):
+            entry = tarfile.TarInfo(f"package/f{i}.js")
+            entry.size = size
+            tar.addfile(entry, io.BytesIO(random.Random(i).randbytes(size)))
+    return buffer.getvalue()
+
+
+def test_archives_end_with_their_outcome(spark):
+    whole = _packed([10, 70_000, 0, 5])
+    cases = {"whole": whole, "cut": whole[:-3000], "junk": b"no archive", "empty": b"", "none": _packed([])}
+    frame = spark.createDataFrame([(k, "1", v) for k, v in cases.items()] + [("null", "1", None)], "pkg string, version string, content binary")
+    rows = archives.read_archives(frame).cache()
+    outcomes = {r["pkg"]: (r["n_files"], r["error"]) for r in rows.collect() if r["path"] is None}
+    damaged = "damaged archive"
+    assert outcomes.pop("cut") == (1, damaged)
+    assert outcomes == {"whole": (4, None), "junk": (0, damaged), "empty": (0, damaged), "null": (0, damaged), "none": (0, None)}
+    n_files = {r["pkg"]: r["count"] for r in archives.files_of(rows).groupBy("pkg").count().collect()}
+    assert n_files == {"whole": 4, "cut": 1}
+    scores = spark.createDataFrame(
+        [("whole", "1", 95.0, "A", 0), ("cut", "1", 95.0, "A", 0)], "pkg string, version string, score double, grade string, exit_code int"
+    )
+    told = {r["pkg"]: tuple(r)[2:] for r in scoring.with_failures(scores, archives.failures_of(rows)).collect()}
+    assert told["whole"] == (95.0, "A", 0, None)
+    assert all(told[k] == (None, None, 2, damaged) for k in ("cut", "junk", "empty", "null"))
+
+
 def test_popular_list(spark, tmp_path):
     (tmp_path / "names.json").write_text(json.dumps(["lodash", "@types/node"], indent=1))
     rows = files.read_popular(spark, str(tmp_path / "names.json")).collect()
