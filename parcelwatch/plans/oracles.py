@@ -596,10 +596,36 @@ ORACLES["report_index"] = _with(
   CASE WHEN found AND performed THEN n_unexpected ELSE 0 END AS n_unexpected,
   CASE WHEN found AND performed THEN n_expected_build ELSE 0 END AS n_expected_build,
   CASE WHEN found AND performed THEN n_modified ELSE 0 END AS n_modified,
-  coalesce(found, false) AS found, score, grade, exit_code, CAST(8 AS INTEGER) AS n_scanners
+  coalesce(found, false) AS found, round(score, 2) AS score, grade, exit_code, CAST(8 AS INTEGER) AS n_scanners
 FROM ({_FINAL}) s LEFT JOIN diff_count USING (pkg, version) LEFT JOIN repo_scored USING (pkg, version)""",
 )
 
+ORACLES["report_findings"] = _with(_ALL_VIEWS, _ALL_FINDINGS, "SELECT * FROM finding")
+_HEADER = f"""SELECT s.pkg, s.version, 'header' AS section, '' AS key, CAST(to_json({{
+  'package': {{'name': s.pkg, 'version': s.version}}, 'scanners': listed,
+  'repository': CASE WHEN r.pkg IS NOT NULL THEN {{'found': r.found, 'publisher_matches': r.publisher_matches}} END,
+  'diff': {{'performed': coalesce(r.found, false) AND coalesce(performed, false),
+    'error': CASE WHEN NOT coalesce(r.found, false) THEN 'no repository found' WHEN NOT coalesce(performed, false) THEN 'no source files' END,
+    'n_unexpected': CASE WHEN r.found AND performed THEN n_unexpected ELSE 0 END,
+    'n_expected_build': CASE WHEN r.found AND performed THEN n_expected_build ELSE 0 END,
+    'n_modified': CASE WHEN r.found AND performed THEN n_modified ELSE 0 END}},
+  'score': round(score, 2), 'grade': grade, 'verdict': verdict, 'exit_code': exit_code}}) AS VARCHAR) AS body
+FROM ({_FINAL}) s
+JOIN (SELECT pkg, version, list({{'name': scanner, 'passed': passed, 'summary': summary, 'n_critical': n_critical,
+    'n_warning': n_warning, 'n_info': n_info}} ORDER BY scanner) AS listed FROM result GROUP BY ALL) USING (pkg, version)
+LEFT JOIN diff_count USING (pkg, version) LEFT JOIN repo_scored r ON r.pkg = s.pkg AND r.version = s.version"""
+_SECTIONS = """SELECT pkg, version, scanner AS section, coalesce(file, '') AS key,
+  CAST(to_json({'scanner': scanner, 'file': file, 'findings': list({'line': line, 'severity': severity, 'rule_id': rule_id,
+    'message': message, 'evidence': evidence} ORDER BY line NULLS FIRST, severity, rule_id, message, evidence NULLS FIRST)}) AS VARCHAR) AS body
+FROM finding GROUP BY pkg, version, scanner, file
+UNION ALL
+SELECT c.pkg, c.version, 'diff', path, CAST(to_json({'path': path, 'class': class}) AS VARCHAR)
+FROM classified c JOIN diff_count d ON d.pkg = c.pkg AND d.version = c.version JOIN repo_scored r ON r.pkg = c.pkg AND r.version = c.version
+WHERE performed AND found"""
+ORACLES["report_json"] = _with(
+    _ALL_VIEWS, _merge(_ALL_FINDINGS, _DIFF, _repository("release_link")), f"{_HEADER} UNION ALL {_SECTIONS}"
+)
+
 # --- registry documents ---------------------------------------------------------------------
 
 _TEXT = "CASE WHEN json_type(m, {0}) = 'VARCHAR' THEN json_extract_string(m, {0}) END"

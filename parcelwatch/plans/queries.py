@@ -343,48 +343,49 @@ def _report(spark, sf):
     path = f"{scratch_dir(spark)}/findings"
     _all_findings(spark, sf).write.parquet(path)
     findings = spark.read.parquet(path)
-    return report.report_parts(
+    # Points to two places: the digits beyond depend on who prints them.
+    scores = _final_scores(spark, sf, findings).withColumn("score", F.round("score", 2))
+    return report.report_rows(
         _scanner_results(spark, sf, findings),
         findings,
-        _final_scores(spark, sf, findings),
-        repositories=_release_links(spark, sf).select(
-            "pkg", "version", "found", "full_name", "stars", "archived", "publisher_matches"
-        ),
+        scores,
+        repositories=_release_links(spark, sf).select("pkg", "version", "found", "publisher_matches"),
+        compared=diff.rollup(_matched(spark, sf)),
         differences=_reported_differences(spark, sf),
-        part_size=10,
     )
 
 
 @query
 def report_json(spark, sf):
+    """Headers and sections as JSON text."""
     return _report(spark, sf)
 
 
+@query
+def report_findings(spark, sf):
+    """The findings of all scanners, read back from the text of the report."""
+    return report.read_findings(_report(spark, sf))
+
+
 @query
 def report_index(spark, sf):
     """What the JSON reports hold, read back from their text."""
-    layout = (
-        "scanners array<struct<name: string, passed: boolean, findings: array<struct<line: int>>>>,"
-        " repository struct<found: boolean>, diff struct<unexpected: array<string>,"
-        " expected_build: array<string>, modified: array<string>>,"
-        " score double, grade string, exit_code int"
-    )
-    body = F.from_json("body", layout)
-    read = _report(spark, sf).select("pkg", "version", "part", body.alias("r"))
-    n = F.aggregate(F.col("r.scanners"), F.lit(0), lambda s, x: s + F.size(x["findings"]))
-
-    def n_listed(kind):
-        return F.sum(F.size(f"r.diff.{kind}")).alias(f"n_{kind}")
-
-    return read.groupBy("pkg", "version").agg(
-        F.sum(n).alias("n_findings"),
-        *[n_listed(kind) for kind in ("unexpected", "expected_build", "modified")],
-        F.max("r.repository.found").alias("found"),
-        F.round(F.max("r.score"), 6).alias("score"),
-        F.max("r.grade").alias("grade"),
-        F.max("r.exit_code").alias("exit_code"),
-        F.max(F.when(F.col("part") == 0, F.size("r.scanners"))).alias("n_scanners"),
+    path = f"{scratch_dir(spark)}/report"
+    _report(spark, sf).write.parquet(path)
+    rows, key = spark.read.parquet(path), ["pkg", "version"]
+    head = report.read_headers(rows)
+    found = report.read_findings(rows).groupBy(*key).agg(F.count("*").alias("n_findings"))
+    kinds = ("unexpected", "expected_build", "modified")
+    differ = report.read_differences(rows).groupBy(*key).agg(
+        *[F.count_if(F.col("class") == kind).alias(f"n_{kind}") for kind in kinds]
     )
+    none = F.lit(0).cast("bigint")
+    return head.join(found, key, "left").join(differ, key, "left").select(
+        *key,
+        *[F.coalesce(n, none).alias(n) for n in ("n_findings", *(f"n_{kind}" for kind in kinds))],
+        F.coalesce("repository.found", F.lit(False)).alias("found"),
+        "score", "grade", "exit_code", F.size("scanners").alias("n_scanners"),
+    )
 
 
 # --- registry documents ---------------------------------------------------------------------

@@ -63,9 +63,9 @@ def corpus(make_files):
     return make_files(packages)
 
 
-def test_report_parts_hold_every_finding_once(spark, corpus):
+def test_report_holds_everything_once(spark, corpus):
     flags = spark.createDataFrame([("p1", "1.0.0", True)], "pkg string, version string, is_cli boolean")
-    findings = scan_static(corpus, flags)
+    findings = scan_static(corpus, flags).cache()
     releases = corpus.select("pkg", "version").distinct()
     runs = scoring.scan_runs(releases, ("static", "hooks"))
     facts = releases.select(
@@ -77,40 +77,42 @@ def test_report_parts_hold_every_finding_once(spark, corpus):
     sections = results.scanner_results(findings, runs, facts)
     scores = scoring.score(findings, runs)
     meta = releases.withColumn("license", F.lit("MIT"))
-    health = releases.withColumn("found", F.col("pkg") == "p2")
-    differing = corpus.select("pkg", "version", "path", F.lit("unexpected").alias("class"))
-    parts = report.report_parts(
-        sections, findings, scores, meta, health, differing.filter("pkg <> 'big'"), part_size=50
-    ).collect()
-    bodies = {}
-    for row in parts:
-        bodies.setdefault(row["pkg"], {})[row["part"]] = json.loads(row["body"])
-    assert set(bodies) == {"big", *(f"p{i}" for i in range(6))}
-    assert len(bodies["big"]) == 4 and all(len(b) == 1 for p, b in bodies.items() if p != "big")
-    listed = [
-        (f["file"], f["line"]) for b in bodies["big"].values() for s in b["scanners"] for f in s["findings"]
-    ]
-    assert sorted(listed) == sorted((f"f{j}.js", i) for j in range(10) for i in range(1, 21))
-    head = bodies["big"][0]
-    assert {s["name"] for s in head["scanners"]} == {"static", "hooks"}
+    health = releases.select("pkg", "version", (F.col("pkg") != "p3").alias("found"))
+    differing = corpus.select("pkg", "version", "path", F.lit("unexpected").alias("class")).filter("pkg = 'p2'")
+    compared = releases.select(
+        "pkg", "version", F.col("pkg").isin("p2", "p3").alias("performed"), F.lit(3).cast("bigint").alias("n_unexpected"),
+        F.lit(0).cast("bigint").alias("n_expected_build"), F.lit(0).cast("bigint").alias("n_modified"),
+    )
+    rows = report.report_rows(sections, findings, scores, meta, health, compared, differing).cache()
+    # Keys are unique and the findings in the text are those that went in.
+    assert rows.groupBy("pkg", "version", "section", "key").count().filter("count > 1").count() == 0
+    back = report.read_findings(rows)
+    assert back.count() == findings.count() == back.intersectAll(findings.select(*back.columns)).count()
+    assert report.read_differences(rows).exceptAll(differing).count() == 0
+    heads = {r["pkg"]: json.loads(r["body"]) for r in rows.filter("section = 'header'").collect()}
+    assert set(heads) == {"big", *(f"p{i}" for i in range(6))}
+    head = heads["big"]
     # Two scanners of eight ran: points, but no grade.
-    assert head["package"]["license"] == "MIT" and "grade" not in head and head["score"] > 0
-    small = bodies["p2"][0]
-    assert small["repository"]["found"] and small["diff"]["unexpected"] == ["f0.js", "f1.js", "f2.js"]
-    assert head["diff"] == {"unexpected": [], "expected_build": [], "modified": []}
-    summaries = {s["name"]: s["summary"] for s in head["scanners"]}
-    assert summaries == {
+    assert head["package"] == {"name": "big", "version": "1.0.0", "license": "MIT"}
+    assert head["grade"] is None and head["score"] > 0
+    assert {s["name"]: s["summary"] for s in head["scanners"]} == {
         "static": "Found 200 critical pattern(s) across 1 files", "hooks": "No scripts defined",
     }
-    tool = {s["name"]: s["summary"] for s in bodies["p1"][0]["scanners"]}
+    none = {"n_unexpected": 0, "n_expected_build": 0, "n_modified": 0}
+    assert head["diff"] == {"performed": False, "error": "no source files", **none}
+    assert heads["p3"]["diff"] == {"performed": False, "error": "no repository found", **none}
+    assert heads["p2"]["diff"] == {"performed": True, "error": None, **none, "n_unexpected": 3}
+    tool = {s["name"]: s["summary"] for s in heads["p1"]["scanners"]}
     assert tool["static"].endswith("(CLI tool — shell execution expected)")
+    only = report.report_rows(sections, findings.limit(0), scores)
+    assert only.count() == 7 and all("diff" not in json.loads(r["body"]) for r in only.collect())
 
 
 def test_report_is_written_as_lines(spark, tmp_path):
-    parts = spark.createDataFrame([("p", "1", 0, 1, '{\n "a" : 1\n}')], "pkg string, version string, part int, n_parts int, body string")
-    report.write_reports(parts, str(tmp_path / "out"))
+    rows = spark.createDataFrame([("p", "1", "header", "", '{"a":"x\\ny"}')], "pkg string, version string, section string, key string, body string")
+    report.write_reports(rows, str(tmp_path / "out"))
     line = spark.read.text(str(tmp_path / "out")).first()["value"]
-    assert json.loads(line) == {"a": 1}
+    assert json.loads(line) == {"a": "x\ny"}
 
 
 @pytest.fixture(scope="module")
