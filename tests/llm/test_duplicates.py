@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parcelwatch.llm import exact_dedup, graph, simhash, suffix_dedup
 
@@ -33,13 +34,28 @@ COLUMNS = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 def test_exact(odd, odd_rows, outcome):
     assert outcome(exact_dedup.exact_duplicates(odd), *COLUMNS) == _exact(odd_rows)
-    assert outcome(exact_dedup.exact_duplicates(odd, rows_per_part=2), *COLUMNS) == _exact(odd_rows)
+    for chunk_bytes in (100, 5000):  # texts of many chunks, and parts of few members
+        found = exact_dedup.exact_duplicates(odd, chunk_bytes=chunk_bytes, part_bytes=1)
+        assert outcome(found, *COLUMNS) == _exact(odd_rows)
+
+
+def test_fingerprints_of_chunks_are_those_of_texts(spark, odd):
+    texts = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = {n: sorted(repr(tuple(r)) for r in exact_dedup.fingerprints(texts, n).collect()) for n in (64, 1000, 1 << 20)}
+    assert rows[64] == rows[1000] == rows[1 << 20]
+
+
+def test_exact_in_large_groups(spark, outcome):
+    """A group above sixteen members is compared in several parts."""
+    rows = [(i, "same text " * 20 if i % 3 else f"own {i}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert outcome(exact_dedup.exact_duplicates(docs, chunk_bytes=64, part_bytes=100), *COLUMNS) == _exact(rows)
 
 
 def test_exact_tells_equal_fingerprints_apart(odd, odd_rows, outcome, monkeypatch):
     """With a fingerprint of the length alone, comparison has all the work."""
     monkeypatch.setattr(exact_dedup.Fingerprinter, "__call__", lambda self, raw: (0, 0))
-    assert outcome(exact_dedup.exact_duplicates(odd, rows_per_part=3), *COLUMNS) == _exact(odd_rows)
+    assert outcome(exact_dedup.exact_duplicates(odd, part_bytes=1), *COLUMNS) == _exact(odd_rows)
 
 
 def test_fingerprints_compose():
