@@ -155,7 +155,7 @@ def exact_duplicates(
 
     The chunks of a group are compared in parts of about ``part_bytes``, or sixteen members if these have more;
     each part also gets the representative's chunk.  A group with a third of all rows is spread over many
-    tasks, and the texts of all groups of two or more are shuffled for it.
+    tasks.  Texts are shuffled once to be brought to their groups, and those of two or more once more.
     """
     texts = own_columns(docs, id_col, text_col)
     base = written(fingerprints(texts, chunk_bytes).withColumn("row", F.monotonically_increasing_id()))
@@ -163,11 +163,11 @@ def exact_duplicates(
     # count of a group could not be split where one group has very many rows.
     kinds = base.groupBy(*_KEY, F.col("text_sha256").alias("sha")).agg(F.count("*").alias("n"))
     groups = kinds.groupBy(*_KEY).agg(F.sum("n").alias("size"), F.collect_list("sha").alias("shas"))
-    # A digest brings a text that is read again to its group.
+    # A digest brings a text that is read again to its group, by the same join at every size.
     shas = written(groups.where("size > 1").select(*_KEY, "size", F.explode("shas").alias("sha")))
     raw = F.col("text").cast("binary")
     held = written(
-        texts.select(raw.alias("raw"), F.sha2(raw, 256).alias("sha")).join(shas, "sha")
+        texts.select(raw.alias("raw"), F.sha2(raw, 256).alias("sha")).join(shas.hint("merge"), "sha")
         .select(*_KEY, "size", "raw", F.monotonically_increasing_id().alias("held_row"))
     )
     first = written(held.groupBy(_KEY).agg(F.min("held_row").alias("first_row")))
