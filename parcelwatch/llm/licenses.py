@@ -102,13 +102,23 @@ KNOWN: tuple[tuple[str, str], ...] = (
 # Spellings that mean the same, after lower case and before punctuation goes.
 SAME: tuple[tuple[str, str], ...] = (
     ("licence", "license"), ("http://", "https://"), ("&", " and "), ("organisation", "organization"),
-    ("non-infringement", "noninfringement"), ("per cent", "percent"), ("sub-license", "sublicense"),
-    ("copyright owner", "copyright holder"), ("favour", "favor"), ("merchantibility", "merchantability"),
+    ("non-infringement", "noninfringement"), ("sub-license", "sublicense"),
+    ("favour", "favor"), ("merchantibility", "merchantability"),
 )
+# Spellings of two words, after blanks have become single spaces.
+SAME_WORDS: tuple[tuple[str, str], ...] = (("copyright owner", "copyright holder"), ("per cent", "percent"))
+# What stands next to copyright lines in some licenses: where lines are wrapped anew, they share a line.
+_BESIDE = (
+    "everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed[.]?",
+    "51 franklin street, fifth floor, boston, ma 02110-1301,? usa",
+    "copyright [(]c[)] <year> <name of author>",
+)
+BESIDE = "(?:" + "|".join(_BESIDE).replace(" ", r"[ \t\n]+") + ")"
+# "(c)" alone is a mark only before a year: it also numbers the items of a list.
 # Years may come before or after the mark; "copyright notice" and the like are part of a license.  A name may
 # stand before the year if the line ends there: a sentence goes on.
 COPYRIGHT_LINE = (
-    r"(^|\n)[ \t*#/]*(?:(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|[\[{<]y)|\(c\)[ \t]|©)[^\n]*"
+    r"(^|\n)[ \t*#/]*(?:(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|[\[{<]y)|\(c\)[ \t]+(?:[0-9]{4}|copyright)|©)[^\n]*(?:\n[ \t]*<[^>\n]*>[ \t]*(?m:$))?"
     r"|copyright:?[ \t]+(?:[^ \t-\r0-9]+[ \t]+){1,8}[(]?[0-9]{4}(?:[ \t]*[,–-][ \t]*(?:[0-9]{4}|present))*[)]?"
     r"[.,;]?(?:[ \t]+all rights reserved)?[.]?[ \t]*(?:[\r\x{85}\x{2028}\x{2029}][^\n]*)?(?m:$))"
 )
@@ -116,10 +126,13 @@ ABOUT = r"(?i)licen[cs]e|permission"
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), BESIDE, "\n"), COPYRIGHT_LINE, "$1")
     for spelling, same in SAME:
         out = F.replace(out, F.lit(spelling), F.lit(same))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    for spelling, same in SAME_WORDS:
+        out = F.replace(out, F.lit(spelling), F.lit(same))
+    return out
 
 
 def digest(text: Column) -> Column:
@@ -139,7 +152,8 @@ def scan_licenses(
 
     ``text_license`` names the license that the whole text is, null if none; ``line_licenses`` those
     that single lines state, in order and joined by commas, empty if none.  A null text counts as
-    empty; an empty canonical form is no license.  A null ``doc_id`` and repeated rows are kept.  The
+    empty; an empty canonical form is no license, and an empty table gives no rows.  A very long text is
+    digested in its row.  A null ``doc_id`` and repeated rows are kept.  The
     known digests are broadcast; their number is the caller's.
     """
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(ABOUT))

@@ -10,10 +10,14 @@ def _text(value: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), {_text(licenses.COPYRIGHT_LINE)}, {_text(chr(92) + '1')}, 'g')"
+    out = f"regexp_replace(lower({text}), {_text(licenses.BESIDE)}, chr(10), 'g')"
+    out = f"regexp_replace({out}, {_text(licenses.COPYRIGHT_LINE)}, {_text(chr(92) + '1')}, 'g')"
     for spelling, same in licenses.SAME:
         out = f"replace({out}, {_text(spelling)}, {_text(same)})"
-    return f"trim(regexp_replace({out}, {_text('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}, ' ', 'g'))"
+    out = f"trim(regexp_replace({out}, {_text('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}, ' ', 'g'))"
+    for spelling, same in licenses.SAME_WORDS:
+        out = f"replace({out}, {_text(spelling)}, {_text(same)})"
+    return out
 
 
 def _licenses() -> str:

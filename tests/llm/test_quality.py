@@ -238,6 +238,22 @@ def test_usual_licenses_are_known(spark):
     assert [r["line_licenses"] for r in found[len(cases) :]] == lines
 
 
+def test_licenses_at_any_wrap(spark):
+    """Whole texts are known however their paragraphs are wrapped."""
+    import textwrap
+
+    cases = []
+    for name in ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"):
+        text = (Path(licenses.__file__).with_name("license_texts") / f"{name}.txt").read_text(encoding="utf-8")
+        for width in (60, 72, 100, 100_000):
+            paragraphs = re.split(r"\n[ \t]*\n", text)
+            cases.append((name, width, "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in paragraphs)))
+    table = spark.createDataFrame([(i, c[2]) for i, c in enumerate(cases)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["text_license"] for r in licenses.scan_licenses(table).collect()}
+    missed = [(name, width) for i, (name, width, _) in enumerate(cases) if found[i] != name]
+    assert not missed
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_gives_the_same(spark, name):
     con = duckdb.connect()
