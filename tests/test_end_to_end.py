@@ -88,22 +88,31 @@ def reports(spark, tmp_path_factory):
         published, versions, manifest.dependency_counts(dependencies),
         versions.filter("has_scripts"), names, typosquat.summarize(names, popular), versions,
     )
-    rows = report.report_parts(
+    rows = report.report_rows(
         results.scanner_results(findings, runs, facts),
         findings,
         scoring.score(findings, runs, None, health, diff.score_rollup(diff.rollup(matched))),
         report.describe(versions),
         health.select("pkg", "version", "found", "full_name", "stars"),
+        diff.rollup(matched),
         diff.classes(matched),
     ).collect()
-    return {r["pkg"]: json.loads(r["body"]) for r in rows}
+    whole = {r["pkg"]: json.loads(r["body"]) | {"files": []} for r in rows if r["section"] == "header"}
+    for r in rows:
+        body = json.loads(r["body"])
+        if r["section"] == "diff":
+            whole[r["pkg"]]["files"].append((body["class"], body["path"]))
+        elif r["section"] != "header":
+            scanner = next(s for s in whole[r["pkg"]]["scanners"] if s["name"] == r["section"])
+            scanner.setdefault("findings", []).extend(body["findings"])
+    return whole
 
 
 def test_clean_release(reports):
     good = reports["good"]
     assert (good["score"], good["grade"], good["exit_code"]) == (100, "A", 0)
-    assert all(s["passed"] and not s["findings"] for s in good["scanners"])
-    assert good["diff"] == {"unexpected": [], "expected_build": [], "modified": []}
+    assert all(s["passed"] and "findings" not in s for s in good["scanners"])
+    assert good["diff"]["performed"] and good["diff"]["error"] is None and good["files"] == []
     assert good["package"]["size_label"] == "2.0 KB" and good["repository"]["full_name"] == "o/good"
     summaries = {s["name"]: s["summary"] for s in good["scanners"]}
     assert summaries["hooks"] == "No lifecycle hooks found"
@@ -123,6 +132,8 @@ def test_hostile_release(reports):
     assert found["binaries"]["summary"] == "1 binary file(s): 1 .node"
     assert found["dependencies"]["summary"] == "1 direct, 0 optional dependencies (1 critical)"
     assert found["typosquatting"]["summary"] == 'Similar to: "express" (dist 1)'
-    assert bad["diff"] == {
-        "unexpected": ["c2.js", "package.json"], "expected_build": ["lib.node"], "modified": ["index.js"],
-    }
+    assert sorted(bad["files"]) == [
+        ("expected_build", "lib.node"), ("modified", "index.js"), ("unexpected", "c2.js"), ("unexpected", "package.json"),
+    ]
+    counts = [bad["diff"][f"n_{kind}"] for kind in ("unexpected", "expected_build", "modified")]
+    assert counts == [2, 1, 1]
