@@ -126,6 +126,26 @@ def sightings(hits: DataFrame) -> DataFrame:
     )
 
 
+def without_hosts(seen: DataFrame, domains: DataFrame) -> DataFrame:
+    """Sightings whose host is no ``domain`` of the given table and not below one.
+
+    For lists of any length, beside the built-in one: distinct hosts meet the list by each run of their
+    trailing labels, and sightings lose the hosts that were found there.  Spark broadcasts either side by
+    its measured size and otherwise splits a hot host.  Addresses stay; case does not matter; null and
+    empty entries match nothing; a list may repeat itself.
+    """
+    listed = domains.select(F.lower("domain").alias("_suffix")).filter("_suffix <> ''")
+    hosted = seen.withColumn("_host", F.when(F.col("type") == "url", urls.host(F.col("raw"))))
+    hosts = hosted.filter("_host <> ''").select("_host").distinct()
+    labels = F.split("_host", "[.]")
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    )
+    ignored = hosts.select("_host", F.explode(suffixes).alias("_suffix")).join(listed, "_suffix", "left_semi")
+    return hosted.join(ignored.select("_host"), "_host", "left_anti").drop("_host")
+
+
 _IDENTITY = ["pkg", "version", "type", "key"]
 
 

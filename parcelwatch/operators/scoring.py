@@ -80,6 +80,7 @@ def _layout() -> dict[str, Column]:
         "scanner": F.lit(None).cast("string"),
         "severity": F.lit(None).cast("string"),
         "relaxed": F.lit(False),
+        "n": F.lit(1).cast("bigint"),
         "ran": F.lit(False),
         "is_cli": F.lit(False),
         "found": F.lit(False),
@@ -105,9 +106,19 @@ def finding_rows(
         scanner=F.col("scanner"),
         severity=F.col("severity"),
         relaxed=relaxed,
+        **({"n": F.col("n")} if "n" in findings.columns else {}),
     )
 
 
+def counted(findings: DataFrame) -> DataFrame:
+    """Findings as counts ``n`` per release, scanner, rule and severity; :func:`score` takes either.
+
+    Findings of a scan of contents that is stacked with others waits for every shuffle behind those;
+    counted by itself it starts at once, beside them.
+    """
+    return findings.groupBy("pkg", "version", "scanner", "rule_id", "severity").agg(F.count("*").alias("n"))
+
+
 def run_rows(runs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return _rows(runs, carry, scanner=F.col("scanner"), ran=F.lit(True))
 
@@ -125,10 +136,10 @@ def total_columns(weights: Weights = rules.CATEGORY_WEIGHTS) -> list[Column]:
         mine = f"scanner = {quote(name)}"
         columns.append(f"coalesce(max({mine} AND ran), false) AS `ran_{name}`")
         columns += [
-            f"count_if({mine} AND severity = '{s}') AS `{name}_{s}`" for s in _SEVERITIES
+            f"coalesce(sum(n) FILTER (WHERE {mine} AND severity = '{s}'), 0) AS `{name}_{s}`" for s in _SEVERITIES
         ]
     columns += [
-        f"count_if(relaxed AND severity = '{s}') AS relaxed_{s}"
+        f"coalesce(sum(n) FILTER (WHERE relaxed AND severity = '{s}'), 0) AS relaxed_{s}"
         for s in (rules.CRITICAL, rules.WARNING)
     ]
     return [F.expr(c) for c in columns]
@@ -217,7 +228,7 @@ def score(
 ) -> DataFrame:
     """Score every release that appears in ``runs``.
 
-    ``findings`` may come straight from ``scan_contents``: with ``flags(pkg, version, is_cli)`` the
+    ``findings`` may come straight from ``scan_contents``, or :func:`counted`: with ``flags(pkg, version, is_cli)`` the
     allowance for command-line tools is made here, on counts.  ``repositories(pkg, version, found,
     repository_points)`` and ``compared(pkg, version, diff_points)`` add what those checks earned;
     a comparison only counts where a repository was found.  A scanner of one's own takes part once

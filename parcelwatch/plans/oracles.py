@@ -143,6 +143,8 @@ ORACLES["entropy"] = _with(
     "SELECT pkg, version, path, round(entropy, 6) AS entropy FROM file_entropy",
 )
 
+ORACLES["chunked_entropy"] = ORACLES["entropy"]
+
 _KEYWORD = rf"\b(?:{'|'.join(rules.JS_KEYWORDS)})\b"
 _ARRAY_RX = rf"(?s)^(.*?)(\[(?:{rules.WS}*{_STR}[,{rules.WS_CHARS}]*){{51}})(.*)$"
 
@@ -273,6 +275,14 @@ ioc_finding AS (
   FROM (SELECT *, CASE WHEN type = 'url' THEN 'URL' ELSE 'IP' END AS label,
       count(*) OVER (PARTITION BY pkg, version, type, key) AS found FROM location)
   WHERE nth_location = 1)"""
+_OWN_LIST = """own_host AS (SELECT DISTINCT host AS h FROM hosted JOIN own_domain ON host = lower(domain) OR ends_with(host, concat('.', lower(domain)))),
+sighting AS MATERIALIZED (
+  SELECT * FROM hosted WHERE (host IS NULL OR host NOT IN (SELECT h FROM own_host)) AND"""
+ORACLES["ioc_own_list"] = _with(
+    ["package_files", "own_domain"],
+    _IOC.replace("sighting AS MATERIALIZED (\n  SELECT * FROM hosted WHERE", _OWN_LIST),
+    "SELECT * FROM ioc_finding",
+)
 ORACLES["ioc_findings"] = _with(["package_files"], _IOC, "SELECT * FROM ioc_finding")
 ORACLES["ioc_locations"] = _with(["package_files"], _IOC, "SELECT * FROM location")
 ORACLES["ioc_counts"] = _with(
@@ -645,6 +655,11 @@ release_key AS (SELECT d, unnest(json_keys(d, '$.versions')) AS key FROM doc),
 release_doc AS (SELECT *, json_extract(d, concat('$.versions."', key, '"')) AS m,
   coalesce(json_extract_string(d, concat('$.versions."', key, '".name')), json_extract_string(d, '$.name')) AS pkg,
   coalesce(json_extract_string(d, concat('$.versions."', key, '".version')), key) AS version FROM release_key)"""
+ORACLES["registry_snapshot"] = _with(
+    ["registry_change"], "",
+    """SELECT id, seq, deleted, CASE WHEN NOT deleted THEN json_extract_string(body, '$."dist-tags".latest') END AS latest
+FROM registry_change AS c WHERE seq = (SELECT max(seq) FROM registry_change AS o WHERE o.id = c.id)""",
+)
 ORACLES["package_metadata"] = _with(
     ["registry_doc"], _REGISTRY,
     f"""SELECT pkg, version, key = json_extract_string(d, '$."dist-tags".latest') AS is_latest, coalesce({_t('$.description')}, '') AS description,

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..functions import urls
 from ..operators import (
     binaries,
+    chunks,
     diff,
     fleet,
     ioc,
@@ -25,7 +26,7 @@ from ..operators import (
 )
 from ..operators.hits import as_findings, union_findings
 from ..operators.static_rules import relax_for_cli_tools
-from ..sources import archives, corpus, files, registry
+from ..sources import archives, changes, corpus, files, registry
 from ..sources.corpus import table, view
 from ..streaming import admission, feed, indicators
 from . import report, results, scan
@@ -70,6 +71,12 @@ def entropy(spark, sf):
     return _round(obfuscation.file_entropy(view(spark, sf, "package_files")), "entropy")
 
 
+@query
+def chunked_entropy(spark, sf):
+    """Entropy of files that are cut into chunks of 1,000 characters, dealt to all tasks."""
+    return _round(chunks.file_entropy(view(spark, sf, "package_files"), 1000), "entropy")
+
+
 @query
 def obfuscation_findings(spark, sf):
     return scan.scan_obfuscation(view(spark, sf, "package_files"))
@@ -97,6 +104,13 @@ def ioc_locations(spark, sf):
     return ioc.locations(_sightings(spark, sf))
 
 
+@query
+def ioc_own_list(spark, sf):
+    """Indicators less those on hosts of a table of domains."""
+    seen = ioc.without_hosts(_sightings(spark, sf), view(spark, sf, "own_domain"))
+    return ioc.findings(ioc.indicators(seen))
+
+
 @query
 def ioc_counts(spark, sf):
     return ioc.distinct_counts(_sightings(spark, sf))
@@ -173,9 +187,9 @@ def typosquat_findings(spark, sf):
 # --- source comparison ----------------------------------------------------------------------
 
 
-def _matched(spark, sf):
+def _matched(spark, sf, given=None):
     return diff.match(
-        diff.fingerprints(view(spark, sf, "package_files")),
+        diff.fingerprints(view(spark, sf, "package_files", given)),
         diff.fingerprints(view(spark, sf, "source_files")),
     )
 
@@ -243,39 +257,57 @@ def content_points(spark, sf):
     return _round(scored, *points).select("pkg", "version", *points, "grade")
 
 
-def _release_links(spark, sf):
+def _once(spark, sf) -> dict[str, DataFrame]:
+    """What several parts of a report read, written once: paths with hashes, releases, dependencies.
+
+    Contents are read for it one time, and nothing of it is as wide as they are.
+    """
+    base, given = scratch_dir(spark), {}
+
+    def keep(name: str, df: DataFrame) -> None:
+        df.write.parquet(f"{base}/{name}")
+        given[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    hashed = F.sha2("content", 256).alias("sha256")
+    keep("package_files", view(spark, sf, "package_files").select("pkg", "version", "path", hashed))
+    for name in ("pkg_flags", "release", "release_dependency"):
+        keep(name, view(spark, sf, name, given))
+    return given
+
+
+def _release_links(spark, sf, given=None):
     return repository.score_links(
-        view(spark, sf, "release_link"), view(spark, sf, "repo_health"), _as_of(spark, sf)
+        view(spark, sf, "release_link", given), view(spark, sf, "repo_health"), _as_of(spark, sf)
     )
 
 
-def _manifest_findings(spark, sf):
+def _manifest_findings(spark, sf, given=None):
     """Findings that do not depend on file contents."""
     return union_findings(
-        manifest.scan_hooks(view(spark, sf, "release_script")),
-        binaries.scan_binaries(view(spark, sf, "package_files")),
-        manifest.scan_dependencies(view(spark, sf, "release_dependency")),
+        manifest.scan_hooks(view(spark, sf, "release_script", given)),
+        binaries.scan_binaries(view(spark, sf, "package_files", given)),
+        manifest.scan_dependencies(view(spark, sf, "release_dependency", given)),
         typosquat.scan_typosquatting(
-            view(spark, sf, "release_name"), view(spark, sf, "popular")
+            view(spark, sf, "release_name", given), view(spark, sf, "popular")
         ),
     )
 
 
-def _final_scores(spark, sf, findings, flags=None):
+def _final_scores(spark, sf, findings, flags=None, given=None):
     """All categories, repository health and source comparison."""
-    compared = diff.score_rollup(diff.rollup(_matched(spark, sf)))
-    releases = view(spark, sf, "pkg_flags")
+    compared = diff.score_rollup(diff.rollup(_matched(spark, sf, given)))
+    releases = view(spark, sf, "pkg_flags", given)
     return scoring.score(
-        findings, scoring.scan_runs(releases), flags, _release_links(spark, sf), compared
+        findings, scoring.scan_runs(releases), flags, _release_links(spark, sf, given), compared
     )
 
 
 def _scored(spark, sf):
     """The full score of every release: all weighted scanners, health and comparison."""
-    findings = union_findings(
-        scan.scan_contents(view(spark, sf, "package_files")), _manifest_findings(spark, sf)
-    )
-    return _final_scores(spark, sf, findings, view(spark, sf, "pkg_flags"))
+    flags = view(spark, sf, "pkg_flags")
+    contents = scoring.counted(scan.scan_contents(view(spark, sf, "package_files")))
+    findings = contents.unionByName(scoring.counted(_manifest_findings(spark, sf)))
+    return _final_scores(spark, sf, findings, flags)
 
 
 @query
@@ -290,7 +322,7 @@ def package_scores(spark, sf):
     return _round(_scored(spark, sf), "score").select(*columns)
 
 
-def _all_findings(spark, sf):
+def _all_findings(spark, sf, given):
     """Findings of all scanners.
 
     The hits of the one pass over contents are written out, as plain findings and indicators are
@@ -300,21 +332,21 @@ def _all_findings(spark, sf):
     scan.scan_hits(view(spark, sf, "package_files")).write.parquet(path)
     hits = spark.read.parquet(path)
     return union_findings(
-        relax_for_cli_tools(scan.findings_of(hits), view(spark, sf, "pkg_flags")),
-        _manifest_findings(spark, sf),
+        relax_for_cli_tools(scan.findings_of(hits), given["pkg_flags"]),
+        _manifest_findings(spark, sf, given),
         ioc.findings(scan.indicators_of(hits)),
     )
 
 
-def _scanner_results(spark, sf, findings):
-    flags = view(spark, sf, "pkg_flags")
-    names = view(spark, sf, "release_name")
-    dependencies = view(spark, sf, "release_dependency")
+def _scanner_results(spark, sf, findings, given):
+    flags = given["pkg_flags"]
+    names = view(spark, sf, "release_name", given)
+    dependencies = given["release_dependency"]
     facts = results.with_facts(
         view(spark, sf, "package_files"),
         flags,
         manifest.dependency_counts(dependencies),
-        view(spark, sf, "release_script"),
+        view(spark, sf, "release_script", given),
         names,
         typosquat.summarize(names, view(spark, sf, "popular")),
         names.select("pkg", "version"),
@@ -324,34 +356,36 @@ def _scanner_results(spark, sf, findings):
 
 @query
 def severity_counts(spark, sf):
-    return scoring.severity_counts(_all_findings(spark, sf))
+    return scoring.severity_counts(_all_findings(spark, sf, _once(spark, sf)))
 
 
 @query
 def scanner_results(spark, sf):
-    return _scanner_results(spark, sf, _all_findings(spark, sf))
+    given = _once(spark, sf)
+    return _scanner_results(spark, sf, _all_findings(spark, sf, given), given)
 
 
-def _reported_differences(spark, sf):
+def _reported_differences(matched, links):
     """Files that differ, of releases whose repository was found."""
-    found = _release_links(spark, sf).filter("found").select("pkg", "version").distinct()
-    return diff.classes(_matched(spark, sf)).join(found, ["pkg", "version"], "left_semi")
+    found = links.filter("found").select("pkg", "version").distinct()
+    return diff.classes(matched).join(found, ["pkg", "version"], "left_semi")
 
 
 def _report(spark, sf):
     # Findings feed sections, summaries and scores: written once.
-    path = f"{scratch_dir(spark)}/findings"
-    _all_findings(spark, sf).write.parquet(path)
+    path, given = f"{scratch_dir(spark)}/findings", _once(spark, sf)
+    _all_findings(spark, sf, given).write.parquet(path)
     findings = spark.read.parquet(path)
+    links, matched = _release_links(spark, sf, given), _matched(spark, sf, given)
     # Points to two places: the digits beyond depend on who prints them.
-    scores = _final_scores(spark, sf, findings).withColumn("score", F.round("score", 2))
+    scores = _final_scores(spark, sf, findings, given=given).withColumn("score", F.round("score", 2))
     return report.report_rows(
-        _scanner_results(spark, sf, findings),
+        _scanner_results(spark, sf, findings, given),
         findings,
         scores,
-        repositories=_release_links(spark, sf).select("pkg", "version", "found", "publisher_matches"),
-        compared=diff.rollup(_matched(spark, sf)),
-        differences=_reported_differences(spark, sf),
+        repositories=links.select("pkg", "version", "found", "publisher_matches"),
+        compared=diff.rollup(matched),
+        differences=_reported_differences(matched, links),
     )
 
 
@@ -421,6 +455,19 @@ def version_resolution(spark, sf):
     return registry.resolve_targets(view(spark, sf, "target"), index)
 
 
+@query
+def registry_snapshot(spark, sf):
+    """The registry after a change feed in three deltas, out of order and with changes sent again."""
+    feed_rows, path = view(spark, sf, "registry_change"), f"{scratch_dir(spark)}/registry"
+    delta = F.pmod(F.xxhash64("id", "seq"), F.lit(3))
+    for number in range(3):
+        sent = feed_rows.filter((delta == number) | (F.pmod(F.col("seq"), F.lit(10)) == number))
+        snapshot = changes.write_version(spark, path, sent, number + 1)
+    docs = registry.index_documents(changes.current(snapshot))
+    kept = snapshot.select("id", "seq", "deleted")
+    return kept.join(docs.select(F.col("name").alias("id"), "latest"), "id", "left")
+
+
 @query
 def health_records(spark, sf):
     fields = files.HEALTH_FIELDS

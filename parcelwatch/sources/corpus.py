@@ -129,6 +129,17 @@ SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 10 THEN '{"name": broken' ELS
    ',"1.1.0":{"repository":{"type":"git","url":"git+https://github.com/o', CAST(c_custkey AS STRING),
    '/r.git"},"license":{"type":"Apache-2.0"},"_npmUser":{"name":"ci","trustedPublisher":{"id":"oidc"}},"maintainers":[{"name":"z"}],"bin":null,"dependencies":{"d":"latest"}}}') END,
   '}') END AS body
+FROM customer""",
+    # Three changes of every registry document, some of them deletions.
+    "registry_change": """
+SELECT concat('cust-', CAST(c_custkey AS STRING)) AS id, CAST(c_custkey * 10 + (c_custkey * 7 + step * 5) % 11 AS BIGINT) AS seq,
+ (c_custkey + step) % 6 = 0 AS deleted,
+ CASE WHEN (c_custkey + step) % 6 = 0 THEN NULL ELSE concat('{"name":"cust-', CAST(c_custkey AS STRING), '","dist-tags":{"latest":"1.', CAST(step AS STRING),
+  '.0"},"versions":{"1.', CAST(step AS STRING), '.0":{}}}') END AS body
+FROM customer JOIN (VALUES (0), (1), (2)) AS s(step) ON step >= 0""",
+    # Hosts of one's own to leave out of the indicators.
+    "own_domain": """
+SELECT CASE WHEN c_custkey % 50 = 1 THEN 'NightDock.xyz' ELSE concat('c', CAST(c_custkey AS STRING), '.example') END AS domain
 FROM customer""",
     "manifest_doc": """
 SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 5 THEN 'not json' WHEN 4 THEN '{}' ELSE concat('{"name":"m-', CAST(c_custkey AS STRING), '","version":"0.1.0"',
@@ -179,26 +190,32 @@ FROM release r JOIN (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS n FRO
   ON concat('cust-', CAST(p_partkey AS STRING)) = r.owner""",
 }
 
-#: View name -> the views it reads, in order of registration.
+#: View name -> the views it reads itself.
 _NEEDS = {
     "pkg_flags": ("package_files",),
     "source_files": ("package_files",),
-    "archived_source": ("package_files", "source_files"),
+    "archived_source": ("source_files",),
     "release": ("package_files",),
-    "release_dependency": ("package_files", "release", "dependency"),
-    "release_script": ("package_files", "release", "script"),
-    "release_link": ("package_files", "release", "repo_link"),
-    "release_name": ("package_files", "release"),
+    "release_dependency": ("release", "dependency"),
+    "release_script": ("release", "script"),
+    "release_link": ("release", "repo_link"),
+    "release_name": ("release",),
     "package_doc": ("package_files",),
 }
 
 
-def closure(names: list[str]) -> list[str]:
-    """The named views and those they need, each after what it needs."""
+def closure(names: list[str], given: tuple[str, ...] = ()) -> list[str]:
+    """The named views and those they need, each after what it needs; nothing behind a ``given`` one."""
     ordered: dict[str, None] = {}
+
+    def need(name: str) -> None:
+        if name not in given:
+            for needed in _NEEDS.get(name, ()):
+                need(needed)
+        ordered.setdefault(name)
+
     for name in names:
-        for needed in (*_NEEDS.get(name, ()), name):
-            ordered.setdefault(needed)
+        need(name)
     return list(ordered)
 
 
@@ -207,26 +224,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def planted(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """A planted relation over the given tables; no name outlives the call."""
-    needed = " ".join(VIEWS[n] for n in closure([name]))
-    names = {base: f"{base}_{uuid.uuid4().hex}" for base in TABLES if re.search(rf"\b{base}\b", needed)}
-    for base, unique in names.items():
-        tables[base].createOrReplaceTempView(unique)
-    bases = "".join(f"{base} AS (SELECT * FROM {unique}), " for base, unique in names.items())
-    text = with_views([name], f"SELECT * FROM {name}")
-    planted_frame = spark.sql(text.replace("WITH ", f"WITH {bases}", 1))
+def planted(
+    spark: SparkSession, name: str, tables: dict[str, DataFrame], given: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A planted relation over the given tables; no name outlives the call.
+
+    ``given`` has planted relations that exist already, say as written tables; they are read in place of
+    what they were derived from and need no more columns than ``name`` uses.
+    """
+    given = given or {}
+    needed = [n for n in closure([name], tuple(given)) if n not in given]
+    text = " ".join(VIEWS[n] for n in needed)
+    read = {n: frame for n, frame in {**tables, **given}.items() if re.search(rf"\b{n}\b", text)}
+    names = {n: f"{n}_{uuid.uuid4().hex}" for n in read}
+    for n, unique in names.items():
+        read[n].createOrReplaceTempView(unique)
+    ctes = [f"{n} AS (SELECT * FROM {unique})" for n, unique in names.items()]
+    ctes += [f"{n} AS ({VIEWS[n]})" for n in needed]
+    planted_frame = spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")
     for unique in names.values():
         spark.catalog.dropTempView(unique)
     return planted_frame
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A planted relation as a DataFrame over the tables in ``sf_dir``."""
-    found = closure([name])
-    needed = " ".join(VIEWS[n] for n in found)
-    bases = [base for base in TABLES if re.search(rf"\b{base}\b", needed)]
-    return planted(spark, name, {base: table(spark, sf_dir, base) for base in bases})
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A planted relation as a DataFrame over the tables in ``sf_dir``; ``given`` as for :func:`planted`."""
+    if not given:
+        return _view(spark, sf_dir, name)
+    if name in given:
+        return given[name]
+    return planted(spark, name, _bases(spark, sf_dir, name, tuple(given)), given)
+
+
+@functools.lru_cache(maxsize=256)
+def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return planted(spark, name, _bases(spark, sf_dir, name))
+
+
+def _bases(spark: SparkSession, sf_dir: str, name: str, given: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The tables a planted relation reads itself."""
+    needed = " ".join(VIEWS[n] for n in closure([name], given) if n not in given)
+    return {base: table(spark, sf_dir, base) for base in TABLES if re.search(rf"\b{base}\b", needed)}
 
 
 def with_views(names: list[str], body: str) -> str:

@@ -105,3 +105,35 @@ def test_rank_limit_applies_before_the_shuffle(make_files):
 def test_counts(make_files):
     rows = ioc.distinct_counts(ioc.sightings(scan_hits(make_files(CASES), ("ioc",)))).filter(F.col("pkg") == "many")
     assert [(r["n_urls"], r["n_ips"]) for r in rows.collect()] == [(1, 0)]
+
+
+def _hosts_left(spark, make_files, domains):
+    files = make_files({"p": {"a.js": "\n".join(
+        f"'https://{h}/x'" for h in ("a.bad.cc", "bad.cc", "notbad.cc", "u:p@x.y.bad.cc:8080", "BAD.cc", "ok.io")
+    ) + "\n'46.17.40.9'"}})
+    seen = ioc.sightings(scan_hits(files, ("ioc",)))
+    listed = spark.createDataFrame([(d,) for d in domains], "domain string")
+    left = ioc.without_hosts(seen, listed)
+    assert left.columns == seen.columns
+    return sorted(r["raw"] for r in left.collect()), seen.count()
+
+
+def test_own_list_of_domains(spark, make_files):
+    left, _ = _hosts_left(spark, make_files, ["Bad.cc", "bad.cc", "", None, "cc.", "io.ok"])
+    assert left == ["46.17.40.9", "https://notbad.cc/x", "https://ok.io/x"]
+
+
+@pytest.mark.parametrize("domains", [[], ["", None]])
+def test_empty_list_of_domains(spark, make_files, domains):
+    left, n = _hosts_left(spark, make_files, domains)
+    assert len(left) == n == 7
+
+
+def test_long_list_is_not_broadcast(spark, make_files):
+    """Without broadcasts the same rows come out."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, _ = _hosts_left(spark, make_files, ["bad.cc"] + [f"d{i}.example" for i in range(2000)])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert left == ["46.17.40.9", "https://notbad.cc/x", "https://ok.io/x"]
