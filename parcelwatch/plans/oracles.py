@@ -538,6 +538,16 @@ _FOUND_DIFF = """(SELECT d.pkg, d.version, CASE WHEN r.found THEN d.diff_points
 _FINAL = _score(
     {s: _ALL_SOURCES[s] for s in rules.CATEGORY_WEIGHTS}, "repo_scored", _FOUND_DIFF
 )
+ORACLES["own_scanner_points"] = _with(
+    ["package_files"],
+    f"""content AS ({ORACLES["content_points"]}),
+declared AS (SELECT pkg, version, count(*) AS n FROM package_files WHERE ends_with(path, '.d.ts') GROUP BY pkg, version),
+earned AS (SELECT c.*, CASE WHEN n > 0 THEN greatest(0, 5 - (1 + ln(n))) ELSE 5.0 END AS own
+  FROM content AS c LEFT JOIN declared AS d ON d.pkg = c.pkg AND d.version = c.version)""",
+    """SELECT pkg, version, static_points, obfuscation_points, secrets_points, CAST(round(own, 6) AS DOUBLE) AS declarations_points,
+  round(CAST(static_points + obfuscation_points + secrets_points + own AS DOUBLE), 6) AS score FROM earned""",
+)
+
 ORACLES["final_scores"] = _with(_ALL_VIEWS, _EVERYTHING, _FINAL)
 ORACLES["package_scores"] = _with(
     _ALL_VIEWS, _EVERYTHING, f"SELECT pkg, version, score, grade, verdict, exit_code FROM ({_FINAL})"

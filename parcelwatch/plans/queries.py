@@ -29,7 +29,7 @@ from ..operators.static_rules import relax_for_cli_tools
 from ..sources import archives, changes, corpus, files, registry
 from ..sources.corpus import table, view
 from ..streaming import admission, feed, indicators
-from . import report, results, scan
+from . import report, results, scan, scanners
 from .scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -574,6 +574,24 @@ def user_rule_findings(spark, sf):
     )
 
 
+def _declarations(package_files: DataFrame, _: DataFrame | None) -> DataFrame:
+    """A scanner as a user would add one: type declarations, a warning each."""
+    return package_files.filter(F.col("path").endswith(".d.ts")).select(
+        "pkg", "version", F.lit(rules.WARNING).alias("severity"), F.lit("declares").alias("rule_id"),
+        F.lit("Type declarations").alias("message"), F.col("path").alias("file"),
+    )
+
+
+@query
+def own_scanner_points(spark, sf):
+    """Points of the content scanners and of one more that was added by name."""
+    package_files, flags = view(spark, sf, "package_files"), view(spark, sf, "pkg_flags")
+    run = scanners.Scanners([scanners.content_scanners()]).add("declarations", _declarations, (5.0, 5.0, 1.0, 0.0))
+    scored = run.score(run.findings(package_files), flags, flags)
+    points = [f"{name}_points" for name in run.names]
+    return _round(scored, *points, "score").select("pkg", "version", *points, "score")
+
+
 # --- streams --------------------------------------------------------------------------------
 
 

@@ -122,7 +122,8 @@ def scanner_results(
             )
         ),
     }
-    summary = F.lit(None).cast("string")
+    # Scanners of one's own have no wording of theirs.
+    summary = F.when(none, "No findings").otherwise(_text("Findings: ", _listed(*_SEVERITIES)))
     for name, text in summaries.items():
         summary = F.when(F.col("scanner") == name, text).otherwise(summary)
     passed = F.when(F.col("scanner") == "ioc", True).when(
