@@ -123,8 +123,12 @@ def run_rows(runs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return _rows(runs, carry, scanner=F.col("scanner"), ran=F.lit(True))
 
 
-def total_columns(weights: Weights = rules.CATEGORY_WEIGHTS) -> list[Column]:
-    """The additive facts of a release, over stacked rows."""
+def total_columns(weights: Weights = rules.CATEGORY_WEIGHTS, by_count: bool = False) -> list[Column]:
+    """The additive facts of a release, over stacked rows; ``by_count`` where these are :func:`counted`."""
+
+    def count(condition: str) -> str:
+        return f"coalesce(sum(n) FILTER (WHERE {condition}), 0)" if by_count else f"count_if({condition})"
+
     columns = [
         "max(is_cli) AS is_cli",
         "max(found) AS found",
@@ -136,10 +140,10 @@ def total_columns(weights: Weights = rules.CATEGORY_WEIGHTS) -> list[Column]:
         mine = f"scanner = {quote(name)}"
         columns.append(f"coalesce(max({mine} AND ran), false) AS `ran_{name}`")
         columns += [
-            f"coalesce(sum(n) FILTER (WHERE {mine} AND severity = '{s}'), 0) AS `{name}_{s}`" for s in _SEVERITIES
+            f"{count(f"{mine} AND severity = '{s}'")} AS `{name}_{s}`" for s in _SEVERITIES
         ]
     columns += [
-        f"coalesce(sum(n) FILTER (WHERE relaxed AND severity = '{s}'), 0) AS relaxed_{s}"
+        f"{count(f"relaxed AND severity = '{s}'")} AS relaxed_{s}"
         for s in (rules.CRITICAL, rules.WARNING)
     ]
     return [F.expr(c) for c in columns]
@@ -210,7 +214,7 @@ def totals(
         )
     if compared is not None:
         stacked = stacked.unionByName(_rows(compared, diff_points=F.col("diff_points")))
-    return stacked.groupBy("pkg", "version").agg(*total_columns(weights))
+    return stacked.groupBy("pkg", "version").agg(*total_columns(weights, "n" in findings.columns))
 
 
 def only_found(summed: DataFrame) -> DataFrame:
