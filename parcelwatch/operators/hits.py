@@ -12,8 +12,9 @@ from ..functions import text as tx
 from ..schemas import FINDING_COLUMNS
 
 
-#: An occurrence of a network indicator, carried by hits of the ioc scanner.
-SIGHTING = "struct<step: int, method: string, fragment: int, type: string, raw: string, nth: int>"
+#: An occurrence of a network indicator, carried by hits of the ioc scanner.  ``fragment`` orders the
+#: pieces of a line that were looked at; those of a line read in parts count on from part to part.
+SIGHTING = "struct<step: int, method: string, fragment: bigint, type: string, raw: string, nth: int>"
 
 
 def _col(value: str | Column) -> Column:
@@ -44,15 +45,15 @@ def hit(
     )
 
 
-def settle(hits: DataFrame) -> DataFrame:
-    """Finish exploded hits that still carry their line as ``text``.
+def settle(hits: DataFrame, head: Column | None = None) -> DataFrame:
+    """Finish exploded hits that still carry their line as ``text``, or its ``head``.
 
     Matches inside a string literal or comment (``quoted``) drop to info, and the evidence is cut
     from the line here, once per hit instead of once per line looked at.
     """
     quoted = F.col("quoted")
     # The shortened line is a column of its own, so trimming runs once per hit.
-    short = F.when(F.col("shows_line"), tx.line_head(F.col("text")))
+    short = F.when(F.col("shows_line"), tx.line_head(F.col("text")) if head is None else head)
     return hits.withColumn("_head", short).withColumns(
         {
             "severity": F.when(quoted, rules.INFO).otherwise(F.col("severity")),

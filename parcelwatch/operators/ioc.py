@@ -72,7 +72,7 @@ def _fragment(step: int, method: Column, index: Column, text: Column) -> Column:
     return F.struct(
         F.lit(step).alias("step"),
         method.alias("method"),
-        index.cast("int").alias("fragment"),
+        index.cast("bigint").alias("fragment"),
         text.alias("text"),
     )
 

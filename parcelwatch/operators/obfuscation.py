@@ -126,27 +126,43 @@ def file_hits(entropy: Column, minified: Column, kind: Column) -> Column:
     return F.array_compact(F.array(by_entropy, by_array))
 
 
+def has_hex_run(line: Column) -> Column:
+    return line.rlike(rules.HEX_RUN)
+
+
+def has_base64_run(line: Column) -> Column:
+    return line.rlike(_BASE64_RUN)
+
+
 def line_hits(line: Column, number: Column, minified: Column) -> Column:
     """Array of hits of one line."""
+    units = F.when(tx.longer_than(line, rules.LONG_LINE), tx.utf16_length(line))
+    return measured_hits(has_hex_run(line), has_base64_run(line), units, number, minified)
+
+
+def measured_hits(
+    hex_run: Column, base64_run: Column, units: Column, number: Column, minified: Column
+) -> Column:
+    """Array of hits of a line that was looked at already; ``units`` is its length."""
     severity = F.when(minified, rules.INFO).otherwise(rules.WARNING)
     bundled = F.when(minified, " (in bundled code)").otherwise("")
-    hex_run = F.when(
-        line.rlike(rules.HEX_RUN),
+    by_hex = F.when(
+        hex_run,
         hit(SCANNER, "hex-run", severity,
             F.concat(F.lit("Hex-encoded string sequences detected"), bundled), number, shows_line=True),
     )
-    base64_run = F.when(
-        line.rlike(_BASE64_RUN),
+    by_base64 = F.when(
+        base64_run,
         hit(SCANNER, "base64-run", severity,
             F.concat(F.lit("Large base64-encoded blob (>500 chars)"), bundled), number, shows_line=True),
     )
     long_line = F.when(
-        tx.longer_than(line, rules.LONG_LINE),
+        units > rules.LONG_LINE,
         hit(SCANNER, "long-line", rules.INFO,
-            F.concat(F.lit("Very long line ("), tx.utf16_length(line).cast("string"),
+            F.concat(F.lit("Very long line ("), units.cast("string"),
                      F.lit(" chars) — possible minification without source maps")), number),
     )
-    return F.array_compact(F.array(hex_run, base64_run, long_line))
+    return F.array_compact(F.array(by_hex, by_base64, long_line))
 
 
 def may_match(line: Column) -> Column:

@@ -15,10 +15,18 @@ from .hits import SIGHTING, literal_map
 SCANNER = "static"
 
 
+def before_match(pattern: str) -> str:
+    """The text in front of the first match of ``pattern``."""
+    return f"regexp_extract(text, {quote(rf'(?s)\A(.*?)(?:{pattern})')}, 1)"
+
+
 def _outside_code(pattern: str) -> str:
     """Whether the first match of ``pattern`` sits in a string literal or behind ``//``."""
-    before = f"regexp_extract(text, {quote(rf'(?s)\A(.*?)(?:{pattern})')}, 1)"
-    return f"NOT {before} RLIKE {quote(rules.CODE_PREFIX)}"
+    return f"NOT {before_match(pattern)} RLIKE {quote(rules.CODE_PREFIX)}"
+
+
+def looks_at_context(rule: rules.LineRule) -> bool:
+    return rule.code_only and rule.severity != rules.INFO
 
 
 def _rule_hit(rule: rules.LineRule) -> str:
@@ -26,7 +34,7 @@ def _rule_hit(rule: rules.LineRule) -> str:
     if rule.unless:
         matches += f" AND NOT text RLIKE {quote(rule.unless)}"
     quoted = "false"
-    if rule.code_only and rule.severity != rules.INFO:
+    if looks_at_context(rule):
         quoted = f"in_comment OR {_outside_code(rule.pattern)}"
     return f"""CASE WHEN {matches} THEN named_struct('scanner', '{SCANNER}',
       'rule_id', {quote(rule.rule_id)}, 'severity', {quote(rule.severity)},

@@ -131,6 +131,8 @@ ORACLES["block_comment_lines"] = _with(
     "SELECT pkg, version, path, n AS line, line AS text FROM state WHERE inside",
 )
 
+ORACLES["chunked_comment_lines"] = ORACLES["block_comment_lines"]
+
 _ENTROPY = f"""file_entropy AS (
   SELECT pkg, version, path, -sum(p * log2(p)) AS entropy FROM (
     SELECT pkg, version, path, count(*) * 1.0 / any_value(size) AS p FROM (
@@ -285,6 +287,7 @@ ORACLES["ioc_own_list"] = _with(
 )
 ORACLES["ioc_findings"] = _with(["package_files"], _IOC, "SELECT * FROM ioc_finding")
 ORACLES["ioc_locations"] = _with(["package_files"], _IOC, "SELECT * FROM location")
+ORACLES["long_line_locations"] = ORACLES["ioc_locations"]
 ORACLES["ioc_counts"] = _with(
     ["package_files"], _IOC,
     """SELECT pkg, version, CAST(count(DISTINCT CASE WHEN type = 'url' THEN key END) AS BIGINT) AS n_urls,
@@ -510,6 +513,10 @@ def _merge(*parts: str) -> str:
 
 _CODE_LINES = _lines("code_line", _IS_CODE)
 _CONTENT = _merge(_STATIC, _OBFUSCATION.replace(_CODE_LINES + ",\n", ""), _SECRETS)
+ORACLES["long_line_findings"] = _with(
+    ["package_files", "pkg_flags"], _CONTENT,
+    "SELECT * FROM static_finding UNION ALL SELECT * FROM obfuscation_finding",
+)
 _CONTENT_SOURCES = {
     "static": "static_finding", "obfuscation": "obfuscation_finding", "secrets": "secret_finding",
 }

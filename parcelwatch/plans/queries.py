@@ -66,6 +66,13 @@ def block_comment_lines(spark, sf):
     return lines.block_comment_lines(files)
 
 
+@query
+def chunked_comment_lines(spark, sf):
+    """Lines that start in a block comment, from files cut into chunks of 1,000 characters."""
+    files = view(spark, sf, "package_files").filter(tx.is_code_file(F.col("path")))
+    return chunks.comment_lines(files, 1000)
+
+
 @query
 def entropy(spark, sf):
     return _round(obfuscation.file_entropy(view(spark, sf, "package_files")), "entropy")
@@ -87,6 +94,13 @@ def secret_findings(spark, sf):
     return scan.scan_secrets(view(spark, sf, "package_files"))
 
 
+@query
+def long_line_findings(spark, sf):
+    """Static and obfuscation findings, lines of over 200 bytes read in parts."""
+    hits = scan.scan_hits(view(spark, sf, "package_files"), ("static", "obfuscation"), longest=200)
+    return relax_for_cli_tools(scan.findings_of(hits), view(spark, sf, "pkg_flags"))
+
+
 # --- network indicators ---------------------------------------------------------------------
 
 
@@ -104,6 +118,13 @@ def ioc_locations(spark, sf):
     return ioc.locations(_sightings(spark, sf))
 
 
+@query
+def long_line_locations(spark, sf):
+    """Locations of indicators, lines of over 200 bytes read in parts."""
+    hits = scan.scan_hits(view(spark, sf, "package_files"), ("ioc",), longest=200)
+    return ioc.locations(ioc.sightings(hits))
+
+
 @query
 def ioc_own_list(spark, sf):
     """Indicators less those on hosts of a table of domains."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as tx
 from ..functions.entropy import shannon_entropy
-from ..operators import ioc, obfuscation, secrets, static_rules
+from ..operators import ioc, long_lines, obfuscation, secrets, static_rules
 from ..operators import lines as ln
 from ..operators.hits import as_findings, settle
 from ..schemas import FINDING_COLUMNS
@@ -31,12 +31,17 @@ def scan_hits(
     scanners: Sequence[str] = READING_SCANNERS,
     line_rules: Sequence[rules.LineRule] = rules.STATIC_RULES,
     carry: Sequence[str] = (),
+    longest: int | None = None,
 ) -> DataFrame:
     """Hits of the chosen scanners: the findings layout and, for indicators, ``sighting``.
 
     Write these to a table once and derive findings (:func:`findings_of`) and indicators
     (:func:`indicators_of`) from it, so that contents are read a single time.  ``carry`` names further
     columns of the files to keep.
+
+    Lines of more than ``longest`` bytes are read in parts of that many code points by all tasks for the
+    built-in static rules, encoded runs and indicators; the hits stay the same.  Files that can have such
+    a line are read once more for it.  Secrets may span any character and are looked for in whole lines.
     """
     static, obfuscated, secret, network = (s in scanners for s in READING_SCANNERS)
     path, content = F.col("path"), F.col("content")
@@ -58,23 +63,27 @@ def scan_hits(
         keep = [*keep, "minified", "file_hits"]
 
     line, number = F.col("text"), F.col("line")
+    builtin = tuple(line_rules) == rules.STATIC_RULES
+    if longest is not None and static and not builtin:
+        raise ValueError("lines are read in parts for the built-in rules only")
     exploded = ln.explode_lines(chosen, keep, with_comments=static)
+    fits = F.octet_length(line) <= longest if longest is not None else None
     wanted, arrays = [], []
 
-    def look(may: Column, hits: Column) -> None:
+    def look(may: Column, hits: Column, whole: bool = False) -> None:
+        may = may if whole or fits is None else fits & may
         wanted.append(may)
         arrays.append(F.when(may, hits))
 
     if static:
-        builtin = tuple(line_rules) == rules.STATIC_RULES
         may = F.col("code") & static_rules.may_match(line) if builtin else F.col("code")
         look(may, static_rules.rule_hits(line_rules))
     if obfuscated:
         may = F.col("code") & obfuscation.may_match(line)
         look(may, obfuscation.line_hits(line, number, F.col("minified")))
-        look((number == 1) & (F.size("file_hits") > 0), F.col("file_hits"))
+        look((number == 1) & (F.size("file_hits") > 0), F.col("file_hits"), whole=True)
     if secret:
-        look(F.col("text_file") & secrets.may_match(line), secrets.line_hits())
+        look(F.col("text_file") & secrets.may_match(line), secrets.line_hits(), whole=True)
     if network:
         look(F.col("text_file") & ioc.may_match(line), ioc.line_hits(line, number))
     every = F.flatten(F.array_compact(F.array(*arrays)))
@@ -82,7 +91,14 @@ def scan_hits(
         "pkg", "version", "file", "text", *carry, F.explode(every).alias("hit")
     )
     settled = settle(hits.select("pkg", "version", "file", "text", *carry, "hit.*"))
-    return settled.select(*FINDING_COLUMNS, "sighting", *carry)
+    found = settled.select(*FINDING_COLUMNS, "sighting", *carry)
+    in_parts = [s for s in scanners if s != secrets.SCANNER]
+    if longest is None or not in_parts:
+        return found
+    giant = chosen.filter(F.octet_length("content") > longest)
+    lines = ln.explode_lines(giant, [c for c in keep if c != "file_hits"], with_comments=static)
+    parts = long_lines.hits(lines.filter(~fits), in_parts, longest, carry)
+    return found.unionByName(parts.select(*FINDING_COLUMNS, "sighting", *carry))
 
 
 def findings_of(hits: DataFrame) -> DataFrame:
