@@ -411,7 +411,8 @@ def encode_documents(
     ``ids`` is an array, ``decoded`` the text the ids give back; both are left out with
     ``keep_ids=False``, so that only digests leave the workers.  A null text counts as empty and
     has no ids; a null ``doc_id`` and repeated rows are kept as they are; other columns are not
-    read.  Strings of special tokens inside a text become those tokens.
+    read.  Strings of special tokens inside a text become those tokens.  Long texts are encoded in
+    parts cut between words; an empty table gives no rows.
     """
     bpe = loaded(vocabulary)
     fields = [("doc_id", docs.schema[id_col].dataType.simpleString()), ("n_tokens", "bigint")]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_PASSING: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +32,32 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives executors, has a known size."""
-    path = shared_dir(df.sparkSession)
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside are deleted at its end.
+
+    Results are lazy and read them: write a result to be kept with ``lasting=True``, or count or collect
+    it, before the end.  Contexts may be nested; each deletes its own.
+    """
+    paths: list[str] = []
+    token = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: cuts lineage, survives executors, has a known size.
+
+    It stays there, unless written inside :func:`passing_tables` and not ``lasting``.
+    """
+    path, passing = shared_dir(df.sparkSession), _PASSING.get()
+    if passing is not None and not lasting:
+        passing.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

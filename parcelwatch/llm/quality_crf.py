@@ -258,7 +258,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
     ``bad_lines`` counts lines that are more likely bad.  A null text is an empty one and is scored
     as one empty line; a null ``doc_id`` and repeated rows are kept; nothing but the text is looked
-    at.
+    at.  A long text is scored whole, in memory that grows with its lines; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["score", "predicted", "n_lines", "bad_lines", "bad_share"]

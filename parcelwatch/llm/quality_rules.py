@@ -195,7 +195,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_bad_lines, lost_chars,
     base_failed, kept, cleaned``.  A null text has no words and fails; a null ``doc_id`` and repeated
-    rows are kept as they are.
+    rows are kept as they are.  A text is judged whole, however long, in time that grows with its length;
+    an empty table gives no rows.
     """
     texts = own_columns(docs, id_col, text_col)
     return texts.select("doc_id", judged(F.col("text")).alias("found")).select("doc_id", "found.*")
@@ -204,7 +205,9 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def clean(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns; texts lose the lines that fail.
 
-    ``size_col`` is the column that has the text's length in characters, if there is one.
+    ``size_col`` is the column that has the text's length in characters, if there is one.  Null and empty
+    texts have too few words and go; null ids and repeated rows are judged like any other; an empty table
+    stays empty.
     """
     found = "quality_" + "_".join(docs.columns)  # no column of this name can be there
     new = {text_col: F.col(f"`{found}`.cleaned")}

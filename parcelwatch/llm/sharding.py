@@ -137,7 +137,13 @@ def assign(records: DataFrame, slot_map: list[tuple[int, int, int, int]]) -> Dat
 def shard_documents(
     docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None, **kw
 ) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """All records with their shards by bytes, and the slot map, which is stored at ``map_path``."""
+    """All records with their shards by bytes, and the slot map, which is stored at ``map_path``.
+
+    Records of equal texts go by their own ids and may lie in different shards: a text with a third of
+    all rows could not stay together in shards of near-equal bytes.  A long text is one record of its
+    size; shards are no more equal than the largest slot allows.  An empty table gives no records and a
+    map of empty slots.
+    """
     records = written(slotted(docs, slots, **kw))
     slot_map = first_map(slot_bytes(records, slots), shards)
     if map_path:

@@ -255,7 +255,8 @@ def near_duplicates(
     Fingerprints that differ in at most ``distance`` bits are linked; ``component_id`` is the
     smallest ``doc_id`` that links lead to (nulls are passed over).  Texts without words, null ones
     too, have fingerprint zero and are linked like any other; repeated rows are kept.  Equal
-    fingerprints are one entry of the index, however many rows have them.
+    fingerprints are one entry of the index, however many rows have them.  Long texts are read in
+    blocks; an empty table gives no rows.
     """
     base = written(fingerprints(own_columns(docs, id_col, text_col), words, seed))
     codes = written(base.groupBy("code").agg(F.min("doc_id").alias("low")))

@@ -332,7 +332,7 @@ def remove_repeats(
     left (characters cut in half are dropped), ``removed`` the byte ranges that went.  A null text
     counts as empty; texts below ``length`` bytes have no strings.  Repeated rows are copies of each
     other.  A null ``doc_id`` is an id like any other.  ``carried`` is a struct of the columns that
-    ``carry`` names.
+    ``carry`` names.  Long texts are read in segments; an empty table gives no rows.
     """
     texts = docs.select(
         docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"),

@@ -82,7 +82,8 @@ def count_tokens(
     """``doc_id, n_bytes, n_tokens, over_limit`` of every text.
 
     A null text counts as empty: no bytes, no tokens.  A null ``doc_id`` and repeated rows are kept;
-    other columns are not read.
+    other columns are not read.  A long text is counted whole by the task that reads it; an empty table
+    gives no rows.
     """
     with open(model_path, "rb") as file:
         model = file.read()

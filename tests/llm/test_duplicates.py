@@ -1,6 +1,7 @@
 """Exact, SimHash and suffix duplicates against plain Python."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from parcelwatch.llm import exact_dedup, graph, simhash, suffix_dedup
+from parcelwatch.llm import common, exact_dedup, graph, simhash, suffix_dedup
 
 
 def _sha(raw):
@@ -201,3 +202,20 @@ def test_empty_tables(none):
     assert exact_dedup.exact_duplicates(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_passing_tables_are_deleted(spark, odd, outcome, monkeypatch):
+    paths = []
+    make = common.shared_dir
+    monkeypatch.setattr(common, "shared_dir", lambda session: paths.append(make(session)) or paths[-1])
+    plain = outcome(suffix_dedup.remove_repeats(odd), "doc_id", "kept_sha256")
+    left, paths[:] = list(paths), []
+    with common.passing_tables(spark):
+        kept = common.written(suffix_dedup.remove_repeats(odd), lasting=True)
+    assert outcome(kept, "doc_id", "kept_sha256") == plain
+    assert len(paths) > 3 and [os.path.exists(p) for p in paths] == [False] * (len(paths) - 1) + [True]
+    assert all(map(os.path.exists, left))
+    with pytest.raises(RuntimeError), common.passing_tables(spark):
+        common.written(odd)
+        raise RuntimeError
+    assert not os.path.exists(paths[-1])

@@ -213,6 +213,17 @@ def test_licenses(spark, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_licenses_of_null_ids_and_long_texts(spark):
+    notice = dict(licenses.KNOWN[-1:])["MIT"]
+    long = "word, and word;\n" * 200_000
+    rows = [(None, notice, "a"), (None, notice, "b"), (None, None, "c"), (1, long, "d"), (2, long + "Released under the MIT License.\n", "e")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, text_license string")
+    found = licenses.scan_licenses(table).collect()
+    assert sorted(str(r["text_license"]) for r in found if r["doc_id"] is None) == ["MIT", "MIT", "None"]
+    lines = {r["doc_id"]: (r["n_license_lines"], r["text_license"]) for r in found if r["doc_id"]}
+    assert lines == {1: (0, None), 2: (1, None)}
+
+
 def test_usual_licenses_are_known(spark):
     def text(name):
         return (Path(licenses.__file__).with_name("license_texts") / f"{name}.txt").read_text(encoding="utf-8")
@@ -279,6 +290,15 @@ def test_shards(odd, odd_rows, none):
     assert sharding.shard_documents(none)[0].count() == 0
 
 
+def test_shards_are_of_near_equal_bytes(spark):
+    """A text with a third of all rows does not weigh on one shard."""
+    size = F.when(F.col("id") % 3 == 0, 300).otherwise(F.pmod(F.xxhash64("id"), F.lit(900)))
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), size.cast("int")).alias("text"))
+    placed, _ = sharding.shard_documents(docs, shards=40)
+    bytes_of = [r["n"] for r in placed.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(bytes_of) == 40 and max(bytes_of) <= 1.005 * min(bytes_of)
+
+
 def test_slot_maps(spark, tmp_path):
     rng = np.random.default_rng(1)
     sizes = list(enumerate(rng.integers(1, 2000, 4096).tolist()))
