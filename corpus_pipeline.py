@@ -1,7 +1,8 @@
 """Documents to packed training sequences, in five stages.
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``.
-``run`` writes each stage's result as Parquet into the shared folder and reads it back for the next.
+``run`` writes each stage's result as Parquet into the shared folder and reads it back for the next;
+what a stage wrote on the way is deleted once its result is there.
 Nulls and repeated rows are treated as the operators say; rows are told apart by id and text, so a
 null or repeated ``doc_id`` does no harm, and an empty table goes through as one.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwatch.llm import exact_dedup, packing, quality_rules, simhash, suffix_dedup
-from parcelwatch.llm.common import documents, written
+from parcelwatch.llm.common import documents, passing_tables, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -101,5 +102,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with passing_tables(spark):
+            docs = written(stage(spark, docs, sf_dir), lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
