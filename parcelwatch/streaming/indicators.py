@@ -20,7 +20,7 @@ from .log import BatchLog
 _IDENTITY = ["pkg", "version", "type", "key"]
 _ORDER = ["path", "line", "step", "fragment", "nth"]
 SCHEMA = (
-    "pkg string, version string, type string, key string, path string, line int, step int, fragment int, "
+    "pkg string, version string, type string, key string, path string, line int, step int, fragment bigint, "
     "nth int, method string, raw string"
 )
 
