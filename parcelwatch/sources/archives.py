@@ -7,15 +7,44 @@ import hashlib
 import io
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_BATCH_BYTES = 32 << 20
+_BATCH_BYTES = 4 << 20
 _DAMAGE = (tarfile.TarError, zlib.error, EOFError, OSError)
-_COLUMNS = ["pkg", "version", "path", "content", "sha256", "n_files", "error"]
+_ROWS = pa.schema(
+    [(c, pa.string()) for c in ("pkg", "version", "path", "content", "sha256")] + [("n_files", pa.int64()), ("error", pa.string())]
+)
+
+
+def bounded(rows: Iterable[tuple], schema: pa.Schema, limit: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``rows`` as Arrow batches that end with the row that brings them to ``limit`` bytes, however many rows come.
+
+    A batch is all that Python holds besides one batch of Spark's, which Spark limits by bytes too.
+    """
+    batch, held = [], 0
+    for row in rows:
+        batch.append(row)
+        held += 64 + sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        if held >= limit:
+            yield _batch(batch, schema)
+            batch, held = [], 0
+    if batch:
+        yield _batch(batch, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def values(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches one at a time; a batch as a whole never turns into Python objects."""
+    for batch in batches:
+        for cells in zip(*batch.columns):
+            yield tuple(cell.as_py() for cell in cells)
 
 
 def read_archives(archives: DataFrame, root: str | None = "package") -> DataFrame:
@@ -55,23 +84,11 @@ def read_archives(archives: DataFrame, root: str | None = "package") -> DataFram
             error = "damaged archive"
         yield None, None, None, n_files, error
 
-    def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame_of(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=_COLUMNS).astype({"n_files": "Int64"})
-
-        batch, held = [], 0
-        for frame in frames:
-            for pkg, version, data in zip(frame["pkg"], frame["version"], frame["content"]):
-                for row in members(data):
-                    batch.append((pkg, version, *row))
-                    held += len(row[1] or "")
-                    if held > _BATCH_BYTES:
-                        yield frame_of(batch)
-                        batch, held = [], 0
-        if batch:
-            yield frame_of(batch)
-
-    return archives.select("pkg", "version", "content").mapInPandas(
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = ((pkg, version, *row) for pkg, version, data in values(batches) for row in members(data))
+        return bounded(unpacked, _ROWS)
+
+    return archives.select("pkg", "version", "content").mapInArrow(
         expand,
         "pkg string, version string, path string, content string, sha256 string, n_files bigint, error string",
     )

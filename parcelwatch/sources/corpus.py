@@ -9,11 +9,18 @@ Every fifth package is clean: one harmless line per file, no dependencies, an or
 from __future__ import annotations
 
 import functools
+import io
+import itertools
 import re
+import tarfile
 import uuid
+from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .archives import bounded, values
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -273,47 +280,46 @@ def with_views(names: list[str], body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+def _tar(entries: Iterable[tuple[str, str]]) -> bytes:
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+        for name, body in entries:
+            data = body.encode()
+            entry = tarfile.TarInfo(name)
+            entry.size = len(data)
+            tar.addfile(entry, io.BytesIO(data))
+    return buffer.getvalue()
+
+
 def pack_archives(files: DataFrame) -> DataFrame:
     """One gzipped tar per file, with an entry outside the package directory: input for archives."""
-    import io
-    import tarfile
-
-    import pandas as pd
-
-    def pack(frames):
-        for frame in frames:
-            packed = []
-            for path, text in zip(frame["path"], frame["content"]):
-                buffer = io.BytesIO()
-                with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
-                    for name, body in (("package/" + path, text), ("other/readme", "x")):
-                        data = body.encode()
-                        entry = tarfile.TarInfo(name)
-                        entry.size = len(data)
-                        tar.addfile(entry, io.BytesIO(data))
-                packed.append(buffer.getvalue())
-            yield pd.DataFrame(
-                {"pkg": frame["pkg"], "version": frame["version"], "path": frame["path"], "content": packed}
-            )
-
-    return files.mapInPandas(pack, "pkg string, version string, path string, content binary")
+    layout = pa.schema([(c, pa.string()) for c in ("pkg", "version", "path")] + [("content", pa.binary())])
+
+    def pack(batches):
+        packed = (
+            (pkg, version, path, _tar((("package/" + path, text), ("other/readme", "x"))))
+            for pkg, version, path, text in values(batches)
+        )
+        return bounded(packed, layout)
+
+    columns = files.select("pkg", "version", "path", "content")
+    return columns.mapInArrow(pack, "pkg string, version string, path string, content binary")
 
 
 def pack_releases(files: DataFrame) -> DataFrame:
-    """One gzipped tar per release, its files in order of their paths."""
-    import io
-    import tarfile
-
-    import pandas as pd
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        buffer = io.BytesIO()
-        with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
-            for path, text in sorted(zip(frame["path"], frame["content"])):
-                data = text.encode()
-                entry = tarfile.TarInfo("package/" + path)
-                entry.size = len(data)
-                tar.addfile(entry, io.BytesIO(data))
-        return pd.DataFrame({"pkg": frame["pkg"][:1], "version": frame["version"][:1], "content": [buffer.getvalue()]})
-
-    return files.groupBy("pkg", "version").applyInPandas(pack, "pkg string, version string, content binary")
+    """One gzipped tar per release, its files in order of their paths.
+
+    A release's files come sorted and are packed one at a time, so that no task holds the files of a release.
+    """
+    layout = pa.schema([("pkg", pa.string()), ("version", pa.string()), ("content", pa.binary())])
+
+    def pack(batches):
+        packed = (
+            (*key, _tar(("package/" + path, text) for _, _, path, text in rows))
+            for key, rows in itertools.groupby(values(batches), lambda row: row[:2])
+        )
+        return bounded(packed, layout)
+
+    columns = ["pkg", "version", "path", "content"]
+    whole = files.select(*columns).repartition("pkg", "version").sortWithinPartitions(*columns)
+    return whole.mapInArrow(pack, "pkg string, version string, content binary")

@@ -3,6 +3,7 @@ import json
 import random
 import tarfile
 
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from parcelwatch.functions import text as tx
 from parcelwatch.functions import urls
 from parcelwatch.operators import diff, scoring
 from parcelwatch.plans import report
-from parcelwatch.sources import archives, files, registry
+from parcelwatch.sources import archives, corpus, files, registry
 
 
 def test_package_tree(spark, tmp_path):
@@ -335,3 +336,27 @@ def test_binaries_are_compared_by_their_bytes(spark):
     assert ours.first()["content"] == theirs.first()["content"]
     found = diff.match(diff.fingerprints(ours), diff.fingerprints(theirs)).first()
     assert found["class"] == "modified"
+
+
+def test_batches_of_archives_end_at_a_number_of_bytes(spark):
+    """However many rows a frame has, Python holds one batch of limited bytes on top of it."""
+    layout = pa.schema([("pkg", pa.string()), ("content", pa.binary())])
+    rows = [(f"p{i}", b"x" * 1000) for i in range(500)] + [("none", None)]
+    batches = list(archives.bounded(rows, layout, limit=20_000))
+    assert max(b.nbytes for b in batches) < 30_000 and len(batches) > 20
+    assert list(archives.values(batches)) == rows
+    assert list(archives.bounded([], layout)) == []
+
+
+def test_releases_are_packed_from_a_stream_of_their_files(spark):
+    rows = [(f"p{i % 7}", "1.0.0" if i % 2 else None, f"f{i:03d}", "x" * i) for i in range(300)]
+    rows += [("p1", "1.0.0", "f001", "again")]  # a path that comes twice
+    frame = spark.createDataFrame(rows, "pkg string, version string, path string, content string").repartition(5)
+    packed = corpus.pack_releases(frame)
+    assert "FlatMapGroupsInPandas" not in packed._jdf.queryExecution().toString()  # no task holds a release
+    assert packed.count() == packed.select("pkg", "version").distinct().count() == 14
+    got = archives.expand_archives(packed).select("pkg", "version", "path", "content").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))
+    for key in {(r[0], r[1]) for r in rows}:
+        mine = [r["path"] for r in got if (r["pkg"], r["version"]) == key]
+        assert mine == sorted(mine)
