@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ def _entropy(text: str | None) -> float | None:
 
 # A text is a single cell, so counting its characters needs no shuffle.  Exploding it into one row
 # per character and grouping gives the same number at many times the cost (see README).
-@F.pandas_udf(T.DoubleType())
-def shannon_entropy(texts: pd.Series) -> pd.Series:
-    return pd.Series([_entropy(t) for t in texts], dtype="float64")
+# Texts are taken from the Arrow batch one at a time: Spark limits its bytes, and no copy of it is made.
+@F.arrow_udf(T.DoubleType())
+def shannon_entropy(texts: pa.Array) -> pa.Array:
+    return pa.array((_entropy(t.as_py()) for t in texts), pa.float64())
