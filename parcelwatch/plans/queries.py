@@ -209,6 +209,8 @@ def typosquat_findings(spark, sf):
 
 
 def _matched(spark, sf, given=None):
+    if given and "matched" in given:
+        return given["matched"]
     return diff.match(
         diff.fingerprints(view(spark, sf, "package_files", given)),
         diff.fingerprints(view(spark, sf, "source_files")),
@@ -278,7 +280,12 @@ def content_points(spark, sf):
     return _round(scored, *points).select("pkg", "version", *points, "grade")
 
 
-def _once(spark, sf) -> dict[str, DataFrame]:
+def _written(spark, df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _once(spark, sf, compared=False) -> dict[str, DataFrame]:
     """What several parts of a report read, written once: paths with hashes, releases, dependencies.
 
     Contents are read for it one time, and nothing of it is as wide as they are.
@@ -286,18 +293,23 @@ def _once(spark, sf) -> dict[str, DataFrame]:
     base, given = scratch_dir(spark), {}
 
     def keep(name: str, df: DataFrame) -> None:
-        df.write.parquet(f"{base}/{name}")
-        given[name] = spark.read.schema(df.schema).parquet(f"{base}/{name}")
+        given[name] = _written(spark, df, f"{base}/{name}")
 
     hashed = F.sha2("content", 256).alias("sha256")
     keep("package_files", view(spark, sf, "package_files").select("pkg", "version", "path", hashed))
     for name in ("pkg_flags", "release", "release_dependency"):
         keep(name, view(spark, sf, name, given))
     return given
+    if compared:
+        keep("matched", _matched(spark, sf, given))
+        columns = ("pkg", "version", "found", "publisher_matches", "repository_points")
+        keep("linked", _release_links(spark, sf, given).select(*columns))
 
 
 def _release_links(spark, sf, given=None):
     return repository.score_links(
+    if given and "linked" in given:
+        return given["linked"]
         view(spark, sf, "release_link", given), view(spark, sf, "repo_health"), _as_of(spark, sf)
     )
 
@@ -394,7 +406,7 @@ def _reported_differences(matched, links):
 
 def _report(spark, sf):
     # Findings feed sections, summaries and scores: written once.
-    path, given = f"{scratch_dir(spark)}/findings", _once(spark, sf)
+    path, given = f"{scratch_dir(spark)}/findings", _once(spark, sf, compared=True)
     _all_findings(spark, sf, given).write.parquet(path)
     findings = spark.read.parquet(path)
     links, matched = _release_links(spark, sf, given), _matched(spark, sf, given)
