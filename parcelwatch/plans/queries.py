@@ -288,7 +288,8 @@ def _written(spark, df: DataFrame, path: str) -> DataFrame:
 def _once(spark, sf, compared=False) -> dict[str, DataFrame]:
     """What several parts of a report read, written once: paths with hashes, releases, dependencies.
 
-    Contents are read for it one time, and nothing of it is as wide as they are.
+    Contents are read for it one time, and nothing of it is as wide as they are.  ``compared`` adds the
+    comparison with the source, for which contents are read once more, and the repositories.
     """
     base, given = scratch_dir(spark), {}
 
@@ -299,17 +300,17 @@ def _once(spark, sf, compared=False) -> dict[str, DataFrame]:
     keep("package_files", view(spark, sf, "package_files").select("pkg", "version", "path", hashed))
     for name in ("pkg_flags", "release", "release_dependency"):
         keep(name, view(spark, sf, name, given))
-    return given
     if compared:
         keep("matched", _matched(spark, sf, given))
         columns = ("pkg", "version", "found", "publisher_matches", "repository_points")
         keep("linked", _release_links(spark, sf, given).select(*columns))
+    return given
 
 
 def _release_links(spark, sf, given=None):
-    return repository.score_links(
     if given and "linked" in given:
         return given["linked"]
+    return repository.score_links(
         view(spark, sf, "release_link", given), view(spark, sf, "repo_health"), _as_of(spark, sf)
     )
 
@@ -672,6 +673,16 @@ def stream_scores(spark, sf):
     return _round(spark.read.parquet(f"{base}/scores").drop("batch"), *_POINTS, "score")
 
 
+#: Files that arrive, and of these in a batch: a file is written by one task, and read by few.
+_N_LANDED = 24
+
+
+def _sent(rows: DataFrame, again: F.Column) -> DataFrame:
+    """``rows``, those of ``again`` twice, from one read."""
+    times = F.array_repeat(F.lit(0), F.when(again, 2).otherwise(1))
+    return rows.select("*", F.explode(times).alias("_time")).drop("_time")
+
+
 def _landed(rows: DataFrame, path: str, n: int) -> None:
     """``rows`` as ``n`` more files in shuffled order."""
     rows.repartition(n, F.xxhash64(F.lit(11), *rows.columns[:2], "path")).write.mode("append").parquet(path)
@@ -694,15 +705,15 @@ def stream_ioc(spark, sf):
     return indicators.indicator_findings(spark, indicators.sighting_log(f"{base}/log", every=2))
 
 
-def _manifests(spark, sf) -> DataFrame:
+def _manifests(spark, sf, given=None) -> DataFrame:
     """``pkg, version, manifest`` of the planted releases."""
     key = ["pkg", "version"]
 
     def listed(name: str, *columns: str) -> DataFrame:
-        return view(spark, sf, f"release_{name}").groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias(name))
+        return view(spark, sf, f"release_{name}", given).groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias(name))
 
-    rows = view(spark, sf, "package_files").groupBy(*key).agg(F.collect_list("path").alias("paths"))
-    rows = rows.join(view(spark, sf, "pkg_flags"), key).join(view(spark, sf, "release_name"), key, "left")
+    rows = view(spark, sf, "package_files", given).groupBy(*key).agg(F.collect_list("path").alias("paths"))
+    rows = rows.join(view(spark, sf, "pkg_flags", given), key).join(view(spark, sf, "release_name", given), key, "left")
     rows = rows.join(listed("script", "name", "command"), key, "left")
     rows = rows.join(listed("dependency", "name", "spec", "kind"), key, "left")
     fields = F.struct("name", "is_cli", "paths", F.col("script").alias("scripts"), F.col("dependency").alias("dependencies"))
@@ -712,15 +723,16 @@ def _manifests(spark, sf) -> DataFrame:
 @functools.lru_cache(maxsize=8)
 def _admitted(spark, sf) -> admission.Admission:
     """Files and manifests shuffled, every tenth file twice; some files and manifests never come."""
-    base, when = scratch_dir(spark), F.to_timestamp(F.lit("2026-01-01"))
+    base, when, given = scratch_dir(spark), F.to_timestamp(F.lit("2026-01-01")), _once(spark, sf)
     number = F.regexp_extract("path", "([0-9]+)", 1).try_cast("bigint")
     files_there = view(spark, sf, "package_files").filter(F.coalesce(number % 45 != 7, F.lit(True)))
-    announced = _manifests(spark, sf).filter(F.substr("pkg", F.lit(5)).cast("bigint") % 25 != 3)
+    announced = _manifests(spark, sf, given).filter(F.substr("pkg", F.lit(5)).cast("bigint") % 25 != 3)
+    # Gathering dependencies is as much work as reading contents: done once, for both landings.
+    announced = _written(spark, announced, f"{base}/manifests")
     rows = admission.arrivals(
         files_there.withColumn("published_at", when), announced.withColumn("published_at", when)
     )
-    again = rows.filter(F.pmod(F.xxhash64("pkg", "path"), F.lit(10)) == 3)
-    _landed(rows.unionByName(again), f"{base}/landing", 6)
+    _landed(_sent(rows, F.pmod(F.xxhash64("pkg", "path"), F.lit(10)) == 3), f"{base}/landing", _N_LANDED)
     # A much later publication moves the watermark past all others.
     _landed(
         rows.filter("manifest IS NOT NULL").limit(1).withColumns(
@@ -728,18 +740,18 @@ def _admitted(spark, sf) -> admission.Admission:
         ),
         f"{base}/landing", 1,
     )
-    compared = diff.score_rollup(diff.rollup(_matched(spark, sf)))
-    links = _release_links(spark, sf)
-    nothing = scoring.scan_runs(view(spark, sf, "pkg_flags"), ())
+    compared = diff.score_rollup(diff.rollup(_matched(spark, sf, given)))
+    links = _release_links(spark, sf, given)
+    nothing = scoring.scan_runs(given["pkg_flags"], ())
     scoring.totals(
-        as_findings(view(spark, sf, "package_files").limit(0).select("pkg", "version", *[
+        as_findings(given["package_files"].limit(0).select("pkg", "version", *[
             F.lit("").alias(c) for c in ("scanner", "severity", "rule_id", "message")])),
         nothing, None, links, compared,
     ).write.parquet(f"{base}/others")
     own = admission.Admission(
         spark, f"{base}/state", view(spark, sf, "popular"), "7 days", spark.read.parquet(f"{base}/others"), every=2
     )
-    stream = _arriving(spark, rows, f"{base}/landing", 3)
+    stream = _arriving(spark, rows, f"{base}/landing", _N_LANDED // 2)
     admission.admit(stream, own, f"{base}/progress", availableNow=True).awaitTermination()
     return own
 
