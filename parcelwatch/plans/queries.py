@@ -696,9 +696,9 @@ def _arriving(spark, rows: DataFrame, path: str, per_batch: int) -> DataFrame:
 def stream_ioc(spark, sf):
     """Indicators of files that arrive shuffled, in several batches, some of them twice."""
     package_files, base = view(spark, sf, "package_files"), scratch_dir(spark)
-    again = package_files.filter(F.pmod(F.xxhash64("path"), F.lit(10)) == 3)
-    _landed(package_files.unionByName(again), f"{base}/landing", 6)
-    stream = _arriving(spark, package_files, f"{base}/landing", 2)
+    again = F.pmod(F.xxhash64("path"), F.lit(10)) == 3
+    _landed(_sent(package_files, again), f"{base}/landing", _N_LANDED)
+    stream = _arriving(spark, package_files, f"{base}/landing", _N_LANDED // 3)
     indicators.write_indicators(
         stream, f"{base}/log", f"{base}/progress", every=2, availableNow=True
     ).awaitTermination()
