@@ -18,6 +18,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .archives import bounded, values
 
@@ -210,6 +211,9 @@ _NEEDS = {
     "package_doc": ("package_files",),
 }
 
+#: View name -> a table it reads below a grouping, and that table's key, which names the owner of releases.
+_OWNED = {"release_dependency": ("orders", "o_custkey")}
+
 
 def closure(names: list[str], given: tuple[str, ...] = ()) -> list[str]:
     """The named views and those they need, each after what it needs; nothing behind a ``given`` one."""
@@ -260,7 +264,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
         return _view(spark, sf_dir, name)
     if name in given:
         return given[name]
-    return planted(spark, name, _bases(spark, sf_dir, name, tuple(given)), given)
+    return planted(spark, name, _bases(spark, sf_dir, name, given), given)
 
 
 @functools.lru_cache(maxsize=256)
@@ -268,10 +272,21 @@ def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return planted(spark, name, _bases(spark, sf_dir, name))
 
 
-def _bases(spark: SparkSession, sf_dir: str, name: str, given: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """The tables a planted relation reads itself."""
-    needed = " ".join(VIEWS[n] for n in closure([name], given) if n not in given)
-    return {base: table(spark, sf_dir, base) for base in TABLES if re.search(rf"\b{base}\b", needed)}
+def _bases(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables a planted relation reads itself.
+
+    Spark moves no join below a grouping: of a table in ``_OWNED`` only rows whose owner has a release go into
+    the joins and groupings that the relation is made of.  All others would meet no release behind these.
+    """
+    names = tuple(given or ())
+    needed = " ".join(VIEWS[n] for n in closure([name], names) if n not in names)
+    tables = {base: table(spark, sf_dir, base) for base in TABLES if re.search(rf"\b{base}\b", needed)}
+    base, key = _OWNED.get(name, (None, None))
+    if base in tables:
+        owner = F.concat(F.lit("cust-"), F.col(key).cast("string"))
+        releases = view(spark, sf_dir, "release", given).select("owner")
+        tables[base] = tables[base].join(releases, owner == F.col("owner"), "left_semi")
+    return tables
 
 
 def with_views(names: list[str], body: str) -> str:
