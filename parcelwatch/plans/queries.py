@@ -29,6 +29,7 @@ from ..operators.static_rules import relax_for_cli_tools
 from ..sources import archives, changes, corpus, files, registry
 from ..sources.corpus import table, view
 from ..streaming import admission, feed, indicators
+from ..streaming.log import by_keys
 from . import report, results, scan, scanners
 from .scratch import scratch_dir
 
@@ -716,7 +717,8 @@ def _manifests(spark, sf, given=None) -> DataFrame:
         return view(spark, sf, f"release_{name}", given).groupBy(*key).agg(F.collect_list(F.struct(*columns)).alias(name))
 
     rows = view(spark, sf, "package_files", given).groupBy(*key).agg(F.collect_list("path").alias("paths"))
-    rows = rows.join(view(spark, sf, "pkg_flags", given), key).join(view(spark, sf, "release_name", given), key, "left")
+    rows = rows.join(by_keys(view(spark, sf, "pkg_flags", given)), key)
+    rows = rows.join(by_keys(view(spark, sf, "release_name", given)), key, "left")
     rows = rows.join(listed("script", "name", "command"), key, "left")
     rows = rows.join(listed("dependency", "name", "spec", "kind"), key, "left")
     fields = F.struct("name", "is_cli", "paths", F.col("script").alias("scripts"), F.col("dependency").alias("dependencies"))
@@ -729,6 +731,9 @@ def _admitted(spark, sf) -> admission.Admission:
     base, when, given = scratch_dir(spark), F.to_timestamp(F.lit("2026-01-01")), _once(spark, sf, linked=True)
     number = F.regexp_extract("path", "([0-9]+)", 1).try_cast("bigint")
     files_there = view(spark, sf, "package_files").filter(F.coalesce(number % 45 != 7, F.lit(True)))
+    # One after the other, so that the driver sends the table of releases to a single join at a time.
+    for name in ("release_script", "release_name"):
+        given[name] = _written(spark, view(spark, sf, name, given), f"{base}/{name}")
     announced = _manifests(spark, sf, given).filter(F.substr("pkg", F.lit(5)).cast("bigint") % 25 != 3)
     # Gathering dependencies is as much work as reading contents: done once, for both landings.
     announced = _written(spark, announced, f"{base}/manifests")

@@ -3,8 +3,8 @@
 A release is announced by a manifest: its files, lifecycle scripts, dependencies and name.  Files are
 scanned when they arrive and reduced to one narrow row each; contents neither shuffle nor wait.  A release
 is scored with the last file its manifest lists.  Which files have been counted is kept as a bitmap over
-the manifest's file numbers, so a file delivered again, in the same batch or later, does not count twice.
-Files that come before their manifest wait for it.
+the manifest's file numbers, a row for 64 of them, so a file delivered again, in the same batch or later, does
+not count twice.  Files that come before their manifest wait for it.
 
 With ``max_delay`` a release that is still incomplete that long after its publication, measured by the
 latest publication seen, comes out as failed, and what arrives for it later is dropped, as with any
@@ -26,7 +26,7 @@ from ..operators.hits import as_findings, union_findings
 from ..operators.static_rules import relax_for_cli_tools
 from ..plans.scan import scan_hits
 from . import feed, indicators
-from .log import BatchLog
+from .log import BatchLog, by_keys
 
 _KEY = ["pkg", "version"]
 _FILE = [*_KEY, "path"]
@@ -53,11 +53,18 @@ def arrivals(files: DataFrame, manifests: DataFrame) -> DataFrame:
     return as_file.unionByName(as_manifest)
 
 
-def _bit_set(bitmap: Column, position: Column) -> Column:
-    """Whether a bit of a bitmap is set; no bitmap has none."""
-    byte = F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))
-    number = F.conv(F.hex(byte), 16, 10).cast("bigint")
-    return F.coalesce(F.getbit(number, (position % 8).cast("int")) == 1, F.lit(False))
+#: Files of a manifest that one row of receipts stands for: the bits of a BIGINT.
+_WORD = 64
+
+
+def _place(file_no: Column) -> tuple[Column, Column]:
+    """The row of receipts that a file number belongs to, and its bit there."""
+    return F.floor((file_no - 1) / _WORD), F.pmod(file_no - 1, F.lit(_WORD)).cast("int")
+
+
+def _bit_set(bits: Column, position: Column) -> Column:
+    """Whether a bit is set; a row that is not there has none."""
+    return F.coalesce(F.getbit(bits, position) == 1, F.lit(False))
 
 
 class Admission:
@@ -91,7 +98,7 @@ class Admission:
         self.told = log("told", f"pkg string, version string, {finding}")
         self.arrived = log("arrived", f"{delivered}, {facts}")
         self.counted = log("counted", f"{delivered}, {facts}, file_no bigint")
-        self.receipts = log("receipts", f"{stamp}, bucket bigint, bitmap binary", lambda r: self._live(self._united(r)))
+        self.receipts = log("receipt_words", f"{stamp}, word bigint, bits bigint", lambda r: self._live(self._united(r)))
         self.totals = log("totals", f"{stamp}, n_files bigint, {facts}", lambda t: self._live(self._summed(t)))
         self.sightings = indicators.sighting_log(f"{path}/sightings", every)
 
@@ -108,8 +115,8 @@ class Admission:
         return rows.filter(F.col("published_at").isNull() | (F.col("published_at") >= edge))
 
     def _united(self, receipts: DataFrame) -> DataFrame:
-        return receipts.groupBy(*_KEY, "bucket").agg(
-            F.max("published_at").alias("published_at"), F.bitmap_or_agg("bitmap").alias("bitmap")
+        return receipts.groupBy(*_KEY, "word").agg(
+            F.max("published_at").alias("published_at"), F.bit_or("bits").alias("bits")
         )
 
     def _summed(self, totals: DataFrame) -> DataFrame:
@@ -147,14 +154,14 @@ class Admission:
         of_files = fresh.withColumn("n_files", F.lit(1).cast("bigint")).select(*of_manifests.columns)
         before = self.totals.before(self.spark, batch_id)
         now = self.totals.append(self._summed(of_files.unionByName(of_manifests)), batch_id)
-        touched = before.join(now.select(*_KEY), _KEY, "left_semi").withColumn("had", F.col("n_files")).unionByName(
+        touched = before.join(by_keys(now.select(*_KEY)), _KEY, "left_semi").withColumn("had", F.col("n_files")).unionByName(
             now.withColumn("had", F.lit(0).cast("bigint"))
         )
         had = touched.groupBy(*_KEY).agg(F.sum("had").alias("had"))
         is_new = new.select(*_KEY, F.lit(True).alias("is_new"))
         done = (
-            self._summed(touched).join(headers.select(*_KEY, "file_count"), _KEY).join(had, _KEY)
-            .join(is_new, _KEY, "left").filter(F.col("n_files") == F.col("file_count"))
+            self._summed(touched).join(by_keys(headers.select(*_KEY, "file_count")), _KEY).join(by_keys(had), _KEY)
+            .join(by_keys(is_new), _KEY, "left").filter(F.col("n_files") == F.col("file_count"))
             .filter(F.coalesce("is_new", F.col("had") < F.col("file_count")))
         )
         self._score(done).write.mode("overwrite").parquet(f"{self.path}/scores/batch={batch_id}")
@@ -198,7 +205,7 @@ class Admission:
     def _announce(self, rows: DataFrame, known: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """New manifests: their files are numbered, and what they tell by themselves is summed up."""
         first = F.min_by(F.struct("published_at", "manifest"), "delivery").alias("m")
-        new = rows.join(known.select(*_KEY), _KEY, "left_anti").groupBy(*_KEY).agg(first).select(*_KEY, "m.*")
+        new = rows.join(by_keys(known.select(*_KEY)), _KEY, "left_anti").groupBy(*_KEY).agg(first).select(*_KEY, "m.*")
         paths = F.array_sort(F.array_distinct(F.coalesce("manifest.paths", F.array().cast("array<string>"))))
         listed = new.select(*_KEY, "published_at", paths.alias("paths"), F.col("manifest.is_cli").alias("is_cli"))
         headers = self.headers.append(listed.withColumn("file_count", F.size("paths").cast("bigint")), batch_id)
@@ -217,7 +224,7 @@ class Admission:
         )
         told = self.told.append(told, batch_id)
         totals = scoring.totals(told, scoring.scan_runs(headers, MANIFEST_SCANNERS), headers)
-        totals = totals.join(headers.select(*_KEY, "published_at"), _KEY).withColumn("n_files", F.lit(0).cast("bigint"))
+        totals = totals.join(by_keys(headers.select(*_KEY, "published_at")), _KEY).withColumn("n_files", F.lit(0).cast("bigint"))
         return headers, totals.select(*_KEY, "published_at", "n_files", *self.facts)
 
     def _count(self, arrived: DataFrame, headers: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
@@ -227,23 +234,24 @@ class Admission:
             held = self.spark.read.schema(self.arrived.schema).parquet(self._waiting(batch_id - 1))
             there = self._first(held.unionByName(arrived))
         expected = self.expected.before(self.spark, batch_id + 1).drop("published_at")
-        bucket, position = F.bitmap_bucket_number("file_no"), F.bitmap_bit_position("file_no")
+        word, position = _place(F.col("file_no"))
         receipts = self.receipts.before(self.spark, batch_id).drop("published_at")
-        matched = there.join(expected, _FILE).withColumn("bucket", bucket)
-        fresh = matched.join(receipts, [*_KEY, "bucket"], "left").filter(~_bit_set(F.col("bitmap"), position))
+        matched = there.join(by_keys(expected), _FILE).withColumn("word", word)
+        fresh = matched.join(by_keys(receipts), [*_KEY, "word"], "left").filter(~_bit_set(F.col("bits"), position))
         fresh = self.counted.append(fresh, batch_id)
-        marks = fresh.groupBy(*_KEY, bucket.alias("bucket")).agg(
-            F.max("published_at").alias("published_at"), F.bitmap_construct_agg(position).alias("bitmap")
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), position)
+        marks = fresh.groupBy(*_KEY, word.alias("word")).agg(
+            F.max("published_at").alias("published_at"), F.bit_or(bit).alias("bits")
         )
         self.receipts.append(marks, batch_id)
-        return there.join(headers.select(*_KEY), _KEY, "left_anti"), fresh
+        return there.join(by_keys(headers.select(*_KEY)), _KEY, "left_anti"), fresh
 
     def _score(self, done: DataFrame) -> DataFrame:
         ran = {f"ran_{s}": F.lit(True) for s in feed.FILE_SCANNERS}
         whole = done.withColumns({**ran, "any_run": F.lit(True)}).select(*_KEY, *self.facts)
         if self.others is None:
             return scoring.score_totals(whole)
-        rest = self.others.join(whole.select(*_KEY), _KEY, "left_semi")
+        rest = self.others.join(by_keys(whole.select(*_KEY)), _KEY, "left_semi")
         return scoring.score_totals(scoring.only_found(scoring.merge_totals(whole, rest.select(*whole.columns))))
 
     # --- results --------------------------------------------------------------------------

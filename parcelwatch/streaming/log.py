@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+def by_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join by sorted keys, whatever size Spark takes them for.
+
+    It takes the size of compressed files for that of the rows in them, and what is derived from such
+    estimates for no more.  Keys and flags of releases shrink to a twentieth and less in files, so a table
+    far too large for it would be sent to every task, by way of the driver's memory.
+    """
+    return rows.hint("merge")
+
+
 class BatchLog:
     """``merge`` brings the rows of several batches together; without it they are only stacked."""
 
