@@ -780,4 +780,4 @@ def stream_admission(spark, sf):
 def stream_all_findings(spark, sf):
     """Findings of all eight scanners of the releases that were scored."""
     own = _admitted(spark, sf)
-    return own.findings().join(own.scores().select("pkg", "version"), ["pkg", "version"], "left_semi")
+    return own.findings().join(by_keys(own.scores().select("pkg", "version")), ["pkg", "version"], "left_semi")

@@ -269,7 +269,8 @@ class Admission:
         told = self.found.rows(self.spark).drop("published_at")
         first = self.counted.rows(self.spark).select(*_FILE, "batch", "delivery")
         flags = self.headers.rows(self.spark).select(*_KEY, "is_cli")
-        of_files = relax_for_cli_tools(as_findings(told.join(first, [*_FILE, "batch", "delivery"], "left_semi")), flags)
+        of_counted = told.join(by_keys(first), [*_FILE, "batch", "delivery"], "left_semi")
+        of_files = relax_for_cli_tools(as_findings(of_counted), flags)
         return union_findings(
             of_files, self.told.rows(self.spark), indicators.indicator_findings(self.spark, self.sightings)
         )

@@ -101,3 +101,13 @@ def test_manifests_are_gathered_by_keys(spark, tmp_path):
     assert (pkg, version, m["name"], m["is_cli"], sorted(m["paths"])) == ("pkg-2", "1", "left-pad", True, ["a", "b"])
     assert [tuple(x) for x in m["scripts"]] == [("postinstall", "wget x")]
     assert [tuple(x) for x in m["dependencies"]] == [("d", "*", "direct")]
+
+
+def test_findings_of_scored_releases_are_joined_by_keys(spark, admitted, monkeypatch):
+    own, _ = admitted
+    assert [x for x in _sent_unmeasured(_plan(own.findings())) if "/state/" in x] == []
+    monkeypatch.setattr(queries, "_admitted", lambda spark, sf: own)
+    found = queries.stream_all_findings(spark, "/nowhere")
+    assert [x for x in _sent_unmeasured(_plan(found)) if "/state/" in x] == []
+    want = {(r["pkg"], r["scanner"], r["file"]) for r in own.findings().collect()}
+    assert {(r["pkg"], r["scanner"], r["file"]) for r in found.collect()} == want
